@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, simhash, token_counts
+from . import decontaminate, ordinal, quality_rules, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of all documents by the ordinal model of the label table."""
+    return ordinal.classify(_table(spark, sf_dir, "documents"), ordinal.grades_of(_table(spark, sf_dir, "labels")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of those within two bits."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
@@ -41,7 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op7_decontaminate, op8_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_simhash, op7_decontaminate, op8_token_counts, op9_quality_rules)}
 
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
