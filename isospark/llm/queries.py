@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ordinal, quality_rules, simhash, token_counts
+from . import decontaminate, mixing, ordinal, quality_rules, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
 
 
+#: Shares of the languages that the mixture is to have.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of domains: documents with a row in ``labels``, and their language."""
+    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading rates of all documents such that expected language totals match ``TARGETS``."""
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, domain_labels(docs, _table(spark, sf_dir, "labels")), TARGETS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_simhash, op7_decontaminate, op8_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_simhash, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing)}
 
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
