@@ -26,7 +26,7 @@ from .decontaminate import words
 FIT_ROWS = 16_000
 FIT_PARTITIONS = 8
 #: A bucket is used if so many fitting rows have it and its score against the grade is so many deviations.
-MIN_ROWS, MIN_SCORE = 8, 5.0
+MIN_ROWS, MIN_SCORE = 8, 4.0
 PENALTY, STEPS = 0.5, 60
 #: A row is kept if its probability of the top grade reaches this.
 KEEP = 0.5
@@ -118,8 +118,8 @@ def _gradient(state):
 def _screened(rows: DataFrame, min_rows: int, min_score: float) -> np.ndarray:
     """Buckets that enough rows have and that tell grades apart, and all style buckets.
 
-    The score is the correlation with the grade times the root of the row count; at five
-    deviations chance lets through about one of a million buckets.
+    The score is the correlation with the grade times the root of the row count; at four
+    deviations chance lets through about one bucket in sixteen thousand.
     """
     m, sd = rows.agg(F.avg("grade"), F.stddev_pop("grade")).first()
     if not sd:
