@@ -26,7 +26,7 @@ BUCKETS = 4096
 FIT_ROWS = 4000
 #: Words whose evidence a posterior weighs at most.
 EVIDENCE = 4
-STEPS = 25
+STEPS = 30
 TOLERANCE = 1e-6
 
 
@@ -113,8 +113,8 @@ def fit_steps(members: DataFrame, targets: list[float], posterior: str = "poster
 
     In rates, the gradient of the squared gap is ``t_i p_i . gap``; in the metric of the tokens it
     is ``p_i . gap``, and the matrix ``sum t_i p_ik p_il`` over the rates that can move scales it.
-    A step that does not shrink the gap is halved.  Targets that no nonnegative rates reach are
-    approached in the least-squares sense.
+    Where such a step gains little, a plain one follows that is short enough to gain always.  Targets
+    that no nonnegative rates reach are approached in the least-squares sense.
     """
     k = len(targets)
     done: list[list[float]] = []
@@ -131,19 +131,20 @@ def fit_steps(members: DataFrame, targets: list[float], posterior: str = "poster
         return s, a, sum((x - y) ** 2 for x, y in zip(s, targets))
 
     s, a, gap = totals(done)
-    length = 1.0
+    # No rate is 0 yet, so this bounds the curvature for all later steps.
+    bound = max(sum(abs(x) for x in row) for row in a) or 1.0
     for _ in range(steps):
         if gap <= (TOLERANCE * scale) ** 2:
             break
-        g = [length * x for x in _solve(a, [x - y for x, y in zip(s, targets)])]
-        new = totals([*done, g])
-        if new[2] < gap * (1 - 1e-9):
-            done.append(g)
-            (s, a, gap), length = new, min(1.0, 2 * length)
-        elif length > 1e-3:
-            length /= 2
-        else:
+        left = [x - y for x, y in zip(s, targets)]
+        for g in (_solve(a, left), [x / bound for x in left]):
+            new = totals([*done, g])
+            if new[2] < gap * 0.9:
+                break
+        if new[2] >= gap * (1 - 1e-6):
             break
+        done.append(g)
+        s, a, gap = new
     return done
 
 
