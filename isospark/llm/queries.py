@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ordinal, quality_rules, simhash, token_counts, url_filter
+from . import decontaminate, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
+from .common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,21 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, url_filter.labelled_urls(spark))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back: responses with their payloads, revisits by headers alone."""
+    path = scratch_path(spark, "warc")
+    warc.write(warc.records(_table(spark, sf_dir, "pages")), path)
+    full = warc.read(spark, path).where("record_type = 'response'")
+    heads = warc.read(spark, path, payload=False).where("record_type = 'revisit'")
+    digest = warc.base32(F.sha1("payload"))
+    out = full.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to").union(
+        heads.select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    )
+    return out.withColumns({"page_id": warc.page_id(F.col("record_id")), "refers_to": warc.page_id(F.col("refers_to"))}).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in a window of ten words of a benchmark item."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -76,7 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_simhash, op4_url_filter, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_simhash, op4_url_filter, op5_warc, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing)}
 
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -129,5 +145,17 @@ FROM qf
 """
 
 
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)"
+_OP5 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS sha, min(page_id) OVER (PARTITION BY b) AS low FROM p),
+c AS (SELECT DISTINCT sha, ('0x' || substr(sha, 5 * g + 1, 5))::BIGINT AS v, g, s FROM h, range(8) AS t(g), unnest([15, 10, 5, 0]) AS u(s)),
+d AS (SELECT sha, string_agg({_BASE32}, '' ORDER BY g, s DESC) AS payload_digest FROM c GROUP BY sha)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> low THEN low END AS refers_to
+FROM h JOIN d USING (sha)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": _OP7, "op9_quality_rules": _OP9}
+    return {"op5_warc": _OP5, "op7_decontaminate": _OP7, "op9_quality_rules": _OP9}
