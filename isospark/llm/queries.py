@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
+from . import decontaminate, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
 from .common import scratch_path
 
 
@@ -20,6 +20,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.classify(_table(spark, sf_dir, "documents"), ordinal.grades_of(_table(spark, sf_dir, "labels")))
 
 
+def op2_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, site templates removed."""
+    return html_templates.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of those within two bits."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
@@ -56,6 +61,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wordings in all documents: matched words, coverage of the wording, and spans."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.license_table(spark))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in a window of ten words of a benchmark item."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -92,7 +102,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_simhash, op4_url_filter, op5_warc, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_templates, op3_simhash, op4_url_filter, op5_warc, op6_license_scan, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing)}
 
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
