@@ -44,14 +44,17 @@ def _constant(values: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
 
-def fit_domains(labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_rows: int = FIT_ROWS) -> tuple[list[list[float]], list[float]]:
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_rows: int = FIT_ROWS) -> tuple[list[list[float]], list[float]]:
     """Log-likelihoods of the buckets per domain, and log priors.
 
-    At most ``fit_rows`` labelled rows are used.  Rows with another or a null domain are left
-    out; a domain without rows gets the smoothed uniform distribution.
+    ``labelled(id_col, domain_col)`` names rows of ``docs``; at most ``fit_rows`` of it are used.  Rows
+    with another or a null domain are left out; a domain without rows gets the smoothed uniform
+    distribution.
     """
-    rows = labelled.where(F.col(domain_col).isin(domains)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(domain_col).alias("d"))
-    chosen = cut(rows.orderBy(F.xxhash64("i"), "i", "d").limit(fit_rows))
+    rows = labelled.where(F.col(domain_col).isin(domains)).select(F.col(id_col).alias("i"), F.col(domain_col).alias("d"))
+    few = rows.orderBy(F.xxhash64("i"), "i", "d").limit(fit_rows)
+    # Broadcast: ``limit`` bounds the side, and texts are only read where a row is chosen.
+    chosen = cut(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i").select("d", "t"))
     counts = chosen.select("d", F.explode(words(F.col("t"))).alias("w")).groupBy("d", bucket(F.col("w")).alias("b")).count()
     per = {(r.d, r.b): r["count"] for r in counts.collect()}  # at most domains x BUCKETS rows
     n = {r.d: r["count"] for r in chosen.groupBy("d").count().collect()}
@@ -151,7 +154,7 @@ def fit_steps(members: DataFrame, targets: list[float], posterior: str = "poster
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total: float | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``(id_col, n_tokens, domain, posterior, rate, copies)``, one row per row of ``docs``.
 
-    ``targets`` are weights of the domains; expected totals are to match them times ``total``
+    ``labelled(id_col, domain_col)`` gives the domains of some rows, ``targets`` the weights of the domains; expected totals are to match them times ``total``
     tokens (all tokens of ``docs`` if not given).  ``posterior`` follows the order of ``targets``,
     ``domain`` is the likeliest one, ``copies`` rounds the rate up or down by a hash of the id, so
     that its expectation is the rate.  Texts without words have no tokens, the priors as
@@ -159,7 +162,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     empty table gives none.
     """
     names = list(targets)
-    logs, priors = fit_domains(labelled, names, id_col, text_col, domain_col, fit_rows)
+    logs, priors = fit_domains(docs, labelled, names, id_col, text_col, domain_col, fit_rows)
     members = cut(membership(docs, logs, priors, id_col, text_col))
     tokens = total if total is not None else float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     weight = sum(targets.values())

@@ -92,7 +92,7 @@ TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
 def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled table of domains: documents with a row in ``labels``, and their language."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
