@@ -309,12 +309,13 @@ def _component_ids(fps: DataFrame, id_col: str, node: str, links: DataFrame) ->
 SIMILAR_BITS = round(64 * float(np.arccos(2 * 0.8 / 1.8)) / np.pi)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_extra: int = SIMILAR_BITS, max_bits: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_extra: int = SIMILAR_BITS + 1, max_bits: int = 5) -> DataFrame:
     """``(id_col, component_id)`` of documents similar by word shingles, for dropping near copies.
 
     A trie over fingerprints of word sets, which hardly move under a few edits, gives pairs within
     ``max_bits``; a pair links if the fingerprints of its ``shingle``-word shingles differ in at most
-    ``max_extra`` bits, the distance that stands for a similarity of 0.8.
+    ``max_extra`` bits, the distance that stands for a similarity of 0.8, and one for its spread.
+    Texts and ids are treated as by ``near_duplicates``.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle, words=True).withColumn("node", F.xxhash64("fp", "word_fp")))
     points = fps.select("node", F.col("word_fp").alias("fp"), F.col("fp").alias("extra")).dropDuplicates(["node"])
