@@ -41,7 +41,7 @@ def numbered(rows: DataFrame, prefix: str, order: list, digits: int = 6, out: st
     local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_p").withColumn(out, F.concat(F.lit(prefix), F.lpad((F.col("_k") + F.col("_b")).cast("string"), digits, "0"))).drop("_p", "_k", "_b")
+    return local.join(F.broadcast(before), "_p").withColumn(out, F.concat(F.lit(prefix), F.when(F.length((F.col("_k") + F.col("_b")).cast("string")) >= digits, (F.col("_k") + F.col("_b")).cast("string")).otherwise(F.lpad((F.col("_k") + F.col("_b")).cast("string"), digits, "0")))).drop("_p", "_k", "_b")
 
 
 def _with(df: DataFrame, name: str) -> T.StructType:

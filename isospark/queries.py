@@ -39,12 +39,17 @@ VIEWS = {
         CASE l_linenumber % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'FALSE' ELSE '????' END AS rts
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey""",
     "v_f1": "SELECT l_linestatus AS mode, o_orderpriority AS chem, c_mktsegment AS cell, l_returnflag AS annotator, avg(l_discount * 10) AS f1, CAST(sum(l_quantity) AS BIGINT) AS tp, CAST(sum(l_linenumber) AS BIGINT) AS fp, count(*) AS fn FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4",
+    "v_seq": "SELECT concat('d', doc_id) AS contig, translate(regexp_replace(lower(text), '[^a-z]', ''{g}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {documents}",
+    "v_status": """SELECT l_orderkey AS read, l_linenumber AS k, l_partkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 16 ELSE 0 END + CASE WHEN l_suppkey % 7 = 0 THEN 4 ELSE 0 END AS flag,
+    CASE l_partkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'missing' ELSE 'no softclip' END AS l3, CASE l_suppkey % 4 WHEN 0 THEN 'out of place' WHEN 1 THEN 'correct' ELSE 'missing' END AS r3,
+    CASE l_linenumber % 3 WHEN 0 THEN 'correct' ELSE 'no softclip' END AS l5, CASE l_orderkey % 5 WHEN 0 THEN 'potential template switching' ELSE 'missing' END AS r5 FROM {lineitem}""",
 }
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in VIEWS[name]}
-    return spark.sql(VIEWS[name], **tables)
+    # Spark's regexp_replace always replaces all; DuckDB's takes a flag for it.
+    return spark.sql(VIEWS[name].replace("{g}", ""), **tables)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,10 +64,9 @@ def query(views: str, sql: str | None = None, name: str | None = None):
         QUERIES[n] = lambda spark, sf_dir: f(*[_view(spark, sf_dir, v) for v in views.split()])
         QUERIES[n].__name__ = n
         if sql:
-            ctes = ", ".join(f"{v} AS ({VIEWS[v].format(**{t: t for t in TABLES})})" for v in views.split())
+            ctes = ", ".join(f"{v} AS ({VIEWS[v].format(**{t: t for t in TABLES}, g=", 'g'")})" for v in views.split())
             body = sql.strip()
-            ORACLES[n] = f"WITH RECURSIVE {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
-            ORACLES[n] = ORACLES[n].replace("WITH RECURSIVE", "WITH")
+            ORACLES[n] = f"WITH {ctes}, {body[5:]}" if body.startswith("WITH ") else f"WITH {ctes} {body}"
         return f
 
     return register
@@ -370,3 +374,482 @@ def dedupe_first(exons):
 @query("v_exons", "SELECT concat('FT_', lpad(row_number() OVER (ORDER BY contig, strand, tid, s, e)::VARCHAR, 7, '0')) AS id, contig, strand, tid, s, e FROM v_exons")
 def numbered_features(exons):
     return cluster.numbered(exons, "FT_", ["contig", "strand", "tid", "s", "e"], 7)
+
+
+# classifications
+
+_CAT = "regexp_replace(lower(trim(structural_category)), '[-\\s]+', '_', 'g')"
+
+
+@query("v_class", f"""SELECT annotator, {_CAT} AS category, count(*) AS n, round(sum(CASE WHEN coding = 'coding' THEN iso_exp ELSE 0 END) / sum(iso_exp), 6) AS coding_rate,
+round(sum(CASE WHEN within_cage = 'TRUE' THEN iso_exp ELSE 0 END) / sum(iso_exp), 6) AS cage_rate, round(sum(CASE WHEN motif_found = 'True' AND within_polya = 'True' THEN iso_exp ELSE 0 END) / sum(iso_exp), 6) AS site_motif_rate
+FROM v_class GROUP BY 1, 2 HAVING sum(iso_exp) > 0""")
+def weighted_rates(rows):
+    w = F.col("iso_exp")
+    r = rows.withColumn("category", S.category("structural_category")).groupBy("annotator", "category").agg(
+        F.count("*").alias("n"),
+        F.sum("iso_exp").alias("_w"),
+        F.round(summaries.rate(F.coalesce(S.coding_class("coding") == "coding", F.lit(False)), w), 6).alias("coding_rate"),
+        F.round(summaries.rate(S.bool_or_false("within_cage"), w), 6).alias("cage_rate"),
+        F.round(summaries.rate(S.bool_or_false("motif_found") & S.bool_or_false("within_polya"), w), 6).alias("site_motif_rate"),
+    )
+    return r.where("_w > 0").drop("_w")
+
+
+@query("v_class", """SELECT annotator, CASE WHEN grouping(structural_category) = 1 THEN 'ALL' ELSE structural_category END AS category, count(*) AS n, round(avg(length), 4) AS mean_length,
+count(*) FILTER (coding = 'coding') AS n_coding, count(*) FILTER (coding = 'non_coding') AS n_noncoding, count(*) FILTER (within_cage = 'TRUE') AS n_cage
+FROM v_class GROUP BY GROUPING SETS ((annotator, structural_category), (annotator))""")
+def category_summary_all(rows):
+    agg = [F.count("*").alias("n"), F.round(F.avg("length"), 4).alias("mean_length"), F.count_if(S.coding_class("coding") == "coding").alias("n_coding"), F.count_if(S.coding_class("coding") == "non_coding").alias("n_noncoding"), F.count_if(S.bool_or_null("within_cage")).alias("n_cage")]
+    return summaries.with_total(rows.withColumnRenamed("structural_category", "category"), ["annotator"], "category", agg)
+
+
+@query("v_class", """SELECT annotator, CASE WHEN grouping(structural_category) = 1 THEN 'ALL' ELSE structural_category END AS category, count(length) AS n, min(length) AS length_min, round(quantile_cont(length, 0.25), 4) AS length_q1,
+round(quantile_cont(length, 0.5), 4) AS length_median, round(quantile_cont(length, 0.75), 4) AS length_q3, max(length) AS length_max, round(avg(length), 4) AS length_mean FROM v_class GROUP BY GROUPING SETS ((annotator, structural_category), (annotator))""")
+def length_box_stats(rows):
+    out = summaries.with_total(rows.withColumnRenamed("structural_category", "category"), ["annotator"], "category", summaries.quantiles("length", "length"))
+    return out.withColumns({c: F.round(c, 4) for c in ("length_q1", "length_median", "length_q3", "length_mean")})
+
+
+_PER_GENE = "k AS (SELECT annotator, chemistry, associated_gene, count(DISTINCT isoform) AS k FROM v_class GROUP BY 1, 2, 3), b AS (SELECT annotator, chemistry, CASE WHEN k = 1 THEN '1' WHEN k <= 3 THEN '2-3' WHEN k <= 5 THEN '4-5' ELSE '>=6' END AS bin, k FROM k)"
+
+
+@query("v_class", f"""WITH {_PER_GENE}, g AS (SELECT DISTINCT annotator, chemistry, bin FROM k, unnest(['1', '2-3', '4-5', '>=6']) AS u(bin)),
+t AS (SELECT annotator, chemistry, round(avg(k), 3) AS mean_isoforms, round(median(k), 3) AS median_isoforms, count(*) AS total FROM k GROUP BY 1, 2)
+SELECT g.annotator, g.chemistry, g.bin, count(b.k) AS n_genes, mean_isoforms, median_isoforms, round(count(b.k) / total, 6) AS fraction FROM g JOIN t USING (annotator, chemistry) LEFT JOIN b USING (annotator, chemistry, bin) GROUP BY ALL, total""".replace("GROUP BY ALL, total", "GROUP BY g.annotator, g.chemistry, g.bin, mean_isoforms, median_isoforms, total"))
+def isoforms_per_gene(rows):
+    out = summaries.isoforms_per_gene(rows.where(S.valid_id("associated_gene")), ["annotator", "chemistry"], "associated_gene", "isoform")
+    return out.select("annotator", "chemistry", "bin", "n_genes", "mean_isoforms", "median_isoforms", F.round("fraction", 6).alias("fraction"))
+
+
+@query("v_class", "SELECT annotator, structural_category, count(DISTINCT isoform) AS n, round(count(DISTINCT isoform) / sum(count(DISTINCT isoform)) OVER (PARTITION BY annotator), 6) AS fraction FROM v_class GROUP BY 1, 2")
+def category_fractions(rows):
+    return summaries.fractions(rows, ["annotator"], "structural_category", F.countDistinct("isoform")).withColumn("fraction", F.round("fraction", 6))
+
+
+_FOUR = {"full-splice_match": "FSM", "incomplete-splice_match": "ISM", "novel_in_catalog": "NIC", "novel_not_in_catalog": "NNC"}
+
+
+@query("v_class", """WITH x AS (SELECT annotator, unnest(CASE structural_category WHEN 'full-splice_match' THEN ['ALL', 'FSM'] WHEN 'incomplete-splice_match' THEN ['ALL', 'ISM'] WHEN 'novel_in_catalog' THEN ['ALL', 'NIC'] WHEN 'novel_not_in_catalog' THEN ['ALL', 'NNC'] ELSE ['ALL'] END) AS category,
+ CASE within_cage WHEN 'TRUE' THEN true WHEN 'FALSE' THEN false END AS cage, CASE within_polya WHEN 'True' THEN true END AS site, motif_found = 'True' AS motif, polya_dist, diff_tss FROM v_class)
+SELECT annotator, category, count(*) AS n, count(*) FILTER (cage) AS cage_true, count(*) FILTER (NOT cage) AS cage_false, count(*) FILTER (cage IS NULL) AS cage_na, round(avg(cage::INT), 6) AS cage_rate,
+count(*) FILTER (site) AS site_true, count(*) FILTER (motif) AS motif_true, count(*) FILTER (motif AND polya_dist BETWEEN -40 AND 0) AS motif_close, round(count(*) FILTER (motif AND polya_dist BETWEEN -40 AND 0) / nullif(count(*) FILTER (motif), 0), 6) AS close_rate,
+count(*) FILTER (coalesce(site, false) OR (motif AND polya_dist BETWEEN -40 AND 0)) AS supported, median(abs(diff_tss)) AS tss_median, round(avg((abs(diff_tss) <= 5)::INT), 6) AS exact_rate FROM x GROUP BY 1, 2""")
+def endpoint_support(rows):
+    """Support of both ends, over all isoforms and for the four main categories."""
+    four = F.create_map(*[F.lit(x) for kv in _FOUR.items() for x in kv])
+    x = rows.select("annotator", F.explode(F.array_compact(F.array(F.lit("ALL"), four[F.col("structural_category")]))).alias("category"), S.bool_exact("within_cage").alias("cage"), S.bool_exact("within_polya").alias("site"), S.bool_exact("motif_found").alias("motif"), "polya_dist", "diff_tss")
+    close = F.col("motif") & F.col("polya_dist").between(-40, 0)
+    # The site column knows true and false; anything else is unknown.
+    return x.groupBy("annotator", "category").agg(
+        F.count("*").alias("n"),
+        F.count_if("cage").alias("cage_true"),
+        F.count_if(~F.col("cage")).alias("cage_false"),
+        F.count_if(F.col("cage").isNull()).alias("cage_na"),
+        F.round(summaries.share(F.col("cage")), 6).alias("cage_rate"),
+        F.count_if("site").alias("site_true"),
+        F.count_if("motif").alias("motif_true"),
+        F.count_if(close).alias("motif_close"),
+        F.round(F.try_divide(F.count_if(close), F.count_if("motif")), 6).alias("close_rate"),
+        F.count_if(F.coalesce("site", F.lit(False)) | close).alias("supported"),
+        F.median(F.abs("diff_tss")).alias("tss_median"),
+        F.round(summaries.share(F.abs("diff_tss") <= 5), 6).alias("exact_rate"),
+    )
+
+
+def _burden(rows: DataFrame, by: list[str]) -> DataFrame:
+    c = S.category("structural_category")
+    n = rows.groupBy(*by).agg(F.count_if(c == "novel_in_catalog").alias("nic"), F.count_if(c == "novel_not_in_catalog").alias("nnc"), F.count("*").alias("n"))
+    return n.withColumns({"ratio": F.round(F.try_divide(F.col("nnc"), F.col("nic")), 6), "novel_share": F.round((F.col("nic") + F.col("nnc")) / F.col("n"), 6)})
+
+
+_BURDEN = "SELECT {by}, count(*) FILTER (structural_category = 'novel_in_catalog') AS nic, count(*) FILTER (structural_category = 'novel_not_in_catalog') AS nnc, count(*) AS n, round(count(*) FILTER (structural_category = 'novel_not_in_catalog') / nullif(count(*) FILTER (structural_category = 'novel_in_catalog'), 0), 6) AS ratio, round(count(*) FILTER (structural_category LIKE 'novel%') / count(*), 6) AS novel_share FROM v_class GROUP BY {by}"
+
+
+@query("v_class", _BURDEN.format(by="annotator, chemistry, cell_line"))
+def novelty_burden_condition(rows):
+    return _burden(rows, ["annotator", "chemistry", "cell_line"])
+
+
+@query("v_class", _BURDEN.format(by="annotator"))
+def novelty_burden_annotator(rows):
+    return _burden(rows, ["annotator"])
+
+
+@query("v_class", "WITH n AS (SELECT annotator, chemistry, count(*) FILTER (structural_category = 'novel_in_catalog') AS nic, count(*) FILTER (structural_category = 'novel_not_in_catalog') AS nnc FROM v_class GROUP BY 1, 2) SELECT annotator, chemistry, kind, n FROM n UNPIVOT (n FOR kind IN (nic, nnc))")
+def burden_long(rows):
+    return _burden(rows, ["annotator", "chemistry"]).unpivot(["annotator", "chemistry"], ["nic", "nnc"], "kind", "n")
+
+
+_KEEP = "k AS (SELECT DISTINCT regexp_replace(associated_transcript, '\\.\\d+$', '') AS t, associated_gene AS g FROM v_class WHERE structural_category IN ('full-splice_match', 'incomplete-splice_match') AND annotator = 'A')"
+
+
+@query("v_class", f"WITH {_KEEP} SELECT associated_transcript, count(*) AS n FROM v_class WHERE regexp_replace(associated_transcript, '\\.\\d+$', '') IN (SELECT t FROM k) GROUP BY 1 UNION ALL SELECT associated_gene, count(*) FROM v_class WHERE associated_gene IN (SELECT g FROM k) GROUP BY 1")
+def active_subset(rows):
+    """Rows of active transcripts, and gene rows of their genes."""
+    active = rows.where((S.is_full_match("structural_category") | S.is_incomplete_match("structural_category")) & (F.col("annotator") == "A"))
+    t = rows.withColumn("t", S.strip_version("associated_transcript"))
+    tx = t.join(active.select(S.strip_version("associated_transcript").alias("t")).distinct(), "t", "left_semi").groupBy("associated_transcript").agg(F.count("*").alias("n"))
+    genes = rows.join(active.select("associated_gene").distinct(), "associated_gene", "left_semi").groupBy("associated_gene").agg(F.count("*").alias("n"))
+    return tx.union(genes)
+
+
+@query("v_class", """WITH u AS (SELECT DISTINCT associated_transcript AS t FROM v_class WHERE annotator = 'A'),
+d AS (SELECT DISTINCT annotator, associated_transcript AS t, structural_category AS c FROM v_class WHERE structural_category IN ('full-splice_match', 'incomplete-splice_match'))
+SELECT annotator, count(DISTINCT t) FILTER (c LIKE 'full%') AS fsm, count(DISTINCT t) FILTER (c LIKE 'inc%') AS ism, count(DISTINCT t) AS either, round(count(DISTINCT t) / (SELECT count(*) FROM u), 6) AS recall FROM d WHERE t IN (SELECT t FROM u) GROUP BY 1""")
+def set_recall(rows):
+    universe = rows.where("annotator = 'A'").select("associated_transcript").distinct()
+    total = universe.agg(F.count("*").alias("total"))
+    hit = rows.where(S.is_full_match("structural_category") | S.is_incomplete_match("structural_category")).join(universe, "associated_transcript", "left_semi")
+    full, part = F.when(S.is_full_match("structural_category"), F.col("associated_transcript")), F.when(S.is_incomplete_match("structural_category"), F.col("associated_transcript"))
+    n = hit.groupBy("annotator").agg(F.countDistinct(full).alias("fsm"), F.countDistinct(part).alias("ism"), F.countDistinct("associated_transcript").alias("either"))
+    return n.join(F.broadcast(total)).withColumn("recall", F.round(F.col("either") / F.col("total"), 6)).drop("total")
+
+
+@query("v_class", """WITH n AS (SELECT annotator, chemistry, structural_category AS c, count(*) AS k FROM v_class WHERE cell_line <> 'x' GROUP BY 1, 2, 3), w AS (SELECT annotator, c, sum(k) AS k FROM n GROUP BY 1, 2)
+SELECT annotator, c AS category, round(k / sum(k) OVER (PARTITION BY annotator), 6) AS fraction FROM w""")
+def composition_weighted(rows):
+    n = rows.groupBy("annotator", "chemistry", F.col("structural_category").alias("category")).agg(F.count("*").alias("n"))
+    return summaries.collapse(n, ["annotator"], "category", "chemistry").withColumn("fraction", F.round("fraction", 6))
+
+
+@query("v_class", """WITH n AS (SELECT annotator, chemistry, structural_category AS c, count(*) AS k FROM v_class GROUP BY 1, 2, 3), s AS (SELECT *, k / sum(k) OVER (PARTITION BY annotator, chemistry) AS f FROM n), a AS (SELECT annotator, c, avg(f) AS f FROM s GROUP BY 1, 2)
+SELECT annotator, c AS category, round(f / sum(f) OVER (PARTITION BY annotator), 6) AS fraction FROM a""")
+def composition_simple(rows):
+    n = rows.groupBy("annotator", "chemistry", F.col("structural_category").alias("category")).agg(F.count("*").alias("n"))
+    return summaries.collapse(n, ["annotator"], "category", "chemistry", weighted=False).withColumn("fraction", F.round("fraction", 6))
+
+
+@query("v_class", "WITH c AS (SELECT annotator, cell_line, avg((coding = 'coding')::INT) AS p FROM v_class WHERE coding IS NOT NULL GROUP BY 1, 2) SELECT annotator, round(avg(p), 6) AS coding FROM c GROUP BY 1")
+def coding_cell_mean(rows):
+    c = rows.groupBy("annotator", "cell_line").agg(summaries.share(S.coding_class("coding") == "coding").alias("p"))
+    return c.groupBy("annotator").agg(F.round(F.avg("p"), 6).alias("coding"))
+
+
+@query("v_class", "SELECT annotator, round(avg((coding = 'coding')::INT), 6) AS coding FROM v_class WHERE coding IS NOT NULL GROUP BY 1")
+def coding_weighted(rows):
+    return rows.groupBy("annotator").agg(F.round(summaries.share(S.coding_class("coding") == "coding"), 6).alias("coding"))
+
+
+@query("v_class", f"WITH {_PER_GENE}, m AS (SELECT annotator, chemistry, avg(k) AS m, count(*) AS t FROM k GROUP BY 1, 2) SELECT annotator, round(sum(m * t) / sum(t), 6) AS mean_isoforms, sum(t)::BIGINT AS total FROM m GROUP BY 1")
+def bins_collapse(rows):
+    """Mean isoforms per gene over cells, weighted by their genes."""
+    k = rows.groupBy("annotator", "chemistry", "associated_gene").agg(F.countDistinct("isoform").alias("k"))
+    m = k.groupBy("annotator", "chemistry").agg(F.avg("k").alias("m"), F.count("*").alias("t"))
+    return m.groupBy("annotator").agg(F.round(summaries.weighted_mean("m", "t"), 6).alias("mean_isoforms"), F.sum("t").alias("total"))
+
+
+@query("v_class", "WITH q AS (SELECT annotator, cell_line, quantile_cont(length, 0.5) AS med, max(length) AS top FROM v_class GROUP BY 1, 2) SELECT annotator, round(avg(med), 4) AS median, round(least(avg(top), 60000), 4) AS top_capped FROM q GROUP BY 1")
+def box_avg_capped(rows):
+    q = rows.groupBy("annotator", "cell_line").agg(*summaries.quantiles("length", "length"))
+    return q.groupBy("annotator").agg(F.round(F.avg("length_median"), 4).alias("median"), F.round(F.least(F.avg("length_max"), F.lit(60000.0)), 4).alias("top_capped"))
+
+
+@query("v_class", "SELECT coalesce(nullif(coding, ''), '(empty)') AS coding, structural_category, count(*) AS n FROM v_class GROUP BY 1, 2")
+def structure_composition(rows):
+    return rows.groupBy(F.coalesce(F.nullif("coding", F.lit("")), F.lit("(empty)")).alias("coding"), "structural_category").agg(F.count("*").alias("n"))
+
+
+@query("v_class", """WITH s AS (SELECT associated_transcript AS t, list_sort(list(DISTINCT annotator)) AS a FROM v_class WHERE length > 60000 GROUP BY 1), c AS (SELECT array_to_string(a, '&') AS combo, len(a) AS degree, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT combo, degree::INT AS degree, n, row_number() OVER (ORDER BY n DESC, degree DESC, combo)::INT AS rank FROM c""")
+def upset_combos(rows):
+    return summaries.set_combinations(rows.where("length > 60000"), "associated_transcript", "annotator", ["A", "N", "R"])
+
+
+@query("v_class", "WITH r AS (SELECT CASE WHEN structural_category LIKE '%splice_match' THEN 'match' WHEN structural_category LIKE 'novel%' THEN 'novel' ELSE 'other' END AS c, annotator, count(*) AS n FROM v_class GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY annotator), 6) AS fraction FROM r")
+def category_recode_fractions(rows):
+    c = F.when(S.is_full_match("structural_category") | S.is_incomplete_match("structural_category"), "match").when(S.category("structural_category").startswith("novel"), "novel").otherwise("other")
+    return summaries.fractions(rows.withColumn("c", c), ["annotator"], "c", F.count("*")).withColumn("fraction", F.round("fraction", 6))
+
+
+# junctions
+
+_NOVEL = "n AS (SELECT *, concat_ws('|', chrom, strand, jstart, jend) AS junction, upper(splice_site) IN ('GTAG', 'GCAG', 'ATAC') AS canonical FROM v_junc WHERE junction_category <> 'known')"
+
+
+def _novel(j: DataFrame) -> DataFrame:
+    return j.where(S.category("junction_category") != "known").withColumns({"junction": S.junction_key("chrom", "strand", "jstart", "jend"), "canonical": S.canonical_site("splice_site")})
+
+
+@query("v_junc", f"""WITH {_NOVEL} SELECT junction, count(DISTINCT annotator) AS n_annotator, count(DISTINCT chemistry) AS n_chemistry, count(DISTINCT cell_line) AS n_cell_line,
+CASE WHEN count(DISTINCT annotator) > 1 THEN 'cross_tool' WHEN count(DISTINCT chemistry) > 1 THEN 'cross_chemistry' WHEN count(DISTINCT cell_line) > 1 THEN 'cross_cell' ELSE 'single' END AS support FROM n GROUP BY 1""")
+def junction_support(j):
+    return summaries.junction_support(_novel(j), [])
+
+
+_SUPPORT_BY = """WITH {novel}, s AS (SELECT junction, CASE WHEN count(DISTINCT annotator) > 1 THEN 'cross_tool' WHEN count(DISTINCT chemistry) > 1 THEN 'cross_chemistry' WHEN count(DISTINCT cell_line) > 1 THEN 'cross_cell' ELSE 'single' END AS support FROM n GROUP BY 1),
+d AS (SELECT DISTINCT {by}, junction FROM n) SELECT {by}, count(*) AS n, round(avg((support = 'cross_tool')::INT), 6) AS cross_tool, round(avg((support <> 'single')::INT), 6) AS supported FROM d JOIN s USING (junction) GROUP BY {by}"""
+
+
+def _support_by(j: DataFrame, by: list[str]) -> DataFrame:
+    n = _novel(j)
+    d = n.select(*by, "junction").distinct().join(summaries.junction_support(n, []), "junction", "left")
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.round(summaries.share(F.col("support") == "cross_tool"), 6).alias("cross_tool"), F.round(summaries.share(F.col("support") != "single"), 6).alias("supported"))
+
+
+@query("v_junc", _SUPPORT_BY.format(novel=_NOVEL, by="annotator"))
+def junction_support_by_annotator(j):
+    return _support_by(j, ["annotator"])
+
+
+@query("v_junc", _SUPPORT_BY.format(novel=_NOVEL, by="annotator, chemistry"))
+def junction_support_by_annotator_chem(j):
+    return _support_by(j, ["annotator", "chemistry"])
+
+
+_META = "m AS (SELECT DISTINCT annotator, chemistry, cell_line, isoform, structural_category, associated_gene FROM v_class)"
+_ON = "USING (annotator, chemistry, cell_line, isoform)"
+
+
+def _with_meta(j: DataFrame, c: DataFrame) -> DataFrame:
+    keys = ["annotator", "chemistry", "cell_line", "isoform"]
+    return _novel(j).join(c.select(*keys, "structural_category", "associated_gene").distinct(), keys, "left")
+
+
+@query("v_junc v_class", f"""WITH {_NOVEL}, {_META}, x AS (SELECT n.*, structural_category, associated_gene FROM n LEFT JOIN m {_ON}), y AS (SELECT *, 'all_novel' AS scope FROM x UNION ALL SELECT *, 'nnc_only' FROM x WHERE structural_category = 'novel_not_in_catalog')
+SELECT annotator, chemistry, scope, count(*) AS n, round(avg(canonical::INT), 6) AS canonical, round(avg((rts = 'TRUE')::INT), 6) AS rts FROM y GROUP BY 1, 2, 3""")
+def junction_plausibility(j, c):
+    x = _with_meta(j, c)
+    y = x.withColumn("scope", F.lit("all_novel")).unionByName(x.where(S.category("structural_category") == "novel_not_in_catalog").withColumn("scope", F.lit("nnc_only")))
+    return y.groupBy("annotator", "chemistry", "scope").agg(F.count("*").alias("n"), F.round(summaries.share(F.col("canonical")), 6).alias("canonical"), F.round(summaries.share(S.bool_missing_false("rts")), 6).alias("rts"))
+
+
+@query("v_junc", f"WITH {_NOVEL}, i AS (SELECT annotator, isoform, bool_and(canonical) AS good, count(*) AS k FROM n GROUP BY 1, 2) SELECT annotator, count(*) AS n, round(avg(good::INT), 6) AS all_canonical, median(k) AS median_junctions FROM i GROUP BY 1")
+def isoform_canonicality(j):
+    i = _novel(j).groupBy("annotator", "isoform").agg(F.bool_and("canonical").alias("good"), F.count("*").alias("k"))
+    return i.groupBy("annotator").agg(F.count("*").alias("n"), F.round(summaries.share(F.col("good")), 6).alias("all_canonical"), F.median("k").alias("median_junctions"))
+
+
+@query("v_junc v_class", f"""WITH {_NOVEL}, {_META}, g AS (SELECT associated_gene, count(DISTINCT annotator) AS k, count(DISTINCT junction) AS nj, annotator FROM (SELECT n.*, associated_gene FROM n LEFT JOIN m {_ON}) GROUP BY associated_gene, annotator)
+SELECT annotator, count(DISTINCT associated_gene) AS n_genes, median(nj) AS median_size, count(*) FILTER (nj >= 2) AS n2, count(*) FILTER (nj >= 3) AS n3, round(avg((nj >= 2)::INT), 6) AS f2 FROM g WHERE associated_gene IS NOT NULL GROUP BY 1""")
+def locus_consistency(j, c):
+    g = _with_meta(j, c).where("associated_gene is not null").groupBy("annotator", "associated_gene").agg(F.countDistinct("junction").alias("nj"))
+    return g.groupBy("annotator").agg(F.countDistinct("associated_gene").alias("n_genes"), F.median("nj").alias("median_size"), F.count_if(F.col("nj") >= 2).alias("n2"), F.count_if(F.col("nj") >= 3).alias("n3"), F.round(summaries.share(F.col("nj") >= 2), 6).alias("f2"))
+
+
+# scores
+
+
+@query("v_f1", "SELECT mode, chem, annotator, round(avg(f1), 6) AS f1, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(sum(tp) / (sum(tp) + sum(fp)), 6) AS precision FROM v_f1 GROUP BY 1, 2, 3")
+def metric_means(f):
+    m = f.groupBy("mode", "chem", "annotator").agg(F.round(F.avg("f1"), 6).alias("f1"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return match.with_rates(m.withColumnRenamed("f1", "f")).select("mode", "chem", "annotator", F.col("f").alias("f1"), "tp", "fp", "fn", F.round("precision", 6).alias("precision"))
+
+
+@query("v_f1", """WITH d AS (SELECT a.mode, a.annotator AS a, b.annotator AS b, a.f1 - b.f1 AS d FROM v_f1 a JOIN v_f1 b USING (mode, chem, cell) WHERE a.annotator < b.annotator)
+SELECT mode, a, b, count(*) AS n, round(avg(d), 6) AS mean_diff, round(stddev_samp(d), 6) AS sd_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, round(avg(d) / stddev_samp(d), 6) AS dz FROM d GROUP BY 1, 2, 3""")
+def paired_t(f):
+    p = stats.paired(f, ["mode"], ["chem", "cell"], "annotator", "f1")
+    return p.select("mode", "a", "b", "n", *[F.round(c, 6).alias(c) for c in ("mean_diff", "sd_diff", "t", "dz")])
+
+
+@query("v_f1")
+def paired_tests(f):
+    """Paired tests with p-values, adjusted by Benjamini and Hochberg."""
+    return stats.paired_tests(f, ["mode"], ["chem", "cell"], "annotator", "f1").select("mode", "a", "b", "n", "t", "p_raw", "p_adj")
+
+
+_P = "(tp % 997) / 20000.0"
+
+
+def _padj(f: DataFrame, how: str) -> DataFrame:
+    rows = f.select("mode", "chem", "cell", "annotator", ((F.col("tp") % 997) / 20000.0).alias("p")).withColumn("key", F.concat_ws("|", "chem", "cell", "annotator"))
+    return stats.adjust(rows, ["mode"], "p", how, tie="key").select("mode", "key", F.round("p_adj", 9).alias("p_adj"))
+
+
+_RANKED = f"r AS (SELECT mode, concat_ws('|', chem, cell, annotator) AS key, {_P} AS p, row_number() OVER (PARTITION BY mode ORDER BY {_P}, concat_ws('|', chem, cell, annotator)) AS k, count(*) OVER (PARTITION BY mode) AS n FROM v_f1)"
+
+
+@query("v_f1", f"WITH {_RANKED} SELECT mode, key, round(least(1, min(p * n / k) OVER (PARTITION BY mode ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS p_adj FROM r")
+def bh_adjust(f):
+    return _padj(f, "bh")
+
+
+@query("v_f1", f"WITH {_RANKED} SELECT mode, key, round(least(1, max((n - k + 1) * p) OVER (PARTITION BY mode ORDER BY k)), 9) AS p_adj FROM r")
+def holm_adjust(f):
+    return _padj(f, "holm")
+
+
+@query("v_f1", """WITH c AS (SELECT mode, annotator, chem || cell AS block, f1 FROM v_f1), g AS (SELECT mode, avg(f1) AS m, count(*) AS n FROM c GROUP BY 1),
+a AS (SELECT mode, annotator, avg(f1) AS m, count(*) AS n FROM c GROUP BY 1, 2), b AS (SELECT mode, block, avg(f1) AS m, count(*) AS n FROM c GROUP BY 1, 2),
+s AS (SELECT c.mode, sum((f1 - a.m - b.m + g.m) ** 2) AS rss FROM c JOIN a USING (mode, annotator) JOIN b USING (mode, block) JOIN g USING (mode) GROUP BY 1),
+x AS (SELECT mode, 'annotator' AS term, count(*) - 1 AS df, sum(a.n * (a.m - g.m) ** 2) AS ss FROM a JOIN g USING (mode) GROUP BY 1 UNION ALL SELECT mode, 'block', count(*) - 1, sum(b.n * (b.m - g.m) ** 2) FROM b JOIN g USING (mode) GROUP BY 1),
+d AS (SELECT mode, sum(df) AS dm FROM x GROUP BY 1)
+SELECT mode, term, df, round(ss, 6) AS ss, round((ss / df) / (rss / (g.n - 1 - dm)), 4) AS f, round(ss / (ss + rss), 6) AS eta2 FROM x JOIN s USING (mode) JOIN g USING (mode) JOIN d USING (mode)""")
+def anova_blocked(f):
+    """Annotator and block (chemistry, cell) effects; the design is balanced, so SQL can check it."""
+    out = stats.anova_blocked(f.withColumn("block", F.concat("chem", "cell")), ["mode"], "annotator", "block", "f1")
+    return out.select("mode", "term", "df", F.round("ss", 6).alias("ss"), F.round("f", 4).alias("f"), F.round("eta2", 6).alias("eta2"))
+
+
+@query("v_f1", "SELECT s.chem, s.annotator, s.cell, round(s.f1, 6) AS f1_f, round(e.f1, 6) AS f1_o FROM v_f1 s JOIN v_f1 e USING (chem, cell, annotator) WHERE s.mode = 'F' AND e.mode = 'O'")
+def score_join(f):
+    a, b = (f.where(F.col("mode") == m).select("chem", "cell", "annotator", F.round("f1", 6).alias(n)) for m, n in (("F", "f1_f"), ("O", "f1_o")))
+    return a.join(b, ["chem", "cell", "annotator"])
+
+
+@query("v_f1", "SELECT annotator, round(avg(f1) FILTER (mode = 'F'), 6) AS x, round(avg(f1) FILTER (mode = 'O'), 6) AS y FROM v_f1 GROUP BY 1")
+def tradeoff_centroids(f):
+    wide = f.groupBy("annotator", "chem", "cell").pivot("mode", ["F", "O"]).avg("f1")
+    return wide.groupBy("annotator").agg(F.round(F.avg("F"), 6).alias("x"), F.round(F.avg("O"), 6).alias("y"))
+
+
+@query("v_f1", """WITH d AS (SELECT a.chem, a.annotator AS a, b.annotator AS b, avg(a.f1 - b.f1) AS d FROM v_f1 a JOIN v_f1 b USING (mode, chem, cell) WHERE a.annotator < b.annotator GROUP BY 1, 2, 3)
+SELECT chem, b AS first, a AS second, round(-d, 6) AS delta, round(greatest(0.10, max(abs(d)) OVER ()), 6) AS colour_limit FROM d""")
+def pairwise_delta(f):
+    """Mean differences turned to (later, earlier) and the symmetric limit of their colour scale."""
+    p = stats.paired(f, ["chem"], ["mode", "cell"], "annotator", "f1")
+    limit = p.agg(F.round(F.greatest(F.lit(0.10), F.max(F.abs("mean_diff"))), 6).alias("colour_limit"))
+    return p.select("chem", F.col("b").alias("first"), F.col("a").alias("second"), F.round(-F.col("mean_diff"), 6).alias("delta")).join(F.broadcast(limit))
+
+
+@query("v_f1", "SELECT annotator, count(f1) AS n, round(avg(f1), 6) AS mean, round(stddev_samp(f1), 6) AS sd FROM v_f1 GROUP BY 1")
+def forest_interval(f):
+    m = stats.mean_interval(f, ["annotator"], "f1")
+    return m.where("low < mean and mean < high").select("annotator", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+# texts
+
+
+@query("v_class", """SELECT isoform, trim(split_part(isoform, '_', 1))::BIGINT AS id, associated_gene AS gene, regexp_replace(associated_transcript, '\\.\\d+$', '') AS base,
+CASE WHEN isoform LIKE '%1' THEN 'FLAIR' ELSE 'unknown' END AS tool, concat('sample_', isoform, '_x') AS stem FROM v_class""")
+def attr_parse(rows):
+    """Attributes of GFF3 and GTF texts, names from paths, ids without version."""
+    gff = F.concat(F.lit("ID="), F.regexp_extract("isoform", r"^(\d+)", 1), F.lit(" ;x;note=a=b;gene="), F.col("associated_gene"), F.lit(";"))
+    gtf = F.concat(F.lit('gene_id "'), F.col("associated_gene"), F.lit('"; transcript_id "'), F.col("associated_transcript"), F.lit('";'))
+    path = F.concat(F.lit("/data/"), F.when(F.col("isoform").endswith("1"), "Flair_run").otherwise("other"), F.lit("/sample "), F.col("isoform"), F.lit(" x.gff3.gz"))
+    r = rows.select("isoform", S.gff3_attributes(gff).alias("a"), gtf.alias("gtf"), path.alias("path"))
+    return r.select("isoform", F.col("a")["ID"].cast("long").alias("id"), S.gtf_attribute("gtf", "gene_id").alias("gene"), S.strip_version(S.gtf_attribute("gtf", "transcript_id")).alias("base"), S.annotator_of("path").alias("tool"), S.file_stem("path").alias("stem"))
+
+
+@query("v_class", "SELECT isoform, CAST(floor(length) AS BIGINT) AS whole, length AS exact, CAST(CASE WHEN polya_dist > 0 THEN polya_dist ELSE -1 END AS BIGINT) AS missing, CAST(polya_dist AS VARCHAR) AS text FROM v_class")
+def tolerant_parse(rows):
+    """Numbers with separators and blanks, words for missing values, and numbers as text."""
+    spaced = F.concat(F.lit(" "), F.format_number(F.floor("length"), 0), F.lit(" "))
+    missing = F.when(F.col("polya_dist") > 0, F.col("polya_dist").cast("string")).when(F.col("polya_dist") == 0, "nan").otherwise("none")
+    return rows.select("isoform", S.tolerant_int(spaced).alias("whole"), S.tolerant_double(F.col("length").cast("string")).alias("exact"), F.coalesce(S.tolerant_int(missing), F.lit(-1)).alias("missing"), S.number_text(F.col("polya_dist").cast("double")).alias("text"))
+
+
+@query("v_exons", f"WITH {_TX_SQL} SELECT tid, len(exons)::BIGINT AS n, array_to_string(list_transform(exons, lambda x: concat(x.s, '-', x.e)), ';') AS text, len(introns)::BIGINT AS n_introns FROM t")
+def exon_comp_parse(exons):
+    t = _tx(exons).withColumn("text", S.exons_text("exons")).withColumn("back", S.exons_from_text(F.concat(F.lit("junk; "), F.col("text"), F.lit(" ;"))))
+    return t.select("tid", F.size("back").cast("long").alias("n"), S.exons_text("back").alias("text"), F.size(S.introns_of("back")).cast("long").alias("n_introns"))
+
+
+@query("v_exons v_sites", "SELECT contig, strand, s AS pos, 'exon' AS source FROM v_exons UNION ALL SELECT contig, strand, start, 'site' FROM v_sites")
+def union_sources(exons, sites):
+    return exons.select("contig", "strand", F.col("s").alias("pos"), F.lit("exon").alias("source")).unionByName(sites.select("contig", "strand", F.col("start").alias("pos"), F.lit("site").alias("source")))
+
+
+@query("v_exons", f"""WITH {_TX_SQL} SELECT contig, strand, tss AS pos, min(tid) AS tid FROM t GROUP BY 1, 2, 3""")
+def point_gtf(exons):
+    """Start points of transcripts, each position once."""
+    from isospark.sources.text import point_gtf as points
+
+    g = _tx(exons).select("contig", F.lit("transcript").alias("feature"), "start", "end", "strand", F.lpad(F.col("tid").cast("string"), 12, "0").alias("info"), F.lit("f").alias("path"))
+    return points(g).select("contig", "strand", "pos", F.substring("info", 1, 12).cast("long").alias("tid"))
+
+
+@query("v_exons", f"""WITH {_TX_SQL}, c AS (SELECT *, tid // 40 AS cl FROM t) SELECT cl, min("start") AS "start", max("end") AS "end", string_agg(DISTINCT tid::VARCHAR, ';' ORDER BY tid::VARCHAR) AS ids, max((tid % 3)::VARCHAR) FILTER (true) AS top FROM c GROUP BY 1""".replace("max((tid % 3)::VARCHAR) FILTER (true) AS top", "CASE WHEN bool_or(tid % 3 = 1) THEN '1' WHEN bool_or(tid % 3 = 2) THEN '2' ELSE '0' END AS top"))
+def cluster_presence(exons):
+    t = _tx(exons).withColumns({"cl": F.floor(F.col("tid") / 40), "top": (F.col("tid") % 3).cast("string")})
+    return summaries.merge_clusters(t, ["cl"], "start", "end", "tid", ["top"])
+
+
+@query("v_exons", f"WITH {_TX_SQL}, {_PAIR_SQL}, f AS (SELECT *, tid_of % 3 AS file FROM (SELECT *, pid - 1000000 AS tid_of FROM b) WHERE pid NOT IN (SELECT pid FROM m)) SELECT contig, strand, count(*) AS n, " + ", ".join(f"count(*) FILTER (file = {k}) AS f{k}_count, coalesce(sum(score) FILTER (file = {k}), 0)::BIGINT AS f{k}_reads" for k in range(3)) + " FROM f GROUP BY 1, 2")
+def eval_fp_matrix(exons):
+    """False positives per file: counts and reads, one pair of columns per file."""
+    tx, pred, pairs = _pairs(exons)
+    wrong = match.evaluate(tx, pred, pairs, "tid", "pid")[1].withColumn("file", F.concat(F.lit("f"), ((F.col("pid") - 1_000_000) % 3).cast("string")))
+    wide = wrong.groupBy("contig", "strand").pivot("file", ["f0", "f1", "f2"]).agg(F.count(F.lit(1)).alias("count"), F.sum("score").alias("reads"))
+    return wide.na.fill(0).withColumn("n", F.col("f0_count") + F.col("f1_count") + F.col("f2_count"))
+
+
+# reads
+
+_MINUS = "(l3 NOT IN ('missing', 'no softclip') OR r5 NOT IN ('missing', 'no softclip'))"
+_PLUS = "(r3 NOT IN ('missing', 'no softclip') OR l5 NOT IN ('missing', 'no softclip'))"
+_FLAGGED = f"f AS (SELECT *, CASE WHEN {_MINUS} AND NOT {_PLUS} THEN 16 WHEN {_PLUS} AND NOT {_MINUS} THEN 0 ELSE flag + 512 END AS new_flag FROM v_status WHERE flag & 4 = 0)"
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    from isospark.operators import ends
+
+    r = rows.withColumns({k: F.struct(F.col(k).alias("status")) for k in ("l3", "r3", "l5", "r5")})
+    return ends.assign_strand(ends.mapped(r))
+
+
+@query("v_status", f"WITH {_FLAGGED} SELECT new_flag AS flag, CASE WHEN new_flag > 511 THEN 0 ELSE 9 END AS mapq, count(*) AS n FROM f GROUP BY 1, 2")
+def strand_assign(rows):
+    return _flagged(rows).groupBy("flag", "mapq").agg(F.count("*").alias("n"))
+
+
+@query("v_status", f"WITH {_FLAGGED} SELECT read, k, pos, new_flag AS flag FROM f WHERE new_flag & 512 = 0")
+def stranded_split(rows):
+    from isospark.operators import ends
+
+    return ends.stranded(_flagged(rows)).select("read", "k", "pos", "flag")
+
+
+@query("v_status", """WITH e AS (SELECT unnest([struct_pack(kind := 'l3', s := l3), struct_pack(kind := 'r3', s := r3), struct_pack(kind := 'l5', s := l5), struct_pack(kind := 'r5', s := r5)]) AS e, pos FROM v_status)
+SELECT e.kind AS kind, e.s AS status, pos, count(*) AS cnt FROM e WHERE e.s IN ('correct', 'potential template switching') GROUP BY ALL""")
+def end_counts(rows):
+    from isospark.operators import ends
+
+    r = rows.withColumns({k: F.struct(F.col(k).alias("status")) for k in ("l3", "r3", "l5", "r5")}).withColumns({"contig": F.lit("c"), "start": F.col("pos"), "end": F.col("pos")})
+    return ends.end_counts(r).select("kind", "status", "pos", "cnt")
+
+
+_WIN = "i AS (SELECT contig, seq, 10 + 40 * k AS l, 31 + 40 * k AS r FROM v_seq, unnest(range(CAST(greatest((length(seq) - 40) // 40, 0) AS BIGINT))) AS u(k)), w AS (SELECT contig, l, r, substr(seq, l - 2, 6) AS a, substr(seq, r - 3, 6) AS b FROM i)"
+
+
+def _spaced_introns(seqs: DataFrame) -> DataFrame:
+    """Introns of 20 bases, one every 40 bases of each sequence."""
+    n = F.greatest(F.floor((F.length("seq") - 40) / 40), F.lit(0))
+    k = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>")))
+    return seqs.select("contig", k.alias("k")).select("contig", (10 + 40 * F.col("k")).alias("left"), (31 + 40 * F.col("k")).alias("right"))
+
+
+@query("v_seq", f"""WITH {_WIN}, c AS (SELECT contig, l, lower(substr(a, 4, 2)) || '/' || lower(substr(b, 2, 2)) AS p FROM w)
+SELECT contig, l AS "left", CASE p WHEN 'gt/ag' THEN 'GT/AG' WHEN 'gc/ag' THEN 'GC/AG' WHEN 'at/ac' THEN 'AT/AC' WHEN 'ct/ac' THEN 'GT/AG' WHEN 'ct/gc' THEN 'GC/AG' WHEN 'gt/at' THEN 'AT/AC' END AS consensus,
+CASE WHEN p IN ('gt/ag', 'gc/ag', 'at/ac') THEN '+' WHEN p IN ('ct/ac', 'ct/gc', 'gt/at') THEN '-' ELSE '.' END AS strand FROM c""")
+def intron_consensus(seqs):
+    from isospark.operators import introns
+
+    return introns.with_splice_sites(_spaced_introns(seqs), seqs).select("contig", "left", "consensus", "strand")
+
+
+@query("v_seq", f"""WITH {_WIN}, m AS (SELECT contig, l, list_transform(range(1, 7), lambda i: CASE WHEN substr(a, i, 1) = substr(b, i, 1) THEN 2.0 ELSE -3.0 END) AS h FROM w)
+SELECT contig, l AS "left", CAST(greatest(0, h[4], h[4] + h[5], h[4] + h[5] + h[6]) + greatest(0, h[3], h[3] + h[2], h[3] + h[2] + h[1]) AS DOUBLE) AS ts_score FROM m""")
+def template_switch_score(seqs):
+    from isospark.operators import introns
+
+    return introns.with_splice_sites(_spaced_introns(seqs), seqs).select("contig", "left", "ts_score")
+
+
+@query("v_seq")
+def end_labels(seqs):
+    """Documents as reads with clipped ends: adapter placement on both ends."""
+    from isospark.model import Params
+    from isospark.operators import ends
+
+    cigar = F.concat(F.lit("35S"), F.greatest(F.length("seq") - 70, F.lit(1)).cast("string"), F.lit("M35S"))
+    reads = seqs.where(F.length("seq") > 71).select("contig", F.lit(0).alias("flag"), cigar.alias("cigar"), "seq")
+    out = ends.label_ends(reads, Params(three_score=12.0, five_score=12.0))
+    return out.select("contig", *[F.col(f"{k}.{x}").alias(f"{k}_{x}") for k in ("l3", "l5", "r3", "r5") for x in ("score", "e", "status")])
+
+
+@query("v_exons", f"WITH {_TX_SQL} SELECT contig, g.s - 1 AS \"left\", g.e + 1 AS \"right\", count(*) AS cnt FROM (SELECT contig, unnest(introns) AS g FROM t WHERE len(introns) = len(exons) - 1) GROUP BY ALL")
+def cigar_introns(exons):
+    """Introns counted from alignment strings that are made from exons; a plain fold finds all of them."""
+    from isospark.operators import ends
+
+    t = _tx(exons).where(F.size("introns") == F.size("exons") - 1)
+    m = F.transform("exons", lambda x: F.concat((x["e"] - x["s"] + 1).cast("string"), F.lit("M")))
+    n = F.transform("introns", lambda x: F.concat((x["e"] - x["s"] + 1).cast("string"), F.lit("N")))
+    parts = F.flatten(F.zip_with(m, n, lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))
+    good = F.struct(F.lit("correct").alias("status"))
+    reads = t.select("contig", "start", F.lit(0).alias("flag"), F.array_join(parts, "").alias("cigar"), *[good.alias(k) for k in ("l3", "l5", "r3", "r5")])
+    found = ends.find_introns(reads.withColumn("ops", ends.parse_cigar("cigar")))
+    return ends.intron_counts(found).select("contig", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "cnt")
