@@ -46,7 +46,7 @@ def contig_name(contig, mode: str = "keep") -> Column:
 
 def gff3_attributes(info) -> Column:
     """``k=v;k=v`` as a map; pieces without ``=`` are dropped, of repeated keys the last stays."""
-    pairs = F.filter(F.transform(F.split(_c(info), ";"), F.trim), lambda p: p.contains("="))
+    pairs = F.filter(F.transform(F.split(_c(info), ";"), lambda p: F.trim(p)), lambda p: p.contains("="))
     keys = F.transform(pairs, lambda p: F.trim(F.substring_index(p, "=", 1)))
     return F.map_from_entries(
         F.filter(
@@ -64,8 +64,8 @@ def gff3_attributes(info) -> Column:
 
 def gtf_attribute(info, key: str) -> Column:
     """The value of ``key "value"``; null if it is not there."""
-    v = F.regexp_extract(_c(info), rf'(?:^|;)\s*{re.escape(key)}\s+"([^"]*)"', 1)
-    return F.when(_c(info).rlike(rf'(?:^|;)\s*{re.escape(key)}\s+"'), v)
+    v = F.regexp_extract(_c(info), rf'(?:^|[;\t])\s*{re.escape(key)}\s+"([^"]*)"', 1)
+    return F.when(_c(info).rlike(rf'(?:^|[;\t])\s*{re.escape(key)}\s+"'), v)
 
 
 def strip_version(name) -> Column:

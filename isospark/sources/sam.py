@@ -22,7 +22,7 @@ def read_sam(spark: SparkSession, path) -> DataFrame:
     """
     c = F.split("value", "\t")
     lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(c.alias("c")).where(F.size("c") >= 11)
-    r = lines.select(*[F.col("c")[i].alias(n) for i, n in enumerate(_COLUMNS)], F.slice("c", 12, 10_000).alias("t"))
+    r = lines.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(_COLUMNS)], F.slice("c", 12, 10_000).alias("t"))
     tags = F.map_from_entries(F.transform("t", lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 30))))
     r = r.withColumns({"flag": F.col("flag").cast("int"), "start": F.col("start").cast("int"), "mapq": F.col("mapq").cast("int"), "tags": tags})
     r = r.withColumn("end", F.col("start") + aligned_length(parse_cigar("cigar")) - 1)

@@ -22,7 +22,7 @@ def read_gff(spark: SparkSession, path, exact: bool = False, **options) -> DataF
     c = F.split("value", "\t")
     n = F.size("c")
     rows = read_lines(spark, path, **options).withColumn("c", c).where(n == 9 if exact else n >= 9)
-    g = rows.select(*[F.col("c")[i].alias(name) for i, name in enumerate(["contig", "source", "feature", "a", "b", "score", "strand", "frame", "info"])], "path")
+    g = rows.select(*[F.get("c", F.lit(i)).alias(name) for i, name in enumerate(["contig", "source", "feature", "a", "b", "score", "strand", "frame", "info"])], "path")
     g = g.withColumns({"a": F.col("a").try_cast("int"), "b": F.col("b").try_cast("int"), "score": F.col("score").try_cast("double")}).where("a is not null and b is not null")
     return g.select("contig", "source", "feature", F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), "score", "strand", "frame", "info", "path")
 
@@ -94,7 +94,7 @@ def bed_points(bed: DataFrame, window: int, coords: str = "as_is") -> DataFrame:
 def read_bed(spark: SparkSession, path, chr_mode: str = "keep") -> DataFrame:
     c = F.split(F.trim("value"), r"\s+")
     rows = read_lines(spark, path).withColumn("c", c).where(F.size("c") >= 6)
-    rows = rows.select(S.contig_name(F.col("c")[0], chr_mode).alias("contig"), F.col("c")[1].try_cast("int").alias("start0"), F.col("c")[2].try_cast("int").alias("end"), F.col("c")[3].alias("name"), F.col("c")[4].alias("score"), F.col("c")[5].alias("strand"))
+    rows = rows.select(S.contig_name(F.get("c", F.lit(0)), chr_mode).alias("contig"), F.get("c", F.lit(1)).try_cast("int").alias("start0"), F.get("c", F.lit(2)).try_cast("int").alias("end"), F.get("c", F.lit(3)).alias("name"), F.get("c", F.lit(4)).alias("score"), F.get("c", F.lit(5)).alias("strand"))
     return rows.where("start0 is not null and end is not null and strand in ('+', '-')")
 
 
@@ -108,7 +108,7 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
 def read_depth(spark: SparkSession, path, contigs: DataFrame | None = None) -> DataFrame:
     """Depth rows with integer columns; others are dropped.  With ``contigs(contig)``, only theirs."""
     c = F.split("value", "\t")
-    d = read_lines(spark, path).select(c[0].alias("contig"), F.try_element_at(c, F.lit(2)).try_cast("int").alias("pos"), F.try_element_at(c, F.lit(3)).try_cast("int").alias("depth"))
+    d = read_lines(spark, path).select(F.get(c, F.lit(0)).alias("contig"), F.get(c, F.lit(1)).try_cast("int").alias("pos"), F.get(c, F.lit(2)).try_cast("int").alias("depth"))
     d = d.where("pos is not null and depth is not null")
     assert DEPTH
     return d if contigs is None else d.join(contigs.select("contig").distinct(), "contig", "left_semi")
@@ -118,7 +118,7 @@ def read_manifest(spark: SparkSession, path, columns: list[str]) -> DataFrame:
     """Rows of a white-space separated manifest; a first line that repeats the column names is its header."""
     c = F.split(F.trim("value"), r"\s+")
     rows = read_lines(spark, path).withColumn("c", c).where(F.size("c") >= len(columns))
-    rows = rows.select(*[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
+    rows = rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(columns)])
     return rows.where(F.lower(F.col(columns[0])) != columns[0].lower())
 
 
