@@ -81,12 +81,39 @@ def loss_and_gradient(y: np.ndarray, start: np.ndarray, idx: np.ndarray, val: np
     return float(-np.log(p).sum()), g, gt
 
 
+#: Texts whose features are held at once.
+_SLICE = 256
+
+
 def _feature_rows(batches):
-    for batch in batches:
-        rows = [features(b) for b in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["grade", "idx", "val"]
-        )
+    for whole in batches:
+        for at in range(0, whole.num_rows, _SLICE):
+            batch = whole.slice(at, _SLICE)
+            rows = [features(b) for b in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield _sparse_batch(batch.column(0), np.cumsum([0, *(len(r[0]) for r in rows)]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+
+
+def _sparse_batch(grade: pa.Array, start: np.ndarray, idx: np.ndarray, val: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(start, pa.int32())
+    return pa.RecordBatch.from_arrays([grade, pa.ListArray.from_arrays(offsets, pa.array(idx, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(val, pa.float64()))], names=["grade", "idx", "val"])
+
+
+def _parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row bounds, buckets and values of a batch of sparse rows."""
+    lists = batch.column(1)
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+
+
+def _narrowed(state):
+    """Rows reduced to the buckets in use, by their places."""
+
+    def run(batches):
+        for batch in batches:
+            start, idx, val = _parts(batch)
+            at, known = _placed(state.value, idx)
+            yield _sparse_batch(batch.column(0), np.r_[0, np.cumsum(known)][start], at[known], val[known])
+
+    return run
 
 
 def _placed(buckets: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +126,10 @@ def _placed(buckets: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _gradient(state):
     def run(batches):
-        buckets, w, theta = state.value
+        w, theta = state.value
         total = None
         for batch in batches:
-            y = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            at, known = _placed(buckets, lists.flatten().to_numpy())
-            keep = np.r_[0, np.cumsum(known)]
-            got = loss_and_gradient(y, keep[start], at[known], batch.column(2).flatten().to_numpy()[known], w, theta)
+            got = loss_and_gradient(batch.column(0).to_numpy(), *_parts(batch), w, theta)
             total = got if total is None else tuple(a + b for a, b in zip(total, got))
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1].tobytes()], pa.binary()), pa.array([total[2].tobytes()], pa.binary())], names=["loss", "g", "gt"])
@@ -146,15 +168,17 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     )
     # Broadcast: ``limit`` bounds the side.
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(rated), id_col).select("grade", "text")
-    rows = cut(rows.repartition(FIT_PARTITIONS).mapInArrow(_feature_rows, "grade int, idx array<long>, val array<double>"))
-    common = _screened(rows, min_rows, min_score)
+    sparse = "grade int, idx array<long>, val array<double>"
+    wide = cut(rows.repartition(FIT_PARTITIONS).mapInArrow(_feature_rows, sparse))
+    common = _screened(wide, min_rows, min_score)
+    rows = cut(wide.mapInArrow(_narrowed(spark.sparkContext.broadcast(common)), sparse))
     n, k = max(rows.count(), 1), grades - 1
 
     def objective(v: np.ndarray):
         # Thresholds are the first one and positive gaps, so they stay in order.
         w, gaps = v[: len(common)], np.exp(v[len(common) + 1 :])
         theta = v[len(common)] + np.r_[0.0, np.cumsum(gaps)]
-        state = spark.sparkContext.broadcast((common, w, theta))
+        state = spark.sparkContext.broadcast((w, theta))
         parts = rows.mapInArrow(_gradient(state), "loss double, g binary, gt binary").collect()
         state.destroy()
         loss = sum(p.loss for p in parts)
