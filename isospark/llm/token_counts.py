@@ -11,7 +11,7 @@ its pre-tokens have together.  (Special strings hold no white space, and stay wh
    pre-token of the bucket is encoded there once, and its count weighs the frequencies.
 3. The buckets' partial sums of a batch meet again and are added per document.
 
-No id list is ever stored or shuffled.  Buckets number as many as shuffle partitions, so a
+No id list is ever stored or shuffled.  Buckets are a few for each shuffle partition, so a
 task's vocabulary shrinks as the cluster grows; a pre-token in every document is one entry
 per batch, whatever its frequency.
 """
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 PACKED = "bucket int, part int, seq int, tokens binary, rows binary, docs binary, freqs binary"
 #: Documents of a batch that are packed together at most, and bytes of their text.
-BATCH_DOCS, BATCH_BYTES = 16_384, 24 << 20
+BATCH_DOCS, BATCH_BYTES = 16_384, 12 << 20
+#: Buckets for each shuffle partition, so that hashing spreads them evenly, and bytes of sums that a task holds.
+BUCKETS_EACH, SUM_BYTES = 4, 16 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -123,32 +125,53 @@ def _pack(buckets: int):
 def _weigh(path: str):
     """Partial sums of each packed row, every distinct pre-token of the task encoded once."""
 
+    names = ("part", "seq", "valid", "ids", "lengths", "sums")
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
     def run(batches):
         known: dict[bytes, int] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}  # of the buckets seen so far, by batch of documents
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
+            heads: list[tuple] = []
             for bucket, part, seq, tokens, rows, docs, freqs in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket < 0:
-                    out.append((part, seq, rows, docs, freqs, None))
+                    heads.append((part, seq, rows, docs, freqs, None))
                     continue
-                names = tokens.split(b" ")
-                new = [x for x in names if x not in known]
+                words = tokens.split(b" ")
+                new = [x for x in words if x not in known]
                 known.update(zip(new, pieces(path, new)))
-                n = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+                n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 d = np.frombuffer(docs, np.uint16)
                 f = np.frombuffer(freqs, np.uint8, len(d)).astype(np.int64)
                 f[f == 255] = np.frombuffer(freqs, np.int64, offset=len(d))
                 n = np.repeat(n, np.frombuffer(rows, np.uint16))
-                out.append((part, seq, None, None, None, np.bincount(d, weights=n * f).astype(np.int64).tobytes()))
-            names = ("part", "seq", "valid", "ids", "lengths", "sums")
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=list(names))
+                total = np.bincount(d, weights=n * f).astype(np.int64)
+                held = sums.get((part, seq))
+                if held is not None:
+                    if len(held) < len(total):
+                        held, total = total, held
+                    held[: len(total)] += total
+                    total = held
+                else:
+                    size += total.nbytes
+                sums[part, seq] = total
+                if size > SUM_BYTES:
+                    yield made([(*k, None, None, None, v.tobytes()) for k, v in sums.items()])
+                    sums, size = {}, 0
+            if heads:
+                yield made(heads)
+        if sums:
+            yield made([(*k, None, None, None, v.tobytes()) for k, v in sums.items()])
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
-    """Adds the buckets' sums of one batch: at most one row per bucket, and one with the ids."""
+    """Adds the partial sums of one batch: at most one row per bucket, and one with the ids."""
     rows = table.to_pylist()
     head = next(r for r in rows if r["ids"] is not None)
     total = np.zeros(len(head["ids"]) // 8, np.int64)
@@ -168,9 +191,10 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     keep a row each; further columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or BUCKETS_EACH * partitions
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack(n), PACKED)
     home = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    sums = packed.repartition(n, home).mapInArrow(_weigh(vocabulary), "part int, seq int, valid binary, ids binary, lengths binary, sums binary")
+    sums = packed.repartition(partitions, home).mapInArrow(_weigh(vocabulary), "part int, seq int, valid binary, ids binary, lengths binary, sums binary")
     added = sums.groupBy("part", "seq").applyInArrow(_add, "id long, n_bytes long, n_tokens long")
     return added.withColumnRenamed("id", id_col)
