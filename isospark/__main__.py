@@ -1,4 +1,4 @@
-"""Command line: python -m isospark annotate ALIGNMENTS GENOME OUT [--preset NAME] [--option value ...]"""
+"""Command line: python -m isospark COMMAND ...; every command reads files and writes a folder."""
 
 from __future__ import annotations
 
@@ -21,20 +21,38 @@ def parser() -> argparse.ArgumentParser:
             a.add_argument(f"--{f.name}", action=argparse.BooleanOptionalAction, default=None)
         else:
             a.add_argument(f"--{f.name}", type=kind, default=None)
+    m = sub.add_parser("merge", help="transcripts of several GFF files, merged")
+    m.add_argument("out")
+    m.add_argument("files", nargs="+")
+    m.add_argument("--window", type=int, default=0)
+    s = sub.add_parser("sum", help="sites of several GFF files, clustered")
+    s.add_argument("out")
+    s.add_argument("files", nargs="+")
+    s.add_argument("--kind", choices=("TSS", "TES"), default="TSS")
+    s.add_argument("--wobble", type=int, default=10)
+    e = sub.add_parser("evaluate", help="GFF predictions against a transcript table")
+    e.add_argument("out")
+    e.add_argument("reference")
+    e.add_argument("files", nargs="+")
+    e.add_argument("--windows", type=int, nargs=3, default=(10, 10, 10), metavar=("START", "END", "INTRONS"))
     return p
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None, spark=None) -> None:
     args = vars(parser().parse_args(argv))
-    params = preset(args["preset"], **{f.name: args[f.name] for f in dataclasses.fields(Params) if args[f.name] is not None})
-    from pyspark.sql import SparkSession
+    if spark is None:
+        from pyspark.sql import SparkSession
 
-    from isospark.plans.suites import run_annotation
-
-    spark = SparkSession.builder.appName("isospark").getOrCreate()
-    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark = SparkSession.builder.appName("isospark").getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{args['out']}/_checkpoints")
-    run_annotation(spark, args["alignments"], args["genome"], args["out"], params)
+    from isospark.plans import suites
+
+    if args["command"] == "annotate":
+        params = preset(args["preset"], **{f.name: args[f.name] for f in dataclasses.fields(Params) if args[f.name] is not None})
+        suites.run_annotation(spark, args["alignments"], args["genome"], args["out"], params)
+        return
+    suites.run_files(spark, **args)
 
 
 if __name__ == "__main__":

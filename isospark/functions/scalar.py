@@ -284,3 +284,30 @@ def _log_factorial(n) -> Column:
     series = x * F.log(x) - x + 0.5 * F.log(2 * F.pi() * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
     small = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(20))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
     return F.when(n <= 20, small).otherwise(series)
+
+
+def support_count(score, exon_scores, mode: str = "max") -> Column:
+    """A transcript's support: its score, else its exons' by ``mode`` (max, mean, sum, first), else 1."""
+    known = F.filter(_c(exon_scores), lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+    chosen = {"max": F.array_max(known), "mean": F.try_divide(total, F.size(known)), "sum": F.when(F.size(known) > 0, total), "first": F.get(known, F.lit(0))}[mode]
+    return F.coalesce(_c(score), chosen, F.lit(1.0))
+
+
+def inner_signature(exons) -> Column:
+    """Ends of the exons but for the outer two, empty for a single exon: what transcripts that differ at
+    their ends alone share."""
+    return F.when(F.size(_c(exons)) > 1, inner_boundaries(exons)).otherwise(F.array().cast("array<long>"))
+
+
+def default_tag(path) -> Column:
+    """TSS or TES by a file's name; null for neither."""
+    n = F.upper(F.substring_index(_c(path), "/", -1))
+    return F.when(n.contains("TSS"), "TSS").when(n.contains("TES"), "TES")
+
+
+def run_names(path) -> Column:
+    """(cell line, chemistry, annotator) of a file name such as ``cell_chemistry_annotator.txt``; null for other names."""
+    n = F.regexp_replace(F.substring_index(_c(path), "/", -1), r"\.[A-Za-z]+$", "")
+    part = lambda k: F.nullif(F.regexp_extract(n, r"^([^_]+)_([^_]+)_([^_]+)$", k), F.lit(""))
+    return F.struct(part(1).alias("cell_line"), part(2).alias("chemistry"), part(3).alias("annotator"))

@@ -162,3 +162,35 @@ def report(classification: DataFrame, by: list[str]) -> dict[str, DataFrame]:
         "isoforms_per_gene": summaries.isoforms_per_gene(rows.where(S.valid_id("associated_gene")), by, "associated_gene", "isoform"),
         "shares": summaries.fractions(rows, by, "category", F.countDistinct("isoform")),
     }
+
+
+def run_files(spark: SparkSession, command: str, out: str, files: list[str], window: int = 0, kind: str = "TSS", wobble: int = 10, reference: str = "", windows=(10, 10, 10)) -> None:
+    """The file commands: merge, sum and evaluate.  A file's name stands for its sample."""
+    gff = text.read_gff(spark, files).withColumn("sample", S.file_stem("path"))
+    names = sorted({stem_of(f) for f in files})
+    if command == "sum":
+        rows = gff.select("contig", "strand", "start", F.coalesce("score", F.lit(1.0)).alias("score"), F.col("sample").alias("method"))
+        text.write_tsv(sum_sites(rows, kind, names, wobble), out, ["contig", "strand", "start"])
+        return
+    tx = None
+    for f in files:
+        one = text.transcripts_of_gff(text.read_gff(spark, f)).withColumn("sample", F.lit(stem_of(f)))
+        tx = one if tx is None else tx.unionByName(one)
+    tx = tx.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long"), "exons": F.col("exons").cast("array<struct<s:long,e:long>>")})
+    if command == "merge":
+        text.write_tsv(merge_samples(tx, names, window), out, ["id"])
+        return
+    ref = text.read_transcript_table(spark, reference, "reference").withColumn("rid", F.col("idx").cast("string"))
+    done = evaluate_files(ref, tx.withColumnsRenamed({"sample": "file", "id": "pid"}), tuple(windows))
+    text.write_tsv(done["stats"], f"{out}/stats", ["file"])
+    text.write_tsv(done["matches"].select("file", "rid", "pid"), f"{out}/matches", ["file", "rid", "pid"])
+    text.write_tsv(done["false_positives"].select("seed", "file", "pid", "contig", "strand", "tss", "tes"), f"{out}/false_positives", ["contig", "strand", "tss"])
+    text.write_tsv(done["not_found"].select("rid", "contig", "strand", "start", "end", S.exons_text("exons").alias("exons")), f"{out}/reference_not_found", ["contig", "start"])
+
+
+def stem_of(path: str) -> str:
+    """``scalar.file_stem`` for a path on the driver."""
+    import re
+
+    name = re.sub(r"(?i)\.gz$", "", path.rsplit("/", 1)[-1])
+    return re.sub(r"[^A-Za-z0-9_.-]+", "_", re.sub(r"\.[^.]+$", "", name))

@@ -136,3 +136,59 @@ def find_tables(spark: SparkSession, path: str, required: list[str], pattern: st
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).where("length > 0").select("path")
     names = [r.path for r in files.collect()]  # a listing of files, not their rows
     return sorted(p for p in names if set(required) <= {c.strip() for c in (spark.read.text(p).first() or [""])[0].replace(",", "\t").lstrip("﻿").split("\t")})
+
+
+def read_transcript_table(spark: SparkSession, path, source: str) -> DataFrame:
+    """``(idx, source, contig, strand, start, end, exons, reads)`` of a transcript TSV with the usual names.
+
+    Rows whose bounds are no numbers are dropped, bounds in the wrong order swapped; without an exon
+    text the whole transcript is one exon; further columns that end in ``_present`` are kept as
+    ``<source>__<column>``, empty ones as "0".  ``idx`` follows the lines of the file.
+    """
+    from isospark.operators.summaries import resolve_column
+
+    df = read_table(spark, path)
+
+    def column(*aliases: str):
+        try:
+            return F.col(f"`{resolve_column(df, list(aliases))}`")
+        except ValueError:
+            return F.lit(None).cast("string")
+
+    a, b = S.tolerant_int(column("start")), S.tolerant_int(column("end"))
+    flags = [c for c in df.columns if c.endswith("_present")]
+    rows = df.select(
+        F.monotonically_increasing_id().alias("idx"),
+        F.lit(source).alias("source"),
+        column("chromosome", "seqid", "seqnames", "chrom").alias("contig"),
+        S.clean_strand(column("strand")).alias("strand"),
+        F.when(b.isNotNull(), F.least(a, b)).alias("start"),
+        F.when(a.isNotNull(), F.greatest(a, b)).alias("end"),
+        S.exons_from_text(column("exon_composition", "exons")).alias("exons"),
+        F.coalesce(S.tolerant_double(column("reads", "read_count", "count")), F.lit(0.0)).alias("reads"),
+        *[F.coalesce(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")), F.lit("0")).alias(f"{source}__{c}") for c in flags],
+    ).where("start is not null and end is not null")
+    whole = F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
+    return rows.withColumn("exons", F.when(F.size("exons") > 0, F.col("exons")).otherwise(whole))
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """``(contig, strand, start, end, name)`` of a TSV or GFF file, told apart by suffix; rows on either strand only."""
+    if path.lower().rstrip("gz").rstrip(".").endswith((".gff", ".gff3", ".gtf")):
+        g = read_gff(spark, path).withColumn("a", S.gff3_attributes("info"))
+        names = F.coalesce(F.col("a")["ID"], F.col("a")["transcript_id"], F.col("a")["Name"], F.col("a")["gene_id"], F.lit(""))
+        rows = g.select("contig", "strand", "start", "end", names.alias("name"))
+    else:
+        t = read_table(spark, path, {"contig": ["seqnames"], "strand": ["strand"], "start": ["start"], "end": ["end"]})
+        rows = t.select("contig", "strand", S.tolerant_int("start").alias("start"), S.tolerant_int("end").alias("end"), F.lit("").alias("name"))
+    return rows.where(F.col("strand").isin("+", "-"))
+
+
+def existing(spark: SparkSession, prefix: str, suffixes: list[str]) -> str:
+    """The first of ``prefix + suffix`` that is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for s in suffixes:
+        p = hadoop(prefix + s)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return prefix + s
+    raise FileNotFoundError(f"none of {', '.join(prefix + s for s in suffixes)}")

@@ -178,3 +178,35 @@ def test_command_line():
     args = parser().parse_args(["annotate", "a", "g", "o", "--preset", "direct-rna", "--wobble", "12", "--no-drna"])
     assert args.wobble == 12 and args.drna is False and args.ratio is None
     assert preset("direct-rna").check_in_soft == 6 and preset("direct-rna", wobble=3).wobble == 3
+
+
+def test_file_commands(spark, tmp_path):
+    from isospark.__main__ import main
+
+    (tmp_path / "s1.gff3").write_text(GFF)
+    (tmp_path / "s2.gff3").write_text(GFF.replace("10\t90", "11\t90").replace("10\t30", "11\t30"))
+    files = [str(tmp_path / f) for f in ("s1.gff3", "s2.gff3")]
+    (tmp_path / "ref.tsv").write_text("Isoform\tChromosome\tStart\tEnd\tStrand\tExon_composition\tReads\tx_present\nq\tchr1\t90\t10\t+\t10-30;60-90\t1,000\t\nr\tchr1\tx\t5\t+\t\t1\t1\nu\tchr9\t5\t9\t-\t\t\t1\n")
+    ref = text.read_transcript_table(spark, str(tmp_path / "ref.tsv"), "ref").collect()
+    assert [(r.contig, r.start, r.end, r.reads, r.ref__x_present, [tuple(e) for e in r.exons]) for r in ref] == [("chr1", 10, 90, 1000.0, "0", [(10, 30), (60, 90)]), ("chr9", 5, 9, 0.0, "1", [(5, 9)])]
+    main(["merge", str(tmp_path / "merged"), *files, "--window", "5"], spark)
+    merged = text.read_table(spark, str(tmp_path / "merged")).collect()
+    assert [(r.start, r.end, r.s1, r.s2) for r in merged if r.n_exons == "2"] == [("10", "90", "5.0", "5.0")]
+    main(["evaluate", str(tmp_path / "eval"), str(tmp_path / "ref.tsv"), *files], spark)
+    got = text.read_table(spark, str(tmp_path / "eval" / "stats")).collect()
+    assert [(r.file, r.tp, r.fp, r.fn) for r in got] == [("s1", "1", "2", "1"), ("s2", "1", "2", "1")]
+    main(["sum", str(tmp_path / "sum"), *files], spark)
+    assert text.read_table(spark, str(tmp_path / "sum")).count() > 0
+    assert {r.name for r in text.read_positions(spark, files[0]).collect()} == {"t1", "t2", ""}
+    assert text.existing(spark, str(tmp_path / "s"), ["9.gff3", "2.gff3"]).endswith("s2.gff3")
+
+
+def test_small_functions(spark):
+    from isospark.functions import scalar as S
+
+    df = spark.createDataFrame([(None, [1.0, None, 4.0], "/d/K562_ONT_bambu.txt"), (7.0, [], "/d/a.TSS.gtf"), (None, [], "x_tes.gff")], "score double, x array<double>, path string")
+    got = df.select(*[S.support_count("score", "x", m).alias(m) for m in ("max", "mean", "sum", "first")], S.run_names("path").alias("run"), S.default_tag("path").alias("tag")).collect()
+    assert [tuple(r)[:4] for r in got] == [(4.0, 2.5, 5.0, 1.0), (7.0,) * 4, (1.0,) * 4]
+    assert tuple(got[0].run) == ("K562", "ONT", "bambu") and got[1].run.cell_line is None and [r.tag for r in got] == [None, "TSS", "TES"]
+    one = spark.createDataFrame([([(1, 5), (8, 9)],), ([(1, 5)],)], "x array<struct<s:long,e:long>>").select(S.inner_signature("x").alias("i")).collect()
+    assert [r.i for r in one] == [[5, 8], []]
