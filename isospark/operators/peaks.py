@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from isospark.functions.scalar import poisson_tail
 
+#: Positions of a contig that one window partition covers.
+STRETCH = 1 << 20
+
 
 def call_peaks(counts: DataFrame, keys: list[str], pos: str = "pos", count: str = "cnt", window: int = 50, wobble: int = 10, descending: bool = False) -> DataFrame:
     """Adds ``average``, ``is_greatest``, ``is_picked`` and ``poisp`` to ``counts(keys, pos, count)``.
@@ -17,16 +20,28 @@ def call_peaks(counts: DataFrame, keys: list[str], pos: str = "pos", count: str
     ``wobble`` the first is picked, in falling order of position if ``descending``.  ``poisp`` is the
     probability of more than the count under a Poisson law with the average as mean.
     """
-    by = Window.partitionBy(*keys).orderBy(F.col(pos).cast("long"))
+    # Stretches of a contig are worked on apart, with a margin that holds all a position depends on:
+    # the mean looks ``window`` away, a pick at a greatest position ``wobble`` away, and that one as far again.
+    rows = stretches(counts, pos, max(window, 2 * wobble))
+    part = [*keys, "_stretch"]
+    by = Window.partitionBy(*part).orderBy(F.col(pos).cast("long"))
     mean = F.sum(count).over(by.rangeBetween(-window, window)) / F.lit(float(2 * window + 1))
     top = F.max(count).over(by.rangeBetween(-wobble, wobble))
-    rows = counts.withColumns({"average": mean, "is_greatest": F.col(count) == top})
+    rows = rows.withColumns({"average": mean, "is_greatest": F.col(count) == top})
     # Greatest positions alone decide who is first: the nearest greatest one before.
     order = -F.col(pos).cast("long") if descending else F.col(pos).cast("long")
-    before = F.last(F.when(F.col("is_greatest"), order), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(F.col("is_greatest"), order), ignorenulls=True).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_gap", order - before)
     picked = F.col("is_greatest") & (F.col("_gap").isNull() | (F.col("_gap") > wobble))
-    return rows.withColumns({"is_picked": picked, "poisp": poisson_tail(F.col(count), F.col("average"))}).drop("_gap")
+    own = rows.withColumn("is_picked", picked).where("_stretch = _own").drop("_gap", "_stretch", "_own")
+    return own.withColumn("poisp", poisson_tail(F.col(count), F.col("average")))
+
+
+def stretches(rows: DataFrame, pos: str, margin: int, width: int = STRETCH) -> DataFrame:
+    """Each row once for its own stretch (``_own``) and again for a neighbour (``_stretch``) within ``margin``."""
+    bin_of = lambda c: F.floor(c / F.lit(width))
+    near = F.array_distinct(F.array(bin_of(F.col(pos) - margin), bin_of(F.col(pos)), bin_of(F.col(pos) + margin)))
+    return rows.withColumns({"_own": bin_of(F.col(pos)), "_stretch": F.explode(near)})
 
 
 def ratio_of(count, coverage) -> Column:
@@ -61,10 +76,13 @@ def inward_coverage(features: DataFrame, segments: DataFrame, pos: str = "pos",
         return features.withColumn("coverage", F.lit(0.0))
     first = F.col(pos) + distance - sample if left_side else F.col(pos) - distance + 1
     spots = features.select("contig", pos).distinct().withColumn("_p", F.explode(F.sequence(first, first + sample - 1)))
-    # The segment that begins last at or before a spot covers it or nothing does.
-    w = Window.partitionBy("contig").orderBy("_at", "_side")
-    a = segments.select("contig", F.col("seg_start").cast("long").alias("_at"), F.lit(0).alias("_side"), F.struct("seg_end", "depth").alias("_s"), F.lit(None).cast("long").alias("_pos"))
-    b = spots.select("contig", F.col("_p").cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_s"].dataType).alias("_s"), F.col(pos).cast("long").alias("_pos"))
+    # The segment that begins last at or before a spot covers it or nothing does.  A segment is dealt
+    # to every stretch that it reaches.
+    bin_of = lambda c: F.floor(c / F.lit(STRETCH))
+    w = Window.partitionBy("contig", "_b").orderBy("_at", "_side")
+    reach = segments.withColumn("_b", F.explode(F.sequence(bin_of(F.col("seg_start")), bin_of(F.col("seg_end")))))
+    a = reach.select("contig", "_b", F.col("seg_start").cast("long").alias("_at"), F.lit(0).alias("_side"), F.struct("seg_end", "depth").alias("_s"), F.lit(None).cast("long").alias("_pos"))
+    b = spots.select("contig", bin_of(F.col("_p")).alias("_b"), F.col("_p").cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_s"].dataType).alias("_s"), F.col(pos).cast("long").alias("_pos"))
     seen = a.union(b).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_side = 1")
     depth = F.when(F.col("_s.seg_end") >= F.col("_at"), F.col("_s.depth")).otherwise(0)
     mean = seen.groupBy("contig", F.col("_pos").alias(pos)).agg((F.sum(depth) / sample).alias("coverage"))

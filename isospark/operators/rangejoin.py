@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Positions of a contig that one window partition covers.
+STRETCH = 1 << 20
+
 
 def range_join(probe: DataFrame, build: DataFrame, keys: list[str], lo: Column, hi: Column, at: str, width: int, how: str = "inner") -> DataFrame:
     """Rows of ``probe`` with the rows of ``build`` whose ``at`` lies in ``[lo, hi]`` of the probe.
@@ -42,13 +45,16 @@ def first_in_window(probe: DataFrame, sites: DataFrame, keys: list[str], pos: st
     With ``step``, the window's centre moves by ``step * sign`` (not below 1).
     """
     centre = F.col(pos) if not step else F.greatest(F.lit(1), F.col(pos) + sign * step)
-    p = probe.withColumn("_at", centre - wobble)
-    names = [c for c in p.columns if c not in keys and c != "_at"]
-    left = p.select(*keys, "_at", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_site"), F.struct(*names).alias("_row"))
-    right = sites.select(*keys, F.col(site).cast("long").alias("_at")).distinct()
-    right = right.select(*keys, "_at", F.lit(2).alias("_side"), F.col("_at").alias("_site"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+    bin_of = lambda c: F.floor(c / F.lit(STRETCH))
+    p = probe.withColumn("_at", centre - wobble).withColumn("_b", bin_of(F.col("_at")))
+    names = [c for c in p.columns if c not in keys and c not in ("_at", "_b")]
+    left = p.select(*keys, "_b", "_at", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_site"), F.struct(*names).alias("_row"))
+    # A site is also dealt to the stretch before it if a window that begins there reaches it.
+    at = F.col(site).cast("long")
+    right = sites.select(*keys, at.alias("_at")).distinct().withColumn("_b", F.explode(F.array_distinct(F.array(bin_of(F.col("_at") - 2 * wobble), bin_of(F.col("_at"))))))
+    right = right.select(*keys, "_b", "_at", F.lit(2).alias("_side"), F.col("_at").alias("_site"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
     # Walked from the right, the last site seen is the first at or after a bound; one at the bound counts.
-    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, "_b").orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = left.unionByName(right).withColumn("_first", F.last("_site", ignorenulls=True).over(w)).where("_side = 1")
     hit = F.when(F.col("_first") <= F.col("_at") + 2 * wobble, F.col("_first")).otherwise(F.lit(-1))
     return found.select(*keys, "_row.*", hit.cast("long").alias(out))

@@ -267,3 +267,24 @@ def test_booleans_and_columns(spark):
     assert summaries.resolve_column(df, ["nope", "X"]) == "x"
     with pytest.raises(ValueError):
         summaries.require_columns(df, ["x", "y"])
+
+
+def test_stretches_change_nothing(spark, monkeypatch):
+    """Short stretches, whose margins overlap many neighbours' rows, give the same peaks, sites and depths."""
+    rng = random.Random(6)
+    counts = spark.createDataFrame([("c", p, rng.randint(1, 6)) for p in sorted({rng.randint(1, 3000) for _ in range(500)})], "contig string, pos long, cnt long")
+    probes = spark.createDataFrame([("c", rng.randint(1, 3000)) for _ in range(200)], "contig string, pos long")
+    blocks = spark.createDataFrame([("c", s, s + rng.randint(0, 300)) for s in (rng.randint(1, 3000) for _ in range(80))], "contig string, bstart long, bend long")
+
+    def all_of():
+        p = [[sorted(map(tuple, peaks.call_peaks(counts, ["contig"], descending=d).drop("poisp").collect())) for d in (False, True)]]
+        f = sorted(map(tuple, rangejoin.first_in_window(probes, counts, ["contig"], "pos", "pos", 10).collect()))
+        seg = coverage.segments(blocks, ["contig"])
+        c = sorted((r.pos, r.coverage) for r in peaks.inward_coverage(probes.distinct(), seg).collect())
+        return p, f, sorted(map(tuple, seg.collect())), c
+
+    whole = all_of()
+    for m in (peaks, rangejoin, coverage):
+        monkeypatch.setattr(m, "STRETCH", 150)
+    monkeypatch.setattr(peaks.stretches, "__defaults__", (150,))
+    assert all_of() == whole
