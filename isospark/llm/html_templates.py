@@ -50,7 +50,7 @@ _CLOSES = {
 _NO_ARTICLE = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg math canvas object audio video dialog menu search title map datalist".split())
 _NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _NO_NAME = frozenset(
-    "ad ads advert advertisement adverts advertising adsense aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion reader-comments recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "ad ads advert advertisement alert adverts advertising adsense aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion reader-comments recommended related replies reply respond share sharing sidebar signup sidenav skip social sponsor sponsored subscribe subscription subnav teaser toolbar topbar topnav widget widgets".split()
 )
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd tr figcaption summary".split())
 
