@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import connected_components, cut
 
 #: Fingerprints of a subtrie above which it is cut again; node pairs that a walk handles at once.
@@ -309,18 +310,16 @@ def _component_ids(fps: DataFrame, id_col: str, node: str, links: DataFrame) ->
 SIMILAR_BITS = round(64 * float(np.arccos(2 * 0.8 / 1.8)) / np.pi)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_extra: int = SIMILAR_BITS + 1, max_bits: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = near_copies.SHINGLE) -> DataFrame:
     """``(id_col, component_id)`` of documents similar by word shingles, for dropping near copies.
 
-    A trie over fingerprints of word sets, which hardly move under a few edits, gives pairs within
-    ``max_bits``; a pair links if the fingerprints of its ``shingle``-word shingles differ in at most
-    ``max_extra`` bits, the distance that stands for a similarity of 0.8, and one for its spread.
-    Texts and ids are treated as by ``near_duplicates``.
+    A pair links if the exact Jaccard similarity of its sets of ``shingle``-word shingles is 0.8 or
+    more; candidates are found by ``near_copies``, as a trie over 64 bits with a budget for that
+    similarity does not prune.  Texts and ids are treated as by ``near_duplicates``.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle, words=True).withColumn("node", F.xxhash64("fp", "word_fp")))
-    points = fps.select("node", F.col("word_fp").alias("fp"), F.col("fp").alias("extra")).dropDuplicates(["node"])
-    links = trie_links(points, max_bits, max_extra)
-    return fps.join(_component_ids(fps, id_col, "node", links), "node").select(id_col, "component_id")
+    table = near_copies.shingle_table(docs, id_col, text_col, shingle)
+    fps = table.select(id_col, "node")
+    return fps.join(_component_ids(fps, id_col, "node", near_copies.similar_links(table)), "node").select(id_col, "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
