@@ -18,10 +18,11 @@ EPOCHS, RATE, SHRINK = 20, 0.5, 1e-4
 #: Rows of a labelled table at most, as they are folded in one task.
 MAX_LABELLED = 2000
 
-#: Host names of the small labelled table: unwanted ones, and ones that are not.
-UNWANTED = ("cheap-pills", "pills-discount", "casino-win", "online-casino", "poker-win", "ads-track", "adserver-track", "spam-farm", "link-farm", "free-bets", "adult-x", "payday-loans")
-WANTED = ("thernd", "tionsh", "ththth", "therha", "thering", "tionble", "ththon", "theres", "thther", "tiontion", "thly", "ththan",
-          "docs", "news", "library", "wiki", "recipes", "museum", "forum", "university", "weather", "garden", "music", "school")
+#: Host names of the small labelled table: unwanted ones, and ones that are not.  All are generic; none is to be a host of the pages that are judged.
+UNWANTED = ("pills-discount", "cheap-meds", "pills-online", "cheap-viagra", "online-casino", "casino-bonus", "casino-slots", "poker-win", "win-prizes", "jackpot-bets", "sports-bets", "free-prizes",
+            "adserver-track", "ads-click", "click-track", "popup-ads", "link-farm", "spam-links", "adult-cams", "xxx-adult", "payday-loans", "free-loans", "cheap-replica", "track-pixel")
+WANTED = ("docs", "news", "library", "wiki", "recipes", "museum", "forum", "university", "weather", "garden", "music", "school", "theatre", "nation", "kitchen", "health", "mathematics", "tables",
+          "station", "history", "weltzeit", "bibliothek", "noticias", "cuisine", "open-data", "city-council", "language-notes", "public-library")
 _BEFORE, _AFTER, _DIRS = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es")
 
 

@@ -108,6 +108,20 @@ def test_url_model(spark):
     assert [r.verdict for r in got] == ["block"] * 3 + ["allow"] * 2
 
 
+def test_url_labels_are_not_of_the_pages(spark):
+    host = url_filter.host_and_path(url_filter.F.col("url"))[0]
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(host.alias("host")).distinct().collect()
+    seen = {x for r in pages for x in r.host.split(".")} - {"www", "m", "blog"}
+    assert not seen & {*url_filter.UNWANTED, *url_filter.WANTED}
+    table = url_filter.labelled_urls(spark)
+    hosts = [("cheap-pills", 1), ("casino-win", 1), ("ads-track", 1), ("spam-farm", 1), ("free-bets", 1), ("adult-x", 1)] + [(x, 0) for x in sorted(seen) if "-" not in x and len(x) > 4 and x != "example"]
+    urls = spark.createDataFrame([(i, f"https://{h}.example.org/en/{7 * i}") for i, (h, _) in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(urls, [], table).collect()}
+    right = {y: [got[i] == ("block" if y else "allow") for i, (_, x) in enumerate(hosts) if x == y] for y in (0, 1)}
+    print("hosts that are not in the table, right by label:", {y: f"{sum(v)} of {len(v)}" for y, v in right.items()})
+    assert sum(right[1]) >= 5 and sum(right[0]) >= 0.9 * len(right[0])
+
+
 def test_url_native(spark):
     plan = queries.op4_url_filter(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
