@@ -76,12 +76,12 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def walk(group: np.ndarray, value: np.ndarray, max_bits: int, extra: np.ndarray | None = None, max_extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def walk(group: np.ndarray, value: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places within one group whose values differ in at most ``max_bits`` bits.
 
     Rows are sorted by (group, value); each group is a trie, its nodes are ranges of rows.
-    Returns a spanning forest of the pairs of each group (as two arrays of places).  Where
-    ``extra`` is given, a pair must also differ there in at most ``max_extra`` bits.
+    Values of a group are distinct.  Returns a spanning forest of the pairs of each group (as
+    two arrays of places).
     """
     n = len(value)
     bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
@@ -98,23 +98,13 @@ def walk(group: np.ndarray, value: np.ndarray, max_bits: int, extra: np.ndarray
             continue
         # A pair of leaves is decided at once by its remaining bits.
         leaf = (ahi - alo == 1) & (bhi - blo == 1)
-        if bit < 0:
-            leaf[:] = True
         if leaf.any():
-            if bit < 0:  # equal values (told apart by ``extra``): each with its node's first, and the nodes' firsts
-                a, b, e = _spread(alo, ahi, blo, bhi, err)
-            else:
-                a, b = alo[leaf], blo[leaf]
-                e = popcount(value[a] ^ value[b])
-            ok = (e <= max_bits) & (a != b)
-            if extra is not None:
-                ok &= popcount(extra[a] ^ extra[b]) <= max_extra
+            a, b = alo[leaf], blo[leaf]
+            ok = (popcount(value[a] ^ value[b]) <= max_bits) & (a != b)
             left.append(a[ok])
             right.append(b[ok])
             if sum(map(len, left)) > FRONTIER:
                 left, right = _forest(label, left, right)
-            if bit < 0:
-                continue
             alo, ahi, blo, bhi, err = (x[~leaf] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
@@ -138,15 +128,6 @@ def walk(group: np.ndarray, value: np.ndarray, max_bits: int, extra: np.ndarray
     return left[0], right[0]
 
 
-def _spread(alo, ahi, blo, bhi, err):
-    """All row pairs of node pairs."""
-    na, nb = ahi - alo, bhi - blo
-    n = na * nb
-    pair = np.repeat(np.arange(len(n)), n)
-    k = np.arange(len(pair)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-    return alo[pair] + k // nb[pair], blo[pair] + k % nb[pair], err[pair]
-
-
 def _forest(label: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The links as one from each row to the least row of its component (``label`` is updated)."""
     a, b = np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
@@ -190,17 +171,16 @@ def _blocks_for(n: int, max_bits: int) -> int:
     return blocks
 
 
-def _walk_task(max_bits: int, extra: bool, max_extra: int):
+def _walk_task(max_bits: int):
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table):
             key = [table.column(c).to_numpy() for c in ("path", "key")]
             value = table.column("fp").to_numpy().view(np.uint64)
-            more = table.column("extra").to_numpy().view(np.uint64) if extra else None
             group = np.cumsum(np.r_[0, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
             order = np.lexsort((value, group))
-            a, b = walk(group[order], value[order], max_bits, None if more is None else more[order], max_extra)
+            a, b = walk(group[order], value[order], max_bits)
             a, b = order[a], order[b]
             node = table.column("node").to_numpy()
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
@@ -229,15 +209,13 @@ def _walk_task(max_bits: int, extra: bool, max_extra: int):
     return run
 
 
-def trie_links(points: DataFrame, max_bits: int = 2, max_extra: int | None = None, subtrie: int = SUBTRIE) -> DataFrame:
+def trie_links(points: DataFrame, max_bits: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
     """Links ``(a, b)`` between nodes whose fingerprints differ in at most ``max_bits`` bits.
 
-    ``points(node long, fp long[, extra long])`` holds distinct fingerprints.  The links span
-    every component of the full link graph.  With ``max_extra``, a pair links only if ``extra``
-    differs in at most so many bits as well.
+    ``points(node long, fp long)`` holds distinct fingerprints.  The links span
+    every component of the full link graph.
     """
-    extra = max_extra is not None
-    cols = ["node", "fp"] + ["extra"] * extra
+    cols = ["node", "fp"]
     points = points.select(*cols)
     blocks = _blocks_for(points.count(), max_bits)
     found: DataFrame | None = None
@@ -260,7 +238,7 @@ def trie_links(points: DataFrame, max_bits: int = 2, max_extra: int | None = Non
         rows = rows.join(size, ["path", "key"])
         small = rows if last else rows.where(F.col("n") <= subtrie)
         walked = cut(
-            small.select("path", "key", *cols).sortWithinPartitions("path", "key").mapInArrow(_walk_task(max_bits, extra, max_extra or 0), "a long, b long")
+            small.select("path", "key", *cols).sortWithinPartitions("path", "key").mapInArrow(_walk_task(max_bits), "a long, b long")
         )
         found = walked if found is None else found.union(walked)
         if last:
