@@ -261,29 +261,40 @@ def centre_score(left, right, half: int, match: float = 2.0, mismatch: float = -
     return best(F.slice(hit, half + 1, half)) + best(F.reverse(F.slice(hit, 1, half)))
 
 
-def poisson_tail(count, mean, longest: int = 100_000) -> Column:
+def poisson_tail(count, mean) -> Column:
     """P(X > count) of a Poisson variable, by its terms.
 
-    Terms above the count are summed where it lies above the mean, so that small tails keep their
-    digits; below, one minus the lower terms.  A mean of 0 or null gives 0 or null.
+    With a count above the mean the terms above it are summed, so that small tails keep their
+    digits; below, one minus the terms up to it.  Either way terms are followed away from the mean
+    until they no longer matter, which takes some nine square roots of the mean.  A count below 0
+    gives 1, a mean of 0 gives 0, a null of either gives null.
     """
-    k, m = F.greatest(_c(count).cast("int"), F.lit(-1)), _c(mean).cast("double")
-    first = F.exp(-m + (k + 1) * F.log(m) - _log_factorial(k + 1))
-    above = F.aggregate(
-        F.sequence(k + 2, k + 2 + F.least(F.ceil(m + 40 * F.sqrt(m) + 60).cast("int"), F.lit(longest))),
+    k, m = F.floor(_c(count)).cast("long"), _c(mean).cast("double")
+    mean_of = F.greatest(m, F.lit(1e-300))  # branches below may be computed for means that they are not for
+    up = k + 1 >= m
+    at = F.greatest(F.when(up, k + 1).otherwise(k), F.lit(0))
+    steps = F.sequence(F.lit(1).cast("long"), F.ceil(F.sqrt(80 * mean_of) + 60).cast("long"))
+    first = F.exp(_log_poisson(at, mean_of))
+    ratio = lambda j: F.when(up, mean_of / (at + j)).otherwise(F.greatest(at - j + 1, F.lit(0)) / mean_of)
+    total = F.aggregate(
+        steps,
         F.struct(first.alias("t"), first.alias("s")),
-        lambda a, i: F.struct((a["t"] * m / i).alias("t"), (a["s"] + a["t"] * m / i).alias("s")),
-        lambda a: a["s"],
+        lambda a, j: F.struct((a["t"] * ratio(j)).alias("t"), (a["s"] + a["t"] * ratio(j)).alias("s")),
+        lambda a: F.least(a["s"], F.lit(1.0)),
     )
-    return F.when(m.isNull() | _c(count).isNull(), F.lit(None)).when(m <= 0, F.lit(0.0)).otherwise(F.least(above, F.lit(1.0)))
+    return F.when(m.isNull() | k.isNull(), F.lit(None)).when(m <= 0, F.lit(0.0)).when(k < 0, F.lit(1.0)).when(up, total).otherwise(1 - total)
 
 
-def _log_factorial(n) -> Column:
-    """ln n! : summed for small n, by Stirling's series beyond."""
+def _log_poisson(n, m) -> Column:
+    """The logarithm of the Poisson probability of ``n`` at mean ``m``.
+
+    For large ``n`` its big parts, which nearly cancel, are taken together.
+    """
     x = F.greatest(n, F.lit(1)).cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(2 * F.pi() * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
-    small = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(20))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    return F.when(n <= 20, small).otherwise(series)
+    small = -m + x * F.log(m) - F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(20)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    far = x - m - x * F.log1p((x - m) / m) - 0.5 * F.log(2 * F.pi() * x) - series
+    return F.when(n <= 0, -m).when(n <= 20, small).otherwise(far)
 
 
 def support_count(score, exon_scores, mode: str = "max") -> Column:

@@ -47,6 +47,10 @@ class Params:
 PRESETS = {
     "default": {},
     "direct-rna": {"drna": True, "check_in_soft": 6, "three_adapter": "AAAA", "three_score": 6.0},
+    # Adapters and scores documented for the kits.
+    "teloprime": {"significance": True, "force_consensus": True},
+    "isoseq": {"five_adapter": "AGAGTACATGGG", "five_score": 16.0, "check_in_soft": 15, "three_adapter": "A" * 15, "three_score": 18.0, "significance": True, "force_consensus": True},
+    "ont-cdna": {"five_adapter": "TGCCATTAGGCCGGG", "five_score": 16.0, "check_in_soft": 15, "three_adapter": "A" * 15, "three_score": 16.0, "significance": True, "force_consensus": True},
 }
 
 
@@ -55,6 +59,6 @@ def preset(name: str, **changes) -> Params:
 
 
 GFF = "contig string, source string, feature string, start int, end int, score double, strand string, frame string, info string"
-READ = "qname string, flag int, contig string, start int, end int, mapq int, cigar string, seq string, tags map<string,string>"
+READ = "qname string, flag int, contig string, start int, end int, mapq int, cigar string, seq string, tags map<string,string>, rnext string, pnext int, tlen int, qual string, tag_types map<string,string>"
 BED = "contig string, start0 int, end int, name string, score string, strand string"
 DEPTH = "contig string, pos int, depth int"

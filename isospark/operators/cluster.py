@@ -2,20 +2,79 @@
 
 from __future__ import annotations
 
+import collections
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Independent stretches that one grouped call handles, to spare calls on few rows.
-STRETCHES = 256
+from isospark.session import cut
+
+#: Positions of a key that one window partition covers.
+STRETCH = 1 << 20
+
+
+def running_count(rows: DataFrame, keys: list[str], pos: str, flag: str, out: str) -> DataFrame:
+    """Adds ``out``: how many rows up to and with this position have ``flag`` = 1, rows of one position alike.
+
+    Positions are counted per stretch; each stretch begins with the sum of those before it.
+    """
+    part = rows.withColumn("_b", F.floor(F.col(pos) / F.lit(STRETCH)))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy(*keys, "_b").agg(F.sum(flag).alias("_s")).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_b").alias("_b2"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_open"))
+    here = F.sum(flag).over(Window.partitionBy(*keys, "_b").orderBy(pos).rangeBetween(Window.unboundedPreceding, 0))
+    same = F.col("_b").eqNullSafe(F.col("_b2"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    joined = part.withColumn("_here", here).join(sums, same)
+    return joined.withColumn(out, F.col("_here") + F.col("_open")).drop("_b", "_b2", "_here", "_open", *[f"_key{i}" for i in range(len(keys))])
 
 
 def gap_clusters(rows: DataFrame, keys: list[str], pos: str = "start", wobble: int = 10, out: str = "cluster") -> DataFrame:
-    """Numbers stretches of positions whose neighbours are no further apart than ``wobble``."""
-    w = Window.partitionBy(*keys).orderBy(F.col(pos))
-    gap = F.col(pos) - F.lag(pos).over(w)
-    return rows.withColumn("_new", F.when(gap.isNull() | (gap > wobble), 1).otherwise(0)).withColumn(out, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Numbers runs of positions whose neighbours are no further apart than ``wobble``, per key from 1.
+
+    A position opens a run if none before it is near enough; that is seen within its stretch and a
+    margin of the one before.
+    """
+    width = max(STRETCH, wobble)
+    once = rows.select(*keys, pos).distinct()
+    bin_of = lambda c: F.floor(c / F.lit(width))
+    near = once.withColumns({"_own": bin_of(F.col(pos)), "_stretch": F.explode(F.array_distinct(F.array(bin_of(F.col(pos)), bin_of(F.col(pos) + wobble))))})
+    gap = F.col(pos) - F.lag(pos).over(Window.partitionBy(*keys, "_stretch").orderBy(pos))
+    new = near.withColumn("_new", F.when(gap.isNull() | (gap > wobble), 1).otherwise(0)).where("_stretch <=> _own").drop("_own", "_stretch")
+    numbered_runs = running_count(new, keys, pos, "_new", out).drop("_new")
+    same = F.lit(True)
+    for c in [*keys, pos]:
+        numbered_runs = numbered_runs.withColumnRenamed(c, f"_run_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_run_{c}"))
+    return rows.join(numbered_runs, same).drop(*[f"_run_{c}" for c in [*keys, pos]])
+
+
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], schema, fold) -> DataFrame:
+    """Rows folded in order within each key, as a stream: a task sorts its keys and never holds one whole.
+
+    ``fold()`` is called for each key and gives a function from a row (a named tuple) to the values
+    that are put after it, those of ``schema`` beyond the columns of ``rows``.
+    """
+    columns = rows.columns
+    at = [columns.index(k) for k in keys]
+
+    def run(batches):
+        import pandas as pd
+
+        last, step = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(row[i] for i in at)
+                if step is None or key != last:
+                    last, step = key, fold()
+                out.append(step(row))
+            added = [f.name for f in schema.fields[len(columns) :]]
+            yield pd.concat([pdf, pd.DataFrame(out, columns=added, index=pdf.index)], axis=1)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def representatives(rows: DataFrame, keys: list[str], outer_left: Column, pos: str = "start", score: str = "score", tie: str = "method", cluster: str = "cluster") -> DataFrame:
@@ -32,16 +91,19 @@ def method_matrix(rows: DataFrame, keys: list[str], methods: list[str], method:
 
 
 def numbered(rows: DataFrame, prefix: str, order: list, digits: int = 6, out: str = "id") -> DataFrame:
-    """Ids such as TR_000001 in the given order.
+    """Ids such as TR_000001 in the given order; longer numbers have as many digits as they need.
 
-    Rows are counted per range partition and offset, so no single task orders them all.
+    Rows are counted per range partition and offset, so no single task orders them all.  The ranges
+    are cut once, so that rows and offsets see the same ones.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_p").withColumn(out, F.concat(F.lit(prefix), F.when(F.length((F.col("_k") + F.col("_b")).cast("string")) >= digits, (F.col("_k") + F.col("_b")).cast("string")).otherwise(F.lpad((F.col("_k") + F.col("_b")).cast("string"), digits, "0")))).drop("_p", "_k", "_b")
+    number = (F.col("_k") + F.col("_b")).cast("string")
+    text = F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))
+    return local.join(F.broadcast(before), "_p").withColumn(out, F.concat(F.lit(prefix), text)).drop("_p", "_k", "_b")
 
 
 def _with(df: DataFrame, name: str) -> T.StructType:
@@ -55,56 +117,57 @@ def leader_clusters(rows: DataFrame, keys: list[str], start: str, end: str, wind
 
     Whether a row leads depends on all before it, so rows of a key are folded in order; but a row
     whose start is more than ``window`` after its predecessor's leads in any case, and cuts the key
-    into stretches that are folded apart.
+    into runs that are folded apart.
     """
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    cut = F.col(start) - F.lag(start).over(w)
-    split = rows.withColumn("_new", F.when(cut.isNull() | (cut > window), 1).otherwise(0)).withColumn("_part", F.floor(F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)) / STRETCHES)).drop("_new")
-
-    def fold(pdf):
-        pdf = pdf.sort_values([start, end], kind="stable")
-        leaders, head = [], None
-        for s, e in zip(pdf[start], pdf[end]):
+    split = gap_clusters(rows, keys, start, window, "_part")
+    s_at, e_at = split.columns.index(start), split.columns.index(end)
+
+    def fold():
+        head, n = None, 0
+
+        def step(row):
+            nonlocal head, n
+            s, e = row[s_at], row[e_at]
             if head is None or abs(s - head[0]) > window or abs(e - head[1]) > window:
-                head = (s, e)
-                n = len(leaders) + 1 if not leaders else leaders[-1] + 1
-            leaders.append(n)
-        return pdf.assign(**{out: leaders})[[*order, out]]
+                head, n = (s, e), n + 1
+            return (n,)
+
+        return step
 
-    order = split.columns
-    done = split.groupBy(*keys, "_part").applyInPandas(fold, _with(split, out))
+    done = ordered_fold(split, [*keys, "_part"], [start, end], _with(split, out), fold)
     return done.withColumn(out, F.concat_ws(".", F.col("_part").cast("string"), F.col(out).cast("string"))).drop("_part")
 
 
 def seed_clusters(rows: DataFrame, keys: list[str], matches, order: list[str], pos: str, window: int, out: str = "seed") -> DataFrame:
     """Seed clustering: in order, each unused row takes every unused row that matches it.
 
-    ``matches(a, b)`` compares two rows (named tuples) and must need ``pos`` within ``window``, so
-    stretches of ``pos`` with larger gaps are independent and go to tasks of their own.
+    ``matches(a, b)`` compares two rows (named tuples) and must need ``pos`` within ``window``.
+    ``order`` begins with ``pos``, so a row belongs to the first seed before it that matches, and only
+    seeds within ``window`` are held.  Runs of ``pos`` with larger gaps are folded apart.
     """
-    parts = gap_clusters(rows, keys, pos, window, "_part").withColumn("_part", F.floor(F.col("_part") / STRETCHES))
-    columns = parts.columns
-
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        items = list(pdf.itertuples(index=False))
-        at = pdf[pos].to_numpy()
-        seed = [0] * len(items)
-        by_pos = at.argsort(kind="stable")
-        sorted_at = at[by_pos]
+    if order[0] != pos:
+        raise ValueError("seeds are taken in order of their position")
+    parts = gap_clusters(rows, keys, pos, window, "_part")
+    p_at = parts.columns.index(pos)
+
+    def fold():
+        seeds: collections.deque = collections.deque()
         n = 0
-        for i, a in enumerate(items):
-            if seed[i]:
-                continue
+
+        def step(row):
+            nonlocal n
+            while seeds and row[p_at] - seeds[0][1][p_at] > window:
+                seeds.popleft()
+            for k, seed in seeds:
+                if matches(seed, row):
+                    return (k,)
             n += 1
-            lo, hi = sorted_at.searchsorted(at[i] - window), sorted_at.searchsorted(at[i] + window, side="right")
-            for j in by_pos[lo:hi]:
-                if not seed[j] and (j == i or matches(a, items[j])):
-                    seed[j] = n
-        pdf[out] = seed
-        return pdf[[*columns, out]]
-
-    done = parts.groupBy(*keys, "_part").applyInPandas(run, _with(parts, out))
+            seeds.append((n, row))
+            return (n,)
+
+        return step
+
+    done = ordered_fold(parts, [*keys, "_part"], order, _with(parts, out), fold)
     return done.withColumn(out, F.concat_ws(".", F.col("_part").cast("string"), F.col(out).cast("string"))).drop("_part")
 
 
@@ -115,28 +178,28 @@ def greedy_pairs(candidates: DataFrame, keys: list[str], a: str, b: str, order:
     of those sides go.  Each round is a pair of windows, so no group is gathered; the best candidate
     of every component is taken in each, and chains of ever worse candidates bound the rounds.
     """
-    left = candidates.checkpoint()
+    left = cut(candidates)
     taken = None
     while True:
         rank = F.struct(*order)
         best = left.withColumns({"_a": F.min(rank).over(Window.partitionBy(*keys, a)), "_b": F.min(rank).over(Window.partitionBy(*keys, b))})
-        now = best.where((F.col("_a") == rank) & (F.col("_b") == rank)).drop("_a", "_b").checkpoint()
+        now = cut(best.where((F.col("_a") == rank) & (F.col("_b") == rank)).drop("_a", "_b"))
         if now.isEmpty():
             return taken if taken is not None else now
         taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select(*keys, a), [*keys, a], "left_anti").join(now.select(*keys, b), [*keys, b], "left_anti").checkpoint()
+        left = cut(left.join(now.select(*keys, a), [*keys, a], "left_anti").join(now.select(*keys, b), [*keys, b], "left_anti"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)``: the least node reachable, by spreading minima along edges and their labels."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = e.union(e.select("v", "u")).distinct().checkpoint()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).checkpoint()
+    both = cut(e.union(e.select("v", "u")).distinct())
+    label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
     while True:
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         low = label.join(near, "u").select("u", F.least("c", "m").alias("n"), "c")
         jump = low.join(low.select(F.col("u").alias("n"), F.col("n").alias("t")), "n", "left")
-        new = jump.select("u", F.least(F.coalesce("t", "n"), F.col("n")).alias("c"), (F.least(F.coalesce("t", "n"), F.col("n")) != F.col("c")).alias("changed")).checkpoint()
+        new = cut(jump.select("u", F.least(F.coalesce("t", "n"), F.col("n")).alias("c"), (F.least(F.coalesce("t", "n"), F.col("n")) != F.col("c")).alias("changed")))
         label = new.select("u", "c")
         if new.where("changed").isEmpty():
             return label.select(F.col("u").alias("node"), F.col("c").alias("component"))

@@ -174,11 +174,16 @@ def label_ends(reads: DataFrame, p: Params = Params()) -> DataFrame:
 
 def assign_strand(reads: DataFrame, drna: bool = False) -> DataFrame:
     """New ``flag`` and ``mapq`` from the end labels: 16 or 0 where only one strand has evidence, else the
-    old flag and 512; quality 0 for such reads (9 for all on direct RNA)."""
+    old flag and 512; quality 0 for such reads, 9 for others.
+
+    On direct RNA the mapper's flag is the strand: it stays whole, and every quality is 9.
+    """
+    if drna:
+        return reads.withColumn("mapq", F.lit(9))
     seen = {k: ~F.col(f"{k}.status").isin("missing", "no softclip") for k in ("l3", "r3", "l5", "r5")}
     minus, plus = seen["l3"] | seen["r5"], seen["r3"] | seen["l5"]
     flag = F.when(minus & ~plus, 16).when(plus & ~minus, 0).otherwise(F.col("flag") + 512).cast("int")
-    return reads.withColumn("flag", flag).withColumn("mapq", F.when(F.lit(drna) | (F.col("flag") <= 511), 9).otherwise(0))
+    return reads.withColumn("flag", flag).withColumn("mapq", F.when(F.col("flag") <= 511, 9).otherwise(0))
 
 
 def mapped(reads: DataFrame) -> DataFrame:
@@ -189,8 +194,14 @@ def stranded(reads: DataFrame) -> DataFrame:
     return reads.where(F.col("flag").bitwiseAND(512) == 0)
 
 
+def counted_in_depth(reads: DataFrame) -> DataFrame:
+    """Reads that count towards depth: not unmapped, secondary, without a strand (512) or a duplicate."""
+    return reads.where(F.col("flag").bitwiseAND(4 | 256 | 512 | 1024) == 0)
+
+
 def find_introns(reads: DataFrame, p: Params = Params()) -> DataFrame:
-    """Adds ``introns`` (s: last base before, e: first base after) and ``gap`` (some were rejected).
+    """Adds ``introns`` (s: last base before, e: first base after), ``gap`` (some were rejected) and ``lost``
+    (those that were rejected last).
 
     An intron that follows a long insertion, or lies in a short first exon of a bad left end, rejects
     itself and all before; a short last exon of a bad right end rejects the last one.
@@ -199,7 +210,8 @@ def find_introns(reads: DataFrame, p: Params = Params()) -> DataFrame:
     bad = lambda k: F.col(f"{k}.status") != "correct"
     left = F.when(reverse, bad("l3")).otherwise(bad("l5")) if p.drna else bad("l3") | bad("l5")
     right = F.when(reverse, bad("r5")).otherwise(bad("r3")) if p.drna else bad("r3") | bad("r5")
-    zero = F.struct(F.col("start").cast("int").alias("at"), F.lit(0).alias("seen"), F.lit(0).alias("since"), F.lit(0).alias("inserted"), F.lit(False).alias("gap"), F.array().cast("array<struct<s:int,e:int>>").alias("found"))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    zero = F.struct(F.col("start").cast("int").alias("at"), F.lit(0).alias("seen"), F.lit(0).alias("since"), F.lit(0).alias("inserted"), F.lit(False).alias("gap"), none.alias("found"), none.alias("lost"))
 
     def step(a, x):
         is_n, is_m = x["op"] == "N", x["op"] == "M"
@@ -213,13 +225,15 @@ def find_introns(reads: DataFrame, p: Params = Params()) -> DataFrame:
             F.when(x["op"] == "I", x["len"]).otherwise(0).alias("inserted"),
             (a["gap"] | reject).alias("gap"),
             found.alias("found"),
+            F.when(reject, F.concat(a["found"], F.array(here))).otherwise(a["lost"]).alias("lost"),
         )
 
     r = reads.withColumns({"_left": left, "_right": right})
     r = r.withColumn("_w", F.aggregate("ops", zero, step))
     short = (F.col("_w.since") < p.first_exon) & F.col("_right") & (F.size("_w.found") > 0)
     introns = F.when(short, F.slice("_w.found", 1, F.greatest(F.size("_w.found") - 1, F.lit(0)))).otherwise(F.col("_w.found"))
-    return r.withColumns({"introns": introns, "gap": F.col("_w.gap") | short}).drop("_left", "_right", "_w")
+    lost = F.when(short, F.slice("_w.found", -1, 1)).otherwise(F.col("_w.lost"))
+    return r.withColumns({"introns": introns, "gap": F.col("_w.gap") | short, "lost": lost}).drop("_left", "_right", "_w")
 
 
 def end_counts(reads: DataFrame) -> DataFrame:

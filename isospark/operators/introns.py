@@ -19,19 +19,34 @@ def neighbour_filter(introns: DataFrame, keys: list[str], left: str, right: str,
     return introns.join(top, [*keys, left, right]).where(F.col(count) / F.lit(rare) >= F.col("_top")).drop("_top")
 
 
+#: Bases of a contig in one piece.
+PIECE = 4096
+
+
+def genome_pieces(genome: DataFrame, margin: int, size: int) -> DataFrame:
+    """``(contig, piece, bases)``: contigs in pieces of ``size`` bases, each with the first ``margin`` of the next one."""
+    cuts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    with_next = F.transform("_cuts", lambda p, i: F.concat(p, F.coalesce(F.substring(F.get("_cuts", i + 1), 1, margin), F.lit(""))))
+    return genome.select("contig", cuts.alias("_cuts")).select("contig", F.posexplode(with_next).alias("piece", "bases"))
+
+
 def with_splice_sites(introns: DataFrame, genome: DataFrame, half: int = 3, match: float = 2.0, mismatch: float = -3.0, left: str = "left", right: str = "right") -> DataFrame:
     """Adds border windows, outer bases, consensus, strand and the template switching score.
 
     ``introns(contig, left, right)`` name the last base before and the first after; ``genome(contig,
-    seq)`` must know every contig.  Each contig's sequence meets its introns in one join.
+    seq)`` must know every contig.  Each border meets the one piece of its contig that holds its
+    window, so no joined row holds a contig.  Windows are clamped to the contig.
     """
-    unknown = introns.select("contig").distinct().join(genome, "contig", "left_anti").limit(5).collect()
+    unknown = introns.select("contig").distinct().join(genome.select("contig"), "contig", "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"contigs without a sequence: {', '.join(r[0] for r in unknown)}")
-    g = introns.join(genome, "contig")
-    # Substrings count from 1: the window around a border begins ``half`` bases before it.
-    around = lambda at: F.substring("seq", at - half + 1, F.lit(2 * half))
-    g = g.withColumns({"leftseq": around(F.col(left)), "rightseq": around(F.col(right) - 1)}).drop("seq")
+    pieces = genome_pieces(genome, 2 * half, PIECE)
+    g = introns
+    for name, last in (("leftseq", F.col(left)), ("rightseq", F.col(right) - 1)):
+        # The window around a border begins ``half`` bases before it; a contig's bases count from 0 here.
+        first = F.greatest(last - half, F.lit(0))
+        at = g.withColumns({"_at": first, "piece": F.floor(first / F.lit(PIECE)).cast("int")})
+        g = at.join(pieces, ["contig", "piece"], "left").withColumn(name, F.coalesce(F.substring("bases", F.col("_at") - F.col("piece") * PIECE + 1, F.lit(2 * half)), F.lit(""))).drop("_at", "piece", "bases")
     g = g.withColumns({"left2": F.substring("leftseq", half + 1, 2), "right2": F.substring("rightseq", half - 1, 2)})
     consensus, strand = splice_consensus("left2", "right2")
     g = g.withColumns({"consensus": consensus, "strand": strand, "ts_score": centre_score("leftseq", "rightseq", half, match, mismatch)})

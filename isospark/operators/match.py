@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from isospark.functions.scalar import chains_within, end_site, inner_boundaries, positions_within, start_site
+from isospark.session import cut
 
+from .cluster import STRETCH, ordered_fold, running_count
 from .rangejoin import range_join
 
 
@@ -48,8 +54,10 @@ def collect_labels(base: DataFrame, pairs: DataFrame, labels: DataFrame, id_a: s
 def evaluate(reference: DataFrame, predicted: DataFrame, pairs: DataFrame, ref_id: str, pred_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts, false positives and references not found.
 
-    True positives are references with a partner, false positives predictions without one.
+    True positives are references with a partner, false positives predictions without one.  The pairs'
+    ids are kept, as all three read them.
     """
+    pairs = cut(pairs.select(ref_id, pred_id))
     hit_ref, hit_pred = pairs.select(ref_id).distinct(), pairs.select(pred_id).distinct()
     missing = reference.join(hit_ref, ref_id, "left_anti")
     wrong = predicted.join(hit_pred, pred_id, "left_anti")
@@ -88,39 +96,38 @@ def all_introns_accepted(reads: DataFrame, introns: DataFrame, read: str = "tid"
 def interval_matches(points: DataFrame, intervals: DataFrame, keys: list[str], at: str = "pos", lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Per key: the size of a largest one-to-one matching of points to intervals that hold them.
 
-    A sweep over the points gives each the open interval that ends first.  Stretches that no interval
-    bridges are swept apart, so the sequential part is as long as a run of overlapping intervals.
+    A sweep over the points gives each the open interval that ends first.  Runs that no interval
+    bridges are swept apart, as streams that hold the open intervals alone.
     """
-    from pyspark.sql.window import Window
-
-    from .cluster import STRETCHES
-
     a = points.select(*keys, F.col(at).cast("long").alias("_lo"), F.col(at).cast("long").alias("_hi"), F.lit(1).alias("_point"))
     b = intervals.select(*keys, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi"), F.lit(0).alias("_point"))
-    w = Window.partitionBy(*keys).orderBy("_lo", "_point")
-    far = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = a.union(b).withColumn("_new", F.when(far.isNull() | (F.col("_lo") > far), 1).otherwise(0)).withColumn("_part", F.floor(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) / STRETCHES))
-
-    def sweep(pdf):
-        import heapq
-
-        pdf = pdf.sort_values(["_lo", "_point"], kind="stable")
+    # The furthest end so far, by stretches: each begins with that of all before it.
+    both = a.union(b).withColumn("_b", F.floor(F.col("_lo") / F.lit(STRETCH)))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = both.groupBy(*keys, "_b").agg(F.max("_hi").alias("_m")).select(*keys, "_b", F.max("_m").over(before).alias("_far"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_lo", "_point").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_here", F.max("_hi").over(w)).join(ahead, [*keys, "_b"]).withColumn("_far", F.greatest("_here", "_far"))
+    new = seen.withColumn("_new", F.when(F.col("_far").isNull() | (F.col("_lo") > F.col("_far")), 1).otherwise(0)).drop("_here", "_far", "_b")
+    parts = running_count(new, keys, "_lo", "_new", "_part").drop("_new")
+    x_at, y_at, p_at = (parts.columns.index(c) for c in ("_lo", "_hi", "_point"))
+
+    def fold():
         open_ends: list = []
-        n = points_seen = intervals_seen = 0
-        for x, y, is_point in zip(pdf["_lo"], pdf["_hi"], pdf["_point"]):
-            if not is_point:
-                intervals_seen += 1
-                heapq.heappush(open_ends, y)
-                continue
-            points_seen += 1
+
+        def step(row):
+            x = row[x_at]
+            if not row[p_at]:
+                heapq.heappush(open_ends, row[y_at])
+                return (0,)
             while open_ends and open_ends[0] < x:
                 heapq.heappop(open_ends)
             if open_ends:
                 heapq.heappop(open_ends)
-                n += 1
-        first = pdf.iloc[[0]][keys]
-        return first.assign(tp=n, fp=points_seen - n, fn=intervals_seen - n)
+                return (1,)
+            return (0,)
+
+        return step
 
-    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
-    parts = cut.drop("_new").groupBy(*keys, "_part").applyInPandas(sweep, f"{kinds}, tp long, fp long, fn long")
-    return with_rates(parts.groupBy(*keys).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
+    swept = ordered_fold(parts, [*keys, "_part"], ["_lo", "_point"], T.StructType([*parts.schema.fields, T.StructField("_hit", T.LongType())]), fold)
+    per = swept.groupBy(*keys).agg(F.sum("_hit").alias("tp"), F.sum("_point").alias("_points"), F.count("*").alias("_all"))
+    return with_rates(per.select(*keys, "tp", (F.col("_points") - F.col("tp")).alias("fp"), (F.col("_all") - F.col("_points") - F.col("tp")).alias("fn")))

@@ -12,12 +12,12 @@ from isospark.functions.scalar import poisson_tail
 STRETCH = 1 << 20
 
 
-def call_peaks(counts: DataFrame, keys: list[str], pos: str = "pos", count: str = "cnt", window: int = 50, wobble: int = 10, descending: bool = False) -> DataFrame:
+def call_peaks(counts: DataFrame, keys: list[str], pos: str = "pos", count: str = "cnt", window: int = 50, wobble: int = 10, descending: bool | Column = False) -> DataFrame:
     """Adds ``average``, ``is_greatest``, ``is_picked`` and ``poisp`` to ``counts(keys, pos, count)``.
 
     ``average`` is the mean count over the ``2 * window + 1`` positions around; a position is the
     greatest if none within ``wobble`` has more; of greatest ones in a row no further apart than
-    ``wobble`` the first is picked, in falling order of position if ``descending``.  ``poisp`` is the
+    ``wobble`` the first is picked, in falling order of position if ``descending`` (a bool, or one per key).  ``poisp`` is the
     probability of more than the count under a Poisson law with the average as mean.
     """
     # Stretches of a contig are worked on apart, with a margin that holds all a position depends on:
@@ -29,7 +29,8 @@ def call_peaks(counts: DataFrame, keys: list[str], pos: str = "pos", count: str
     top = F.max(count).over(by.rangeBetween(-wobble, wobble))
     rows = rows.withColumns({"average": mean, "is_greatest": F.col(count) == top})
     # Greatest positions alone decide who is first: the nearest greatest one before.
-    order = -F.col(pos).cast("long") if descending else F.col(pos).cast("long")
+    falling = F.lit(descending) if isinstance(descending, bool) else descending
+    order = F.when(falling, -F.col(pos).cast("long")).otherwise(F.col(pos).cast("long"))
     before = F.last(F.when(F.col("is_greatest"), order), ignorenulls=True).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_gap", order - before)
     picked = F.col("is_greatest") & (F.col("_gap").isNull() | (F.col("_gap") > wobble))
@@ -65,25 +66,28 @@ def significant(rows: DataFrame, level: float = 0.05) -> DataFrame:
     return q.join(F.broadcast(n)).where(F.col("poisp") < F.lit(level) / F.col("n_qualified")).drop("n_qualified")
 
 
-def inward_coverage(features: DataFrame, segments: DataFrame, pos: str = "pos", left_side: bool = True, distance: int = 15, sample: int = 5, mode: str = "reference") -> DataFrame:
-    """Adds ``coverage``: the mean depth of ``sample`` positions inside the transcript.
+def inward_coverage(features: DataFrame, segments: DataFrame, pos: str = "pos", left_side: bool | Column = True, distance: int = 15, sample: int = 5, mode: str = "reference", keys: tuple[str, ...] = ("contig",), out: str = "coverage") -> DataFrame:
+    """Adds ``out``: the mean depth of ``sample`` positions inside the transcript.
 
     Left ends look at ``pos + distance - sample`` onwards.  On right ends the 'reference' mode looks
-    at no position, which gives 0, and 'inward' at the mirrored ones.  ``segments(contig, seg_start,
+    at no position, which gives 0, and 'inward' at the mirrored ones.  ``segments(keys, seg_start,
     seg_end, depth)`` holds stretches of equal depth; what they do not cover has depth 0.
+    ``left_side`` holds for all features, or is a condition on each.
     """
-    if not left_side and mode == "reference":
-        return features.withColumn("coverage", F.lit(0.0))
-    first = F.col(pos) + distance - sample if left_side else F.col(pos) - distance + 1
-    spots = features.select("contig", pos).distinct().withColumn("_p", F.explode(F.sequence(first, first + sample - 1)))
+    left = F.lit(left_side) if isinstance(left_side, bool) else left_side
+    base = F.col(pos).cast("long")
+    first = F.when(left, base + distance - sample).otherwise(base - distance + 1)
+    asked = features.where(left) if mode == "reference" else features
+    spots = asked.select(*keys, base.alias(pos), first.alias("_f")).distinct().withColumn("_p", F.explode(F.sequence("_f", F.col("_f") + sample - 1)))
     # The segment that begins last at or before a spot covers it or nothing does.  A segment is dealt
     # to every stretch that it reaches.
     bin_of = lambda c: F.floor(c / F.lit(STRETCH))
-    w = Window.partitionBy("contig", "_b").orderBy("_at", "_side")
+    w = Window.partitionBy(*keys, "_b").orderBy("_at", "_side")
     reach = segments.withColumn("_b", F.explode(F.sequence(bin_of(F.col("seg_start")), bin_of(F.col("seg_end")))))
-    a = reach.select("contig", "_b", F.col("seg_start").cast("long").alias("_at"), F.lit(0).alias("_side"), F.struct("seg_end", "depth").alias("_s"), F.lit(None).cast("long").alias("_pos"))
-    b = spots.select("contig", bin_of(F.col("_p")).alias("_b"), F.col("_p").cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_s"].dataType).alias("_s"), F.col(pos).cast("long").alias("_pos"))
+    no = F.lit(None).cast("long")
+    a = reach.select(*keys, "_b", F.col("seg_start").cast("long").alias("_at"), F.lit(0).alias("_side"), F.struct("seg_end", "depth").alias("_s"), no.alias("_pos"), no.alias("_f"))
+    b = spots.select(*keys, bin_of(F.col("_p")).alias("_b"), F.col("_p").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_s"].dataType).alias("_s"), F.col(pos).alias("_pos"), "_f")
     seen = a.union(b).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_side = 1")
     depth = F.when(F.col("_s.seg_end") >= F.col("_at"), F.col("_s.depth")).otherwise(0)
-    mean = seen.groupBy("contig", F.col("_pos").alias(pos)).agg((F.sum(depth) / sample).alias("coverage"))
-    return features.join(mean, ["contig", pos], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    mean = seen.groupBy(*keys, F.col("_pos").alias(pos), "_f").agg((F.sum(depth) / sample).alias(out))
+    return features.withColumn("_f", first).join(mean, [*keys, pos, "_f"], "left").drop("_f").withColumn(out, F.when(F.lit(mode != "reference") | left, F.coalesce(out, F.lit(0.0))).otherwise(0.0))

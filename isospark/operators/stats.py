@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,8 +35,9 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - incomplete_beta(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
+    # Lentz's method; the fraction converges in some square roots of a and b steps.
+    f, c, d, i = 1.0, 1.0, 0.0, 0
+    while True:
         m = i // 2
         num = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         d = 1 / (1 + num * d if abs(1 + num * d) > 1e-300 else 1e-300)
@@ -43,6 +45,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         f *= c * d
         if i and abs(1 - c * d) < 1e-14:
             break
+        i += 1
     return front * (f - 1)
 
 
@@ -56,9 +59,10 @@ def f_upper(f: float, d1: float, d2: float) -> float:
 
 def t_quantile(p: float, df: float) -> float:
     """The quantile of a t distribution above its median, by bisection."""
-    lo, hi = 0.0, 1e3
-    for _ in range(200):
-        mid = (lo + hi) / 2
+    lo, hi = 0.0, 1.0
+    while 1 - t_two_sided(hi, df) / 2 < p:
+        lo, hi = hi, 2 * hi
+    while (mid := (lo + hi) / 2) not in (lo, hi):
         lo, hi = (mid, hi) if 1 - t_two_sided(mid, df) / 2 < p else (lo, mid)
     return (lo + hi) / 2
 
@@ -83,8 +87,6 @@ def paired_tests(rows: DataFrame, groups: list[str], block: list[str], name: str
 
 
 def _p_series(ts, ns):
-    import pandas as pd
-
     return pd.Series([t_two_sided(t, n - 1) if t == t and n > 1 else None for t, n in zip(ts, ns)], dtype="float64")
 
 
@@ -99,7 +101,6 @@ def anova_blocked(rows: DataFrame, groups: list[str], factor: str, block: str, v
 
     def run(pdf):
         import numpy as np
-        import pandas as pd
 
         n, s, q = (pdf[c].to_numpy(float) for c in ("_n", "_s", "_q"))
         f, b = (pd.get_dummies(pdf[c], dtype=float).to_numpy() for c in ("_f", "_b"))
@@ -122,9 +123,17 @@ def anova_blocked(rows: DataFrame, groups: list[str], factor: str, block: str, v
     return cells.groupBy(*groups).applyInPandas(run, f"{kinds}, term string, df long, ss double, f double, p double, eta2 double")
 
 
-def mean_interval(rows: DataFrame, groups: list[str], value: str, level: float = 0.975, largest: int = 200) -> DataFrame:
-    """Mean and t interval per group.  Quantiles are a table by size up to ``largest``, the normal one beyond."""
-    table = F.create_map(*[x for n in range(2, largest + 1) for x in (F.lit(n), F.lit(t_quantile(level, n - 1)))])
+def mean_interval(rows: DataFrame, groups: list[str], value: str, level: float = 0.975) -> DataFrame:
+    """Mean and t interval per group; null bounds for a group of one value.
+
+    The quantile of every group is exact for its size; it is worked out on the aggregated rows.
+    """
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        of = {k: t_quantile(level, k - 1) for k in n.unique() if k > 1}
+        return n.map(of).astype("float64")
+
     s = rows.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    half = F.coalesce(table[F.col("n").cast("int")], F.lit(t_quantile(level, 1e6))) * F.col("sd") / F.sqrt("n")
+    half = F.when(F.col("n") > 1, quantile("n") * F.col("sd") / F.sqrt("n"))
     return s.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half})

@@ -140,7 +140,8 @@ def run_annotation(spark: SparkSession, alignments: str, genome: str, out: str,
     from isospark.sources import sam
 
     reads = sam.read_bam(spark, alignments) if alignments.endswith(".bam") else sam.read_sam(spark, alignments)
-    a = annotate(reads, text.read_fasta(spark, genome), params)
+    sequences = text.read_fasta(spark, genome)
+    a = annotate(reads, sequences, params)
     for name, sites in (("tss", a.tss), ("tes", a.tes)):
         rows = sites.select("contig", F.lit("isospark").alias("source"), F.lit(name).alias("feature"), F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("cnt").cast("double").alias("score"), "strand", F.lit(".").alias("frame"), F.concat(F.lit(f"ID={name}_"), "contig", F.lit("_"), F.col("pos").cast("string"), F.lit(";p="), F.col("poisp").cast("string")).alias("info"))
         text.write_gff(rows, f"{out}/{name}.gff3")
@@ -149,8 +150,26 @@ def run_annotation(spark: SparkSession, alignments: str, genome: str, out: str,
     t = transcript_table(a.transcripts)
     text.write_gff(gff_rows(t.where("qualified")), f"{out}/transcripts.gff3")
     text.write_tsv(t.select("id", "contig", "strand", "ts", "te", S.exons_text("exons").alias("exons"), "reads", "qualified"), f"{out}/transcripts", ["contig", "ts", "te"])
-    tagged = a.reads.withColumns({k: sam.end_text(k) for k in ("l3", "r3", "l5", "r5")})
-    sam.write_sam(tagged, f"{out}/reads.sam", {f"{k}:Z": k for k in ("l3", "r3", "l5", "r5")})
+    text.write_tsv(a.rejected_introns.select("contig", "left", "right", "cnt", "coverage", "ratio", "consensus", "strand", "ts_score", "is_picked"), f"{out}/introns_not_qualified", ["contig", "left", "right"])
+    lengths = sequences.select("contig", F.length("seq").alias("length"))
+    names = t.select("contig", "strand", "ts", "te", "introns", F.col("id").alias("tr"))
+    known = a.tagged.where(~F.col("gap")).join(names, ["contig", "strand", "ts", "te", "introns"], "left").select(F.col("read").alias("qname"), "tr")
+    sites = a.tagged.select(F.col("read").alias("qname"), *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("ts", "te")])
+    labelled = label_tags(a.reads)
+    sam.write_sam(labelled, f"{out}/reads.sam", READ_TAGS, lengths)
+    whole = labelled.where(F.col("flag").bitwiseAND(512) == 0).join(sites, "qname", "left").join(known, "qname", "left")
+    sam.write_sam(whole, f"{out}/transcripts.sam", READ_TAGS | {"ts:i": "ts", "te:i": "te", "tr:Z": "tr"}, lengths)
+
+
+#: Tags of labelled reads: the last base, the ends as score, place and status, introns, and introns that were rejected.
+READ_TAGS = {"re:i": "end", "l3:Z": "l3", "r3:Z": "r3", "l5:Z": "l5", "r5:Z": "r5", "in:Z": "in", "ga:Z": "ga"}
+
+
+def label_tags(labelled: DataFrame) -> DataFrame:
+    """Labelled reads with their labels and introns as texts."""
+    from isospark.sources import sam
+
+    return labelled.withColumns({k: sam.end_text(k) for k in ("l3", "r3", "l5", "r5")} | {"in": sam.introns_text("introns"), "ga": sam.introns_text("lost")})
 
 
 def report(classification: DataFrame, by: list[str]) -> dict[str, DataFrame]:

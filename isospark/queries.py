@@ -40,6 +40,9 @@ VIEWS = {
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey""",
     "v_f1": "SELECT l_linestatus AS mode, o_orderpriority AS chem, c_mktsegment AS cell, l_returnflag AS annotator, avg(l_discount * 10) AS f1, CAST(sum(l_quantity) AS BIGINT) AS tp, CAST(sum(l_linenumber) AS BIGINT) AS fp, count(*) AS fn FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4",
     "v_seq": "SELECT concat('d', doc_id) AS contig, translate(regexp_replace(lower(text), '[^a-z]', ''{g}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {documents}",
+    "v_reads": """SELECT concat('c', l_linenumber % 3) AS contig, l_partkey AS pos, 20 + l_suppkey % 9 AS m1, 60 + l_partkey % 5 * 40 AS n, 15 + l_orderkey % 7 AS m2, CASE WHEN l_suppkey % 7 = 0 THEN 4 ELSE 0 END AS flag,
+    CASE WHEN l_orderkey % 4 = 1 THEN 'correct' WHEN l_suppkey % 11 = 0 THEN 'out of place' ELSE 'missing' END AS l3, CASE l_orderkey % 4 WHEN 0 THEN 'correct' WHEN 2 THEN 'potential template switching' ELSE 'no softclip' END AS r3,
+    CASE WHEN l_orderkey % 4 IN (0, 2) THEN 'correct' ELSE 'missing' END AS l5, CASE WHEN l_orderkey % 4 = 1 THEN 'correct' ELSE 'missing' END AS r5 FROM {lineitem}""",
     "v_status": """SELECT l_orderkey AS read, l_linenumber AS k, l_partkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 16 ELSE 0 END + CASE WHEN l_suppkey % 7 = 0 THEN 4 ELSE 0 END AS flag,
     CASE l_partkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'missing' ELSE 'no softclip' END AS l3, CASE l_suppkey % 4 WHEN 0 THEN 'out of place' WHEN 1 THEN 'correct' ELSE 'missing' END AS r3,
     CASE l_linenumber % 3 WHEN 0 THEN 'correct' ELSE 'no softclip' END AS l5, CASE l_orderkey % 5 WHEN 0 THEN 'potential template switching' ELSE 'missing' END AS r5 FROM {lineitem}""",
@@ -550,10 +553,10 @@ def structure_composition(rows):
     return rows.groupBy(F.coalesce(F.nullif("coding", F.lit("")), F.lit("(empty)")).alias("coding"), "structural_category").agg(F.count("*").alias("n"))
 
 
-@query("v_class", """WITH s AS (SELECT associated_transcript AS t, list_sort(list(DISTINCT annotator)) AS a FROM v_class WHERE length > 60000 GROUP BY 1), c AS (SELECT array_to_string(a, '&') AS combo, len(a) AS degree, count(*) AS n FROM s GROUP BY 1, 2)
+@query("v_class", """WITH s AS (SELECT concat_ws('|', associated_transcript, chemistry, cell_line) AS t, list_sort(list(DISTINCT annotator)) AS a FROM v_class GROUP BY 1), c AS (SELECT array_to_string(a, '&') AS combo, len(a) AS degree, count(*) AS n FROM s GROUP BY 1, 2)
 SELECT combo, degree::INT AS degree, n, row_number() OVER (ORDER BY n DESC, degree DESC, combo)::INT AS rank FROM c""")
 def upset_combos(rows):
-    return summaries.set_combinations(rows.where("length > 60000"), "associated_transcript", "annotator", ["A", "N", "R"])
+    return summaries.set_combinations(rows.withColumn("t", F.concat_ws("|", "associated_transcript", "chemistry", "cell_line")), "t", "annotator", ["A", "N", "R"])
 
 
 @query("v_class", "WITH r AS (SELECT CASE WHEN structural_category LIKE '%splice_match' THEN 'match' WHEN structural_category LIKE 'novel%' THEN 'novel' ELSE 'other' END AS c, annotator, count(*) AS n FROM v_class GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY annotator), 6) AS fraction FROM r")
@@ -834,8 +837,11 @@ def end_labels(seqs):
     from isospark.model import Params
     from isospark.operators import ends
 
-    cigar = F.concat(F.lit("35S"), F.greatest(F.length("seq") - 70, F.lit(1)).cast("string"), F.lit("M35S"))
-    reads = seqs.where(F.length("seq") > 71).select("contig", F.lit(0).alias("flag"), cigar.alias("cigar"), "seq")
+    n = F.length("seq")
+    clip = F.least(F.lit(35), F.floor((n - 1) / 2)).cast("int")  # short texts have shorter clips; one base is matched at least
+    side = F.when(clip > 0, F.concat(clip.cast("string"), F.lit("S"))).otherwise("")
+    cigar = F.concat(side, (n - 2 * F.greatest(clip, F.lit(0))).cast("string"), F.lit("M"), side)
+    reads = seqs.select("contig", F.lit(0).alias("flag"), cigar.alias("cigar"), "seq")
     out = ends.label_ends(reads, Params(three_score=12.0, five_score=12.0))
     return out.select("contig", *[F.col(f"{k}.{x}").alias(f"{k}_{x}") for k in ("l3", "l5", "r3", "r5") for x in ("score", "e", "status")])
 
@@ -853,3 +859,59 @@ def cigar_introns(exons):
     reads = t.select("contig", "start", F.lit(0).alias("flag"), F.array_join(parts, "").alias("cigar"), *[good.alias(k) for k in ("l3", "l5", "r3", "r5")])
     found = ends.find_introns(reads.withColumn("ops", ends.parse_cigar("cigar")))
     return ends.intron_counts(found).select("contig", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "cnt")
+
+
+# the annotation, from labelled reads
+
+_READS_SQL = """r AS (SELECT *, pos + m1 + n + m2 - 1 AS stop, l3 NOT IN ('missing', 'no softclip') OR r5 NOT IN ('missing', 'no softclip') AS minus, r3 NOT IN ('missing', 'no softclip') OR l5 NOT IN ('missing', 'no softclip') AS plus FROM v_reads WHERE flag & 4 = 0),
+s AS (SELECT *, CASE WHEN minus THEN '-' ELSE '+' END AS strand FROM r WHERE minus <> plus),
+bl AS (SELECT contig, strand, pos AS a, pos + m1 - 1 AS z FROM s UNION ALL SELECT contig, strand, pos + m1 + n, stop FROM s),
+tr AS (SELECT contig, strand AS track, a, z FROM bl UNION ALL SELECT contig, 'all', a, z FROM bl),
+ev AS (SELECT contig, track, spot, sum(d) AS d FROM (SELECT contig, track, a AS spot, 1 AS d FROM tr UNION ALL SELECT contig, track, z + 1, -1 FROM tr) GROUP BY 1, 2, 3 HAVING sum(d) <> 0),
+g AS (SELECT contig, track, spot AS lo, lead(spot) OVER (PARTITION BY contig, track ORDER BY spot) - 1 AS hi, sum(d) OVER (PARTITION BY contig, track ORDER BY spot) AS depth FROM ev)"""
+
+
+def _labelled(rows: DataFrame, p) -> DataFrame:
+    """Reads of two exons with their end labels, strand and introns."""
+    from isospark.operators import ends
+
+    ops = F.array(*[F.struct(F.lit(o).alias("op"), F.col(c).cast("int").alias("len")) for o, c in (("M", "m1"), ("N", "n"), ("M", "m2"))])
+    r = rows.withColumns({k: F.struct(F.col(k).alias("status")) for k in ("l3", "r3", "l5", "r5")}).withColumns({"start": F.col("pos"), "end": F.col("pos") + F.col("m1") + F.col("n") + F.col("m2") - 1, "ops": ops})
+    return ends.assign_strand(ends.find_introns(ends.mapped(r), p))
+
+
+@query("v_reads", f"""WITH {_READS_SQL},
+e AS (SELECT contig, 'l3' AS kind, pos FROM r WHERE l3 = 'correct' UNION ALL SELECT contig, 'l5', pos FROM r WHERE l5 = 'correct' UNION ALL SELECT contig, 'r3', stop FROM r WHERE r3 = 'correct' UNION ALL SELECT contig, 'r5', stop FROM r WHERE r5 = 'correct'),
+c AS (SELECT contig, kind, pos, count(*) AS cnt, CASE WHEN kind LIKE 'r%' THEN -pos ELSE pos END AS o FROM e GROUP BY 1, 2, 3),
+m AS (SELECT *, cnt = max(cnt) OVER (PARTITION BY contig, kind ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS top FROM c),
+t AS (SELECT *, o - lag(o) OVER (PARTITION BY contig, kind ORDER BY o) AS gap FROM m WHERE top),
+p AS (SELECT contig, kind, pos, cnt, CASE WHEN kind IN ('l5', 'r3') THEN '+' ELSE '-' END AS strand FROM t WHERE (gap IS NULL OR gap > 10) AND cnt >= 3),
+x AS (SELECT p.contig, p.kind, p.pos, k, max(coalesce(depth, 0)) AS depth FROM p CROSS JOIN range(10, 15) AS u(k) LEFT JOIN g ON g.contig = p.contig AND track = strand AND CASE WHEN kind LIKE 'l%' THEN p.pos + k ELSE p.pos - k END BETWEEN lo AND hi GROUP BY 1, 2, 3, 4),
+v AS (SELECT contig, kind, pos, avg(depth) AS coverage FROM x GROUP BY 1, 2, 3)
+SELECT contig, kind, strand, pos, cnt, round(coverage, 6) AS coverage FROM p JOIN v USING (contig, kind, pos) WHERE coverage = 0 OR cnt / coverage >= 0.05""")
+def site_calls(rows):
+    """Start and end sites of both strands, each by its share of the depth on its own strand."""
+    from isospark.model import Params
+    from isospark.plans import annotate
+
+    p = Params(first_exon=10, minimum=3, ratio=0.05, coverage_mode="inward")
+    reads = _labelled(rows, p)
+    return annotate.call_sites(reads, annotate.depth(reads), p).select("contig", "kind", "strand", "pos", "cnt", F.round("coverage", 6).alias("coverage"))
+
+
+@query("v_reads", f"""WITH {_READS_SQL},
+i AS (SELECT contig, pos + m1 - 1 AS l, pos + m1 + n AS r, count(*) AS cnt FROM r GROUP BY 1, 2, 3),
+k AS (SELECT a.contig, a.l, a.r, a.cnt / 0.05 >= max(b.cnt) AS picked FROM i a JOIN i b ON a.contig = b.contig AND b.l BETWEEN a.l - 15 AND a.l + 15 AND b.r BETWEEN a.r - 15 AND a.r + 15 GROUP BY a.contig, a.l, a.r, a.cnt),
+x AS (SELECT i.contig, i.l, i.r, k.k, side, max(coalesce(depth, 0)) AS depth FROM i CROSS JOIN range(10, 15) AS k(k) CROSS JOIN (VALUES ('l'), ('r')) AS y(side)
+      LEFT JOIN g ON g.contig = i.contig AND track = 'all' AND CASE WHEN side = 'l' THEN i.l - k.k ELSE i.r + k.k END BETWEEN lo AND hi GROUP BY 1, 2, 3, 4, 5),
+v AS (SELECT contig, l, r, avg(depth) AS coverage FROM x GROUP BY 1, 2, 3)
+SELECT contig, l AS "left", r AS "right", cnt, round(coverage, 6) AS coverage, picked AND cnt >= 2 AND (coverage = 0 OR cnt / coverage >= 0.02) AS is_qualified FROM i JOIN k USING (contig, l, r) JOIN v USING (contig, l, r)""")
+def intron_calls(rows):
+    """Introns with the mean depth on both sides, and which of them qualify by neighbours, count and share."""
+    from isospark.model import Params
+    from isospark.plans import annotate
+
+    p = Params(first_exon=10, minimum=2, ratio=0.02, coverage_mode="inward")
+    reads = _labelled(rows, p)
+    out = annotate.qualified_introns(reads, annotate.depth(reads), p)
+    return out.select("contig", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "cnt", F.round("coverage", 6).alias("coverage"), "is_qualified")

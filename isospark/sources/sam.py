@@ -18,28 +18,59 @@ _COLUMNS = ("qname", "flag", "contig", "start", "mapq", "cigar", "rnext", "pnext
 def read_sam(spark: SparkSession, path) -> DataFrame:
     """Mapped and unmapped reads; header lines and lines of fewer than eleven columns are left out.
 
-    Tags become a map of text values by their two letters.
+    Tags become a map of text values by their two letters, and one of their types.
     """
     c = F.split("value", "\t")
     lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(c.alias("c")).where(F.size("c") >= 11)
-    r = lines.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(_COLUMNS)], F.slice("c", 12, 10_000).alias("t"))
+    r = lines.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(_COLUMNS)], F.slice("c", F.lit(12), F.size("c")).alias("t"))
     tags = F.map_from_entries(F.transform("t", lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 30))))
-    r = r.withColumns({"flag": F.col("flag").cast("int"), "start": F.col("start").cast("int"), "mapq": F.col("mapq").cast("int"), "tags": tags})
+    types = F.map_from_entries(F.transform("t", lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 4, 1))))
+    numbers = {n: F.col(n).cast("int") for n in ("flag", "start", "mapq", "pnext", "tlen")}
+    r = r.withColumns(numbers | {"tags": tags, "tag_types": types})
     r = r.withColumn("end", F.col("start") + aligned_length(parse_cigar("cigar")) - 1)
     return r.select(*[x.split()[0] for x in READ.split(", ")])
 
 
-def sam_lines(reads: DataFrame, tags: dict[str, str]) -> DataFrame:
-    """SAM lines of reads; ``tags`` gives, by tag and type such as ``ts:i``, the column to write (nulls are left out)."""
-    t = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))) for k, c in tags.items()]
-    body = [F.coalesce(F.col(c).cast("string"), F.lit("*")) for c in ("qname", "flag", "contig", "start", "mapq", "cigar")]
-    return reads.select(F.concat_ws("\t", *body, F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce("seq", F.lit("*")), F.lit("*"), *t).alias("value"))
+def sam_lines(reads: DataFrame, tags: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+    """SAM lines of reads: their columns, the tags they came with, and new ones.
+
+    ``tags`` gives, by tag and type such as ``ts:i``, the column to write (nulls are left out); a tag
+    of the same letters that was read gives way.  Columns that ``reads`` lacks are written as unknown.
+    """
+    known = {"qname": "*", "flag": "0", "contig": "*", "start": "0", "mapq": "255", "cigar": "*", "rnext": "*", "pnext": "0", "tlen": "0", "seq": "*", "qual": "*"}
+    body = [F.coalesce(F.col(c).cast("string"), F.lit(v)) if c in reads.columns else F.lit(v) for c, v in known.items()]
+    new = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))) for k, c in tags.items()]
+    if "tags" not in reads.columns:
+        return reads.select(*(keep or []), F.concat_ws("\t", *body, *new).alias("value"))
+    ours = F.array(*[F.lit(k[:2]) for k in tags]).cast("array<string>")
+    kept = F.filter(F.map_entries("tags"), lambda e: ~F.array_contains(ours, e["key"]))
+    types = F.col("tag_types") if "tag_types" in reads.columns else F.lit(None).cast("map<string,string>")
+    old = F.transform(kept, lambda e: F.concat_ws(":", e["key"], F.coalesce(types[e["key"]], F.lit("Z")), e["value"]))
+    return reads.select(*(keep or []), F.concat_ws("\t", *body, F.coalesce(old, F.array().cast("array<string>")), *new).alias("value"))
+
+
+def write_sam(reads: DataFrame, path: str, tags: dict[str, str], contigs: DataFrame | None = None, program: str = "isospark") -> None:
+    """A coordinate-sorted SAM file in parts: joined in the order of their names they are one.
+
+    The first part begins with the header: order, contigs and program.  ``contigs(contig, length)``
+    gives lengths; without it the contigs of the reads are listed with the furthest end.  Unmapped
+    reads come last.
+    """
+    spark = reads.sparkSession
+    if contigs is None:
+        contigs = reads.where("contig is not null and contig <> '*'").groupBy("contig").agg(F.max("end").alias("length"))
+    line = lambda *x: F.concat_ws("\t", *x)
+    mark = spark.createDataFrame([(0, "@HD\tVN:1.6\tSO:coordinate"), (2, f"@PG\tID:{program}\tPN:{program}")], "part int, value string").select("part", F.lit("").alias("name"), F.lit(0).cast("long").alias("at"), "value")
+    listed = contigs.select(F.lit(1).alias("part"), F.col("contig").alias("name"), F.lit(0).cast("long").alias("at"), line(F.lit("@SQ"), F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), F.col("length").cast("string"))).alias("value"))
+    mapped = F.coalesce(F.col("contig") != "*", F.lit(False))
+    lines = sam_lines(reads.withColumns({"_part": F.when(mapped, 3).otherwise(4), "_name": F.coalesce("contig", F.lit("")), "_at": F.coalesce(F.col("start").cast("long"), F.lit(0))}), tags, ["_part", "_name", "_at"])
+    mark.union(listed).union(lines).orderBy("part", "name", "at", "value").select("value").write.mode("overwrite").text(path)
 
 
-def write_sam(reads: DataFrame, path: str, tags: dict[str, str]) -> None:
-    """Coordinate-sorted SAM part files, with a header line of the contigs in each."""
-    ordered = reads.orderBy("contig", "start")
-    sam_lines(ordered, tags).write.mode("overwrite").text(path)
+def introns_text(introns: str):
+    """Introns as ``(a, b),(c, d)``; null for none."""
+    t = F.array_join(F.transform(introns, lambda i: F.format_string("(%d, %d)", i["s"], i["e"])), ",")
+    return F.when(F.size(introns) > 0, t)
 
 
 def end_text(label: str):
@@ -121,18 +152,21 @@ def bam_records(take):
         take(4)
     while len(head := take(4)) == 4:
         b = take(struct.unpack("<i", head)[0])
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", b)
+        ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
         at = 32
         name = b[at : at + n_name - 1].decode()
         at += n_name
         ops = struct.unpack_from(f"<{n_ops}I", b, at)
         at += 4 * n_ops
         seq = "".join("=ACMGRSVTWYHKDBN"[x >> 4] + "=ACMGRSVTWYHKDBN"[x & 15] for x in b[at : at + (n_seq + 1) // 2])[:n_seq]
-        at += (n_seq + 1) // 2 + n_seq
-        tags = {}
+        at += (n_seq + 1) // 2
+        qual = "*" if not n_seq or b[at] == 255 else bytes(x + 33 for x in b[at : at + n_seq]).decode("ascii")
+        at += n_seq
+        tags, types = {}, {}
         while at < len(b):
             key, kind = b[at : at + 2].decode(), chr(b[at + 2])
             at += 3
+            types[key] = kind if kind in "AZHBf" else "i"
             if kind in "ZH":
                 end = b.index(0, at)
                 tags[key] = b[at:end].decode()
@@ -148,7 +182,9 @@ def bam_records(take):
                 at += struct.calcsize("<" + _TAG[kind])
         cigar = "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in ops) or "*"
         span = sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8))
-        yield (name, flag, contigs[ref] if ref >= 0 else None, pos + 1, pos + span, mapq, cigar, seq or "*", tags)
+        name_of = lambda k: contigs[k] if k >= 0 else None
+        rnext = None if mate < 0 else "=" if mate == ref else name_of(mate)
+        yield (name, flag, name_of(ref), pos + 1, pos + span, mapq, cigar, seq or "*", tags, rnext, mate_pos + 1, tlen, qual, types)
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isospark.functions import scalar as S
-from isospark.model import DEPTH, GFF
+from isospark.model import GFF
 
 
 def read_lines(spark: SparkSession, path, **options) -> DataFrame:
@@ -110,7 +110,6 @@ def read_depth(spark: SparkSession, path, contigs: DataFrame | None = None) -> D
     c = F.split("value", "\t")
     d = read_lines(spark, path).select(F.get(c, F.lit(0)).alias("contig"), F.get(c, F.lit(1)).try_cast("int").alias("pos"), F.get(c, F.lit(2)).try_cast("int").alias("depth"))
     d = d.where("pos is not null and depth is not null")
-    assert DEPTH
     return d if contigs is None else d.join(contigs.select("contig").distinct(), "contig", "left_semi")
 
 

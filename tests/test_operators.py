@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tempfile
 
 import pytest
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 @pytest.fixture(autouse=True)
 def checkpoints(spark):
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/isospark-test-checkpoints")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isospark-"))
 
 
 def test_interval_matching_is_maximal(spark):
@@ -100,12 +101,38 @@ def test_peaks_ties(spark):
     assert down[20] and not down[10] and down[31]
 
 
+def plain_tail(k, m):
+    """P(X > k), every term that matters in logarithms, from the side of the smaller part."""
+    if m <= 0:
+        return 0.0
+    reach = int(60 * math.sqrt(m) + 400)
+    term = lambda i: math.exp(-m + i * math.log(m) - math.lgamma(i + 1))
+    if k + 1 >= m:
+        return math.fsum(term(i) for i in range(max(k + 1, 0), k + 1 + reach))
+    return 1 - math.fsum(term(i) for i in range(max(k - reach, 0), k + 1))
+
+
 def test_poisson_tail(spark):
-    cases = [(0, 0.5), (3, 0.1), (10, 10.0), (200, 90.0), (50, 80.0), (5, 0.0), (1000, 1200.0), (-1, 3.0)]
+    cases = [(0, 0.5), (3, 0.1), (10, 10.0), (200, 90.0), (50, 80.0), (5, 0.0), (1000, 1200.0), (-1, 3.0), (20, 2000.0), (50_000, 1e6), (0, 1e6), (1_000_000, 1e6), (1_002_000, 1e6), (999_000, 1e6), (10, 1e-9), (3_000_000, 1e6)]
+    rng = random.Random(11)
+    for _ in range(300):
+        m = 10 ** rng.uniform(-3, 6)
+        cases.append((max(0, round(m + rng.gauss(0, 1) * rng.choice([1, 3, 10, 100]) * math.sqrt(m))), m))
     got = [r.p for r in spark.createDataFrame(cases, "k int, m double").select(S.poisson_tail("k", "m").alias("p")).collect()]
     for (k, m), p in zip(cases, got):
-        want = math.fsum(math.exp(-m + i * math.log(m) - math.lgamma(i + 1)) for i in range(k + 1, k + 4000)) if m else 0.0
-        assert p == pytest.approx(want, rel=1e-8, abs=1e-300)
+        # lgamma itself is only good to some 1e-9 at a million
+        assert p == pytest.approx(plain_tail(k, m), rel=1e-8 if m < 1e3 else 3e-8, abs=1e-300 if k + 1 >= m else 1e-9), (k, m)
+    assert got[8] == got[9] == 1.0
+    none = spark.createDataFrame([(None, 1.0), (1, None)], "k int, m double").select(S.poisson_tail("k", "m").alias("p")).collect()
+    assert [r.p for r in none] == [None, None]
+
+
+def test_weak_maxima_beside_strong_ones(spark):
+    counts = spark.createDataFrame([("c", p, 100_000) for p in (100, 120, 140, 160)] + [("c", 180, 25), ("d", 7, 30)], "contig string, pos long, cnt long")
+    rows = {(r.contig, r.pos): r for r in peaks.call_peaks(counts, ["contig"]).collect()}
+    assert rows["c", 180].is_picked and rows["c", 180].poisp == 1.0 and rows["d", 7].poisp < 1e-6
+    called = peaks.qualify(peaks.call_peaks(counts, ["contig"]), 20, 0.0, ratio_col=None)
+    assert {(r.contig, r.pos) for r in peaks.significant(called).collect()} == {("c", 100), ("c", 120), ("c", 140), ("c", 160), ("d", 7)}
 
 
 def test_coverage_and_depth_lookup(spark):
@@ -232,6 +259,20 @@ def test_splice_sites_need_every_contig(spark):
         introns.with_splice_sites(i, spark.createDataFrame([("c", "A" * 50)], "contig string, seq string"))
 
 
+def test_splice_windows_across_pieces(spark, monkeypatch):
+    rng = random.Random(12)
+    seqs = {c: "".join(rng.choice("ACGT") for _ in range(n)) for c, n in (("a", 500), ("b", 64), ("c", 63))}
+    places = [(c, l, l + rng.randint(1, 30)) for c, s in seqs.items() for l in range(1, len(s) - 31)]
+    genome = spark.createDataFrame(list(seqs.items()), "contig string, seq string")
+    found = []
+    for size in (introns.PIECE, 16):
+        monkeypatch.setattr(introns, "PIECE", size)
+        found.append({(r.contig, r.left, r.right): (r.leftseq, r.rightseq, r.consensus, r.ts_score) for r in introns.with_splice_sites(spark.createDataFrame(places, "contig string, left int, right int"), genome).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(set(places))
+    for (c, l, r), (a, b, _, _) in found[0].items():
+        assert (a, b) == (seqs[c][max(l - 3, 0) : max(l - 3, 0) + 6], seqs[c][max(r - 4, 0) : max(r - 4, 0) + 6])
+
+
 def test_exons_between(spark):
     row = spark.createDataFrame([(10, 90, [(20, 31), (50, 61)]), (5, 9, [])], "s int, e int, i array<struct<s:int,e:int>>").select(transcripts.exons_between(F.col("s"), F.col("e"), F.col("i")).alias("x")).collect()
     assert [[tuple(e) for e in r.x] for r in row] == [[(10, 20), (31, 50), (61, 90)], [(5, 9)]]
@@ -244,6 +285,15 @@ def test_statistics():
     assert stats.incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-6)
 
 
+def test_mean_interval_for_every_size(spark):
+    known = {2: 12.706205, 5: 2.776445, 200: 1.971957, 201: 1.971896, 1000: 1.962341}
+    rows = [(n, float(i % 2)) for n in known for i in range(n)] + [(1, 3.0)]
+    got = {r.g: r for r in stats.mean_interval(spark.createDataFrame(rows, "g int, v double"), ["g"], "v").collect()}
+    for n, t in known.items():
+        assert (got[n].high - got[n].mean) / (got[n].sd / math.sqrt(n)) == pytest.approx(t, abs=2e-6)
+    assert got[1].mean == 3.0 and got[1].low is None and got[1].high is None
+
+
 def test_adjust_with_nulls(spark):
     df = spark.createDataFrame([("k", 0.01), ("k", 0.04), ("k", None), ("k", 0.03)], "k string, p double")
     bh = {r.p: r.p_adj for r in stats.adjust(df, ["k"]).collect()}
@@ -284,6 +334,12 @@ def test_stretches_change_nothing(spark, monkeypatch):
         return p, f, sorted(map(tuple, seg.collect())), c
 
     whole = all_of()
+    gaps = sorted(map(tuple, cluster.gap_clusters(counts, ["contig"], "pos", 10).collect()))
+    pairs = match.interval_matches(probes.distinct(), blocks.selectExpr("contig", "bstart as lo", "bend as hi"), ["contig"]).first()
+    monkeypatch.setattr(cluster, "STRETCH", 150)
+    monkeypatch.setattr(match, "STRETCH", 150)
+    assert sorted(map(tuple, cluster.gap_clusters(counts, ["contig"], "pos", 10).collect())) == gaps
+    assert match.interval_matches(probes.distinct(), blocks.selectExpr("contig", "bstart as lo", "bend as hi"), ["contig"]).first() == pairs
     for m in (peaks, rangejoin, coverage):
         monkeypatch.setattr(m, "STRETCH", 150)
     monkeypatch.setattr(peaks.stretches, "__defaults__", (150,))

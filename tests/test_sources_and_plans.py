@@ -2,6 +2,7 @@
 
 import gzip
 import struct
+import tempfile
 import zlib
 
 import pytest
@@ -17,7 +18,7 @@ from isospark.streaming import ends as streaming
 @pytest.fixture(autouse=True)
 def checkpoints(spark):
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/isospark-test-checkpoints")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isospark-"))
 
 
 FIVE = Params().five_adapter
