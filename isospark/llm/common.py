@@ -1,39 +1,13 @@
-"""Helpers shared by the corpus operators: shared scratch space and graph components."""
+"""Helpers shared by the corpus operators: scratch space in the shared folder, and graph components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isospark.session import cut, scratch_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI; set up for a local session where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="isospark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that later jobs and lost executors do not recompute it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; unlike ``cut``, its size is known to the join planner."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "cut", "scratch_path", "shared_dir", "text_blocks", "written"]
 
 
 def text_blocks(table, columns: list[str]):
@@ -43,35 +17,34 @@ def text_blocks(table, columns: list[str]):
     return [table.column(c).cast(pa.binary()).to_pylist() for c in columns]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as ``edges(a long, b long)``.
 
     Returns ``(node, component)`` for every node with an edge, ``component`` being the
     smallest node reachable.  Alternates large-star and small-star steps, each a grouped
-    minimum and a join, until the edge set is a fixed point (a star per component); a hub
-    with very many leaves is only ever a join key whose rows AQE may split.  Loops, repeated
-    edges and an empty input are allowed; edges with a null end are ignored.
+    minimum and a join, until the edge set is a fixed point (a star per component), which
+    takes a number of rounds that grows with the logarithm of the nodes; a hub with very many
+    leaves is only ever a join key whose rows AQE may split.  Loops, repeated edges and an
+    empty input are allowed; edges with a null end are ignored.
     """
     e = cut(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    mark = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    # Of a distinct set of edges: its size and two sums of hashes.
+    mark_of = [F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(hash(v, u) as long))")]
+    mark = e.agg(*mark_of).first()
+    while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        new = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        new = e.agg(*mark_of).first()
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

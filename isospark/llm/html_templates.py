@@ -1,13 +1,17 @@
 """Operator 2, HTML extraction by removal of site templates.
 
-First pass: every page is parsed to elements, and the subtrees that could be furniture are
-hashed (tag, class, text and children).  Spark counts, per host, on how many different pages each
-hash recurs.  Second pass: a page's subtrees whose hash recurs across many pages of its host are
-deleted, as are elements that say by tag, role or class that they are no article; the text that is
-left in the article is cut into blocks.
-
-Copies of one page count once, and running text inside an article (paragraphs, headings, lists
-items, quotations) is no candidate, so articles that were copied do not become templates.
+First pass: every page is parsed to elements, and each subtree that holds text is hashed (tag, class,
+words and children) together with its slot (its own and its parent's tag and class).  Spark counts per
+host on how many pages each hash recurs.  Second pass: subtrees whose hash recurs across many pages of
+their host are deleted, inside the article as outside of it; so are elements that say by tag, role or
+a whole class name that they are no article.  What text is left of the article is cut into blocks.
+
+What recurs is told from what was copied: pages are counted by what they are about (title, heading and
+the beginnings of the three longest blocks), and a subtree that is mostly found on pages of one such kind is part of an
+article with near copies.  Short texts recur by chance; they must also make up a share of their slot.
+Running text (paragraphs, headings, list items) is quoted and repeated from article to article, at their
+ends too, so it is only deleted with a container around it.
+No threshold depends on how many pages a host has.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import html as _html
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +28,15 @@ from pyspark.sql import types as T
 from .common import written
 from .url_filter import host_and_path
 
-#: A subtree is a template if it is on so many different pages of a host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 10, 0.02
+#: A template is on pages of so many kinds, of which none has more than this share of those pages.
+MIN_PAGES, MAX_OF_ONE = 4, 0.5
+#: Texts of fewer words must also be this share of all that stands in their slot.
+LONG_WORDS, MIN_OF_SLOT = 8, 0.04
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Numbers in class names tell pages apart, not kinds of elements.
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,43 +57,55 @@ _CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 _NO_ARTICLE = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg math canvas object audio video dialog menu search title map datalist".split())
+#: Elements without any text of their own to read.
+_UNSEEN = frozenset("head script style noscript template svg math canvas object audio video iframe title map datalist select".split())
+_NEVER = frozenset("nav footer aside menu button textarea search".split())
 _NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_NO_NAME = frozenset(
-    "ad ads advert advertisement alert adverts advertising adsense aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion reader-comments recommended related replies reply respond share sharing sidebar signup sidenav skip social sponsor sponsored subscribe subscription subnav teaser toolbar topbar topnav widget widgets".split()
+#: A class or id says that an element is furniture if all its parts are of these two lists, and one of the first.
+_FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup sidenav skip skiplink skiplinks sponsor sponsored subscribe subscription subnav teaser teasers toolbar topbar topnav widget widgets".split()
 )
+_AFFIX = frozenset(
+    "site page main top bottom left right post article entry global primary secondary header box bar block blocks button buttons container wrapper wrap inner outer section area list lists item items link links panel slot unit group row col form icon icons text title body content thread reader user social media email mobile desktop sticky fixed small large posts articles stories legal privacy policy bar".split()
+)
+
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd tr figcaption summary".split())
 
 
 class Element:
-    __slots__ = ("tag", "parts", "gone", "inside", "hash", "name", "size")
+    __slots__ = ("tag", "parts", "hard", "named", "name", "inside", "hash", "key", "size", "words", "gone", "whole")
 
-    def __init__(self, tag: str, gone: bool, inside: bool, name: str):
-        self.tag, self.gone, self.inside, self.name = tag, gone, inside, name
+    def __init__(self, tag: str, hard: bool = False, named: bool = False, name: str = "", inside: bool = False):
+        self.tag, self.hard, self.named, self.name, self.inside = tag, hard, named, name, inside
         self.parts: list = []  # texts and elements, in order
-        self.hash = self.size = 0
+        self.hash = self.key = self.size = self.words = 0
+        self.gone = False
+        self.whole = False  # it holds the article
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
 
 
-def _unwanted(tag: str, a: dict[str, str], inside: bool) -> bool:
-    """An element that says it is no article."""
-    if tag in _NO_ARTICLE or (tag == "header" and not inside):
-        return True
+def furniture_name(token: str) -> bool:
+    """Whether one class or id names furniture as a whole: ``cookie-notice`` does, ``notice-period`` does not."""
+    parts = {x.lower() for x in _NAME.findall(token)}
+    return bool(parts & _FURNITURE) and parts <= _FURNITURE | _AFFIX
+
+
+def _unwanted(tag: str, a: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether an element says by tag, role or state that it is no article, and whether it does by name."""
+    hard = tag in _NO_ARTICLE or (tag == "header" and not in_article)
     if not a:
-        return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role") in _NO_ROLE:
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    names = {x.lower() for x in _NAME.findall(a.get("class", "") + " " + a.get("id", ""))}
-    return bool(names & _NO_NAME) or (not inside and "header" in names)
+        return hard, False
+    hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role") in _NO_ROLE
+    tokens = f"{a.get('class', '')} {a.get('id', '')}".split()
+    return hard, any(furniture_name(x) or (not in_article and x.lower() in ("header", "site-header", "page-header")) for x in tokens)
 
 
 def parse(html: str) -> Element:
     """The element tree of a page, end tags implied where they are missing."""
-    root = Element("#", False, False, "")
+    root = Element("#")
     stack = [root]
     at, n = 0, len(html)
     while at < n:
@@ -121,10 +142,10 @@ def parse(html: str) -> Element:
                     break
                 if stack[k].tag in _BLOCK:
                     break
-        up = stack[-1]
         a = _attributes(m[3])
-        inside = up.inside or tag in ("article", "main") or a.get("role") == "main"
-        e = Element(tag, up.gone or _unwanted(tag, a, up.inside), inside, a.get("class", ""))
+        up = stack[-1]
+        inside = up.inside or tag in ("article", "main")
+        e = Element(tag, *_unwanted(tag, a, up.inside), a.get("class", ""), inside)
         up.parts.append(e)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(html, at)
@@ -147,57 +168,101 @@ def _walk(root: Element):
     return reversed(order)
 
 
-def hash_subtrees(root: Element) -> None:
-    """A 64-bit hash of each element from tag, class, words and children, and the length of its text."""
-    import xxhash
+def resolve(root: Element) -> Element:
+    """Fills in hashes, text sizes, and which elements are gone; gives the page's article.
 
-    for e in _walk(root):
-        parts, e.size = [e.tag, e.name], 0
+    An element that holds the article is not gone whatever its tag or name, nor is one that holds
+    nearly all text, but for a few tags.  The article is the largest ``article`` or ``main`` that is
+    not within furniture.
+    """
+    order = list(_walk(root))
+    for e in order:
+        parts, e.size, e.words = [e.tag, _DIGITS.sub("", e.name)], 0, 0
         for p in e.parts:
             if isinstance(p, Element):
                 parts.append(f"\0{p.hash:x}")
-                e.size += p.size
+                if p.tag not in _UNSEEN:
+                    e.size += p.size
+                    e.words += p.words
             else:
-                words = " ".join(p.split())
-                parts.append(words)
-                e.size += len(words)
-        e.hash = xxhash.xxh64_intdigest("\1".join(parts).encode("utf-8", "surrogatepass"))
+                words = p.split()
+                parts.append(" ".join(words))
+                e.size += sum(map(len, words))
+                e.words += len(words)
+        e.hash = _hash("\1".join(parts))
+    best, most = None, 0.9 * root.size
+    todo = [(root, False)]
+    while todo:
+        e, within = todo.pop()
+        within = within or ((e.hard or e.named) and (e.size < most or e.tag in _NEVER))
+        if e.tag in ("article", "main") and not within and (best is None or e.size > best.size):
+            best = e
+        for p in reversed(e.parts):
+            if isinstance(p, Element):
+                todo.append((p, within))
+    if best is not None:
+        best.whole = True
+    for e in order:  # children first
+        e.whole = e.whole or any(p.whole for p in e.parts if isinstance(p, Element))
+        slot_of = f"{e.tag}\1{_DIGITS.sub('', e.name)}"
+        for p in e.parts:
+            if isinstance(p, Element):
+                p.key = _hash(f"{slot_of}\1{p.tag}\1{_DIGITS.sub('', p.name)}")  # the slot, until the next line
+                p.gone = p.tag in _UNSEEN or ((p.hard or p.named) and not p.whole and (p.size < most or p.tag in _NEVER))
+    return root
+
+
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidates(html: str | None) -> tuple[int, list[int]]:
-    """A page's signature and the hashes of the subtrees that could be furniture."""
-    root = parse(html or "")
-    hash_subtrees(root)
-    found = {e.hash for e in _walk(root) if e.size and e.tag in _BLOCK and e.tag not in ("html", "body", "head", "article", "main") and not (e.inside and e.tag in _PROSE)}
-    return _signed(root.hash), sorted(map(_signed, found))
+def template_key(e: Element) -> int:
+    """What recurs: the subtree in its slot."""
+    return _signed((e.hash * 0x9E3779B97F4A7C15 + e.key) & 0xFFFFFFFFFFFFFFFF)
+
+
+def _candidate(e: Element) -> bool:
+    """A block that may be deleted as a template."""
+    return bool(e.words) and e.tag in _BLOCK and e.tag not in _PROSE and not e.whole and e.tag not in ("html", "body", "head", "#")
+
+
+def candidates(html: str | None) -> tuple[int, list[tuple[int, int, int]]]:
+    """What a page is about, and (key, slot, words) of each different subtree that may be a template."""
+    root = resolve(parse(html or ""))
+    found, titles = {}, {}
+    for e in _walk(root):
+        if _candidate(e):
+            found[template_key(e)] = (_signed(e.key), e.words)
+        if e.tag in ("title", "h1"):
+            titles[e.tag] = e  # the first one, as the walk goes backwards
+    longest = sorted(_blocks(root, frozenset()), key=lambda b: (-len(b), b))[:3]
+    about = [f"{e.hash:x}" for _, e in sorted(titles.items())] + [" ".join(b.split()[:6]) for b in longest]
+    about = _hash("\1".join(about)) if about else root.hash
+    return _signed(about), [(k, *v) for k, v in sorted(found.items())]
 
 
 def main_root(root: Element) -> list[Element]:
-    """Outermost articles that are wanted; else main elements; else the page."""
-    for tags in (("article",), ("main",)):
-        found, todo = [], [root]
-        while todo:
-            e = todo.pop()
-            if e.tag in tags and not e.gone:
-                found.append(e)
-            else:
-                todo += [p for p in reversed(e.parts) if isinstance(p, Element)]
-        if found:
-            return found
-    return [root]
+    """Outermost ``main`` and ``article`` elements that are not gone; else the page."""
+    found, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        if e.gone:
+            continue
+        if e.tag in ("article", "main"):
+            found.append(e)
+        else:
+            todo += [p for p in reversed(e.parts) if isinstance(p, Element)]
+    return found or [root]
 
 
-def extract(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text: blocks in page order, joined by two line feeds."""
-    if not html:
-        return ""
-    root = parse(html)
-    if templates:
-        hash_subtrees(root)
+def _blocks(root: Element, templates) -> list[str]:
+    """The blocks of a resolved page's article without what is gone and without templates."""
     blocks, now = [], []
 
     def close():
@@ -214,7 +279,7 @@ def extract(html: str | None, templates: frozenset[int] | set[int] = frozenset()
                 close()
             elif isinstance(e, str):
                 now.append(e)
-            elif e.gone or (templates and e.size and e is not top and e.tag in _BLOCK and not (e.inside and e.tag in _PROSE) and _signed(e.hash) in templates):
+            elif e is not top and (e.gone or (templates and _candidate(e) and template_key(e) in templates)):
                 close() if e.tag in _BLOCK else now.append(" " if e.tag in _SPACED else "")
             else:
                 if e.tag in _BLOCK or e is top:
@@ -224,57 +289,78 @@ def extract(html: str | None, templates: frozenset[int] | set[int] = frozenset()
                     now.append(" ")
                 todo += reversed(e.parts)
         close()
-    return "\n\n".join(blocks)
+    return blocks
+
+
+def extract(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text: blocks in page order, joined by two line feeds."""
+    return "\n\n".join(_blocks(resolve(parse(html)), templates)) if html else ""
 
 
 # Spark
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, templates array<long>)`` of hosts that have any.
+_KEY = ("_host", "_a", "_b")
 
-    Subtrees are counted over pages that differ.  As a template is on ``min_share`` of them, a
-    host has at most ``1 / min_share`` times as many templates as a page has elements.
-    """
+
+def _page_key(url: Column, html: Column) -> list[Column]:
+    """Host and two hashes of the page, by which its deletions find it again; equal pages share them."""
+    return [host_and_path(url)[0].alias("_host"), F.xxhash64(html).alias("_a"), F.xxhash64(html, F.lit(1)).alias("_b")]
+
+
+def page_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(_host, _a, _b, about, key, slot, words)``: a row for each different subtree of each row of ``pages``."""
+
+    names = ("key", "slot", "words")
 
     def run(texts: pa.Array) -> pa.Array:
         rows = [candidates(h) for h in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["page", "hashes"])
+        each = [dict(zip(names, x)) for _, found in rows for x in found]
+        edge = np.cumsum([0, *(len(found) for _, found in rows)]).astype(np.int32)
+        kind = pa.struct([("key", pa.int64()), ("slot", pa.int64()), ("words", pa.int32())])
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(each, kind))], names=["about", "found"])
+
+    kind = "struct<about:long,found:array<struct<key:long,slot:long,words:int>>>"
+    rows = pages.where(F.col(html_col).isNotNull()).select(*_page_key(F.col(url_col), F.col(html_col)), F.arrow_udf(run, kind)(F.col(html_col)).alias("c"))
+    return written(rows.select(*_KEY, "c.about", F.explode("c.found").alias("f")).select(*_KEY, "about", "f.*"), "subtrees")
+
 
-    kind = T.StructType([T.StructField("page", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
-    rows = pages.select(host_and_path(F.col(url_col))[0].alias("host"), F.arrow_udf(run, kind)(F.col(html_col)).alias("c"))
-    seen = rows.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "c.hashes")).alias("hash"), "c.page").distinct()
-    # The null hash stands for the page itself and counts the host's pages.
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(total, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+def site_templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, max_of_one: float = MAX_OF_ONE, long_words: int = LONG_WORDS, min_of_slot: float = MIN_OF_SLOT) -> DataFrame:
+    """``(_host, key)`` of the templates among ``page_subtrees``.
+
+    Counted over different pages, first per kind of page and then per host, so that a host with very
+    many pages is summed in parts.
+    """
+    of = ["_host", "key", "slot", "words"]
+    per = subtrees.distinct().groupBy(*of, "about").agg(F.count("*").alias("n"))
+    counts = per.groupBy(*of).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    slots = counts.groupBy("_host", "slot").agg(F.sum("n").alias("all"))
+    often = counts.where((F.col("kinds") >= min_pages) & (F.col("most") <= F.lit(max_of_one) * F.col("n")))
+    judged = often.join(slots, ["_host", "slot"]).where((F.col("words") >= long_words) | (F.col("n") >= F.lit(min_of_slot) * F.col("all")))
+    return judged.select("_host", "key")
 
 
 def _extract(html: Column, templates: Column) -> Column:
     @F.arrow_udf(T.StringType())
-    def run(texts: pa.Array, hashes: pa.Array) -> pa.Array:
-        last, known = None, frozenset()
-        out = []
-        for h, t in zip(texts.to_pylist(), hashes.to_pylist()):
-            if t is not last and t != last:
-                last, known = t, frozenset(t or ())
-            out.append(extract(h, known))
-        return pa.array(out, pa.string())
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return pa.array([extract(h, frozenset(k or ())) for h, k in zip(texts.to_pylist(), keys.to_pylist())], pa.string())
 
     return run(html, templates)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
-    """``(id_col, url_col, text, n_chars)``, one row per row of ``pages``.
+    """``(id_col, url_col, text, n_chars, n_templates)``, one row per row of ``pages``.
 
-    A null or empty page has an empty text; a page with a null URL, or one without ``://``, belongs
-    to the host with the empty name; null and repeated ids keep a row each; further columns are not
-    read; an empty table gives none.  Broken markup is read as browsers do, roughly: missing end
-    tags are implied, stray ones ignored.
+    ``n_templates`` is how many recurring subtrees of its host a page has.  A null or empty page has an
+    empty text; a page with a null URL, or one without ``://``, belongs to the host with the empty
+    name; null and repeated ids keep a row each, and repeated rows count once as pages; further columns
+    are not read; an empty table gives none.  Pages are parsed whole, one at a time.  Broken markup is
+    read as browsers do, roughly: missing end tags are implied, stray ones ignored.
     """
-    # Written, so that the planner knows its size and broadcasts it only if it is small.
-    templates = written(site_templates(pages, url_col, html_col, **options), "templates").withColumnRenamed("host", "_host")
-    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), host_and_path(F.col(url_col))[0].alias("_host"))
-    text = rows.join(templates, "_host", "left").select(id_col, url_col, _extract(F.col("_html"), F.col("templates")).alias("text"))
-    return text.withColumn("n_chars", F.length("text").cast("long"))
+    subtrees = page_subtrees(pages, url_col, html_col)
+    # Written, so that the planner knows their size: it broadcasts them if they are small, and joins by key otherwise.
+    templates = written(site_templates(subtrees, **options), "templates")
+    hits = written(subtrees.distinct().join(templates, ["_host", "key"]).groupBy(*_KEY).agg(F.collect_set("key").alias("_keys")), "template-hits")
+    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), *_page_key(F.col(url_col), F.col(html_col)))
+    text = rows.join(hits, list(_KEY), "left").select(id_col, url_col, _extract(F.col("_html"), F.col("_keys")).alias("text"), F.coalesce(F.size("_keys"), F.lit(0)).alias("n_templates"))
+    return text.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_templates")

@@ -27,7 +27,7 @@ def plain_article(page):
 def test_query(spark):
     want = {r.page_id: plain_article(r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op2_html_templates(spark, SF)
-    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert got.columns[:4] == ["page_id", "url", "text", "n_chars"]
     rows = got.collect()
     assert {r.page_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
 
@@ -58,7 +58,7 @@ def test_templates(spark):
         rows.append((i, f"http://a.example/{i}", f"<body>{box}<div><p>Own text {i}</p></div><div><p>end {i % 3}</p></div></body>"))
     rows += [(100 + i, "http://b.example/", "<body><div><p>Copied</p></div></body>") for i in range(30)]
     rows += [(200, None, None), (201, "", ""), (None, "http://a.example/z", rows[1][2]), (1, "http://a.example/1", rows[1][2])]
-    out = H.main_text(pages_of(spark, rows), min_pages=10, min_share=0.1)
+    out = H.main_text(pages_of(spark, rows), min_pages=10)
     got = {}
     for r in out.collect():
         got.setdefault(r.page_id, set()).add(r.text)
@@ -70,9 +70,68 @@ def test_templates(spark):
     assert H.main_text(pages_of(spark, [])).count() == 0
 
 
-def test_article_prose_is_no_template(spark):
-    rows = [(i, "http://a.example/", f"<article><p>The same words on every page</p><p>{i}</p><div class=box>Join us</div></article>") for i in range(20)]
-    assert {r.text for r in H.main_text(pages_of(spark, rows)).collect()} == {f"The same words on every page\n\n{i}" for i in range(20)}
+def test_names_are_whole():
+    for kept in ("ad-free", "share-price", "notice-period", "has-comments", "no-sidebar", "content-with-sidebar", "elementor-widget-text-editor", "comment-on-budget", "post", "entry-content", "text"):
+        assert H.extract(f'<main>A<div class="{kept}">kept</div></main>') == "A\n\nkept", kept
+        assert H.extract(f'<article class="post {kept}" id="{kept}">kept</article>') == "kept"
+    for gone in ("ad", "ads", "cookie-notice", "site-footer", "adBox", "ad-container-3", "comment-list", "share-buttons", "related-posts", "newsletter_signup", "sidebar-left"):
+        assert H.extract(f'<main>A<div class="x {gone}">gone</div></main>') == "A", gone
+    # An element that holds the article stays; text of main outside of it does, too.
+    assert H.extract('<div class="widget"><form><main><p>a</p><article>b</article><p>c</p></main></form></div>') == "a\n\nb\n\nc"
+    assert H.extract('<nav>' + "menu " * 50 + '</nav><div><p>short</p></div>') == "short"
+
+
+def sites(rng):
+    """Pages of sites whose furniture has neutral names and stands in the article: (url, html, main text, recurring)."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(15, 40)))
+    rows = []
+    for host in range(6):
+        before = f"<div class=c{host}><p>{prose()}</p><ul><li>{word()}</li><li>{word()}</li></ul></div>"
+        after = f"<section><p>{word()} {word()}</p></section><div><p>{prose()}</p></div>"
+        for k in range(12 + 5 * host):
+            own = [prose() for _ in range(3)]
+            rows.append((f"http://h{host}.example/{k}", f"<html><body><article><h1>{own[0]}</h1>{before}<p>{own[1]}</p><p>{own[2]}</p>{after}</article></body></html>", "\n\n".join(own)))
+        # An article that was copied with a word changed here and there is no furniture.
+        base = [prose() for _ in range(5)]
+        for k in range(12):
+            mine = [b.split() for b in base]
+            b = rng.choice(mine)
+            b[rng.randrange(len(b))] = word()
+            mine = [" ".join(b) for b in mine]
+            rows.append((f"http://h{host}.example/c{k}", "<article>" + "".join(f"<p>{b}</p>" for b in mine) + "</article>", "\n\n".join(mine)))
+        # Passages that articles share are no furniture, wherever they stand.
+        shared = prose()
+        for k in range(40):
+            mine = [prose() for _ in range(rng.randint(3, 9))]
+            mine.insert(rng.randint(0, len(mine)), shared)
+            rows.append((f"http://h{host}.example/q{k}", "<article>" + "".join(f"<p>{b}</p>" for b in mine) + "</article>", "\n\n".join(mine)))
+        # Short texts recur by chance.
+        for k in range(60):
+            mine = [prose(), prose(), *[rng.choice(["Of it.", "The end."] + [word() for _ in range(60)]) for _ in range(2)]]
+            rows.append((f"http://h{host}.example/s{k}", "<article>" + "".join(f"<section>{b}</section>" for b in mine) + "</article>", "\n\n".join(mine)))
+    return rows
+
+
+def test_templates_decide_against_a_plain_count(spark):
+    rows = sites(random.Random(5))
+    out = {r.page_id: r for r in H.main_text(pages_of(spark, [(i, u, h) for i, (u, h, _) in enumerate(rows)])).collect()}
+    assert {i: r.text for i, r in out.items()} == {i: t for i, (_, _, t) in enumerate(rows)}
+    changed = {i for i, (_, h, t) in enumerate(rows) if H.extract(h) != t}
+    assert changed == {i for i, r in out.items() if r.n_templates} and len(changed) == sum(12 + 5 * k for k in range(6))
+    # The same templates by plain counting.
+    seen, slots = {}, {}
+    for u, h in {(u.split("/")[2], h) for u, h, _ in rows}:
+        about, found = H.candidates(h)
+        for key, slot, n in found:
+            seen.setdefault((u, key, slot, n), []).append(about)
+            slots[u, slot] = slots.get((u, slot), 0) + 1
+    want = set()
+    for (u, key, slot, n), pages in seen.items():
+        if len(set(pages)) >= H.MIN_PAGES and max(map(pages.count, pages)) <= H.MAX_OF_ONE * len(pages) and (n >= H.LONG_WORDS or len(pages) >= H.MIN_OF_SLOT * slots[u, slot]):
+            want.add((u, key))
+    pages = pages_of(spark, [(i, u, h) for i, (u, h, _) in enumerate(rows)])
+    assert {tuple(r) for r in H.site_templates(H.page_subtrees(pages)).collect()} == want and want
 
 
 # 6
