@@ -297,12 +297,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     table = near_copies.shingle_table(docs, id_col, text_col, shingle)
     fps = table.select(id_col, "node")
-    return fps.join(_component_ids(fps, id_col, "node", near_copies.similar_links(table)), "node").select(id_col, "component_id")
+    links = near_copies.similar_links(docs, table, id_col, text_col, shingle)
+    return fps.join(_component_ids(fps, id_col, "node", links), "node").select(id_col, "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group of near copies: those with its smallest id.
 
+    ``docs`` is read three times, so it should be a table and not a long computation.
+
     Rows with a null id cannot be told apart and all stay; of repeated rows with one id, one stays.
     """
     groups = cut(similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options))

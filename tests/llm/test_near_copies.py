@@ -54,7 +54,7 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, rounds):
             both = len(sets[i] & sets[j])
             if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
-    monkeypatch.setattr(near_copies.similar_links, "__defaults__", (rounds,))
+    monkeypatch.setattr(near_copies.similar_links, "__defaults__", (near_copies.SHINGLE, rounds))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     assert dict(simhash.similar_groups(docs).collect()) == {i: root(i) for i in range(len(texts))}
 
@@ -73,7 +73,33 @@ def test_equal_words_in_other_orders_are_not_paired_off(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)]
     docs = [(i, " ".join(rng.sample(words, 40))) for i in range(4000)]
-    table = near_copies.shingle_table(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    table = near_copies.shingle_table(docs, "doc_id", "text")
     keys = table.selectExpr("explode(bands) AS key").groupBy("key").count()
     assert keys.selectExpr("coalesce(sum(count * (count - 1)), 0)").first()[0] < 4000
-    assert near_copies.similar_links(table).count() == 0
+    assert near_copies.similar_links(docs, table, "doc_id", "text").count() == 0
+
+
+def test_awkward_rows(spark):
+    long = " ".join(f"w{i % 9000}x{i}" for i in range(200_000))
+    same = " ".join(f"s{i}" for i in range(30))
+    rows = [(5, same, "x"), (3, same, "y"), (3, same, "y"), (3, "another text of seven words it is", "z"), (None, same, "n"), (None, None, "n"), (7, None, "e"), (8, "", "e"), (9, long, "l"), (2, long + " more", "l"), (4, "short", "s"), (6, "SHORT", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect()), key=repr)
+    want = [(5, 3), (3, 3), (3, 3), (3, 3), (None, 3), (None, 7), (7, 7), (8, 7), (9, 2), (2, 2), (4, 4), (6, 4)]
+    assert got == sorted(want, key=repr)
+    kept = [tuple(r) for r in simhash.keep_one_each(docs).collect()]
+    assert sorted(r[0] for r in kept if r[0] is not None) == [2, 3, 4, 7] and sum(r[0] is None for r in kept) == 2
+    assert simhash.keep_one_each(docs).columns == docs.columns
+    assert simhash.keep_one_each(docs.limit(0)).count() == 0
+
+
+def test_recall_by_kind_of_edit(spark):
+    """Pairs at 0.8 or more that end in one group, of all such pairs, by kind of edit."""
+    rng = random.Random(21)
+    texts = [t for k in range(250) for t in edits(rng, lambda: f"w{rng.randrange(3000)}")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    group = dict(simhash.similar_groups(docs).collect())
+    for kind in (1, 2, 3):
+        pairs = [i for i in range(0, len(texts), 4) if jaccard(texts[i], texts[i + kind]) >= 0.8]
+        assert len(pairs) > 50 and sum(group[i] == group[i + kind] for i in pairs) >= 0.999 * len(pairs)
