@@ -5,8 +5,12 @@ in a row the one with the least hash stays, so that any stretch of ``GRAM + WIND
 shares one with its template.  They form an inverted index from shingle to places in templates.
 Shingles of a document that are in the index are hits; hits of one template near one diagonal
 make a candidate, whose stretch of the document is aligned with the whole template (local
-alignment of words in a band around the diagonals).  Reported are matched words, the coverage
-of the template, and spans in words and characters.
+alignment of words in a band around the diagonals).  What lies before and after a match is
+aligned again while hits are left there, so copies that follow each other are all found.
+Reported are matched words, the coverage of the template, and spans in words and characters.
+
+The templates are whole license texts, in the folder ``licenses`` beside this module, and the
+notices and lines by which works name their license.
 
 Templates go to the tasks in blocks of bounded size, one pass over the documents for each block;
 documents are not shuffled.
@@ -14,9 +18,11 @@ documents are not shuffled.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +34,41 @@ from .decontaminate import _FOLD, words
 
 GRAM, WINDOW, BAND = 3, 3, 6
 MIN_COVERAGE = 0.6
+#: A candidate has a hit for every so many words of its template, or at least one: a long text is not aligned for a phrase.
+WORDS_A_HIT = 60
 #: Words of templates that one pass looks for.
 BLOCK_WORDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _WORD = re.compile(rb"[^ ]+")
 
-#: Wordings of public licenses.
-LICENSES = (
+#: Notices and lines that name a license.
+NOTICES = (
     ("mit-line", "Released under the MIT License."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("apache-2-line", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("bsd-line", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("gpl-2-notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("gpl-3-line", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("cc-by-nc-4-line", "Licensed under CC BY-NC 4.0."),
+    ("lgpl-2.1-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mpl-2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("epl-2-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("cc-by-4-notice", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa-4-notice", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("bsd-2-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("cc-by-nc-4-notice", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-4-line", "Licensed under CC BY-NC 4.0."),
+    ("cc0-notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
 
+def license_texts() -> list[tuple[str, str]]:
+    """Whole texts by the names of their files, and the notices."""
+    folder = resources.files(__package__) / "licenses"
+    return [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")] + list(NOTICES)
+
+
 def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
     """Places of the least hash of every window (the last of equal ones), each once."""
     n = len(hashes)
@@ -122,21 +142,29 @@ class Index:
         return np.repeat(place, n), self.template[entry], self.place[entry]
 
 
-def candidates(hits, length, band: int = BAND) -> Iterator[tuple[int, int, int, int, int]]:
-    """Groups of hits of one template: (template, least and greatest diagonal, first and last place)."""
+def candidates(hits, length, band: int = BAND) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Groups of hits of one template near one diagonal: (template, [(document place, template place)]).
+
+    Hits are taken by diagonal, as those of other copies and of phrases that recur stand between
+    them in the document; a group's places are no further apart than the template is long.
+    """
     place, template, at = hits
-    order = np.lexsort((place, template))
-    group = None
-    for p, t, a in zip(place[order].tolist(), template[order].tolist(), at[order].tolist()):
-        d = p - a
-        if group and group[0] == t and p - group[4] <= length[t] and group[1] - band <= d <= group[2] + band and max(d, group[2]) - min(d, group[1]) <= 4 * band:
-            group = (t, min(d, group[1]), max(d, group[2]), group[3], p)
-        else:
+    order = np.lexsort((place, place - at, template))
+    p, t, d = place[order], template[order], (place - at)[order]
+    edge = np.flatnonzero((t[1:] != t[:-1]) | (d[1:] - d[:-1] > band)) + 1
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(p)]):
+        while lo < hi:
+            end = lo + int(np.searchsorted(d[lo:hi], d[lo] + 4 * band, side="right"))
+            near = sorted(zip(p[lo:end].tolist(), (p - d)[lo:end].tolist()))
+            group: list[tuple[int, int]] = []
+            for x in near:
+                if group and x[0] - group[-1][0] > length[t[lo]]:
+                    yield int(t[lo]), group
+                    group = []
+                group.append(x)
             if group:
-                yield group
-            group = (t, d, d, p, p)
-    if group:
-        yield group
+                yield int(t[lo]), group
+            lo = end
 
 
 def align(doc: list[int], template: list[int], low: int, high: int) -> tuple[int, int, int, int]:
@@ -163,8 +191,35 @@ def align(doc: list[int], template: list[int], low: int, high: int) -> tuple[int
     return best
 
 
+def matches(codes: np.ndarray, template: list[int], group: list[tuple[int, int]], min_coverage: float, band: int) -> list[tuple[int, int, int]]:
+    """(matched words, first word, end word) around a group of hits, until none is left outside of an alignment."""
+    found = []
+    todo = [(0, len(codes), group)]
+    while todo:
+        lo, hi, hits = todo.pop()
+        if len(hits) * WORDS_A_HIT <= len(template) - WORDS_A_HIT:
+            continue
+        diagonals = [p - a for p, a in hits]
+        a = max(lo, hits[0][0] - len(template) - band)
+        z = min(hi, hits[-1][0] + len(template) + band + 1)
+        score, matched, start, end = align(codes[a:z].tolist(), template, min(diagonals) - a - band, max(diagonals) - a + band)
+        if not score:
+            continue
+        start, end = start + a, end + a
+        if matched >= min_coverage * len(template):
+            found.append((matched, start, end))
+        for left, right, rest in ((lo, start, [h for h in hits if h[0] < start]), (end, hi, [h for h in hits if h[0] >= end])):
+            if rest and left < right:
+                todo.append((left, right, rest))
+    return found
+
+
 def scan_text(b: bytes | None, index: Index, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> list[tuple[str, int, float, int, int, int, int]]:
-    """Matches in one text: (template, matched words, coverage, word span, byte span)."""
+    """Matches in one text: (template, matched words, coverage, word span, byte span).
+
+    Matches of one template do not overlap: of those that would, the one with more matched words
+    stays, of equal ones the first.
+    """
     w = words(b)
     if not w or not len(index.keys):
         return []
@@ -173,19 +228,22 @@ def scan_text(b: bytes | None, index: Index, min_coverage: float = MIN_COVERAGE,
     hits = index.hits(codes)
     if not len(hits[0]):
         return []
-    found: dict[tuple, tuple] = {}
-    for t, low, high, first, last in candidates(hits, [len(x) for x in index.texts], band):
-        template = index.texts[t]
-        a, z = max(0, first - len(template) - band), min(len(codes), last + len(template) + band + 1)
-        score, matched, start, end = align(codes[a:z].tolist(), template, low - a - band, high - a + band)
-        coverage = matched / len(template)
-        if coverage >= min_coverage:
-            key = (t, start + a, end + a)
-            found[key] = (index.names[t], matched, coverage, start + a, end + a)
+    by: dict[int, set] = {}
+    for t, group in candidates(hits, [len(x) for x in index.texts], band):
+        by.setdefault(t, set()).update(matches(codes, index.texts[t], group, min_coverage, band))
+    found = []
+    for t, each in by.items():
+        kept: list[tuple[int, int]] = []
+        for matched, start, end in sorted(each, key=lambda m: (-m[0], m[1], m[2])):
+            k = bisect.bisect(kept, (start, end))
+            if (k and kept[k - 1][1] > start) or (k < len(kept) and kept[k][0] < end):
+                continue
+            kept.insert(k, (start, end))
+            found.append((index.names[t], matched, matched / len(index.texts[t]), start, end))
     if not found:
         return []
     at = [m.span() for m in _WORD.finditer(b.translate(_FOLD))]
-    return [(*r, at[r[3]][0], at[r[4] - 1][1]) for r in sorted(found.values(), key=lambda r: (r[3], r[4], r[0]))]
+    return [(*r, at[r[3]][0], at[r[4] - 1][1]) for r in sorted(found, key=lambda r: (r[3], r[4], r[0]))]
 
 
 _MATCHES = "array<struct<license:string,matched:long,coverage:double,start_word:long,end_word:long,start_char:long,end_char:long>>"
@@ -218,14 +276,15 @@ def _scanner(index, min_coverage: float):
 
 
 def license_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LICENSES), "license string, text string")
+    return spark.createDataFrame(license_texts(), "license string, text string")
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str = "license", template_col: str = "text", min_coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per match: ``(id_col, license, matched, coverage, start_word, end_word, start_char, end_char)``.
 
-    Spans exclude their end; a template that recurs in a document gives a row each time.  Null and
-    empty texts have no matches, templates without words match nothing, repeated templates report
+    Spans exclude their end; a template that recurs in a document gives a row each time.  Templates may
+    overlap one another (a notice within its license); of equally good matches of one the first stays.
+    Texts are scanned whole, one at a time.  Null and empty texts have no matches, templates without words match nothing, repeated templates report
     each, null and repeated ids keep their rows, an empty table of either kind gives none.
     """
     spark = docs.sparkSession
