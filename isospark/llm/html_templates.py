@@ -32,6 +32,8 @@ from .url_filter import host_and_path
 MIN_PAGES, MAX_OF_ONE = 4, 0.5
 #: Texts of fewer words must also be this share of all that stands in their slot.
 LONG_WORDS, MIN_OF_SLOT = 8, 0.04
+#: So many templates of all hosts are broadcast at most, at eight bytes each; more are joined to their pages.
+MAX_BROADCAST = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -222,9 +224,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def template_key(e: Element) -> int:
-    """What recurs: the subtree in its slot."""
-    return _signed((e.hash * 0x9E3779B97F4A7C15 + e.key) & 0xFFFFFFFFFFFFFFFF)
+def template_key(e: Element, host: int) -> int:
+    """What recurs: the subtree in its slot on its host."""
+    return _signed(((e.hash * 0x9E3779B97F4A7C15 + e.key) * 0x9E3779B97F4A7C15 + host) & 0xFFFFFFFFFFFFFFFF)
 
 
 def _candidate(e: Element) -> bool:
@@ -232,13 +234,13 @@ def _candidate(e: Element) -> bool:
     return bool(e.words) and e.tag in _BLOCK and e.tag not in _PROSE and not e.whole and e.tag not in ("html", "body", "head", "#")
 
 
-def candidates(html: str | None) -> tuple[int, list[tuple[int, int, int]]]:
+def candidates(html: str | None, host: str = "") -> tuple[int, list[tuple[int, int, int]]]:
     """What a page is about, and (key, slot, words) of each different subtree that may be a template."""
     root = resolve(parse(html or ""))
-    found, titles = {}, {}
+    found, titles, site = {}, {}, _hash(host)
     for e in _walk(root):
         if _candidate(e):
-            found[template_key(e)] = (_signed(e.key), e.words)
+            found[template_key(e, site)] = (_signed(e.key), e.words)
         if e.tag in ("title", "h1"):
             titles[e.tag] = e  # the first one, as the walk goes backwards
     longest = sorted(_blocks(root, frozenset()), key=lambda b: (-len(b), b))[:3]
@@ -261,7 +263,7 @@ def main_root(root: Element) -> list[Element]:
     return found or [root]
 
 
-def _blocks(root: Element, templates) -> list[str]:
+def _blocks(root: Element, templates, host: int = 0) -> list[str]:
     """The blocks of a resolved page's article without what is gone and without templates."""
     blocks, now = [], []
 
@@ -279,7 +281,7 @@ def _blocks(root: Element, templates) -> list[str]:
                 close()
             elif isinstance(e, str):
                 now.append(e)
-            elif e is not top and (e.gone or (templates and _candidate(e) and template_key(e) in templates)):
+            elif e is not top and (e.gone or (templates and _candidate(e) and template_key(e, host) in templates)):
                 close() if e.tag in _BLOCK else now.append(" " if e.tag in _SPACED else "")
             else:
                 if e.tag in _BLOCK or e is top:
@@ -292,9 +294,9 @@ def _blocks(root: Element, templates) -> list[str]:
     return blocks
 
 
-def extract(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
+def extract(html: str | None, templates=frozenset(), host: str = "") -> str:
     """The main text: blocks in page order, joined by two line feeds."""
-    return "\n\n".join(_blocks(resolve(parse(html)), templates)) if html else ""
+    return "\n\n".join(_blocks(resolve(parse(html)), templates, _hash(host))) if html else ""
 
 
 # Spark
@@ -304,7 +306,7 @@ _KEY = ("_host", "_a", "_b")
 
 
 def _page_key(url: Column, html: Column) -> list[Column]:
-    """Host and two hashes of the page, by which its deletions find it again; equal pages share them."""
+    """Host and two hashes of the page, by which its templates find it again; equal pages share them."""
     return [host_and_path(url)[0].alias("_host"), F.xxhash64(html).alias("_a"), F.xxhash64(html, F.lit(1)).alias("_b")]
 
 
@@ -313,15 +315,15 @@ def page_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     names = ("key", "slot", "words")
 
-    def run(texts: pa.Array) -> pa.Array:
-        rows = [candidates(h) for h in texts.to_pylist()]
+    def run(texts: pa.Array, hosts: pa.Array) -> pa.Array:
+        rows = [candidates(h, u) for h, u in zip(texts.to_pylist(), hosts.to_pylist())]
         each = [dict(zip(names, x)) for _, found in rows for x in found]
         edge = np.cumsum([0, *(len(found) for _, found in rows)]).astype(np.int32)
         kind = pa.struct([("key", pa.int64()), ("slot", pa.int64()), ("words", pa.int32())])
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(each, kind))], names=["about", "found"])
 
     kind = "struct<about:long,found:array<struct<key:long,slot:long,words:int>>>"
-    rows = pages.where(F.col(html_col).isNotNull()).select(*_page_key(F.col(url_col), F.col(html_col)), F.arrow_udf(run, kind)(F.col(html_col)).alias("c"))
+    rows = pages.where(F.col(html_col).isNotNull()).select(*_page_key(F.col(url_col), F.col(html_col)), F.arrow_udf(run, kind)(F.col(html_col), host_and_path(F.col(url_col))[0]).alias("c"))
     return written(rows.select(*_KEY, "c.about", F.explode("c.found").alias("f")).select(*_KEY, "about", "f.*"), "subtrees")
 
 
@@ -340,15 +342,29 @@ def site_templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, max_of_one:
     return judged.select("_host", "key")
 
 
-def _extract(html: Column, templates: Column) -> Column:
-    @F.arrow_udf(T.StringType())
-    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        return pa.array([extract(h, frozenset(k or ())) for h, k in zip(texts.to_pylist(), keys.to_pylist())], pa.string())
+def _extract(all_templates=None):
+    """Text and number of templates of a page: of those that are broadcast, or of the keys in its row."""
 
-    return run(html, templates)
+    def run(texts: pa.Array, hosts: pa.Array, keys: pa.Array) -> pa.Array:
+        known = all_templates.value if all_templates else None
+        out, n = [], []
+        for html, host, own in zip(texts.to_pylist(), hosts.to_pylist(), keys.to_pylist()):
+            root = resolve(parse(html or ""))
+            site = _hash(host)
+            mine = own or ()
+            if known is not None:
+                asked = np.array([template_key(e, site) for e in _walk(root) if _candidate(e)], np.int64)
+                at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+                mine = asked[known[at] == asked].tolist() if len(known) else ()
+            mine = frozenset(mine)
+            out.append("\n\n".join(_blocks(root, mine, site)))
+            n.append(len(mine))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["text", "n"])
 
+    return F.arrow_udf(run, "struct<text:string,n:int>")
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST, **options) -> DataFrame:
     """``(id_col, url_col, text, n_chars, n_templates)``, one row per row of ``pages``.
 
     ``n_templates`` is how many recurring subtrees of its host a page has.  A null or empty page has an
@@ -358,9 +374,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     read as browsers do, roughly: missing end tags are implied, stray ones ignored.
     """
     subtrees = page_subtrees(pages, url_col, html_col)
-    # Written, so that the planner knows their size: it broadcasts them if they are small, and joins by key otherwise.
-    templates = written(site_templates(subtrees, **options), "templates")
-    hits = written(subtrees.distinct().join(templates, ["_host", "key"]).groupBy(*_KEY).agg(F.collect_set("key").alias("_keys")), "template-hits")
+    templates = written(site_templates(subtrees, **options).select("key").distinct(), "templates")
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), *_page_key(F.col(url_col), F.col(html_col)))
-    text = rows.join(hits, list(_KEY), "left").select(id_col, url_col, _extract(F.col("_html"), F.col("_keys")).alias("text"), F.coalesce(F.size("_keys"), F.lit(0)).alias("n_templates"))
-    return text.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
+    if templates.count() <= max_broadcast:
+        known = np.sort(np.array([r[0] for r in templates.collect()], np.int64))
+        made = rows.select(id_col, url_col, _extract(pages.sparkSession.sparkContext.broadcast(known))(F.col("_html"), F.col("_host"), F.lit(None).cast("array<long>")).alias("_t"))
+    else:
+        hits = written(subtrees.distinct().join(templates, "key").groupBy(*_KEY).agg(F.collect_set("key").alias("_keys")), "template-hits")
+        made = rows.join(hits, list(_KEY), "left").select(id_col, url_col, _extract()(F.col("_html"), F.col("_host"), F.col("_keys")).alias("_t"))
+    return made.select(id_col, url_col, "_t.text", F.length("_t.text").cast("long").alias("n_chars"), F.col("_t.n").alias("n_templates"))

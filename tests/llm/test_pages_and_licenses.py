@@ -51,14 +51,15 @@ def test_extract():
     assert H.extract("<x " * 20_000) == ""
 
 
-def test_templates(spark):
+@pytest.mark.parametrize("most", [H.MAX_BROADCAST, 0])
+def test_templates(spark, most):
     rows = []
     for i in range(30):
         box = "<div><p>Call us now</p><ul><li>news</li></ul></div>" if i % 2 else ""
         rows.append((i, f"http://a.example/{i}", f"<body>{box}<div><p>Own text {i}</p></div><div><p>end {i % 3}</p></div></body>"))
     rows += [(100 + i, "http://b.example/", "<body><div><p>Copied</p></div></body>") for i in range(30)]
     rows += [(200, None, None), (201, "", ""), (None, "http://a.example/z", rows[1][2]), (1, "http://a.example/1", rows[1][2])]
-    out = H.main_text(pages_of(spark, rows), min_pages=10)
+    out = H.main_text(pages_of(spark, rows), min_pages=10, max_broadcast=most)
     got = {}
     for r in out.collect():
         got.setdefault(r.page_id, set()).add(r.text)
@@ -122,7 +123,7 @@ def test_templates_decide_against_a_plain_count(spark):
     # The same templates by plain counting.
     seen, slots = {}, {}
     for u, h in {(u.split("/")[2], h) for u, h, _ in rows}:
-        about, found = H.candidates(h)
+        about, found = H.candidates(h, u)
         for key, slot, n in found:
             seen.setdefault((u, key, slot, n), []).append(about)
             slots[u, slot] = slots.get((u, slot), 0) + 1
@@ -177,7 +178,7 @@ def test_winnowing_guarantee():
 def test_license_query(spark):
     rows = queries.op6_license_scan(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    lines = {k: v for k, v in L.LICENSES if k.endswith("-line")}
+    lines = {k: v for k, v in L.NOTICES if k.endswith("-line")}
     want = sorted((i, k, m.start()) for i, t in docs.items() for k, v in lines.items() for m in re.finditer(re.escape(v.rstrip(".")), t))
     assert sorted((r.doc_id, r.license, r.start_char) for r in rows if r.coverage == 1.0 and r.license in lines) == want
     for r in rows:
@@ -186,7 +187,7 @@ def test_license_query(spark):
 
 
 def test_license_scan(spark):
-    grant = dict(L.LICENSES)["isc-grant"]
+    grant = dict(L.license_texts())["isc"].split("\n\n")[0]
     w = grant.split()
     changed = " ".join(w[:10] + ["really"] + w[10:20] + w[22:])
     texts = ["é " * 50 + grant + " tail", changed, grant + " x y z. " + grant, None, "", "nothing here", "short Text", "a퟿ " * 5000 + changed]
@@ -210,3 +211,41 @@ def test_license_scan(spark):
 def test_short_templates(n):
     t = " ".join(f"w{i}" for i in range(n)).encode()
     assert [r[:5] for r in L.scan_text(b"a b " + t + b" c", L.Index([("t", t)]))] == [("t", n, 1.0, 2, 2 + n)]
+
+
+def plain_scan(doc, template):
+    """Best local alignment of the whole text, then of what is before and after it, without band or index."""
+    score, matched, start, end = plain_align(doc, template)
+    if not score:
+        return set()
+    here = {(matched, start, end)} if matched >= L.MIN_COVERAGE * len(template) else set()
+    before, after = plain_scan(doc[:start], template), plain_scan(doc[end:], template)
+    return here | before | {(m, s + end, e + end) for m, s, e in after}
+
+
+def test_scan_against_all_places():
+    """Copies next to each other, repeated, and with words changed, against a scan without an index."""
+    rng = random.Random(3)
+    word = lambda k: f"w{rng.randrange(k)}"
+    for _ in range(40):
+        templates = [[f"t{t}x{rng.randrange(400)}" for _ in range(n)] for t, n in enumerate((2, 5, 11, 40))]
+        text = []
+        for _ in range(rng.randint(1, 6)):
+            t = list(rng.choice(templates))
+            for _ in range(len(t) // 12):
+                t[rng.randrange(len(t))] = word(9)
+            text += t * rng.choice([1, 1, 2, 4]) + [word(9) for _ in range(rng.choice([0, 0, 3, 20]))]
+        names = [(f"t{i}", " ".join(t).encode()) for i, t in enumerate(templates)]
+        got = {(r[0], r[1], r[3], r[4]) for r in L.scan_text(" ".join(text).encode(), L.Index(names))}
+        want = {(f"t{i}", *m) for i, t in enumerate(templates) for m in plain_scan(text, t)}
+        assert got == want
+
+
+def test_adjacent_lines_and_whole_texts():
+    index = L.Index([(n, t.encode()) for n, t in L.license_texts()])
+    line = b"Released under the MIT License. "
+    for k in (1, 2, 3, 40):
+        assert [r[:5] for r in L.scan_text(b"x " + line * k, index)] == [("mit-line", 5, 1.0, 1 + 5 * i, 6 + 5 * i) for i in range(k)]
+    for name, text in L.license_texts():
+        found = {r[0]: r[2] for r in L.scan_text(f"Some words before. {text} And after.".encode(), index)}
+        assert found[name] == 1.0, name
