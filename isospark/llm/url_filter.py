@@ -2,7 +2,7 @@
 
 The rule that fits and is longest decides; where none fits, a logistic regression on hashed
 character n-grams of host and path does, trained from a small labelled URL table.  Training is
-one expression over that table in one row: a fold of gradient steps over an array of weights.
+one expression over that table in one row: a fold of gradient steps over an array of factors.
 """
 
 from __future__ import annotations
@@ -11,30 +11,58 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-BUCKETS = 2048
+#: Buckets of the n-grams of hosts, and of those of paths after them.
+HOST_BUCKETS, PATH_BUCKETS = 3584, 512
+BUCKETS = HOST_BUCKETS + PATH_BUCKETS
 GRAMS = (3, 4, 5)
-EPOCHS, RATE, SHRINK = 20, 0.5, 1e-4
+#: The rate of a step falls from epoch to epoch; weights shrink a little at each.
+EPOCHS, RATE, SHRINK = 15, 3.0, 1e-4
 #: Rows of a labelled table at most, as they are folded in one task.
 MAX_LABELLED = 2000
 
-#: Host names of the small labelled table: unwanted ones, and ones that are not.  All are generic; none is to be a host of the pages that are judged.
-UNWANTED = ("pills-discount", "cheap-meds", "pills-online", "cheap-viagra", "online-casino", "casino-bonus", "casino-slots", "poker-win", "win-prizes", "jackpot-bets", "sports-bets", "free-prizes",
-            "adserver-track", "ads-click", "click-track", "popup-ads", "link-farm", "spam-links", "adult-cams", "xxx-adult", "payday-loans", "free-loans", "cheap-replica", "track-pixel")
-WANTED = ("docs", "news", "library", "wiki", "recipes", "museum", "forum", "university", "weather", "garden", "music", "school", "theatre", "nation", "kitchen", "health", "mathematics", "tables",
-          "station", "history", "weltzeit", "bibliothek", "noticias", "cuisine", "open-data", "city-council", "language-notes", "public-library")
-_BEFORE, _AFTER, _DIRS = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es")
-
-
-def labelled_table(variants: int = 5) -> list[tuple[str, int]]:
-    """URLs and labels (1: unwanted): each host name with other surroundings in turn, which tell nothing."""
+#: Words of the small labelled table's URLs: what unwanted sites sell or do, and what other sites are about.
+#: The table is written for this module, from no page table; names are put together from it by a rule.
+UNWANTED = (
+    "casino slots poker roulette blackjack jackpot lottery betting sportsbet bookmaker bets wager "
+    "viagra cialis pharmacy pills meds painkiller steroids dietpill weightloss botox "
+    "porn xxx sex adult cams escort nude hookup milf fetish "
+    "loans payday cashadvance bitcoin forex crypto getrich profit "
+    "replica rolex knockoff cheap discount coupon giveaway freegift prize winner "
+    "warez keygen crack torrent serial malware trojan phishing toolbar download "
+    "adserver popunder clicktrack banners tracking affiliate pixel doorway linkfarm backlinks spam seo"
+).split()
+ORDINARY = (
+    "garden kitchen bakery recipe coffee wine cheese travel hotel museum gallery theatre cinema opera choir guitar piano violin "
+    "school college university library archive history science physics chemistry biology geology astronomy mathematics statistics language grammar poetry novel author "
+    "hospital clinic doctor nurse dentist health therapy yoga running cycling football tennis swimming climbing sailing chess "
+    "city council parish village county tourism railway airport harbour bridge weather climate river mountain forest island "
+    "daily herald gazette tribune observer journal magazine radio podcast photo camera design architecture furniture carpenter plumber "
+    "software compiler database network kernel python manual documentation tutorial forum wiki blog weblog news review "
+    "farm orchard vineyard beekeeping horses kennel aquarium wildlife birds fishing camping "
+    "garten kueche schule verein stadt zeitung reise wetter buch musik jardin cuisine ecole musee voyage livre ville noticias ciudad escuela viaje cocina libro deporte"
+).split()
+_BEFORE, _AFTER = ("", "www.", "", "m.", "blog.", "shop."), ("com", "org", "net", "info", "co.uk", "de", "fr", "es", "io", "eu")
+_JOIN, _ROUND = ("-", "", "-the-", "-"), ("", "my", "best", "online", "24", "top", "", "new")
+_DIRS, _PAGES = ("", "en", "news", "archive", "item", "article", "2019/04", "category", "de", "p"), ("index.html", "", "about", "page-2", "view.php", "list", "contact", "summary")
+
+
+def labelled_table() -> list[tuple[str, int]]:
+    """URLs and labels (1: unwanted): names of two words of a kind, each with surroundings that tell nothing.
+
+    Every ordinary word begins two names and every unwanted one three, so that there are a few more
+    of the first and a URL of neither kind is allowed.
+    """
     rows = []
-    for label, names in ((1, UNWANTED), (0, WANTED)):
-        for i, name in enumerate(names):
-            for j in range(variants):
-                host = f"{_BEFORE[(i + j) % 4]}{name}.example.{_AFTER[(i + 2 * j) % 3]}"
-                tail = ("", "/", ".html")[(i + j) % 3]
-                rows.append((f"{('http', 'https')[j % 2]}://{host}/{_DIRS[(i + 3 * j) % 4]}/{(37 * i + 101 * j) % 997}{tail}", label))
+    for label, words in ((1, UNWANTED), (0, ORDINARY)):
+        for i, word in enumerate(words):
+            for j, other in enumerate((_ROUND[i % len(_ROUND)], words[(7 * i + 3) % len(words)], words[(11 * i + 5) % len(words)])[: 2 + label]):
+                k = (2 + label) * i + j
+                name = f"{other}{_JOIN[k % 4]}{word}" if other and k % 3 == 0 else f"{word}{_JOIN[k % 4]}{other}" if other else word
+                path = f"{_DIRS[k % len(_DIRS)]}/{_PAGES[(k // 3) % len(_PAGES)]}".strip("/")
+                number = f"/{(37 * k) % 9973}" if k % 2 else ""
+                rows.append((f"{('http', 'https')[k % 2]}://{_BEFORE[k % len(_BEFORE)]}{name}.{_AFTER[(k // 2) % len(_AFTER)]}/{path}{number}", label))
     return rows
 
 
@@ -63,10 +91,11 @@ def grams(host: Column, path: Column) -> Column:
     """Hashed character n-grams of host and path, each with its ends marked; repeats included."""
 
     def of(text: Column, kind: str, n: int) -> Column:
+        first, size = (0, HOST_BUCKETS) if kind == "h" else (HOST_BUCKETS, PATH_BUCKETS)
         marked = F.concat(F.lit("^"), F.lower(text), F.lit("$"))
         last = F.length(marked) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(marked, i, F.lit(n)), F.lit(kind)), F.lit(BUCKETS)).cast("int"))
+        return F.transform(starts, lambda i: (F.pmod(F.xxhash64(F.substring(marked, i, F.lit(n)), F.lit(kind)), F.lit(size)) + first).cast("int"))
 
     return F.concat(*[of(text, kind, n) for text, kind in ((host, "h"), (path, "p")) for n in GRAMS])
 
@@ -82,22 +111,31 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", e
     if n > MAX_LABELLED:
         raise ValueError(f"a labelled table has {MAX_LABELLED} rows at most")
     rows = labelled.where(F.col(label_col).isNotNull()).select(grams(host, path).alias("g"), F.col(label_col).cast("double").alias("y"), F.xxhash64(url_col).alias("o"))
-    rows.select(F.sort_array(F.collect_list(F.struct("o", "y", "g"))).alias("rows")).createOrReplaceTempView("_isospark_labelled_urls")
-    # A row as a dense vector: counts of its n-grams over the root of their number, and a bias.
-    # Each step of the fold holds weights w and moves them by the row's error.
-    d = BUCKETS
+    rows = rows.withColumn("i", F.row_number().over(Window.orderBy("o", "y")) - 1)
+    # Weights are a sum of rows, so each step changes one row's factor; what rows have in common is
+    # joined once, by bucket, and the fold is over an array of as many factors as there are rows.
+    parts = rows.select("i", F.size("g").alias("m"), F.explode("g").alias("b")).groupBy("i", "m", "b").agg(F.count("*").alias("c"))
+    parts = parts.select("i", "b", (F.col("c") / F.sqrt(F.col("m").cast("double"))).alias("v"))
     sql = f"""
-        WITH v AS (
-          SELECT transform(rows, r -> struct(r.y AS y, transform(sequence(0, {d}), i -> CASE WHEN i = {d} THEN 1D
-                   WHEN array_contains(r.g, i) THEN size(filter(r.g, b -> b = i)) / sqrt(CAST(size(r.g) AS DOUBLE)) ELSE 0D END) AS x)) AS rows
-          FROM _isospark_labelled_urls)
-        SELECT aggregate(flatten(array_repeat(rows, {epochs})), array_repeat(0D, {d + 1}), (w, r) ->
+        WITH pairs AS (
+          SELECT a.i, b.i AS j, a.v * b.v AS k FROM {{parts}} a JOIN {{parts}} b ON a.b = b.b
+          UNION ALL SELECT i, explode(sequence(0, (SELECT max(i) FROM {{rows}}))) AS j, 1D AS k FROM {{rows}}),
+        grid AS (SELECT i, j, sum(k) AS k FROM pairs GROUP BY i, j),
+        near AS (SELECT i, transform(sort_array(collect_list(struct(j, k))), x -> x.k) AS ks FROM grid GROUP BY i),
+        held AS (SELECT sort_array(collect_list(struct(i, y, ks))) AS rows FROM near JOIN {{rows}} USING (i))
+        SELECT aggregate(flatten(transform(sequence(0, {epochs - 1}), n -> transform(rows, r -> struct(r.i AS i, r.y AS y, r.ks AS ks, {RATE} / (1 + n / 4D) AS rate)))), array_repeat(0D, size(rows)), (f, r) ->
           get(transform(
-            array(r.y - 1 / (1 + exp(-aggregate(zip_with(w, r.x, (a, b) -> a * b), 0D, (s, z) -> s + z)))),
-            e -> zip_with(w, r.x, (a, b) -> a * {1 - SHRINK} + {RATE} * e * b)), 0)) AS w
-        FROM v
+            array(r.rate * (r.y - 1 / (1 + exp(-aggregate(zip_with(f, r.ks, (a, b) -> a * b), 0D, (s, z) -> s + z))))),
+            e -> transform(f, (a, j) -> CASE WHEN j = r.i THEN a * {1 - SHRINK} + e ELSE a * {1 - SHRINK} END)), 0)) AS f
+        FROM held
     """
-    return labelled.sparkSession.sql(sql).first()[0]
+    spark = labelled.sparkSession
+    factors = spark.sql(sql, parts=parts, rows=rows.select("i", "y")).select(F.posexplode("f").alias("i", "f"))
+    weights = [0.0] * (BUCKETS + 1)
+    for r in parts.join(factors, "i").groupBy("b").agg(F.sum(F.col("v") * F.col("f")).alias("w")).collect():  # at most BUCKETS rows
+        weights[r.b] = r.w
+    weights[-1] = factors.agg(F.coalesce(F.sum("f"), F.lit(0.0))).first()[0]
+    return weights
 
 
 def probability(host: Column, path: Column, weights: list[float]) -> Column:
@@ -116,7 +154,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFra
     """``(id_col, host, path, rule, verdict, score)``, one row per row of ``pages``.
 
     A null URL, or one without ``://``, has an empty host and path; no rule fits it and the model
-    judges the empty strings.  Null and repeated ids keep a row each, further columns are not read,
+    judges the empty strings.  Of rules of one length that fit the first given decides; a URL is judged
+    whole, however long; repeated rows are judged alike.  Null and repeated ids keep a row each, further columns are not read,
     an empty table gives none.
     """
     weights = [round(w, 9) for w in train(labelled)]

@@ -98,28 +98,34 @@ def test_url_model(spark):
     weights = url_filter.train(table)
     rows = table.select(url_filter.grams(host, path).alias("g"), url_filter.F.xxhash64("url").alias("o"), "label").collect()
     w = np.zeros(url_filter.BUCKETS + 1)
-    for _ in range(url_filter.EPOCHS):
+    for k in range(url_filter.EPOCHS):
         for r in sorted(rows, key=lambda r: (r.o, r.label)):
             x = np.r_[np.bincount(r.g, minlength=url_filter.BUCKETS) / math.sqrt(len(r.g)), 1.0]
-            w = w * (1 - url_filter.SHRINK) + url_filter.RATE * (r.label - 1 / (1 + math.exp(-w @ x))) * x
+            w = w * (1 - url_filter.SHRINK) + url_filter.RATE / (1 + k / 4) * (r.label - 1 / (1 + math.exp(-w @ x))) * x
     assert np.allclose(weights, w, atol=1e-9)
-    unseen = ["https://www.cheap-pills.example.org/es/5", "http://casino-win.example.net/de/4", "http://www.ads-track.example.org/en/1", "https://blog.thintion.example.org/en/584", "http://www.thble.example.com/fr/31"]
-    got = url_filter.judge(spark.createDataFrame(list(enumerate(unseen)), "page_id long, url string"), [], table).orderBy("page_id").collect()
-    assert [r.verdict for r in got] == ["block"] * 3 + ["allow"] * 2
 
 
-def test_url_labels_are_not_of_the_pages(spark):
+#: Names of hosts that are not in the labelled table: unwanted ones, and well-known or made-up others.
+UNSEEN = {
+    "block": "xxx-videos malware-download lottery-jackpot buy-viagra-now healthpills hot-sex-cams onlinepoker777 instant-payday-loans cheapreplicawatches torrentz-crack adserver12 free-slots-casino bestforexprofit freeviagrasamples live-escorts clicktracker casino-win free-bets ads-track spam-farm cheap-pills adult-x".split(),
+    "allow": "bbc nytimes wikipedia lemonde elpais spiegel stackoverflow github nasa mit allrecipes goodreads imdb tripadvisor nationalgeographic apache python debian gutenberg arxiv springer nature economist zeit marmiton rtve amazon booking ikea mozilla khanacademy duolingo berlin paris madrid oxfordshire bookshop cambridge".split(),
+}
+
+
+def test_url_model_on_hosts_that_are_not_in_the_table(spark):
     host = url_filter.host_and_path(url_filter.F.col("url"))[0]
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(host.alias("host")).distinct().collect()
-    seen = {x for r in pages for x in r.host.split(".")} - {"www", "m", "blog"}
-    assert not seen & {*url_filter.UNWANTED, *url_filter.WANTED}
+    of_pages = {x for r in pages for x in r.host.split(".")} - {"www", "m", "blog", "shop", "com", "net", "org"}
     table = url_filter.labelled_urls(spark)
-    hosts = [("cheap-pills", 1), ("casino-win", 1), ("ads-track", 1), ("spam-farm", 1), ("free-bets", 1), ("adult-x", 1)] + [(x, 0) for x in sorted(seen) if "-" not in x and len(x) > 4 and x != "example"]
-    urls = spark.createDataFrame([(i, f"https://{h}.example.org/en/{7 * i}") for i, (h, _) in enumerate(hosts)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_filter.judge(urls, [], table).collect()}
-    right = {y: [got[i] == ("block" if y else "allow") for i, (_, x) in enumerate(hosts) if x == y] for y in (0, 1)}
-    print("hosts that are not in the table, right by label:", {y: f"{sum(v)} of {len(v)}" for y, v in right.items()})
-    assert sum(right[1]) >= 5 and sum(right[0]) >= 0.9 * len(right[0])
+    named = {x for r in table.select(host.alias("host")).collect() for x in r.host.split(".")}
+    assert len(url_filter.labelled_table()) > 300 and not named & of_pages
+    names = [(v, h) for v, hs in UNSEEN.items() for h in hs] + [("allow", x) for x in sorted(of_pages) if "-" not in x and len(x) > 4 and x != "example"]
+    ends = ("com", "net", "org", "info", "co.uk", "io")
+    urls = [(i, f"https://{h}.{ends[i % len(ends)]}/{('en', 'item', '')[i % 3]}/{31 * i}") for i, (_, h) in enumerate(names) if h not in named]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), [], table).collect()}
+    right = {w: [got[i] == w for i, _ in urls if names[i][0] == w] for w in ("block", "allow")}
+    print("hosts that are not in the table, right by verdict:", {w: f"{sum(v)} of {len(v)}" for w, v in right.items()})
+    assert all(sum(v) >= 0.8 * len(v) for v in right.values())
 
 
 def test_url_native(spark):
