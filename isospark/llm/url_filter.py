@@ -18,7 +18,7 @@ HOST_BUCKETS, PATH_BUCKETS = 3584, 512
 BUCKETS = HOST_BUCKETS + PATH_BUCKETS
 GRAMS = (3, 4, 5)
 #: The rate of a step falls from epoch to epoch; weights shrink a little at each.
-EPOCHS, RATE, SHRINK = 15, 3.0, 1e-4
+EPOCHS, RATE, SHRINK = 15, 1.5, 1e-4
 #: Rows of a labelled table at most, as they are folded in one task.
 MAX_LABELLED = 2000
 
