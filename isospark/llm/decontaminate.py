@@ -13,7 +13,7 @@ benchmark goes to the tasks in blocks of bounded size, one pass over the documen
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .fm_index import FMIndex
 
 WINDOW = 10
 #: A shard is searched when it holds so many indexed words or bytes of text.
 SHARD_WORDS, SHARD_BYTES = 1_000_000, 24 << 20
 #: Benchmark text that one pass over the documents looks for.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 #: Lower-cases A-Z and turns every ASCII character outside 0-9 and a-z into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,19 +46,28 @@ class Phrases:
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         self.code: dict[bytes, int] = {}
-        rows: dict[tuple, set] = {}
+        parts, owner = [], []
         for item, text in items:
-            w = [self.code.setdefault(x, len(self.code) + 1) for x in words(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                rows.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
+            w = np.fromiter((self.code.setdefault(x, len(self.code) + 1) for x in words(text)), np.int32)
+            if not len(w):
+                continue
+            rows = np.zeros((max(1, len(w) - window + 1), window), np.int32)
+            if len(w) < window:
+                rows[0, : len(w)] = w
+            else:
+                rows[:] = np.lib.stride_tricks.sliding_window_view(w, window)
+            parts.append(rows)
+            owner.append((item, len(rows)))
+        every = np.concatenate(parts) if parts else np.zeros((0, window), np.int32)
+        self.matrix, which = np.unique(every, axis=0, return_inverse=True)
+        self.lengths = (self.matrix != 0).sum(axis=1).astype(np.int64)
         self.shortest = int(self.lengths.min(initial=window))
-        self.matrix = np.zeros((len(rows), window), np.int64)
-        for i, r in enumerate(rows):
-            self.matrix[i, : len(r)] = r
-        owners = [sorted(x for x in s if x is not None) for s in rows.values()]
-        self.owner_start = np.r_[0, np.cumsum([len(o) for o in owners])].astype(np.int64)
-        self.owners = np.array([x for o in owners for x in o], np.int64)
+        # Items of each phrase, each once; those with a null id are not named.
+        ids = np.repeat(np.array([i or 0 for i, _ in owner], np.int64), [n for _, n in owner])
+        named = np.repeat(np.array([i is not None for i, _ in owner], bool), [n for _, n in owner])
+        pairs = np.unique(np.stack([which.ravel()[named], ids[named]], 1), axis=0) if len(ids) else np.zeros((0, 2), np.int64)
+        self.owners = pairs[:, 1]
+        self.owner_start = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
 
 
 def candidate_runs(doc_words: list[bytes], phrases: Phrases) -> list[tuple[int, np.ndarray]]:
@@ -138,6 +148,9 @@ def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: in
     """The benchmark's phrases in blocks of bounded text, read one partition at a time."""
     block: list[tuple] = []
     size = 0
+    kind = benchmark.schema[item_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"items have integer ids here, and {item_col} is {kind.simpleString()}")
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).toLocalIterator()
     for r in rows:
         block.append((r.i, bytes(r.t) if r.t is not None else None))
@@ -176,7 +189,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """``docs`` with ``hit_spans`` (merged word ranges, end exclusive) and ``hit_items`` (ids, ascending).
 
     Both are null where nothing is hit.  Null texts have no words; null or empty items have no
-    phrases; an item with a null id is searched for but cannot be named; repeated rows of either
+    phrases; ids of items are integers, and an item with a null id is searched for but cannot be named;
+    very long texts are a shard of their own and searched whole; repeated rows of either
     table are treated alike; an empty benchmark or document table gives no hits.  Columns of
     ``docs`` named ``hit_spans`` or ``hit_items`` are replaced.
     """
@@ -184,8 +198,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     keep = [c for c in docs.columns if c not in ("hit_spans", "hit_items")]
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast(_SPAN).alias("hit_spans"), F.lit(None).cast("array<long>").alias("hit_items"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
-    for block in phrase_blocks(benchmark, item_col, item_text, window, block_bytes):
-        out = out.mapInArrow(_find(spark.sparkContext.broadcast(block), text_col, shard), schema)
+    for k, block in enumerate(phrase_blocks(benchmark, item_col, item_text, window, block_bytes)):
+        # Each pass is written before the next one, so that tasks hold one block at a time.
+        out = (written(out, "spans") if k else out).mapInArrow(_find(spark.sparkContext.broadcast(block), text_col, shard), schema)
     return out
 
 
@@ -220,35 +235,58 @@ def cut_spans(b: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + b[last:]
 
 
-def _remove(blocks, text: str, size: tuple[int, int]):
+def _remove(block, text: str, mark: str, size: tuple[int, int]):
+    """Cuts one block's phrases out of the texts, until none of them is left; ``mark`` is set where one was."""
+
     def run(batches):
-        phrases = [b.value for b in blocks]
-        for held, texts, runs in _shards(batches, text, phrases[0], size):
-            first = True
-            todo = range(len(texts))
+        p = block.value
+        for held, texts, runs in _shards(batches, text, p, size):
+            todo, changed = list(range(len(texts))), set()
             # Joined ends can form a phrase anew, so what was cut is searched again.
-            while len(todo):
-                cut: dict[int, list] = {}
-                for p in phrases:
-                    r = runs if first and p is phrases[0] else [candidate_runs(words(texts[d]), p) for d in todo]
-                    for k, (spans, _) in search_shard(r, p).items():
-                        cut.setdefault(todo[k], []).extend(spans)
-                for d, spans in cut.items():
-                    texts[d] = cut_spans(texts[d], merge_spans(spans))
-                todo, first = sorted(cut), False
+            while todo:
+                found = search_shard(runs, p)
+                todo = [todo[k] for k in sorted(found)]
+                for k, d in zip(sorted(found), todo):
+                    texts[d] = cut_spans(texts[d], merge_spans(found[k][0]))
+                changed |= set(todo)
+                runs = [candidate_runs(words(texts[d]), p) for d in todo]
             at = 0
             for batch in held:
-                k = batch.schema.get_field_index(text)
+                k, c = batch.schema.get_field_index(text), batch.schema.get_field_index(mark)
                 new = pa.array(texts[at : at + batch.num_rows], pa.binary()).cast(batch.schema.field(k).type)
-                yield batch.set_column(k, batch.schema.field(k), new)
+                was = batch.column(c).to_pylist()
+                marks = pa.array([w or at + i in changed for i, w in enumerate(was)], pa.bool_())
+                yield batch.set_column(k, batch.schema.field(k), new).set_column(c, batch.schema.field(c), marks)
                 at += batch.num_rows
 
     return run
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard: tuple[int, int] = (SHARD_WORDS, SHARD_BYTES), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs``, same columns, with every occurrence of a phrase cut out of the text, until none is left."""
+    """``docs``, same columns, with every occurrence of a phrase cut out of the text, until none is left.
+
+    Texts and items are treated as by ``find_spans``.  A benchmark of several blocks takes a pass for
+    each, written before the next, and further rounds while a round has cut something, as what one
+    block's cuts have joined may be a phrase of another.
+    """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, item_col, item_text, window, block_bytes)]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.mapInArrow(_remove(blocks, text_col, shard), schema)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    blocks = phrase_blocks(benchmark, item_col, item_text, window, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    mark = "_cut"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.select(*names, F.lit(False).alias(mark))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
+    if second is None:
+        return rows.mapInArrow(_remove(spark.sparkContext.broadcast(first), text_col, mark, shard), schema).select(*names)
+    while True:
+        for block in itertools.chain([first, second], blocks):
+            held = spark.sparkContext.broadcast(block)
+            rows = written(rows.mapInArrow(_remove(held, text_col, mark, shard), schema), "without-spans")
+            held.destroy()
+        if rows.where(F.col(mark)).isEmpty():
+            return rows.select(*names)
+        rows = rows.withColumn(mark, F.lit(False))
+        blocks = phrase_blocks(benchmark, item_col, item_text, window, block_bytes)
+        first, second = next(blocks), next(blocks)

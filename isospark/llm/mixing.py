@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +48,15 @@ def _constant(values: list[float]) -> Column:
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_rows: int = FIT_ROWS) -> tuple[list[list[float]], list[float]]:
     """Log-likelihoods of the buckets per domain, and log priors.
 
-    ``labelled(id_col, domain_col)`` names rows of ``docs``; at most ``fit_rows`` of it are used.  Rows
-    with another or a null domain are left out; a domain without rows gets the smoothed uniform
-    distribution.
+    ``labelled(id_col, domain_col)`` names rows of ``docs``; at most ``fit_rows`` of it are used, and of
+    several rows of ``docs`` with one id the text with the least hash.  Rows with another or a null
+    domain are left out; a domain without rows gets the smoothed uniform distribution.
     """
     rows = labelled.where(F.col(domain_col).isin(domains)).select(F.col(id_col).alias("i"), F.col(domain_col).alias("d"))
     few = rows.orderBy(F.xxhash64("i"), "i", "d").limit(fit_rows)
     # Broadcast: ``limit`` bounds the side, and texts are only read where a row is chosen.
-    chosen = cut(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i").select("d", "t"))
+    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i")
+    chosen = cut(found.groupBy("i", "d").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least")).select("d", "least.t"))
     counts = chosen.select("d", F.explode(words(F.col("t"))).alias("w")).groupBy("d", bucket(F.col("w")).alias("b")).count()
     per = {(r.d, r.b): r["count"] for r in counts.collect()}  # at most domains x BUCKETS rows
     n = {r.d: r["count"] for r in chosen.groupBy("d").count().collect()}
@@ -117,7 +119,8 @@ def fit_steps(members: DataFrame, targets: list[float], posterior: str = "poster
     In rates, the gradient of the squared gap is ``t_i p_i . gap``; in the metric of the tokens it
     is ``p_i . gap``, and the matrix ``sum t_i p_ik p_il`` over the rates that can move scales it.
     Where such a step gains little, a plain one follows that is short enough to gain always.  Targets
-    that no nonnegative rates reach are approached in the least-squares sense.
+    that no nonnegative rates reach are approached in the least-squares sense.  Steps that still gain
+    when ``steps`` are done end with a warning.
     """
     k = len(targets)
     done: list[list[float]] = []
@@ -148,6 +151,9 @@ def fit_steps(members: DataFrame, targets: list[float], posterior: str = "poster
             break
         done.append(g)
         s, a, gap = new
+    else:
+        if gap > (TOLERANCE * scale) ** 2:
+            warnings.warn(f"the rates have not come to rest in {steps} steps: a gap of {math.sqrt(gap) / scale:.2g} of all tokens is left", stacklevel=2)
     return done
 
 
@@ -158,8 +164,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     tokens (all tokens of ``docs`` if not given).  ``posterior`` follows the order of ``targets``,
     ``domain`` is the likeliest one, ``copies`` rounds the rate up or down by a hash of the id, so
     that its expectation is the rate.  Texts without words have no tokens, the priors as
-    posteriors, and a rate that counts for nothing; null and repeated ids keep a row each; an
-    empty table gives none.
+    posteriors, and a rate that counts for nothing; very long texts are read whole.  Of equally likely
+    domains ``domain`` is the first.  Null and repeated ids keep a row each, repeated ones the same
+    rounding; further columns are not read; an empty table gives none.
     """
     names = list(targets)
     logs, priors = fit_domains(docs, labelled, names, id_col, text_col, domain_col, fit_rows)

@@ -10,6 +10,7 @@ L-BFGS; every gradient is a sum over partitions, and the driver holds the weight
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -56,11 +57,12 @@ def features(b: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Buckets in use (ascending), their weights, and thresholds, ascending."""
+    """Buckets in use (ascending), their weights, and thresholds, ascending; whether the fit came to rest in its steps."""
 
     buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    converged: bool = True
 
 
 def _sigmoid(z):
@@ -155,9 +157,11 @@ def _screened(rows: DataFrame, min_rows: int, min_score: float) -> np.ndarray:
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS, min_rows: int = MIN_ROWS, min_score: float = MIN_SCORE, penalty: float = PENALTY, steps: int = STEPS) -> Model:
     """The model of ``ratings(id_col, grade_col)`` over the texts of ``docs``.
 
-    At most ``fit_rows`` rated rows are used, those first by a hash of the id.  Ratings that are null or outside ``0..grades-1``,
-    and rows without a partner, are left out; without any, all weights are zero and thresholds
-    symmetric, so scoring still works.
+    At most ``fit_rows`` rated rows are used, those first by a hash of the id, and of several rows of
+    ``docs`` with a rated id one text, that with the least hash; an id with two ratings counts with
+    each.  Ratings that are null or outside ``0..grades-1``, and rows without a partner, are left out;
+    without any, all weights are zero and thresholds symmetric, so scoring still works.  A fit that
+    has not come to rest after ``steps`` steps is used as it is, with a warning and ``converged`` false.
     """
     spark = docs.sparkSession
     rated = (
@@ -167,7 +171,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
         .limit(fit_rows)
     )
     # Broadcast: ``limit`` bounds the side.
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(rated), id_col).select("grade", "text")
+    found = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(rated), id_col)
+    rows = found.groupBy(id_col, "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("grade", "least.text")
     sparse = "grade int, idx array<long>, val array<double>"
     wide = cut(rows.repartition(FIT_PARTITIONS).mapInArrow(_feature_rows, sparse))
     common = _screened(wide, min_rows, min_score)
@@ -188,16 +193,19 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
         return (loss + penalty * 0.5 * (w @ w)) / n, np.r_[g + penalty * w, tail[0], tail[1:] * gaps] / n
 
     start = np.r_[np.zeros(len(common)), -0.5 * (k - 1), np.zeros(k - 1)]
-    best = _lbfgs(objective, start, steps)
-    return Model(common, best[: len(common)], best[len(common)] + np.r_[0.0, np.cumsum(np.exp(best[len(common) + 1 :]))])
+    best, rested = _lbfgs(objective, start, steps)
+    if not rested:
+        warnings.warn(f"the fit has not come to rest in {steps} steps", stacklevel=2)
+    return Model(common, best[: len(common)], best[len(common)] + np.r_[0.0, np.cumsum(np.exp(best[len(common) + 1 :]))], rested)
 
 
-def _lbfgs(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+def _lbfgs(f, x: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray, bool]:
+    """The least point found, and whether the gradient or the gain of a step came to nearly nothing."""
     value, g = f(x)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         if np.abs(g).max(initial=0) < 1e-5:
-            break
+            return x, True
         d, marks = -g, []
         for s, y in reversed(pairs):
             a = (s @ d) / (s @ y)
@@ -218,14 +226,14 @@ def _lbfgs(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
                 break
             step *= 0.4
         else:
-            break
+            return x, True  # no step along a falling direction gains: at the limit of the arithmetic
         s, y = new - x, h - g
         if s @ y > 1e-12:
             pairs = [*pairs, (s, y)][-memory:]
         if value - v < 1e-7 * abs(value):
-            return new
+            return new, True
         x, value, g = new, v, h
-    return x
+    return x, False
 
 
 def score(text: Column, model: Model, spark) -> Column:
@@ -256,15 +264,17 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
     """``(id_col, expected_grade, p_tail, grade, kept)``, one row per row of ``docs``.
 
-    Null and empty texts have no features and are judged by the thresholds alone.  Null and
-    repeated ids keep a row each; further columns are not read; an empty table gives none.
+    Null and empty texts have no features and are judged by the thresholds alone; very long ones are
+    read whole, one at a time.  Of equally likely grades the lowest is given; a probability equal to
+    ``keep`` is kept.  Null and repeated ids keep a row each; further columns are not read; an empty
+    table gives none.
     """
     model = fit(docs, ratings, grades, id_col, text_col, **options)
     return docs.select(F.col(id_col), score(F.col(text_col), model, docs.sparkSession).alias("_s")).select(id_col, "_s.*", (F.col("_s.p_tail") >= keep).alias("kept"))
 
 
 def keep_good(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier keeps."""
+    """The rows of ``docs``, all columns, that the classifier keeps; texts and ids are treated as by ``classify``."""
     model = fit(docs, ratings, grades, id_col, text_col, **options)
     s = "_isospark_score"
     return docs.withColumn(s, score(F.col(text_col), model, docs.sparkSession)).where(F.col(f"{s}.p_tail") >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -144,6 +144,15 @@ def apply_policy(rows: DataFrame, policy: str = DEFAULT, bits: str = "failed_bit
     return rows.withColumn("kept", F.col(bits).bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def only_rule(policy: str = DEFAULT, bits: str = "failed_bits") -> Column:
+    """The one rule of a policy that rejects a row, null where none or several do: what an ablation gives back."""
+    left = F.col(bits).bitwiseAND(F.lit(mask(policy)))
+    out = F.lit(None).cast("string")
+    for r in POLICIES[policy]:
+        out = F.when(left == BIT[r], r).otherwise(out)
+    return out
+
+
 def ablation(rows: DataFrame, policy: str = DEFAULT) -> DataFrame:
     """Per rule of a policy: rows it rejects, rows only it rejects, rows kept without it.
 

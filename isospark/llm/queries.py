@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
-from .common import scratch_path
+from .common import scratch_path, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +80,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule ledger of all documents under the default policy."""
-    rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    """The stored rule ledger of all documents under two policies, and the rule that alone rejects a document."""
+    ledger = written(quality_rules.ledger(_table(spark, sf_dir, "documents")), "ledger")
+    rows = quality_rules.apply_policy(ledger)
     base = F.col("failed_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits", quality_rules.only_rule().alias("only_rule"))
 
 
 #: Shares of the languages that the mixture is to have.
@@ -150,7 +151,8 @@ _OP9 = f"""
 WITH {measured_sql('documents', 'q')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed_bits & {quality_rules.mask(quality_rules.BASE)} <> 0 AS base_failed,
-       failed_bits & {quality_rules.mask(quality_rules.DEFAULT)} = 0 AS kept, failed_bits
+       failed_bits & {quality_rules.mask(quality_rules.DEFAULT)} = 0 AS kept, failed_bits,
+       CASE failed_bits & {quality_rules.mask(quality_rules.DEFAULT)} {" ".join(f"WHEN {quality_rules.BIT[r]} THEN '{r}'" for r in quality_rules.POLICIES[quality_rules.DEFAULT])} END AS only_rule
 FROM qf
 """
 

@@ -26,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKED = "bucket int, part int, seq int, tokens binary, rows binary, docs binary, freqs binary"
 #: Documents of a batch that are packed together at most, and bytes of their text.
 BATCH_DOCS, BATCH_BYTES = 16_384, 12 << 20
 #: Buckets for each shuffle partition, so that hashing spreads them evenly, and bytes of sums that a task holds.
 BUCKETS_EACH, SUM_BYTES = 4, 16 << 20
+#: Pre-tokens whose counts a task remembers at most; beyond, it forgets all and goes on.
+KNOWN = 1 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -142,6 +145,8 @@ def _weigh(path: str):
                     heads.append((part, seq, rows, docs, freqs, None))
                     continue
                 words = tokens.split(b" ")
+                if len(known) > KNOWN:
+                    known.clear()
                 new = [x for x in words if x not in known]
                 known.update(zip(new, pieces(path, new)))
                 n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -187,14 +192,17 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """``(id_col, n_bytes, n_tokens)``, one row per row of ``docs``, whole texts.
 
     ``vocabulary`` is the path of a ``tokenizers`` JSON file on every worker, whose rules must
-    drop white space.  A null text counts as empty (no bytes, no tokens); null and repeated ids
+    drop white space; ids are integers of any width.  A null text counts as empty (no bytes, no tokens); null and repeated ids
     keep a row each; further columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids are integers here, and {id_col} is {kind.simpleString()}")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = buckets or BUCKETS_EACH * partitions
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack(n), PACKED)
     home = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
     sums = packed.repartition(partitions, home).mapInArrow(_weigh(vocabulary), "part int, seq int, valid binary, ids binary, lengths binary, sums binary")
     added = sums.groupBy("part", "seq").applyInArrow(_add, "id long, n_bytes long, n_tokens long")
-    return added.withColumnRenamed("id", id_col)
+    return added.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_tokens")

@@ -249,9 +249,11 @@ class WarcReader(D.DataSourceReader):
         files = sorted((i.path, i.size) for i in found if i.path.endswith(".warc.gz") and (named is None or posixpath.basename(i.path) in named))
         pieces, held, size = [], [], 0
         for path, n in files:
-            with system.open_input_file(path) as file:
-                ours = file.read(len(_MAGIC)) == _MAGIC
-            step = self.split if ours and n > self.split else max(n, 1)
+            ours = n > self.split  # only a file that may be cut is opened here
+            if ours:
+                with system.open_input_file(path) as file:
+                    ours = file.read(len(_MAGIC)) == _MAGIC
+            step = self.split if ours else max(n, 1)
             for at in range(0, max(n, 1), step):
                 if held and size + min(step, n - at) > self.split:
                     pieces.append(Piece(held))
@@ -342,9 +344,11 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """Pages as records: of equal payloads of at least ``least`` bytes, the one with the smallest id is
     the response and the others revisit it.  Payload equality is that of SHA-1 and length.
 
-    A null payload is empty; a null id comes last among equals; rows that repeat the smallest id
-    are all responses.
+    Ids are integers.  A null payload is empty; a null id comes last among equals; rows that repeat the
+    smallest id are all responses.
     """
+    if not isinstance(pages.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids are integers here, and {id_col} is {pages.schema[id_col].dataType.simpleString()}")
     p = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("target_uri"), p.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))

@@ -33,6 +33,17 @@ def test_gradient():
         assert (ordinal.loss_and_gradient(y, start, idx, val, w, theta + d)[0] - loss) / 1e-6 == pytest.approx(gt[k], abs=1e-4)
 
 
+def test_rated_ids_count_once(spark):
+    """The bound on fitting rows holds for repeated rows, and a fit that was cut short says so."""
+    texts = [("good words here " if i % 2 else "bad things there ") * 3 + f"n{i % 7}" for i in range(60)]
+    docs = docs_of(spark, texts + [texts[0]] * 500, list(range(60)) + [0] * 500)
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")
+    many, once = (ordinal.fit(d, ratings, 2, min_rows=2, min_score=1.0) for d in (docs, docs.dropDuplicates(["doc_id", "text"])))
+    assert many.converged and np.allclose(many.weights, once.weights, atol=1e-6) and np.allclose(many.thresholds, once.thresholds, atol=1e-6)
+    with pytest.warns(UserWarning):
+        assert not ordinal.fit(docs, ratings, 2, min_rows=2, min_score=1.0, steps=1).converged
+
+
 def test_held_out_grades(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rated = ordinal.grades_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))

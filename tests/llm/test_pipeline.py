@@ -123,3 +123,26 @@ def test_empty_table(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema) if "text" in docs.columns else docs
+
+
+def test_awkward_rows(spark):
+    """Null and empty texts, null and repeated ids, extra columns with the names that the stages use inside."""
+    good = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and n_chars > 2000").limit(6).collect()]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good]
+    rows += [(rows[0][0], rows[0][1], "en", "again", 1), (None, rows[1][1] + " tail", "en", "s", 1), (None, rows[1][1] + " tail", "en", "s", 1)]
+    rows += [(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, " \n ", "en", "s", 3), (9004, rows[2][1] * 40, "en", "long", 1)]
+    names = ["node", "component_id", "fp", "grade", "_m", "key", "row", "failed_bits", "hit_spans", "n", "_cut"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    stages = dict(corpus_pipeline.STAGES)
+    ruled = stages["quality_rules"](spark, docs, SF)
+    kept = [r.doc_id for r in ruled.collect()]
+    assert ruled.columns == docs.columns and not {9001, 9002, 9003} & set(kept) and kept.count(rows[0][0]) == 2 and kept.count(None) == 2
+    judged = stages["quality_classifier"](spark, docs, SF)
+    assert judged.columns == docs.columns and judged.count() <= docs.count()
+    one = stages["near_dedup"](spark, docs, SF)
+    ids = [r.doc_id for r in one.collect()]
+    assert one.columns == docs.columns and ids.count(None) == 2 and len(set(ids)) == len(ids) - 1 and sum(i in (9001, 9002, 9003) for i in ids) == 1
+    clean = stages["decontamination"](spark, docs, SF)
+    assert clean.columns == docs.columns and not {9001, 9002, 9003} & {r.doc_id for r in clean.collect()}
+    mixed = stages["mixing"](spark, docs, SF)
+    assert mixed.count() == docs.count() and all(r.rate > 0 for r in mixed.collect())

@@ -153,6 +153,16 @@ def test_contamination_empty_tables(spark):
     assert [(r.n_words, r.contaminated) for r in rows] == [(2, False)]
 
 
+def test_remove_spans_over_several_blocks(spark):
+    """A cut of one block's phrase joins a phrase of a block before it."""
+    a, b = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(10)]
+    texts = [" ".join(["x", *a[:4], *b, *a[4:], "y"]), " ".join([*b[:5], *a, *b[5:]]), "no phrase", None]
+    docs, items = awkward(spark, texts), bench(spark, [(1, " ".join(a)), (2, " ".join(b))]).coalesce(1)
+    for size in (1, 1 << 20):
+        got = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, items, block_bytes=size).collect()}
+        assert [(got[i] or "").split() for i in range(4)] == [["x", "y"], [], ["no", "phrase"], []] and got[3] is None
+
+
 def test_remove_spans_leaves_no_phrase(spark):
     phrase = [f"p{i}" for i in range(12)]
     texts = ["Before it. " + ", ".join(phrase).upper() + "! After.", " ".join(phrase[:6] + phrase + phrase[6:]), None, "untouched  text"]
