@@ -132,6 +132,46 @@ def category(text) -> Column:
     return F.regexp_replace(F.lower(F.trim(_c(text))), r"[-\s]+", "_")
 
 
+#: Short names of the structural categories, in the order in which tables list them.
+CATEGORY_CODES = (
+    ("full_splice_match", "FSM"), ("incomplete_splice_match", "ISM"), ("novel_in_catalog", "NIC"), ("novel_not_in_catalog", "NNC"),
+    ("fusion", "FUS"), ("antisense", "AS"), ("genic", "GENIC"), ("genic_intron", "GENIC_INTRON"),
+)
+CATEGORY_ORDER = (*[c for _, c in CATEGORY_CODES], "ALL")
+
+
+def category_code(text) -> Column:
+    """The short name of a structural category; other names upper-cased."""
+    c = category(text)
+    out = F.upper(c)
+    for name, code in CATEGORY_CODES:
+        out = F.when(c == name, code).otherwise(out)
+    return out
+
+
+def category_rank(code) -> Column:
+    """A place in the preferred order of categories, 999 for others."""
+    at = F.array_position(F.lit(list(CATEGORY_ORDER)), _c(code).cast("string"))
+    return F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(999).cast("int")
+
+
+def transcript_class(text) -> Column:
+    """A viral transcript's class from its description: the first that fits, in this order; else 'other'."""
+    x = _c(text)
+    low = F.lower(x)
+    return (
+        F.when(low.rlike("asrna|antisens|antisense"), "antisense")
+        .when(low.contains("intergenic") & low.contains("nc") & low.contains("ori"), "ncRNA")
+        .when(x.contains("AT"), "TES isoform")
+        .when(x.contains("5'"), "TSS isoform")
+        .when(low.contains("spliced"), "spliced")
+        .when(low.contains("polycistronic") | (low.contains("complex") & low.contains("canonic")), "polycistronic")
+        .when(low.contains("monocistronic") | low.contains("canonic"), "canonic")
+        .when(low.rlike(r"non-coding|\bnc\b"), "ncRNA")
+        .when(x.isNotNull(), "other")
+    )
+
+
 def is_full_match(text) -> Column:
     return category(text).isin("full_splice_match", "fsm")
 

@@ -86,6 +86,11 @@ def paired_tests(rows: DataFrame, groups: list[str], block: list[str], name: str
     return adjust(p, groups, "p_raw", how, "p_adj", tie=None)
 
 
+def in_report_order(tests: DataFrame, groups: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """Tests as tables list them: by group, adjusted and raw p-value, and names; missing values last."""
+    return tests.orderBy(*groups, F.col("p_adj").asc_nulls_last(), F.col("p_raw").asc_nulls_last(), a, b)
+
+
 def _p_series(ts, ns):
     return pd.Series([t_two_sided(t, n - 1) if t == t and n > 1 else None for t, n in zip(ts, ns)], dtype="float64")
 

@@ -78,11 +78,19 @@ def junction_support(junctions: DataFrame, by: list[str], key: str = "junction")
     return counts.withColumn("support", cls.otherwise(F.lit("single")))
 
 
-def set_combinations(members: DataFrame, element: str, name: str, names: list[str]) -> DataFrame:
-    """Exclusive intersections of sets: the names each element is in, counted and ranked."""
+def in_category_order(rows: DataFrame, groups: list[str], over: str = "category") -> DataFrame:
+    """Rows by group and the preferred order of categories, others last."""
+    from isospark.functions.scalar import category_code, category_rank
+
+    return rows.orderBy(*groups, category_rank(category_code(over)), over)
+
+
+def set_combinations(members: DataFrame, element: str, name: str, names: list[str], least: int = 1) -> DataFrame:
+    """Exclusive intersections of sets: the names each element is in, counted and ranked; those of fewer
+    than ``least`` elements are left out."""
     has = members.groupBy(element).agg(F.collect_set(name).alias("s"))
     combo = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(F.col("s"), n))
-    c = has.select(F.array_join(combo, "&").alias("combo"), F.size(combo).alias("degree")).groupBy("combo", "degree").agg(F.count("*").alias("n")).where("degree > 0")
+    c = has.select(F.array_join(combo, "&").alias("combo"), F.size(combo).alias("degree")).groupBy("combo", "degree").agg(F.count("*").alias("n")).where((F.col("degree") > 0) & (F.col("n") >= least))
     return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("degree"), "combo")))
 
 

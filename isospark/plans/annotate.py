@@ -38,24 +38,32 @@ def depth(reads: DataFrame) -> DataFrame:
     return coverage.segments(blocks.select("contig", F.explode(F.array("strand", F.lit("all"))).alias("track"), F.col("b.s").alias("bstart"), F.col("b.e").alias("bend")), ["contig", "track"])
 
 
-def call_sites(reads: DataFrame, depth_of: DataFrame, p: Params) -> DataFrame:
-    """Qualified sites of every end kind: ``l5`` and ``r5`` are starts, ``l3`` and ``r3`` ends.
+def site_stats(counts: DataFrame, depth_of: DataFrame, p: Params) -> DataFrame:
+    """Statistics of the positions of every end kind: ``l5`` and ``r5`` are starts, ``l3`` and ``r3`` ends.
 
-    The kind gives the strand; a site's share is of the depth on its own strand.
+    ``counts`` are those of ``ends.end_counts``.  The kind gives the strand; a site's share is of the
+    depth on its own strand.
     """
     kind = F.col("kind")
-    counts = ends.end_counts(reads).where("status = 'correct'").select("contig", "kind", "pos", "cnt")
+    counts = counts.where("status = 'correct'").select("contig", "kind", "pos", "cnt")
     called = peaks.call_peaks(counts, ["contig", "kind"], window=p.window, wobble=p.wobble, descending=kind.startswith("r"))
     called = called.withColumn("track", F.when(kind.isin("l5", "r3"), "+").otherwise("-"))
     covered = peaks.inward_coverage(called, depth_of, left_side=kind.startswith("l"), distance=p.distance, sample=p.cov_sample, mode=p.coverage_mode, keys=("contig", "track"))
     rows = peaks.qualify(covered.withColumn("ratio", peaks.ratio_of("cnt", "coverage")), p.minimum, p.ratio)
-    return rows.where("is_qualified").withColumnRenamed("track", "strand")
+    return rows.withColumnRenamed("track", "strand")
+
+
+def call_sites(reads: DataFrame, depth_of: DataFrame, p: Params) -> DataFrame:
+    """Qualified sites of every end kind."""
+    return site_stats(ends.end_counts(reads), depth_of, p).where("is_qualified")
 
 
-def qualified_introns(reads: DataFrame, depth_of: DataFrame, p: Params) -> DataFrame:
+def qualified_introns(n: DataFrame, depth_of: DataFrame, p: Params) -> DataFrame:
     """Introns with coverage and ``is_qualified``: no far more frequent neighbour, counted often enough, and a
-    large enough share of the mean depth on both sides (on the left as on right ends, see ``coverage_mode``)."""
-    n = ends.intron_counts(reads)
+    large enough share of the mean depth on both sides (on the left as on right ends, see ``coverage_mode``).
+
+    ``n`` are the counts of ``ends.intron_counts``.
+    """
     near = introns.neighbour_filter(n, ["contig"], "left", "right", "cnt", p.intron_wobble, p.rare_intron).select("contig", "left", "right").withColumn("is_picked", F.lit(True))
     rows = n.join(near, ["contig", "left", "right"], "left").withColumns({"is_picked": F.coalesce("is_picked", F.lit(False)), "track": F.lit("all")})
     sides = dict(distance=p.distance, sample=p.cov_sample, mode=p.coverage_mode, keys=("contig", "track"))
@@ -65,9 +73,9 @@ def qualified_introns(reads: DataFrame, depth_of: DataFrame, p: Params) -> DataF
     return peaks.qualify(rows.withColumn("ratio", peaks.ratio_of("cnt", "coverage")), p.minimum, p.ratio)
 
 
-def call_introns(reads: DataFrame, depth_of: DataFrame, genome: DataFrame, p: Params) -> DataFrame:
+def call_introns(counts: DataFrame, depth_of: DataFrame, genome: DataFrame, p: Params) -> DataFrame:
     """All introns with their splice sites and ``is_qualified``."""
-    sites = introns.with_splice_sites(qualified_introns(reads, depth_of, p), genome, p.shs_for_ts, p.match_score, p.mismatch_score)
+    sites = introns.with_splice_sites(qualified_introns(counts, depth_of, p), genome, p.shs_for_ts, p.match_score, p.mismatch_score)
     return sites.withColumn("is_qualified", F.col("is_qualified") & F.col("consensus").isNotNull()) if p.force_consensus else sites
 
 
@@ -88,7 +96,7 @@ def annotate(reads: DataFrame, genome: DataFrame, p: Params = Params()) -> Annot
     tss, tes = sites.where("kind in ('l5', 'r5')"), sites.where("kind in ('l3', 'r3')")
     if p.significance:
         tss = peaks.significant(tss)
-    all_introns = cut(call_introns(labelled, d, genome, p))
+    all_introns = cut(call_introns(ends.intron_counts(labelled), d, genome, p))
     found = all_introns.where("is_qualified")
     site = lambda t: t.select("contig", "strand", F.col("pos").cast("long").alias("pos"))
     known = found.select("contig", "strand", F.col("left").alias("s"), F.col("right").alias("e"))

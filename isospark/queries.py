@@ -909,9 +909,10 @@ SELECT contig, l AS "left", r AS "right", cnt, round(coverage, 6) AS coverage, p
 def intron_calls(rows):
     """Introns with the mean depth on both sides, and which of them qualify by neighbours, count and share."""
     from isospark.model import Params
+    from isospark.operators import ends
     from isospark.plans import annotate
 
     p = Params(first_exon=10, minimum=2, ratio=0.02, coverage_mode="inward")
     reads = _labelled(rows, p)
-    out = annotate.qualified_introns(reads, annotate.depth(reads), p)
+    out = annotate.qualified_introns(ends.intron_counts(reads), annotate.depth(reads), p)
     return out.select("contig", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "cnt", F.round("coverage", 6).alias("coverage"), "is_qualified")

@@ -44,22 +44,67 @@ def write_tsv(df: DataFrame, path: str, order: list | None = None, header: bool
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("sep", "\t").option("header", header).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
-def write_gff(rows: DataFrame, path: str) -> None:
-    """GFF rows by contig, start and end; a null score as ``.``."""
+def write_gff(rows: DataFrame, path: str, order=("contig", "start", "end"), version: bool = False) -> None:
+    """GFF rows in order; a null score as ``.``; ``version`` puts the version line first."""
     names = [c.split()[0] for c in GFF.split(", ")]
-    out = rows.withColumn("score", F.coalesce(S.number_text("score"), F.lit("."))).orderBy("contig", "start", "end")
-    out.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in names]).alias("value")).write.mode("overwrite").text(path)
+    out = rows.withColumn("score", F.coalesce(S.number_text("score"), F.lit(".")))
+    value = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in names])
+    lines = out.select(F.lit(1).alias("_k"), *order, value.alias("value"))
+    if version:
+        head = rows.sparkSession.createDataFrame([(0, "##gff-version 3")], "_k int, value string")
+        lines = head.unionByName(lines, allowMissingColumns=True)
+    lines.orderBy("_k", *order).select("value").write.mode("overwrite").text(path)
 
 
-def gff3_to_gtf(gff: DataFrame) -> DataFrame:
-    """Transcript and exon rows in GTF attributes, exons numbered from the 5' end."""
+def find_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".gff3", ".gff", ".gtf", ".gff3.gz", ".gff.gz", ".gtf.gz")) -> list[str]:
+    """Files below a folder that have one of the suffixes and are not empty, sorted; a file stands for itself.
+
+    The listing is Spark's, so any store that it reads will do.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not any(c in path for c in "*?[{") and not system.getFileStatus(hadoop).isDirectory():
+        return [path]
+    # Spark wrote this folder as one file.
+    if path.endswith(suffixes):
+        return [path]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path")
+    return sorted(r.path for r in found.collect() if r.path.lower().endswith(suffixes))
+
+
+def boundary_gtf(gff: DataFrame) -> DataFrame:
+    """Rows of type tss or tes as transcript rows of a GTF, tagged with their kind."""
+    a = S.gff3_attributes("info")
+    kind = F.lower("feature")
+    rows = gff.where(kind.isin("tss", "tes")).withColumns({"a": a, "kind": F.upper("feature")})
+    strand = S.clean_strand("strand")
+    name = F.coalesce(F.col("a")["ID"], F.col("a")["Name"], F.concat_ws("_", "contig", F.col("start").cast("string"), strand))
+    info = F.concat(F.lit('gene_id "gene_'), name, F.lit('"; transcript_id "tx_'), name, F.lit('"; tag "'), "kind", F.lit('";'))
+    return rows.select("contig", "source", F.lit("transcript").alias("feature"), "start", "end", F.lit(None).cast("double").alias("score"), strand.alias("strand"), F.lit(".").alias("frame"), info.alias("info"))
+
+
+def write_active_gtf(spark: SparkSession, gtf, active: DataFrame, path: str, strip: bool = False) -> None:
+    """The lines of a GTF that belong to active transcripts, in their order, header lines first."""
+    from isospark.plans.suites import active_gtf
+
+    lines = spark.read.text(gtf).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    c = F.split("value", "\t")
+    body = active_gtf(lines.where(~F.col("value").startswith("#")), active, strip)
+    rows = lines.where(F.col("value").startswith("#")).select(F.lit(0).alias("k"), F.lit("").alias("contig"), F.lit(0).cast("long").alias("at"), "value")
+    rows = rows.union(body.select(F.lit(1), F.get(c, F.lit(0)), F.get(c, F.lit(3)).try_cast("long"), "value"))
+    rows.orderBy("k", "contig", "at", "value").select("value").write.mode("overwrite").text(path)
+
+
+def gff3_to_gtf(gff: DataFrame, tag: str | None = None) -> DataFrame:
+    """Transcript and exon rows in GTF attributes, exons numbered from the 5' end; ``tag`` (see
+    ``scalar.default_tag``) marks the transcript rows."""
     tx = transcripts_of_gff(gff)
     names = gff.withColumn("a", S.gff3_attributes("info")).select(F.coalesce(F.col("a")["ID"], F.col("a")["transcript_id"], F.col("a")["Name"]).alias("id"), F.col("a")["gene_id"].alias("gene")).where("id is not null").dropDuplicates(["id"])
     t = tx.join(names, "id", "left").withColumn("gene", F.coalesce("gene", F.concat(F.lit("gene_"), F.col("id"))))
     ordered = F.when(F.col("strand") == "-", F.reverse("exons")).otherwise(F.col("exons"))
     base = F.concat(F.lit('gene_id "'), F.col("gene"), F.lit('"; transcript_id "'), F.col("id"), F.lit('";'))
     rows = F.concat(
-        F.array(F.struct(F.lit("transcript").alias("feature"), "start", "end", base.alias("info"))),
+        F.array(F.struct(F.lit("transcript").alias("feature"), "start", "end", (F.concat(base, F.lit(f' tag "{tag}";')) if tag else base).alias("info"))),
         F.transform(ordered, lambda x, i: F.struct(F.lit("exon").alias("feature"), x["s"].alias("start"), x["e"].alias("end"), F.concat(base, F.lit(' exon_number "'), (i + 1).cast("string"), F.lit('";')).alias("info"))),
     )
     return t.select("contig", "strand", F.explode(rows).alias("r")).select("contig", "r.feature", "r.start", "r.end", "strand", "r.info")
@@ -113,12 +158,25 @@ def read_depth(spark: SparkSession, path, contigs: DataFrame | None = None) -> D
     return d if contigs is None else d.join(contigs.select("contig").distinct(), "contig", "left_semi")
 
 
-def read_manifest(spark: SparkSession, path, columns: list[str]) -> DataFrame:
-    """Rows of a white-space separated manifest; a first line that repeats the column names is its header."""
-    c = F.split(F.trim("value"), r"\s+")
+#: Columns of the manifest dialects, by name; 'runs' has no header line, the others may have one.
+MANIFESTS = {
+    "reference": ["chemistry", "cell-line", "gtf", "reference"],
+    "runs": ["chemistry", "cell_line", "path"],
+    "junctions": ["annotator", "chemical", "cell", "junctions"],
+    "database": ["annotator", "chemical", "cell", "classification"],
+}
+
+
+def read_manifest(spark: SparkSession, path, columns: list[str] | None = None, dialect: str | None = None) -> DataFrame:
+    """Rows of a manifest, white-space or tab separated, by its columns or its dialect.
+
+    A first line that repeats the column names is its header; further columns of a line are left out.
+    """
+    columns = columns or MANIFESTS[dialect]
+    c = F.split(F.trim("value"), r"\t" if dialect in ("junctions", "database") else r"\s+")
     rows = read_lines(spark, path).withColumn("c", c).where(F.size("c") >= len(columns))
-    rows = rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(columns)])
-    return rows.where(F.lower(F.col(columns[0])) != columns[0].lower())
+    rows = rows.select(*[F.trim(F.get("c", F.lit(i))).alias(n) for i, n in enumerate(columns)])
+    return rows if dialect == "runs" else rows.where(F.lower(F.col(f"`{columns[0]}`")) != columns[0].lower())
 
 
 def read_table(spark: SparkSession, path, aliases: dict[str, list[str]] | None = None, sep: str = "\t") -> DataFrame:
@@ -137,12 +195,13 @@ def find_tables(spark: SparkSession, path: str, required: list[str], pattern: st
     return sorted(p for p in names if set(required) <= {c.strip() for c in (spark.read.text(p).first() or [""])[0].replace(",", "\t").lstrip("﻿").split("\t")})
 
 
-def read_transcript_table(spark: SparkSession, path, source: str) -> DataFrame:
+def read_transcript_table(spark: SparkSession, path, source: str, with_id: bool = False) -> DataFrame:
     """``(idx, source, contig, strand, start, end, exons, reads)`` of a transcript TSV with the usual names.
 
     Rows whose bounds are no numbers are dropped, bounds in the wrong order swapped; without an exon
     text the whole transcript is one exon; further columns that end in ``_present`` are kept as
-    ``<source>__<column>``, empty ones as "0".  ``idx`` follows the lines of the file.
+    ``<source>__<column>``, empty ones as "0".  ``idx`` rises with the lines of a file that is not split.
+    ``with_id`` adds the table's own names as ``original_id``.
     """
     from isospark.operators.summaries import resolve_column
 
@@ -159,6 +218,7 @@ def read_transcript_table(spark: SparkSession, path, source: str) -> DataFrame:
     rows = df.select(
         F.monotonically_increasing_id().alias("idx"),
         F.lit(source).alias("source"),
+        *([F.coalesce(column("transcript_id", "isoform", "id"), F.lit("")).alias("original_id")] if with_id else []),
         column("chromosome", "seqid", "seqnames", "chrom").alias("contig"),
         S.clean_strand(column("strand")).alias("strand"),
         F.when(b.isNotNull(), F.least(a, b)).alias("start"),

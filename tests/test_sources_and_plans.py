@@ -191,8 +191,8 @@ def test_file_commands(spark, tmp_path):
     ref = text.read_transcript_table(spark, str(tmp_path / "ref.tsv"), "ref").collect()
     assert [(r.contig, r.start, r.end, r.reads, r.ref__x_present, [tuple(e) for e in r.exons]) for r in ref] == [("chr1", 10, 90, 1000.0, "0", [(10, 30), (60, 90)]), ("chr9", 5, 9, 0.0, "1", [(5, 9)])]
     main(["merge", str(tmp_path / "merged"), *files, "--window", "5"], spark)
-    merged = text.read_table(spark, str(tmp_path / "merged")).collect()
-    assert [(r.start, r.end, r.s1, r.s2) for r in merged if r.n_exons == "2"] == [("10", "90", "5.0", "5.0")]
+    merged = text.read_table(spark, str(tmp_path / "merged" / "transcripts")).collect()
+    assert [(r.start, r.end, r.s1, r.s2) for r in merged if ";" in r.exon_composition] == [("10", "90", "5", "5")]
     main(["evaluate", str(tmp_path / "eval"), str(tmp_path / "ref.tsv"), *files], spark)
     got = text.read_table(spark, str(tmp_path / "eval" / "stats")).collect()
     assert [(r.file, r.tp, r.fp, r.fn) for r in got] == [("s1", "1", "2", "1"), ("s2", "1", "2", "1")]
@@ -211,3 +211,150 @@ def test_small_functions(spark):
     assert tuple(got[0].run) == ("K562", "ONT", "bambu") and got[1].run.cell_line is None and [r.tag for r in got] == [None, "TSS", "TES"]
     one = spark.createDataFrame([([(1, 5), (8, 9)],), ([(1, 5)],)], "x array<struct<s:long,e:long>>").select(S.inner_signature("x").alias("i")).collect()
     assert [r.i for r in one] == [[5, 8], []]
+
+
+def test_sam_round_trip(spark, tmp_path):
+    """Header, order, qualities, mates and tags survive; new tags replace those of the same letters."""
+    (tmp_path / "a.sam").write_text(
+        "@HD\tVN:1.6\n@SQ\tSN:chr2\tLN:90\n"
+        "q1\t99\tchr2\t30\t60\t5M\t=\t40\t15\tACGTA\tIIIII\tNM:i:0\tXA:Z:a:b c\tAS:f:1.5\tXB:B:c,1,2\n"
+        "q2\t16\tchr1\t7\t9\t3S2M\t*\t0\t0\tACGTA\t#####\tl5:Z:old\n"
+        "q3\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n"
+    )
+    reads = sam.read_sam(spark, str(tmp_path / "a.sam")).withColumn("mark", F.when(F.col("qname") == "q2", "new"))
+    sam.write_sam(reads, str(tmp_path / "b.sam"), {"l5:Z": "mark"}, spark.createDataFrame([("chr1", 50), ("chr2", 90)], "contig string, length int"))
+    parts = sorted(p for p in (tmp_path / "b.sam").iterdir() if p.name.startswith("part-"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert lines[:4] == ["@HD\tVN:1.6\tSO:coordinate", "@SQ\tSN:chr1\tLN:50", "@SQ\tSN:chr2\tLN:90", "@PG\tID:isospark\tPN:isospark"]
+    assert [x.split("\t")[0] for x in lines[4:]] == ["q2", "q1", "q3"]
+    assert lines[5].split("\t")[:11] == ["q1", "99", "chr2", "30", "60", "5M", "=", "40", "15", "ACGTA", "IIIII"] and set(lines[5].split("\t")[11:]) == {"NM:i:0", "XA:Z:a:b c", "AS:f:1.5", "XB:B:c,1,2"}
+    assert lines[4].split("\t")[11:] == ["l5:Z:new"]
+    back = sam.read_sam(spark, str(tmp_path / "b.sam"))
+    key = lambda df: {r.qname: r for r in df.drop("mark").collect()}
+    old, new = key(reads), key(back)
+    assert old["q1"] == new["q1"] and old["q3"] == new["q3"] and new["q2"].tags == {"l5": "new"}
+
+
+def both_strands():
+    """Two plus reads at 201 under very many minus reads that cover the same place."""
+    rows = ["@SQ\tSN:chr1\tLN:1200"]
+    turn = str.maketrans("ACGT", "TGCA")
+    body = SEQ[200:400]
+    plus = FIVE + body + "A" * 30
+    minus = "T" * 30 + SEQ[100:600] + FIVE.translate(turn)[::-1]
+    rows += [f"p{i}\t0\tchr1\t201\t60\t31S200M30S\t*\t0\t0\t{plus}\t*" for i in range(2)]
+    rows += [f"m{i}\t0\tchr1\t101\t60\t30S500M31S\t*\t0\t0\t{minus}\t*" for i in range(2500)]
+    return "\n".join(rows) + "\n"
+
+
+def test_each_strand_has_its_own_depth(spark, tmp_path):
+    (tmp_path / "a.sam").write_text(both_strands())
+    genome = spark.createDataFrame([("chr1", SEQ)], "contig string, seq string")
+    reads = sam.read_sam(spark, str(tmp_path / "a.sam"))
+    p = Params(shs_for_ts=40, ratio=0.01, coverage_mode="inward")
+    a = annotate.annotate(reads, genome, p)
+    assert {(r.pos, r.strand, r.cnt, r.coverage) for r in a.tss.collect()} == {(201, "+", 2, 2.0), (600, "-", 2500, 2500.0)}
+    assert {(r.pos, r.strand, r.cnt) for r in a.tes.collect()} == {(400, "+", 2), (101, "-", 2500)}
+    depth = {(r.track, r.seg_start, r.seg_end, r.depth) for r in annotate.depth(a.reads).collect()}
+    assert ("+", 201, 400, 2) in depth and ("-", 101, 600, 2500) in depth and ("all", 201, 400, 2502) in depth
+    # On direct RNA flags stay whole, and secondary alignments do not count towards depth.
+    drna = spark.createDataFrame([("a", 16 + 256, "chr1"), ("b", 2048, "chr1")], "qname string, flag int, contig string")
+    from isospark.operators import ends
+
+    assert {(r.qname, r.flag, r.mapq) for r in ends.assign_strand(drna, True).collect()} == {("a", 272, 9), ("b", 2048, 9)}
+    assert [r.qname for r in ends.counted_in_depth(drna).collect()] == ["b"]
+
+
+def test_stages_give_what_annotate_gives(spark, tmp_path):
+    from isospark.__main__ import main
+
+    (tmp_path / "a.sam").write_text(sam_text())
+    (tmp_path / "g.fa").write_text(">chr1 test\n" + SEQ + "\n")
+    d = lambda n: str(tmp_path / n)
+    options = ["--shs_for_ts", "40"]
+    main(["annotate", d("a.sam"), d("g.fa"), d("whole"), *options], spark)
+    main(["label", d("a.sam"), d("labels"), *options], spark)
+    main(["stats", d("labels"), d("g.fa"), d("stats"), *options], spark)
+    main(["sites", d("stats"), d("features"), *options], spark)
+    main(["transcripts", d("labels"), d("features"), d("tx"), *options], spark)
+    lines = lambda p: sorted(r.value for r in spark.read.text(p).collect())
+    for n in ("tss", "tes", "introns"):
+        assert lines(d(f"features/{n}.gff3")) == lines(d(f"whole/{n}.gff3")) != []
+    assert lines(d("tx/transcripts.gff3")) == lines(d("whole/transcripts.gff3"))
+    tags = {r.qname: r.tags for r in sam.read_sam(spark, d("whole/transcripts.sam")).collect()}
+    assert tags["r1"]["ts"] == "201" and tags["r1"]["te"] == "500" and tags["r1"]["NM"] == "0" and "in" in tags["r1"]
+    assert {r.qname: r.tags.get("tr") for r in sam.read_sam(spark, d("tx/transcripts.sam")).collect()} == {q: t.get("tr") for q, t in tags.items()}
+
+
+def test_merge_outputs_and_features(spark, tmp_path):
+    from isospark.__main__ import main
+
+    folder = tmp_path / "in" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "s1.gff3").write_text(GFF)
+    (folder / "s2.gff3").write_text(GFF.replace("\t5\t", "\t2.5\t"))
+    (folder / "empty.gff3").write_text("")
+    out = str(tmp_path / "out")
+    main(["merge", out, str(tmp_path / "in"), "--sample_attributes", "--collapse"], spark)
+    table = {r.isoform: r for r in text.read_table(spark, f"{out}/transcripts").collect()}
+    assert table["TR_000001"].exon_composition == "10-30;60-90" and (table["TR_000001"].s1, table["TR_000001"].s2) == ("5", "2.5")
+    lines = [r.value for r in spark.read.text(f"{out}/transcripts.gff3").coalesce(1).collect()]
+    assert lines[0] == "##gff-version 3" and lines[1].split("\t") == ["chr1", "merge", "mRNA", "10", "90", "7.5", "+", ".", "ID=TR_000001;Name=TR_000001;exon_count=2;exon_comp=10-30;60-90;s1=5;s2=2.5"]
+    assert lines[2].endswith("ID=TR_000001.exon1;Parent=TR_000001") and lines[3].split("\t")[3:5] == ["60", "90"]
+    introns = text.read_gff(spark, f"{out}/intron.gff3").collect()
+    assert [(r.start, r.end, r.score, r.info) for r in introns] == [(31, 59, 7.5, "ID=INTRON_000001;Name=INTRON_000001")]
+    sites = {(r.start, r.strand): r.score for r in text.read_gff(spark, f"{out}/tss.gff3").collect()}
+    assert sites[10, "+"] == 7.5 and sites[90, "-"] == 14.0
+    (tmp_path / "ref.gff3").write_text("c\tx\tTSS\t10\t10\t.\t+\t.\t.\nc\tx\tintron\t20\t40\t.\t+\t.\t.\nc\tx\tintron\t20\t60\t.\t+\t.\t.\nc\tx\tgene\t1\t9\t.\t+\t.\t.\n")
+    (tmp_path / "q1.gff3").write_text("c\tx\tTSS\t12\t12\t3\t+\t.\t.\nc\tx\tTSS\t8\t8\t.\t+\t.\t.\nc\tx\tintron\t21\t41\t5\t+\t.\t.\nc\tx\tTSS\t10\t10\t9\t-\t.\t.\n")
+    main(["features", str(tmp_path / "cmp"), str(tmp_path / "ref.gff3"), str(tmp_path / "q1.gff3"), "--window", "2"], spark)
+    got = {r.feature_id: (r.type, r.end, r.q1) for r in text.read_table(spark, str(tmp_path / "cmp" / "features")).collect()}
+    assert got == {"FT_000001": ("TSS", "10", "4"), "FT_000002": ("intron", "40", "5"), "FT_000003": ("intron", "60", "0")}
+
+
+def test_boundary_and_report_commands(spark, tmp_path):
+    from isospark.__main__ import main
+
+    rows = []
+    for tool in ("bambu", "flair", "talon"):
+        for cell, at in (("c1", 100), ("c2", 120), ("c3", 140)):
+            gtf = tmp_path / f"{cell}_{tool}.gtf"
+            n = {"bambu": 1, "flair": 2, "talon": 3}[tool]
+            gtf.write_text("".join(f'chr1\ts\ttranscript\t{at + 500 * k}\t{at + 500 * k + 50}\t.\t+\t.\tgene_id "g"; transcript_id "t{k}";\n' for k in range(n)))
+            bed = tmp_path / f"{cell}.bed"
+            bed.write_text(f"chr1\t{at - 5}\t{at + 5}\tx\t0\t+\n")
+            rows.append(f"ONT\t{cell}\t{gtf}\t{bed}\r\n")
+    (tmp_path / "m.tsv").write_text("Chemistry\tCell-line\tGTF\tReference\r\n" + "".join(rows))
+    main(["boundary", str(tmp_path / "b"), str(tmp_path / "m.tsv")], spark)
+    scores = {(r.annotator, r.cell): (r.tp, r.fp, r.fn) for r in text.read_table(spark, str(tmp_path / "b" / "scores")).collect()}
+    assert scores["bambu", "c1"] == ("1", "0", "0") and scores["FLAIR", "c2"] == ("1", "1", "0") and len(scores) == 9
+    assert text.read_table(spark, str(tmp_path / "b" / "annotators")).count() == 3
+    (tmp_path / "c.tsv").write_text("isoform\tstructural_category\tassociated_gene\tlength\ttool\n" + "".join(f"i{k}\t{c}\tg{k % 2}\t1,{k}00\tA\n" for k, c in enumerate(["fusion", "novel_in_catalog", "full-splice_match", "odd"])))
+    main(["report", str(tmp_path / "r"), str(tmp_path / "c.tsv"), "--by", "tool"], spark)
+    assert [r.category for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "r" / "categories")).collect()] == ["full_splice_match", "novel_in_catalog", "fusion", "ALL", "odd"]
+    (tmp_path / "t1.tsv").write_text("Transcript_ID\tChromosome\tStart\tEnd\tStrand\tExon_composition\tx_present\na\tc\t10\t90\t+\t10-30;60-90\t1\nb\tc\t500\t600\t+\t\t\n")
+    (tmp_path / "t2.tsv").write_text("Transcript_ID\tChromosome\tStart\tEnd\tStrand\tExon_composition\td\tc\nz\tc\t12\t91\t+\t12-30;60-91\t0\t0\n")
+    main(["clusters", str(tmp_path / "cl"), str(tmp_path / "t1.tsv"), str(tmp_path / "t2.tsv")], spark)
+    got = {r.Cluster_ID: r for r in text.read_table(spark, str(tmp_path / "cl")).collect()}
+    assert (got["CLUST_000001"].Original_Transcript_ID, got["CLUST_000001"].Start, got["CLUST_000001"].End, got["CLUST_000001"].Introns, got["CLUST_000001"].t1__x_present) == ("a;z", "10", "91", "31-59", "1")
+    assert got["CLUST_000002"].Original_Transcript_ID == "b" and len(got) == 2
+    (tmp_path / "p.tsv").write_text("seqnames\tstrand\tstart\tend\nc\t+\t15\t20\nc\t-\t1\t12\n")
+    (tmp_path / "q.tsv").write_text("seqnames\tstrand\tstart\tend\nc\t+\t10\t90\n")
+    main(["positions", str(tmp_path / "po"), str(tmp_path / "q.tsv"), str(tmp_path / "p.tsv")], spark)
+    assert text.read_table(spark, str(tmp_path / "po")).first().support == "1"
+    (tmp_path / "x_tss.gff3").write_text("c\ts\ttss\t5\t5\t2\t+\t.\tp=1\n")
+    main(["gtf", str(tmp_path / "g"), str(tmp_path / "x_tss.gff3")], spark)
+    assert spark.read.text(str(tmp_path / "g")).first().value.split("\t")[8] == 'gene_id "gene_c_5_+"; transcript_id "tx_c_5_+"; tag "TSS";'
+
+
+def test_categories_and_active_lines(spark, tmp_path):
+    from isospark.functions import scalar as S
+
+    words = ["Intergenic ncRNA ori", "asRNA x", "longer AT", "5' ext", "spliced one", "polycistronic", "complex canonic", "monocistronic", "nc", "zzz", None]
+    got = [r.c for r in spark.createDataFrame([(w,) for w in words], "w string").select(S.transcript_class("w").alias("c")).collect()]
+    assert got == ["ncRNA", "antisense", "TES isoform", "TSS isoform", "spliced", "polycistronic", "polycistronic", "canonic", "ncRNA", "other", None]
+    codes = spark.createDataFrame([("Full-splice match",), ("odd",)], "c string").select(S.category_code("c").alias("k"), S.category_rank(S.category_code("c")).alias("r")).collect()
+    assert [tuple(r) for r in codes] == [("FSM", 0), ("ODD", 999)]
+    (tmp_path / "a.gtf").write_text('##head\nc\ts\ttranscript\t9\t20\t.\t+\t.\tgene_id "g"; transcript_id "t.1";\nc\ts\tgene\t5\t20\t.\t+\t.\tgene_id "g";\nc\ts\ttranscript\t1\t20\t.\t+\t.\tgene_id "h"; transcript_id "u.1";\n')
+    text.write_active_gtf(spark, str(tmp_path / "a.gtf"), spark.createDataFrame([("t.1",)], "id string"), str(tmp_path / "o"))
+    assert [r.value.split("\t")[2] if "\t" in r.value else r.value for r in spark.read.text(str(tmp_path / "o")).coalesce(1).collect()] == ["##head", "gene", "transcript"]
