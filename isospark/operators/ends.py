@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,15 +60,27 @@ def local_alignments(seqs: list[str | None], adapter: str, match: float, mismatc
     return best, [[{"s": int(where[j, i]), "e": j} for j in range(1, width + 1) if where[j, i] >= 0] for i in range(n)]
 
 
-def adapter_hits(seq: Column, adapter: str, p: Params) -> Column:
-    """(score, ends) of the best local alignments; score 0 and no ends without any."""
+def adapter_hits(windows: dict[str, tuple[Column, str]], p: Params) -> Column:
+    """By name: (score, ends) of the best local alignments of a window with an adapter; score 0 and no ends without any.
 
-    def run(seqs: pa.Array) -> pa.Array:
-        score, ends = local_alignments(seqs.to_pylist(), adapter, p.match_score, p.mismatch_score, p.gap_open_score, p.gap_extend_score)
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(ends, kind)], names=["score", "ends"])
+    All windows of a read go to the tasks' workers at once, and equal ones are aligned once a batch.
+    """
+    names, adapters = list(windows), [adapter for _, adapter in windows.values()]
+    kind = pa.struct([("score", pa.float64()), ("ends", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
+
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for seqs, adapter in zip(rows.flatten(), adapters):
+            different = seqs.drop_null().unique()
+            score, ends = local_alignments(different.to_pylist(), adapter, p.match_score, p.mismatch_score, p.gap_open_score, p.gap_extend_score)
+            found = [{"score": float(s), "ends": e} for s, e in zip(score, ends)] + [{"score": 0.0, "ends": []}]
+            at = pc.fill_null(pc.index_in(seqs, different), len(found) - 1)
+            at = pc.if_else(seqs.is_null(), len(found) - 1, at)
+            out.append(pa.array(found, kind).take(at))
+        return pa.StructArray.from_arrays(out, names=names)
 
-    return F.arrow_udf(run, _ENDS)(seq)
+    made = T.StructType([T.StructField(n, _ENDS) for n in windows])
+    return F.arrow_udf(run, made)(F.struct(*[c.alias(n) for n, (c, _) in windows.items()]))
 
 
 def parse_cigar(cigar) -> Column:
@@ -156,20 +169,27 @@ def label_ends(reads: DataFrame, p: Params = Params()) -> DataFrame:
     none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("no softclip").alias("status"))
     sure = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("correct").alias("status"))
     reverse = F.col("flag").bitwiseAND(16) != 0
+    windows, limits = {}, {}
+    asked = lambda side, name: F.when(reverse == F.lit(side == "l"), F.col(name)) if p.drna else F.col(name)
     for side, name in (("l", "left"), ("r", "right")):
         for which, adapter, limit in (("3", p.three_adapter, p.three_score), ("5", p.five_adapter, p.five_score)):
+            if p.drna and which == "5":
+                continue
             # Read inwards, the 3' adapter shows complemented on the left and plain on the right.
             turn = complement if (side, which) in (("l", "3"), ("r", "5")) else (lambda c: c)
-            key = side + which
-            if p.drna and which == "5":
+            window = asked(side, name)
+            windows[side + which] = (turn(window), adapter)
+            windows[side + which + "_false"] = (turn(F.when((before[side] <= p.first_exon) & window.isNotNull(), F.col(f"{name}_match"))), adapter)
+            limits[side + which] = limit
+    r = r.withColumn("_hits", adapter_hits(windows, p))
+    for side, name in (("l", "left"), ("r", "right")):
+        for key in (f"{side}3", f"{side}5"):
+            if key not in limits:
                 r = r.withColumn(key, F.when(reverse == F.lit(side == "r"), sure).otherwise(none))
                 continue
-            asked = F.when(reverse == F.lit(side == "l"), F.col(name)) if p.drna else F.col(name)
-            r = r.withColumn("_hit", adapter_hits(turn(asked), adapter, p))
-            r = r.withColumn("_false", adapter_hits(turn(F.when((before[side] <= p.first_exon) & asked.isNotNull(), F.col(f"{name}_match"))), adapter, p))
-            label = _placed(F.col("_hit"), F.col("_false"), F.when(asked.isNotNull(), F.col(f"{name}_clip")), before[side], limit, p)
-            r = r.withColumn(key, label).drop("_hit", "_false")
-    return r.drop("left", "left_clip", "left_match", "right", "right_clip", "right_match")
+            clip = F.when(asked(side, name).isNotNull(), F.col(f"{name}_clip"))
+            r = r.withColumn(key, _placed(F.col("_hits")[key], F.col("_hits")[f"{key}_false"], clip, before[side], limits[key], p))
+    return r.drop("left", "left_clip", "left_match", "right", "right_clip", "right_match", "_hits")
 
 
 def assign_strand(reads: DataFrame, drna: bool = False) -> DataFrame:
