@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isospark.functions import scalar as S
-from isospark.operators import cluster, coverage, match, peaks, rangejoin, stats, summaries
+from isospark.operators import cluster, coverage, match, peaks, rangejoin, reports, stats, summaries
 
 TABLES = ("lineitem", "orders", "customer", "part", "documents", "events")
 _STRAND = "CASE WHEN l_linestatus = 'F' THEN '+' ELSE '-' END"
@@ -263,11 +263,16 @@ def eval_not_found(exons):
     return match.evaluate(tx, pred, pairs, "tid", "pid")[2].select("tid", "contig", "strand")
 
 
-@query("v_exons", f"WITH {_TX_SQL} SELECT contig, strand, tss, tes, introns::VARCHAR AS chain, count(*) AS n FROM t GROUP BY ALL")
+@query("v_exons", f"WITH {_TX_SQL} SELECT contig, strand, tss, tes, introns::VARCHAR AS chain, count(*) AS n FROM t WHERE tid % 3 <> 0 AND tid % 5 <> 0 AND tid % 7 <> 0 AND tid % 11 <> 0 AND tss > 0 AND tes > 0 GROUP BY ALL")
 def transcript_counts(exons):
-    """Reads per transcript key: contig, strand, both sites and the intron chain."""
+    """Reads per transcript: contig, strand, both sites and the intron chain, of reads that pass every gate."""
+    from isospark.operators.transcripts import count_transcripts
+
+    t = F.col("tid")
+    found = lambda c, k: F.when(t % k == 0, -1).otherwise(F.col(c))
+    reads = _tx(exons).withColumns({"ts": found("tss", 3), "te": found("tes", 5), "accepted": t % 7 != 0, "gap": t % 11 == 0})
     chain = F.concat(F.lit("["), F.array_join(F.transform("introns", lambda i: F.concat(F.lit("{'s': "), i["s"].cast("string"), F.lit(", 'e': "), i["e"].cast("string"), F.lit("}"))), ", "), F.lit("]"))
-    return _tx(exons).groupBy("contig", "strand", "tss", "tes", chain.alias("chain")).agg(F.count("*").alias("n"))
+    return count_transcripts(reads).select("contig", "strand", F.col("ts").alias("tss"), F.col("te").alias("tes"), chain.alias("chain"), F.col("reads").alias("n"))
 
 
 @query("v_exons", f"WITH {_TX_SQL} SELECT contig, 'mRNA' AS feature, \"start\", \"end\", strand, concat('ID=tr', tid) AS info FROM t UNION ALL SELECT contig, 'exon', unnest(exons).s, unnest(exons).e, strand, concat('Parent=tr', tid) FROM t")
@@ -388,15 +393,8 @@ _CAT = "regexp_replace(lower(trim(structural_category)), '[-\\s]+', '_', 'g')"
 round(sum(CASE WHEN within_cage = 'TRUE' THEN iso_exp ELSE 0 END) / sum(iso_exp), 6) AS cage_rate, round(sum(CASE WHEN motif_found = 'True' AND within_polya = 'True' THEN iso_exp ELSE 0 END) / sum(iso_exp), 6) AS site_motif_rate
 FROM v_class GROUP BY 1, 2 HAVING sum(iso_exp) > 0""")
 def weighted_rates(rows):
-    w = F.col("iso_exp")
-    r = rows.withColumn("category", S.category("structural_category")).groupBy("annotator", "category").agg(
-        F.count("*").alias("n"),
-        F.sum("iso_exp").alias("_w"),
-        F.round(summaries.rate(F.coalesce(S.coding_class("coding") == "coding", F.lit(False)), w), 6).alias("coding_rate"),
-        F.round(summaries.rate(S.bool_or_false("within_cage"), w), 6).alias("cage_rate"),
-        F.round(summaries.rate(S.bool_or_false("motif_found") & S.bool_or_false("within_polya"), w), 6).alias("site_motif_rate"),
-    )
-    return r.where("_w > 0").drop("_w")
+    r = reports.expression_rates(rows.withColumn("category", S.category("structural_category")), ["annotator", "category"])
+    return r.select("annotator", "category", "n", *[F.round(c, 6).alias(c) for c in ("coding_rate", "cage_rate", "site_motif_rate")])
 
 
 @query("v_class", """SELECT annotator, CASE WHEN grouping(structural_category) = 1 THEN 'ALL' ELSE structural_category END AS category, count(*) AS n, round(avg(length), 4) AS mean_length,
@@ -501,12 +499,7 @@ def active_subset(rows):
 d AS (SELECT DISTINCT annotator, associated_transcript AS t, structural_category AS c FROM v_class WHERE structural_category IN ('full-splice_match', 'incomplete-splice_match'))
 SELECT annotator, count(DISTINCT t) FILTER (c LIKE 'full%') AS fsm, count(DISTINCT t) FILTER (c LIKE 'inc%') AS ism, count(DISTINCT t) AS either, round(count(DISTINCT t) / (SELECT count(*) FROM u), 6) AS recall FROM d WHERE t IN (SELECT t FROM u) GROUP BY 1""")
 def set_recall(rows):
-    universe = rows.where("annotator = 'A'").select("associated_transcript").distinct()
-    total = universe.agg(F.count("*").alias("total"))
-    hit = rows.where(S.is_full_match("structural_category") | S.is_incomplete_match("structural_category")).join(universe, "associated_transcript", "left_semi")
-    full, part = F.when(S.is_full_match("structural_category"), F.col("associated_transcript")), F.when(S.is_incomplete_match("structural_category"), F.col("associated_transcript"))
-    n = hit.groupBy("annotator").agg(F.countDistinct(full).alias("fsm"), F.countDistinct(part).alias("ism"), F.countDistinct("associated_transcript").alias("either"))
-    return n.join(F.broadcast(total)).withColumn("recall", F.round(F.col("either") / F.col("total"), 6)).drop("total")
+    return reports.recall_of(rows, rows.where("annotator = 'A'"), ["annotator"]).withColumn("recall", F.round("recall", 6))
 
 
 @query("v_class", """WITH n AS (SELECT annotator, chemistry, structural_category AS c, count(*) AS k FROM v_class WHERE cell_line <> 'x' GROUP BY 1, 2, 3), w AS (SELECT annotator, c, sum(k) AS k FROM n GROUP BY 1, 2)
@@ -525,32 +518,28 @@ def composition_simple(rows):
 
 @query("v_class", "WITH c AS (SELECT annotator, cell_line, avg((coding = 'coding')::INT) AS p FROM v_class WHERE coding IS NOT NULL GROUP BY 1, 2) SELECT annotator, round(avg(p), 6) AS coding FROM c GROUP BY 1")
 def coding_cell_mean(rows):
-    c = rows.groupBy("annotator", "cell_line").agg(summaries.share(S.coding_class("coding") == "coding").alias("p"))
-    return c.groupBy("annotator").agg(F.round(F.avg("p"), 6).alias("coding"))
+    return reports.coding_share(rows, ["annotator"], "cell_line").withColumn("coding", F.round("coding", 6))
 
 
 @query("v_class", "SELECT annotator, round(avg((coding = 'coding')::INT), 6) AS coding FROM v_class WHERE coding IS NOT NULL GROUP BY 1")
 def coding_weighted(rows):
-    return rows.groupBy("annotator").agg(F.round(summaries.share(S.coding_class("coding") == "coding"), 6).alias("coding"))
+    return reports.coding_share(rows, ["annotator"]).withColumn("coding", F.round("coding", 6))
 
 
 @query("v_class", f"WITH {_PER_GENE}, m AS (SELECT annotator, chemistry, avg(k) AS m, count(*) AS t FROM k GROUP BY 1, 2) SELECT annotator, round(sum(m * t) / sum(t), 6) AS mean_isoforms, sum(t)::BIGINT AS total FROM m GROUP BY 1")
 def bins_collapse(rows):
     """Mean isoforms per gene over cells, weighted by their genes."""
-    k = rows.groupBy("annotator", "chemistry", "associated_gene").agg(F.countDistinct("isoform").alias("k"))
-    m = k.groupBy("annotator", "chemistry").agg(F.avg("k").alias("m"), F.count("*").alias("t"))
-    return m.groupBy("annotator").agg(F.round(summaries.weighted_mean("m", "t"), 6).alias("mean_isoforms"), F.sum("t").alias("total"))
+    return reports.isoforms_over_cells(rows, ["annotator"], "chemistry").withColumn("mean_isoforms", F.round("mean_isoforms", 6))
 
 
 @query("v_class", "WITH q AS (SELECT annotator, cell_line, quantile_cont(length, 0.5) AS med, max(length) AS top FROM v_class GROUP BY 1, 2) SELECT annotator, round(avg(med), 4) AS median, round(least(avg(top), 60000), 4) AS top_capped FROM q GROUP BY 1")
 def box_avg_capped(rows):
-    q = rows.groupBy("annotator", "cell_line").agg(*summaries.quantiles("length", "length"))
-    return q.groupBy("annotator").agg(F.round(F.avg("length_median"), 4).alias("median"), F.round(F.least(F.avg("length_max"), F.lit(60000.0)), 4).alias("top_capped"))
+    return reports.box_over_cells(rows, ["annotator"], "cell_line").select("annotator", F.round("median", 4).alias("median"), F.round("top_capped", 4).alias("top_capped"))
 
 
 @query("v_class", "SELECT coalesce(nullif(coding, ''), '(empty)') AS coding, structural_category, count(*) AS n FROM v_class GROUP BY 1, 2")
 def structure_composition(rows):
-    return rows.groupBy(F.coalesce(F.nullif("coding", F.lit("")), F.lit("(empty)")).alias("coding"), "structural_category").agg(F.count("*").alias("n"))
+    return reports.structure_counts(rows, ["coding"])
 
 
 @query("v_class", """WITH s AS (SELECT concat_ws('|', associated_transcript, chemistry, cell_line) AS t, list_sort(list(DISTINCT annotator)) AS a FROM v_class GROUP BY 1), c AS (SELECT array_to_string(a, '&') AS combo, len(a) AS degree, count(*) AS n FROM s GROUP BY 1, 2)
@@ -571,7 +560,7 @@ _NOVEL = "n AS (SELECT *, concat_ws('|', chrom, strand, jstart, jend) AS junctio
 
 
 def _novel(j: DataFrame) -> DataFrame:
-    return j.where(S.category("junction_category") != "known").withColumns({"junction": S.junction_key("chrom", "strand", "jstart", "jend"), "canonical": S.canonical_site("splice_site")})
+    return reports.novel_junctions(j)
 
 
 @query("v_junc", f"""WITH {_NOVEL} SELECT junction, count(DISTINCT annotator) AS n_annotator, count(DISTINCT chemistry) AS n_chemistry, count(DISTINCT cell_line) AS n_cell_line,
@@ -585,9 +574,7 @@ d AS (SELECT DISTINCT {by}, junction FROM n) SELECT {by}, count(*) AS n, round(a
 
 
 def _support_by(j: DataFrame, by: list[str]) -> DataFrame:
-    n = _novel(j)
-    d = n.select(*by, "junction").distinct().join(summaries.junction_support(n, []), "junction", "left")
-    return d.groupBy(*by).agg(F.count("*").alias("n"), F.round(summaries.share(F.col("support") == "cross_tool"), 6).alias("cross_tool"), F.round(summaries.share(F.col("support") != "single"), 6).alias("supported"))
+    return reports.support_shares(_novel(j), by).withColumns({c: F.round(c, 6) for c in ("cross_tool", "supported")})
 
 
 @query("v_junc", _SUPPORT_BY.format(novel=_NOVEL, by="annotator"))
@@ -605,29 +592,24 @@ _ON = "USING (annotator, chemistry, cell_line, isoform)"
 
 
 def _with_meta(j: DataFrame, c: DataFrame) -> DataFrame:
-    keys = ["annotator", "chemistry", "cell_line", "isoform"]
-    return _novel(j).join(c.select(*keys, "structural_category", "associated_gene").distinct(), keys, "left")
+    return reports.with_classification(_novel(j), c)
 
 
 @query("v_junc v_class", f"""WITH {_NOVEL}, {_META}, x AS (SELECT n.*, structural_category, associated_gene FROM n LEFT JOIN m {_ON}), y AS (SELECT *, 'all_novel' AS scope FROM x UNION ALL SELECT *, 'nnc_only' FROM x WHERE structural_category = 'novel_not_in_catalog')
 SELECT annotator, chemistry, scope, count(*) AS n, round(avg(canonical::INT), 6) AS canonical, round(avg((rts = 'TRUE')::INT), 6) AS rts FROM y GROUP BY 1, 2, 3""")
 def junction_plausibility(j, c):
-    x = _with_meta(j, c)
-    y = x.withColumn("scope", F.lit("all_novel")).unionByName(x.where(S.category("structural_category") == "novel_not_in_catalog").withColumn("scope", F.lit("nnc_only")))
-    return y.groupBy("annotator", "chemistry", "scope").agg(F.count("*").alias("n"), F.round(summaries.share(F.col("canonical")), 6).alias("canonical"), F.round(summaries.share(S.bool_missing_false("rts")), 6).alias("rts"))
+    return reports.plausibility(_with_meta(j, c), ["annotator", "chemistry"]).withColumns({x: F.round(x, 6) for x in ("canonical", "rts")})
 
 
 @query("v_junc", f"WITH {_NOVEL}, i AS (SELECT annotator, isoform, bool_and(canonical) AS good, count(*) AS k FROM n GROUP BY 1, 2) SELECT annotator, count(*) AS n, round(avg(good::INT), 6) AS all_canonical, median(k) AS median_junctions FROM i GROUP BY 1")
 def isoform_canonicality(j):
-    i = _novel(j).groupBy("annotator", "isoform").agg(F.bool_and("canonical").alias("good"), F.count("*").alias("k"))
-    return i.groupBy("annotator").agg(F.count("*").alias("n"), F.round(summaries.share(F.col("good")), 6).alias("all_canonical"), F.median("k").alias("median_junctions"))
+    return reports.isoform_canonicality(_novel(j), ["annotator"]).withColumn("all_canonical", F.round("all_canonical", 6))
 
 
 @query("v_junc v_class", f"""WITH {_NOVEL}, {_META}, g AS (SELECT associated_gene, count(DISTINCT annotator) AS k, count(DISTINCT junction) AS nj, annotator FROM (SELECT n.*, associated_gene FROM n LEFT JOIN m {_ON}) GROUP BY associated_gene, annotator)
 SELECT annotator, count(DISTINCT associated_gene) AS n_genes, median(nj) AS median_size, count(*) FILTER (nj >= 2) AS n2, count(*) FILTER (nj >= 3) AS n3, round(avg((nj >= 2)::INT), 6) AS f2 FROM g WHERE associated_gene IS NOT NULL GROUP BY 1""")
 def locus_consistency(j, c):
-    g = _with_meta(j, c).where("associated_gene is not null").groupBy("annotator", "associated_gene").agg(F.countDistinct("junction").alias("nj"))
-    return g.groupBy("annotator").agg(F.countDistinct("associated_gene").alias("n_genes"), F.median("nj").alias("median_size"), F.count_if(F.col("nj") >= 2).alias("n2"), F.count_if(F.col("nj") >= 3).alias("n3"), F.round(summaries.share(F.col("nj") >= 2), 6).alias("f2"))
+    return reports.locus_consistency(_with_meta(j, c), ["annotator"]).withColumn("f2", F.round("f2", 6))
 
 
 # scores
@@ -635,8 +617,8 @@ def locus_consistency(j, c):
 
 @query("v_f1", "SELECT mode, chem, annotator, round(avg(f1), 6) AS f1, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(sum(tp) / (sum(tp) + sum(fp)), 6) AS precision FROM v_f1 GROUP BY 1, 2, 3")
 def metric_means(f):
-    m = f.groupBy("mode", "chem", "annotator").agg(F.round(F.avg("f1"), 6).alias("f1"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return match.with_rates(m.withColumnRenamed("f1", "f")).select("mode", "chem", "annotator", F.col("f").alias("f1"), "tp", "fp", "fn", F.round("precision", 6).alias("precision"))
+    m = reports.metric_means(f, ["mode", "chem", "annotator"])
+    return m.select("mode", "chem", "annotator", F.round("mean_f1", 6).alias("f1"), "tp", "fp", "fn", F.round("precision", 6).alias("precision"))
 
 
 @query("v_f1", """WITH d AS (SELECT a.mode, a.annotator AS a, b.annotator AS b, a.f1 - b.f1 AS d FROM v_f1 a JOIN v_f1 b USING (mode, chem, cell) WHERE a.annotator < b.annotator)
@@ -687,8 +669,8 @@ def anova_blocked(f):
 
 @query("v_f1", "SELECT s.chem, s.annotator, s.cell, round(s.f1, 6) AS f1_f, round(e.f1, 6) AS f1_o FROM v_f1 s JOIN v_f1 e USING (chem, cell, annotator) WHERE s.mode = 'F' AND e.mode = 'O'")
 def score_join(f):
-    a, b = (f.where(F.col("mode") == m).select("chem", "cell", "annotator", F.round("f1", 6).alias(n)) for m, n in (("F", "f1_f"), ("O", "f1_o")))
-    return a.join(b, ["chem", "cell", "annotator"])
+    both = reports.side_by_side(f, ["chem", "cell", "annotator"], "mode", ("F", "O"))
+    return both.select("chem", "cell", "annotator", F.round("f1_F", 6).alias("f1_f"), F.round("f1_O", 6).alias("f1_o"))
 
 
 @query("v_f1", "SELECT annotator, round(avg(f1) FILTER (mode = 'F'), 6) AS x, round(avg(f1) FILTER (mode = 'O'), 6) AS y FROM v_f1 GROUP BY 1")
