@@ -171,23 +171,45 @@ def seed_clusters(rows: DataFrame, keys: list[str], matches, order: list[str], p
     return done.withColumn(out, F.concat_ws(".", F.col("_part").cast("string"), F.col(out).cast("string"))).drop("_part")
 
 
-def greedy_pairs(candidates: DataFrame, keys: list[str], a: str, b: str, order: list[str]) -> DataFrame:
+#: Rounds in which greedy pairs are taken everywhere at once, before what is left is folded in order.
+PAIR_ROUNDS = 8
+
+
+def greedy_pairs(candidates: DataFrame, keys: list[str], a: str, b: str, order: list[str], rounds: int = PAIR_ROUNDS) -> DataFrame:
     """Exclusive pairs: candidates in order, taken if neither side is used yet.
 
-    Decided by rounds: a candidate that comes first for both of its sides is taken, and all others
-    of those sides go.  Each round is a pair of windows, so no group is gathered; the best candidate
-    of every component is taken in each, and chains of ever worse candidates bound the rounds.
+    A candidate that comes first for both of its sides is taken, and all others of those sides go;
+    each such round is a pair of windows, so no group is gathered.  What is left after ``rounds``
+    are chains of ever worse candidates, which are folded in order, each connected part by itself.
     """
     left = cut(candidates)
-    taken = None
-    while True:
-        rank = F.struct(*order)
+    rank = F.struct(*order)
+    taken = left.limit(0)
+    for _ in range(rounds):
         best = left.withColumns({"_a": F.min(rank).over(Window.partitionBy(*keys, a)), "_b": F.min(rank).over(Window.partitionBy(*keys, b))})
         now = cut(best.where((F.col("_a") == rank) & (F.col("_b") == rank)).drop("_a", "_b"))
         if now.isEmpty():
-            return taken if taken is not None else now
-        taken = now if taken is None else taken.unionByName(now)
+            return taken
+        taken = taken.unionByName(now)
         left = cut(left.join(now.select(*keys, a), [*keys, a], "left_anti").join(now.select(*keys, b), [*keys, b], "left_anti"))
+    side = lambda name, c: F.concat_ws("|", F.lit(name), *[F.col(k).cast("string") for k in keys], F.col(c).cast("string"))
+    rows = left.withColumns({"_u": side("a", a), "_v": side("b", b)})
+    rows = rows.join(components(rows, "_u", "_v").select(F.col("node").alias("_u"), F.col("component").alias("_part")), "_u")
+    u_at, v_at = rows.columns.index("_u"), rows.columns.index("_v")
+
+    def fold():
+        used = set()
+
+        def step(row):
+            if row[u_at] in used or row[v_at] in used:
+                return (0,)
+            used.update((row[u_at], row[v_at]))
+            return (1,)
+
+        return step
+
+    folded = ordered_fold(rows, ["_part"], order, _with(rows, "_taken"), fold)
+    return taken.unionByName(folded.where("_taken = 1").select(*candidates.columns))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -87,6 +87,11 @@ def test_greedy_pairs_and_components(spark):
             want.add((a, b))
             used |= {a, b}
     assert got == want
+    for rounds in (0, 1):
+        assert {(r.a, r.b) for r in cluster.greedy_pairs(df, ["k"], "a", "b", ["d", "a", "b"], rounds).collect()} == want
+    # A chain of ever worse candidates: every second one is taken.
+    chain = spark.createDataFrame([("k", i // 2 + i % 2, 1000 + i // 2, i) for i in range(60)], "k string, a long, b long, d int")
+    assert sorted(r.d for r in cluster.greedy_pairs(chain, ["k"], "a", "b", ["d"], 3).collect()) == list(range(0, 60, 2))
     comp = {r.node: r.component for r in cluster.components(df).collect()}
     assert set(comp) == {x for e in edges for x in e} and all(comp[a] == comp[b] <= a for a, b in edges)
     assert cluster.greedy_pairs(df.limit(0), ["k"], "a", "b", ["d"]).count() == 0
