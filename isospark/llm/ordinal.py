@@ -28,7 +28,9 @@ FIT_ROWS = 16_000
 FIT_PARTITIONS = 8
 #: A bucket is used if so many fitting rows have it and its score against the grade is so many deviations.
 MIN_ROWS, MIN_SCORE = 8, 4.0
-PENALTY, STEPS = 0.5, 60
+PENALTY, STEPS = 0.5, 200
+#: A fit is at rest when a step gains less than this share of the loss.
+GAIN = 1e-6
 #: A row is kept if its probability of the top grade reaches this.
 KEEP = 0.5
 #: Bytes of the beginnings and endings of words that are hashed beside the words.
@@ -230,7 +232,7 @@ def _lbfgs(f, x: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray, b
         s, y = new - x, h - g
         if s @ y > 1e-12:
             pairs = [*pairs, (s, y)][-memory:]
-        if value - v < 1e-7 * abs(value):
+        if value - v < GAIN * abs(value):
             return new, True
         x, value, g = new, v, h
     return x, False
