@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
+from . import decontaminate, exact_dedup, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
 from .common import scratch_path, written
 
 
@@ -102,8 +102,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, domain_labels(docs, _table(spark, sf_dir, "labels")), TARGETS)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, the one of its equals that stays, and how many they are."""
+    return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_html_templates, op3_simhash, op4_url_filter, op5_warc, op6_license_scan, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_templates, op3_simhash, op4_url_filter, op5_warc, op6_license_scan, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing, op13_exact_dedup)}
 
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -169,5 +174,12 @@ FROM h JOIN d USING (sha)
 """
 
 
+_OP13 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER w = 1 AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h ORDER BY doc_id DESC NULLS LAST, rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": _OP5, "op7_decontaminate": _OP7, "op9_quality_rules": _OP9}
+    return {"op5_warc": _OP5, "op7_decontaminate": _OP7, "op9_quality_rules": _OP9, "op13_exact_dedup": _OP13}
