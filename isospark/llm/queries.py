@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
+from . import decontaminate, divergence, exact_dedup, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
 from .common import scratch_path, written
 
 
@@ -102,13 +102,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, domain_labels(docs, _table(spark, sf_dir, "labels")), TARGETS)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the words of every source are from those of the others of its language, and the terms it has most beyond them."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, the one of its equals that stays, and how many they are."""
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_html_templates, op3_simhash, op4_url_filter, op5_warc, op6_license_scan, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_templates, op3_simhash, op4_url_filter, op5_warc, op6_license_scan, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing, op12_source_divergence, op13_exact_dedup)}
 
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -174,6 +179,24 @@ FROM h JOIN d USING (sha)
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+z AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n AS n_all FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(n_all) OVER (PARTITION BY lang, source) AS lang_total, count(*) OVER (PARTITION BY lang, source) AS v FROM z),
+p AS (SELECT lang, source, term, n, (1 + (1000000000 * (n + 5)) // (total + 5 * v))::BIGINT AS p, (1 + (1000000000 * (n_all + 5)) // (lang_total + 5 * v))::BIGINT AS q FROM s),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
 _OP13 = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER w = 1 AS kept, h AS text_sha256
@@ -182,4 +205,4 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY doc_id DESC NULLS LAST, rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": _OP5, "op7_decontaminate": _OP7, "op9_quality_rules": _OP9, "op13_exact_dedup": _OP13}
+    return {"op5_warc": _OP5, "op7_decontaminate": _OP7, "op9_quality_rules": _OP9, "op12_source_divergence": _OP12, "op13_exact_dedup": _OP13}
