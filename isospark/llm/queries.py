@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, exact_dedup, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, token_counts, url_filter, warc
+from . import decontaminate, divergence, exact_dedup, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, spelling, token_counts, url_filter, warc
 from .common import scratch_path, written
 
 
@@ -102,6 +102,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, domain_labels(docs, _table(spark, sf_dir, "labels")), TARGETS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its neighbours' number, its form and its root."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the words of every source are from those of the others of its language, and the terms it has most beyond them."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
@@ -113,7 +118,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_html_templates, op3_simhash, op4_url_filter, op5_warc, op6_license_scan, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing, op12_source_divergence, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_templates, op3_simhash, op4_url_filter, op5_warc, op6_license_scan, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_mixing, op11_spelling_variants, op12_source_divergence, op13_exact_dedup)}
 
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -179,6 +184,25 @@ FROM h JOIN d USING (sha)
 """
 
 
+#: The checksum is CRC-32 with its usual polynomial, by a table of 256 entries.
+_OP11 = r"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i)) AS t),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+      WHERE length(run) >= 5 GROUP BY ALL),
+b AS (SELECT doc_id, run, n, t, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM r, c),
+h AS (SELECT run, n, coalesce(xor(list_reduce(bytes, lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]), 4294967295::BIGINT), 4294967295), 1) AS h FROM b),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS s FROM v, unnest(range(length(word))) AS u(k)),
+l AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.k = b.k AND a.s = b.s AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.s = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.s = v.word),
+m AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM l GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM v LEFT JOIN m USING (word)),
+p AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT p.word, f.form, step + 1 FROM p JOIN f ON f.word = p.root WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, step) AS root FROM p GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+"""
+
 _OP12 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -205,4 +229,4 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY doc_id DESC NULLS LAST, rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": _OP5, "op7_decontaminate": _OP7, "op9_quality_rules": _OP9, "op12_source_divergence": _OP12, "op13_exact_dedup": _OP13}
+    return {"op5_warc": _OP5, "op7_decontaminate": _OP7, "op9_quality_rules": _OP9, "op11_spelling_variants": _OP11, "op12_source_divergence": _OP12, "op13_exact_dedup": _OP13}
