@@ -18,7 +18,7 @@ No group of rows is gathered: not a language nor a source, and of a term no more
 from __future__ import annotations
 
 import heapq
-import re
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,138 +39,148 @@ UNIT = 1_000_000_000
 TOP = 50
 #: Postings of a block in memory, and hash shards that its run is cut into.
 BLOCK_POSTINGS, SHARDS = 400_000, 256
+#: Postings that the open chunks of a shard have together.
+OPEN_POSTINGS = 4_000_000
 #: Bytes of a text that are taken apart at once.
 PIECE = 1 << 20
 #: Sources of a block in the matrices of corrections, and matrices that a task holds.
 SIDE, HELD = 256, 32
 
-CHUNK = "shard int, lang string, first binary, terms array<binary>, sources array<array<string>>, counts array<array<long>>, docs array<array<long>>"
-_CHUNK = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())), ("sources", pa.list_(pa.list_(pa.string()))), ("counts", pa.list_(pa.list_(pa.int64()))), ("docs", pa.list_(pa.list_(pa.int64())))])
-MERGED = "lang string, term string, docs long, sources array<string>, counts array<long>, source_docs array<long>"
-_MERGED = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("source_docs", pa.list_(pa.int64()))])
+#: Terms are joined by blanks; ``docs`` and ``sizes`` are a number per term, ``ids`` (places in ``names``) and ``counts`` per posting.
+CHUNK = "shard int, lang string, first binary, terms binary, docs binary, sizes binary, names array<string>, ids binary, counts binary"
+_CHUNK = pa.schema([("shard", pa.int32()), ("lang", pa.string()), *((c, pa.binary()) for c in ("first", "terms", "docs", "sizes")), ("names", pa.list_(pa.string())), ("ids", pa.binary()), ("counts", pa.binary())])
+MERGED = "lang string, term string, docs long, sources array<string>, counts array<long>"
+_MERGED = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 #: Letters of terms in lower case, bytes of other code points as they are, everything else a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-_BLANK = re.compile(rb" ")
 
 
-def term_counts(text: str) -> Counter:
-    """Occurrences of each term of a text, as UTF-8; the text is taken apart by pieces that end at a blank."""
+def pieces(text: str) -> Iterator[list[bytes]]:
+    """The terms of a text as UTF-8, a list for each piece of it; a piece ends at a blank."""
     folded = text.encode().translate(_FOLD)
-    counts: Counter = Counter()
     at = 0
     while at < len(folded):
-        blank = _BLANK.search(folded, at + PIECE)
-        end = blank.start() if blank else len(folded)
-        counts.update(folded[at:end].split())
+        end = folded.find(b" ", at + PIECE)
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].split()
         at = end
-    return counts
 
 
-def _run(block: dict, shards: int) -> Iterator[pa.RecordBatch]:
-    """A block as its term-sorted run: a row per shard and language."""
-    by_shard: dict = {}
-    for lang, terms in block.items():
-        for term in sorted(terms):
-            by_shard.setdefault((zlib.crc32(term) % shards, lang), []).append(term)
+def _run(block: dict, shards: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A block as its term-sorted run: a row per shard and language, or more of ``most`` postings."""
     rows = []
-    for (shard, lang), terms in sorted(by_shard.items()):
-        posts = [sorted(block[lang][t].items()) for t in terms]
-        rows.append({"shard": shard, "lang": lang, "first": terms[0], "terms": terms, "sources": [[s for s, _ in p] for p in posts], "counts": [[c[0] for _, c in p] for p in posts], "docs": [[c[1] for _, c in p] for p in posts]})
-        if len(rows) == 256:
-            yield pa.RecordBatch.from_pylist(rows, _CHUNK)
-            rows = []
+    for lang, (docs, groups) in block.items():
+        terms = sorted(docs)
+        place = dict(zip(terms, range(len(terms)), strict=True))
+        names = sorted(groups)
+        sizes = [len(groups[s]) for s in names]
+        t = np.concatenate([np.fromiter(map(place.__getitem__, groups[s]), np.int64, n) for s, n in zip(names, sizes, strict=True)])
+        n = np.concatenate([np.fromiter(groups[s].values(), np.int64, k) for s, k in zip(names, sizes, strict=True)])
+        of = np.repeat(np.arange(len(names)), sizes)
+        shard = np.fromiter((zlib.crc32(x) % shards for x in terms), np.int64, len(terms))
+        df = np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms))
+        order = np.lexsort((of, t, shard[t]))
+        t, n, of = t[order], n[order], of[order]
+        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        ends = np.r_[starts[1:], len(t)]
+        term = t[starts]
+        mine = shard[term]
+        # A chunk ends with its shard, and where the next multiple of ``most`` postings is passed.
+        within = starts - starts[np.searchsorted(mine, mine)]
+        cuts = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (within[1:] // most != within[:-1] // most), True])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = starts[a], ends[b - 1]
+            used, ids = np.unique(of[i:j], return_inverse=True)
+            words = [terms[k] for k in term[a:b]]
+            rows.append({"shard": int(mine[a]), "lang": lang, "first": words[0], "terms": b" ".join(words), "docs": df[term[a:b]].tobytes(), "sizes": (ends[a:b] - starts[a:b]).tobytes(), "names": [names[k] for k in used], "ids": ids.astype(np.int32).tobytes(), "counts": n[i:j].tobytes()})
+            if len(rows) == 256:
+                yield pa.RecordBatch.from_pylist(rows, _CHUNK)
+                rows = []
     if rows:
         yield pa.RecordBatch.from_pylist(rows, _CHUNK)
 
 
-def _index(batches: Iterator[pa.RecordBatch], limit: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], limit: int, shards: int, most: int) -> Iterator[pa.RecordBatch]:
     """Runs of the blocks of a task.  The empty term counts the documents of a source, also of one without terms."""
     block: dict = {}
     held = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-            lang, source = lang.as_py(), source.as_py()
-            terms = block.setdefault(lang, {})
-            counts = term_counts(text.as_py())
-            counts[b""] = 0
-            for term, n in counts.items():
-                post = terms.get(term)
-                if post is None:
-                    post = terms[term] = {}
-                c = post.get(source)
-                if c is None:
-                    post[source] = [n, 1]
-                    held += 1
-                else:
-                    c[0] += n
-                    c[1] += 1
+            docs, groups = block.setdefault(lang.as_py(), (Counter(), {}))
+            counts = groups.setdefault(source.as_py(), Counter())
+            held -= len(counts)
+            different: set = {b""}
+            for terms in pieces(text.as_py()):
+                counts.update(terms)
+                different.update(terms)
+            counts[b""] += 1
+            docs.update(different)
+            held += len(counts)
             if held >= limit:
-                yield from _run(block, shards)
+                yield from _run(block, shards, most)
                 block, held = {}, 0
-    yield from _run(block, shards)
+    yield from _run(block, shards, most)
 
 
-def runs(docs: DataFrame, block_postings: int = BLOCK_POSTINGS, shards: int = SHARDS) -> DataFrame:
+def runs(docs: DataFrame, block_postings: int = BLOCK_POSTINGS, shards: int = SHARDS, most: int = OPEN_POSTINGS) -> DataFrame:
     """Step 1: chunks of the sorted runs of ``docs(lang, source, text)``, nulls as empty strings."""
-    return docs.mapInArrow(lambda b: _index(b, block_postings, shards), CHUNK)
+    return docs.mapInArrow(lambda b: _index(b, block_postings, shards, most), CHUNK)
 
 
 def _walk(chunk: dict) -> Iterator[tuple]:
-    lang, shard = chunk["lang"], chunk["shard"]
-    yield from (((shard, lang, t), s, c, d) for t, s, c, d in zip(chunk["terms"], chunk["sources"], chunk["counts"], chunk["docs"], strict=True))
+    """``(term, documents, chunk, first posting, end of postings)`` of each term of a chunk."""
+    end = np.cumsum(np.frombuffer(chunk["sizes"], np.int64)).tolist()
+    held = (chunk["names"], np.frombuffer(chunk["ids"], np.int32).tolist(), np.frombuffer(chunk["counts"], np.int64).tolist())
+    yield from zip(chunk["terms"].split(b" "), np.frombuffer(chunk["docs"], np.int64).tolist(), itertools.repeat(held), [0, *end[:-1]], end, strict=False)
+
 
+def _summed(entries: list[tuple]) -> dict[str, int]:
+    posts: dict = {}
+    for (names, ids, counts), a, b in entries:
+        for i in range(a, b):
+            s = names[ids[i]]
+            posts[s] = posts.get(s, 0) + counts[i]
+    return posts
 
-def merged_terms(chunks: Iterator[dict]) -> Iterator[tuple]:
-    """``((shard, lang, term), {source: [occurrences, documents]})`` of chunks in order of (shard, lang, first).
 
-    The heap holds the next term of each open chunk; it runs up to the first term of the chunk that comes next.
+def merged_terms(chunks: Iterator[dict], min_docs: int) -> Iterator[tuple]:
+    """``(lang, term, documents, {source: occurrences})`` of chunks in order of (shard, lang, first).
+
+    The heap holds the next term of each open chunk; it runs up to the first term of the chunk that comes
+    next.  Terms in fewer than ``min_docs`` documents are left out, but for the empty one.
     """
-    heap: list = []
-    opened = 0
-    now, posts = None, {}
-
-    def upto(bound):
-        nonlocal now, posts
-        while heap and (bound is None or heap[0][0] < bound):
-            key, k, (sources, counts, docs), rest = heap[0]
-            if key != now:
-                if now is not None:
-                    yield now, posts
-                now, posts = key, {}
-            for s, c, d in zip(sources, counts, docs, strict=True):
-                p = posts.get(s)
-                if p is None:
-                    posts[s] = [c, d]
+    for (_, lang), group in itertools.groupby(chunks, lambda c: (c["shard"], c["lang"])):
+        heap: list = []
+        now, docs, entries = None, 0, []
+        for k, chunk in enumerate(itertools.chain(group, [None])):
+            while heap and (chunk is None or heap[0][0] < chunk["first"]):
+                term, _, d, held, a, b, rest = heap[0]
+                if term != now:
+                    if now == b"" or docs >= min_docs:
+                        yield lang, now, docs, _summed(entries)
+                    now, docs, entries = term, 0, []
+                docs += d
+                entries.append((held, a, b))
+                following = next(rest, None)
+                if following is None:
+                    heapq.heappop(heap)
                 else:
-                    p[0] += c
-                    p[1] += d
-            following = next(rest, None)
-            if following is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (following[0], k, following[1:], rest))
-
-    for chunk in chunks:
-        yield from upto((chunk["shard"], chunk["lang"], chunk["first"]))
-        rest = _walk(chunk)
-        first = next(rest)
-        opened += 1
-        heapq.heappush(heap, (first[0], opened, first[1:], rest))
-    yield from upto(None)
-    if now is not None:
-        yield now, posts
+                    heapq.heapreplace(heap, (following[0], heap[0][1], *following[1:], rest))
+            if chunk is not None:
+                rest = _walk(chunk)
+                first = next(rest)
+                heapq.heappush(heap, (first[0], k, *first[1:], rest))
+        if now == b"" or docs >= min_docs:
+            yield lang, now, docs, _summed(entries)
 
 
 def _merge(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     chunks = (row for batch in batches for i in range(0, batch.num_rows, 64) for row in batch.slice(i, 64).to_pylist())
     rows: list = []
-    for (_, lang, term), posts in merged_terms(chunks):
-        docs = sum(d for _, d in posts.values())
-        if term and docs < min_docs:
-            continue
+    for lang, term, docs, posts in merged_terms(chunks, min_docs):
         sources = sorted(posts)
-        rows.append({"lang": lang, "term": term.decode(), "docs": docs, "sources": sources, "counts": [posts[s][0] for s in sources], "source_docs": [posts[s][1] for s in sources]})
+        rows.append({"lang": lang, "term": term.decode(), "docs": docs, "sources": sources, "counts": [posts[s] for s in sources]})
         if len(rows) == 2048:
             yield pa.RecordBatch.from_pylist(rows, _MERGED)
             rows = []
@@ -178,9 +188,13 @@ def _merge(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pylist(rows, _MERGED)
 
 
-def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, block_postings: int = BLOCK_POSTINGS, shards: int = SHARDS) -> DataFrame:
-    """Steps 1 and 2: a row per language and kept term; the empty term has the documents of every source."""
-    chunks = runs(docs, block_postings, shards)
+def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, block_postings: int = BLOCK_POSTINGS, shards: int = SHARDS, open_postings: int = OPEN_POSTINGS) -> DataFrame:
+    """Steps 1 and 2: a row per language and kept term; the empty term has the documents of every source.
+
+    A chunk of each run may be open at once, so chunks are the smaller the more tasks there are.
+    """
+    shards = max(shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunks = runs(docs, block_postings, shards, max(1, open_postings // (4 * max(1, docs.rdd.getNumPartitions()))))
     return chunks.repartition("shard").sortWithinPartitions("shard", "lang", "first").mapInArrow(lambda b: _merge(b, min_docs), MERGED)
 
 

@@ -62,17 +62,36 @@ def test_against_plain(spark, block_postings, shards, side):
 
 def test_pieces_and_large_counts(spark):
     text = "ab " * 5 + "c" * divergence.PIECE * 2 + " ab ÀB"
-    assert divergence.term_counts(text) == {b"ab": 6, b"c" * divergence.PIECE * 2: 1, "Àb".encode(): 1}
+    counts = Counter(t for p in divergence.pieces(text) for t in p)
+    assert counts == {b"ab": 6, b"c" * divergence.PIECE * 2: 1, "Àb".encode(): 1}
     n = 10**13
     share = spark.sql(f"select {divergence._share('n', 'total', 'v')} as p from (select {n}L as n, {3 * n}L as total, 7L as v)").first().p
     assert share == 1 + 10**9 * (n + 5) // (3 * n + 35)
 
 
-def test_merge_holds_overlapping_chunks_only():
-    chunks = [{"shard": 0, "lang": "en", "first": bytes([i]), "terms": [bytes([i]), bytes([i, 1])], "sources": [["s"], ["s", "t"]], "counts": [[1], [2, 3]], "docs": [[1], [1, 1]]} for i in range(5) for _ in range(2)]
-    out = list(divergence.merged_terms(iter(chunks)))
-    assert [k[2] for k, _ in out] == [bytes(x) for i in range(5) for x in ([i], [i, 1])]
-    assert out[1][1] == {"s": [4, 2], "t": [6, 2]}
+def test_runs_merged_by_a_heap():
+    r = random.Random(2)
+    want, docs_of, chunks = defaultdict(Counter), defaultdict(Counter), []
+    for _ in range(6):
+        block = {}
+        for lang in ("de", "en"):
+            docs, groups = Counter({b"": 2}), {}
+            for source in r.sample("stuv", 3):
+                groups[source] = Counter({f"t{r.randrange(40)}".encode(): r.randrange(1, 9) for _ in range(25)})
+                docs.update({t: 1 for t in groups[source]})
+                for t, n in groups[source].items():
+                    want[lang, t][source] += n
+            groups[source][b""] = 2
+            want[lang, b""][source] += 2
+            block[lang] = (docs, groups)
+            docs_of[lang].update(docs)
+        chunks += [c for b in divergence._run(block, 3, 4) for c in b.to_pylist()]
+    assert max(len(c["ids"]) // 4 for c in chunks) < 4 + 3
+    chunks.sort(key=lambda c: (c["shard"], c["lang"], c["first"]))
+    out = list(divergence.merged_terms(iter(chunks), 5))
+    assert len(out) == len({(lang, t) for lang, t, _, _ in out})
+    assert {(lang, t): Counter(p) for lang, t, _, p in out} == {(lang, t): p for (lang, t), p in want.items() if t == b"" or docs_of[lang][t] >= 5}
+    assert all(d == docs_of[lang][t] for lang, t, d, _ in out)
 
 
 def test_empty(spark):
