@@ -21,7 +21,7 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def label(spark: SparkSession, alignments: str, out: str, p: Params) -> None:
     """Labelled reads as SAM, counts of ends and introns, and depth per strand and of all reads as segments."""
-    reads = sam.read_bam(spark, alignments) if alignments.endswith(".bam") else sam.read_sam(spark, alignments)
+    reads = sam.read_alignments(spark, alignments)
     labelled = annotate.cut(annotate.label_reads(reads, p))
     sam.write_sam(suites.label_tags(labelled), f"{out}/reads.sam", suites.READ_TAGS)
     text.write_tsv(ends.end_counts(labelled), f"{out}/ends", ["kind", "contig", "pos", "status"])

@@ -239,7 +239,7 @@ def run_annotation(spark: SparkSession, alignments: str, genome: str, out: str,
     from isospark.plans.annotate import annotate
     from isospark.sources import sam
 
-    reads = sam.read_bam(spark, alignments) if alignments.endswith(".bam") else sam.read_sam(spark, alignments)
+    reads = sam.read_alignments(spark, alignments)
     sequences = text.read_fasta(spark, genome)
     a = annotate(reads, sequences, params)
     write_sites(a.tss, f"{out}/tss.gff3", "tss")

@@ -1,20 +1,22 @@
-"""Alignments: SAM texts, read natively and split by Spark, and BAM files as a Python data source."""
+"""Alignments as SAM texts, read natively and split by Spark; ``read_alignments`` takes BAM as well."""
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import datasource as D
 
 from isospark.model import READ
 from isospark.operators.ends import aligned_length, parse_cigar
+from isospark.sources.bam import read_bam
 
 _COLUMNS = ("qname", "flag", "contig", "start", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
 
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of a BAM file or folder of that name, else of SAM texts."""
+    return read_bam(spark, path) if path.rstrip("/").endswith(".bam") else read_sam(spark, path)
+
+
 def read_sam(spark: SparkSession, path) -> DataFrame:
     """Mapped and unmapped reads; header lines and lines of fewer than eleven columns are left out.
 
@@ -77,116 +79,3 @@ def end_text(label: str):
     """An end label as ``score,start,end,status``."""
     c = F.col(label)
     return F.concat_ws(",", F.regexp_replace(c["score"].cast("string"), r"\.0$", ""), c["s"].cast("string"), c["e"].cast("string"), c["status"])
-
-
-class BamSource(D.DataSource):
-    """``format("bam")``: each file is one partition, its blocks inflated as a stream."""
-
-    @classmethod
-    def name(cls):
-        return "bam"
-
-    def schema(self):
-        return READ
-
-    def reader(self, schema):
-        return BamReader(dict(self.options))
-
-
-class BamReader(D.DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-
-    def partitions(self):
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(self.path)
-        info = system.get_file_info(root)
-        files = [info] if info.is_file else [i for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".bam")]
-        return [D.InputPartition(i.path) for i in files]
-
-    def read(self, partition):
-        from pyarrow import fs
-
-        system, _ = fs.FileSystem.from_uri(self.path)
-        with system.open_input_stream(partition.value, compression=None) as f:
-            yield from bam_records(_inflated(f))
-
-
-def _inflated(f):
-    """A ``take(n)`` over the blocks of a BGZF stream; fewer bytes at its end."""
-    held = bytearray()
-    rest = b""
-    z = zlib.decompressobj(31)
-
-    def take(n: int) -> bytes:
-        nonlocal rest, z
-        while len(held) < n:
-            data = rest or f.read(1 << 16)
-            if not data:
-                break
-            held.extend(z.decompress(data))
-            rest = z.unused_data
-            if z.eof:
-                z = zlib.decompressobj(31)
-            else:
-                rest = b""
-        out = bytes(held[:n])
-        del held[:n]
-        return out
-
-    return take
-
-
-_TAG = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-
-
-def bam_records(take):
-    """Reads of a BAM stream as rows of ``READ``."""
-    if take(4) != b"BAM\1":
-        raise ValueError("not a BAM stream")
-    take(struct.unpack("<i", take(4))[0])
-    contigs = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        contigs.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-        take(4)
-    while len(head := take(4)) == 4:
-        b = take(struct.unpack("<i", head)[0])
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
-        at = 32
-        name = b[at : at + n_name - 1].decode()
-        at += n_name
-        ops = struct.unpack_from(f"<{n_ops}I", b, at)
-        at += 4 * n_ops
-        seq = "".join("=ACMGRSVTWYHKDBN"[x >> 4] + "=ACMGRSVTWYHKDBN"[x & 15] for x in b[at : at + (n_seq + 1) // 2])[:n_seq]
-        at += (n_seq + 1) // 2
-        qual = "*" if not n_seq or b[at] == 255 else bytes(x + 33 for x in b[at : at + n_seq]).decode("ascii")
-        at += n_seq
-        tags, types = {}, {}
-        while at < len(b):
-            key, kind = b[at : at + 2].decode(), chr(b[at + 2])
-            at += 3
-            types[key] = kind if kind in "AZHBf" else "i"
-            if kind in "ZH":
-                end = b.index(0, at)
-                tags[key] = b[at:end].decode()
-                at = end + 1
-            elif kind == "B":
-                sub, n = chr(b[at]), struct.unpack_from("<i", b, at + 1)[0]
-                vals = struct.unpack_from(f"<{n}{_TAG[sub]}", b, at + 5)
-                tags[key] = ",".join([sub, *map(str, vals)])
-                at += 5 + struct.calcsize(f"<{n}{_TAG[sub]}")
-            else:
-                v = struct.unpack_from("<" + _TAG[kind], b, at)[0]
-                tags[key] = v.decode() if kind == "A" else str(v)
-                at += struct.calcsize("<" + _TAG[kind])
-        cigar = "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in ops) or "*"
-        span = sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8))
-        name_of = lambda k: contigs[k] if k >= 0 else None
-        rnext = None if mate < 0 else "=" if mate == ref else name_of(mate)
-        yield (name, flag, name_of(ref), pos + 1, pos + span, mapq, cigar, seq or "*", tags, rnext, mate_pos + 1, tlen, qual, types)
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(BamSource)
-    return spark.read.format("bam").load(path)
