@@ -25,6 +25,13 @@ def parser() -> argparse.ArgumentParser:
         for f in files:
             s.add_argument(f)
         _params(s)
+    v = sub.add_parser("view", help="a filtered copy of alignments")
+    for name in ("alignments", "out"):
+        v.add_argument(name)
+    v.add_argument("--region", help="such as chr1:100-200")
+    for name in ("without_flags", "with_flags", "least_quality"):
+        v.add_argument(f"--{name}", type=int, default=0)
+    v.add_argument("--form", choices=("sam", "bam"), default="bam")
     m = sub.add_parser("merge", help="transcripts of several GFF files, merged")
     m.add_argument("out")
     m.add_argument("files", nargs="+")
@@ -83,6 +90,7 @@ def parser() -> argparse.ArgumentParser:
 def _params(a: argparse.ArgumentParser) -> None:
     """Options of the annotation, the same for all of its stages."""
     a.add_argument("--preset", choices=sorted(PRESETS), default="default")
+    a.add_argument("--form", choices=("sam", "bam"), default="sam", help="of the reads that are written, and of labelled ones that are read")
     for f in dataclasses.fields(Params):
         kind = type(f.default)
         if kind is bool:
@@ -105,15 +113,19 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     if command in ("annotate", "label", "stats", "sites", "transcripts"):
         params = preset(args["preset"], **{f.name: args[f.name] for f in dataclasses.fields(Params) if args[f.name] is not None})
         if command == "annotate":
-            suites.run_annotation(spark, args["alignments"], args["genome"], out, params)
+            suites.run_annotation(spark, args["alignments"], args["genome"], out, params, args["form"])
         elif command == "label":
-            stages.label(spark, args["alignments"], out, params)
+            stages.label(spark, args["alignments"], out, params, args["form"])
         elif command == "stats":
             stages.statistics(spark, args["labels"], args["genome"], out, params)
         elif command == "sites":
             stages.features(spark, args["stats"], out, params)
         else:
-            stages.assemble(spark, args["labels"], args["features"], out, params)
+            stages.assemble(spark, args["labels"], args["features"], out, params, args["form"])
+    elif command == "view":
+        from isospark.sources import sam
+
+        sam.view(spark, **{k: v for k, v in args.items() if k != "command"})
     elif command in ("merge", "sum", "features", "evaluate"):
         suites.run_files(spark, **args)
     else:

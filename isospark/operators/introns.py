@@ -30,17 +30,20 @@ def genome_pieces(genome: DataFrame, margin: int, size: int) -> DataFrame:
     return genome.select("contig", cuts.alias("_cuts")).select("contig", F.posexplode(with_next).alias("piece", "bases"))
 
 
-def with_splice_sites(introns: DataFrame, genome: DataFrame, half: int = 3, match: float = 2.0, mismatch: float = -3.0, left: str = "left", right: str = "right") -> DataFrame:
+def with_splice_sites(introns: DataFrame, genome, half: int = 3, match: float = 2.0, mismatch: float = -3.0, left: str = "left", right: str = "right") -> DataFrame:
     """Adds border windows, outer bases, consensus, strand and the template switching score.
 
-    ``introns(contig, left, right)`` name the last base before and the first after; ``genome(contig,
-    seq)`` must know every contig.  Each border meets the one piece of its contig that holds its
-    window, so no joined row holds a contig.  Windows are clamped to the contig.
+    ``introns(contig, left, right)`` name the last base before and the first after; ``genome``, a
+    ``sources.fasta.Genome`` or a small table ``(contig, seq)``, must know every contig.  Each border
+    meets the one piece of its contig that holds its window, so no joined row holds a contig.  Windows
+    are clamped to the contig.
     """
-    unknown = introns.select("contig").distinct().join(genome.select("contig"), "contig", "left_anti").limit(5).collect()
+    table = isinstance(genome, DataFrame)
+    contigs = genome if table else genome.contigs
+    unknown = introns.select("contig").distinct().join(contigs.select("contig"), "contig", "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"contigs without a sequence: {', '.join(r[0] for r in unknown)}")
-    pieces = genome_pieces(genome, 2 * half, PIECE)
+    pieces = genome_pieces(genome, 2 * half, PIECE) if table else genome.pieces(2 * half, PIECE)
     g = introns
     for name, last in (("leftseq", F.col(left)), ("rightseq", F.col(right) - 1)):
         # The window around a border begins ``half`` bases before it; a contig's bases count from 0 here.

@@ -75,8 +75,29 @@ def range_count(queries: DataFrame, positions: DataFrame, keys: list[str], q: st
     return n.withColumn(out, F.coalesce(out, F.lit(0)))
 
 
+def points_in(intervals: DataFrame, points: DataFrame, keys: list[str], lo: Column, hi: Column, at: str, out: str = "n") -> DataFrame:
+    """Each interval with the number of points in ``[lo, hi]``, however long it is: a difference of two ranks.
+
+    An interval is two marks among the points, whose running count is kept by stretches, each of which
+    begins with the sum of those before it.  So neither intervals nor points are repeated, and no pair of
+    them is made.  Keys that are null meet nothing; an interval that ends before it begins holds nothing.
+    """
+    bounds = intervals.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")})
+    once = bounds.where("_hi >= _lo").select(*keys, "_lo", "_hi").distinct()
+    mark = F.explode(F.array(F.struct((F.col("_lo") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("_hi").alias("at"), F.lit(1).alias("sign"))))
+    marks = once.select(*keys, "_lo", "_hi", mark.alias("_m")).select(*keys, "_lo", "_hi", F.col("_m.at").alias("_at"), F.col("_m.sign").alias("_sign"), F.lit(0).cast("long").alias("_c"))
+    none = F.lit(None).cast("long")
+    held = points.groupBy(*keys, F.col(at).cast("long").alias("_at")).agg(F.count("*").alias("_c")).where("_at is not null")
+    rows = marks.unionByName(held.select(*keys, none.alias("_lo"), none.alias("_hi"), "_at", F.lit(0).alias("_sign"), "_c")).withColumn("_b", F.floor(F.col("_at") / F.lit(STRETCH)))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    here = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.withColumn("_here", here).where("_sign <> 0").join(sums, [*keys, "_b"])
+    found = ranked.groupBy(*keys, "_lo", "_hi").agg(F.sum(F.col("_sign") * (F.col("_here") + F.col("_before"))).alias(out))
+    return bounds.join(found, [*keys, "_lo", "_hi"], "left").withColumn(out, F.coalesce(out, F.lit(0))).drop("_lo", "_hi")
+
+
 def active_intervals(reference: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, window: int, active: bool = True) -> DataFrame:
     """Reference intervals that a point within ``window`` supports, or those that none does."""
-    lo, hi = F.col(start) - window, F.col(end) + window
-    n = range_left(reference, points, keys, lo, hi, at, 2 * window + 64, [F.count("*").alias("_n")])
-    return n.where(F.col("_n").isNotNull() if active else F.col("_n").isNull()).drop("_n")
+    n = points_in(reference, points, keys, F.col(start) - window, F.col(end) + window, at, "_n")
+    return n.where(F.col("_n") > 0 if active else F.col("_n") == 0).drop("_n")

@@ -73,7 +73,7 @@ def qualified_introns(n: DataFrame, depth_of: DataFrame, p: Params) -> DataFrame
     return peaks.qualify(rows.withColumn("ratio", peaks.ratio_of("cnt", "coverage")), p.minimum, p.ratio)
 
 
-def call_introns(counts: DataFrame, depth_of: DataFrame, genome: DataFrame, p: Params) -> DataFrame:
+def call_introns(counts: DataFrame, depth_of: DataFrame, genome, p: Params) -> DataFrame:
     """All introns with their splice sites and ``is_qualified``."""
     sites = introns.with_splice_sites(qualified_introns(counts, depth_of, p), genome, p.shs_for_ts, p.match_score, p.mismatch_score)
     return sites.withColumn("is_qualified", F.col("is_qualified") & F.col("consensus").isNotNull()) if p.force_consensus else sites
@@ -88,8 +88,8 @@ def read_rows(labelled: DataFrame) -> DataFrame:
     )
 
 
-def annotate(reads: DataFrame, genome: DataFrame, p: Params = Params()) -> Annotation:
-    """Sites, introns and transcripts of ``reads`` (see ``model.READ``) on ``genome(contig, seq)``."""
+def annotate(reads: DataFrame, genome, p: Params = Params()) -> Annotation:
+    """Sites, introns and transcripts of ``reads`` (see ``model.READ``) on a genome, see ``introns.with_splice_sites``."""
     labelled = cut(label_reads(reads, p))  # read by every later step
     d = cut(depth(labelled))
     sites = cut(call_sites(labelled, d, p))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isospark.model import Params
 from isospark.operators import ends, peaks, transcripts
 from isospark.plans import annotate, suites
-from isospark.sources import sam, text
+from isospark.sources import fasta, sam, text
 
 COUNTS = "kind string, status string, contig string, pos int, cnt long"
 INTRONS = "contig string, left int, right int, cnt long"
@@ -19,11 +19,11 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).schema(schema).csv(path)
 
 
-def label(spark: SparkSession, alignments: str, out: str, p: Params) -> None:
-    """Labelled reads as SAM, counts of ends and introns, and depth per strand and of all reads as segments."""
+def label(spark: SparkSession, alignments: str, out: str, p: Params, form: str = "sam") -> None:
+    """Labelled reads as SAM or BAM, counts of ends and introns, and depth per strand and of all reads as segments."""
     reads = sam.read_alignments(spark, alignments)
     labelled = annotate.cut(annotate.label_reads(reads, p))
-    sam.write_sam(suites.label_tags(labelled), f"{out}/reads.sam", suites.READ_TAGS)
+    sam.write_alignments(suites.label_tags(labelled), f"{out}/reads", suites.READ_TAGS, form=form)
     text.write_tsv(ends.end_counts(labelled), f"{out}/ends", ["kind", "contig", "pos", "status"])
     text.write_tsv(ends.intron_counts(labelled), f"{out}/introns", ["contig", "left", "right"])
     text.write_tsv(annotate.depth(labelled), f"{out}/depth", ["track", "contig", "seg_start"])
@@ -33,7 +33,7 @@ def statistics(spark: SparkSession, labels: str, genome: str, out: str, p: Param
     """Statistics of all end positions and introns that ``label`` has counted."""
     d = annotate.cut(_table(spark, f"{labels}/depth", SEGMENTS))
     text.write_tsv(annotate.site_stats(_table(spark, f"{labels}/ends", COUNTS), d, p), f"{out}/sites", ["kind", "contig", "pos"])
-    i = annotate.call_introns(_table(spark, f"{labels}/introns", INTRONS), d, text.read_fasta(spark, genome), p)
+    i = annotate.call_introns(_table(spark, f"{labels}/introns", INTRONS), d, fasta.read_genome(spark, genome), p)
     text.write_tsv(i, f"{out}/introns", ["contig", "left", "right"])
 
 
@@ -70,11 +70,11 @@ def labelled_rows(reads: DataFrame) -> DataFrame:
     )
 
 
-def assemble(spark: SparkSession, labels: str, feature_folder: str, out: str, p: Params) -> None:
+def assemble(spark: SparkSession, labels: str, feature_folder: str, out: str, p: Params, form: str = "sam") -> None:
     """Transcripts of the labelled reads by the features of the last stage: GFF3, a table, and tagged reads."""
-    reads = ends.mapped(sam.read_sam(spark, f"{labels}/reads.sam"))
+    reads = ends.mapped(sam.read_alignments(spark, f"{labels}/reads.{form}"))
     gff = {n: text.read_gff(spark, f"{feature_folder}/{n}.gff3") for n in ("tss", "tes", "introns")}
     site = lambda n: gff[n].select("contig", "strand", F.col("start").cast("long").alias("pos"))
     known = gff["introns"].select("contig", "strand", (F.col("start") - 1).alias("s"), (F.col("end") + 1).alias("e"))
     tagged = annotate.cut(transcripts.annotate_reads(labelled_rows(reads), site("tss"), site("tes"), known, p.wobble, p.drna, p.shift, p.tss_gate))
-    suites.write_transcripts(tagged, transcripts.count_transcripts(tagged, p.mintr_count), reads, out)
+    suites.write_transcripts(tagged, transcripts.count_transcripts(tagged, p.mintr_count), reads, out, form=form)

@@ -234,22 +234,22 @@ def position_support(queries: DataFrame, positions: DataFrame, window: int = 10,
     return rangejoin.range_count(q, positions, keys, "tss", "pos", window, "support")
 
 
-def run_annotation(spark: SparkSession, alignments: str, genome: str, out: str, params) -> None:
+def run_annotation(spark: SparkSession, alignments: str, genome: str, out: str, params, form: str = "sam") -> None:
     """Reads alignments and a genome, writes the sites, introns, transcripts (GFF3, TSV) and tagged reads."""
     from isospark.plans.annotate import annotate
-    from isospark.sources import sam
+    from isospark.sources import fasta, sam
 
     reads = sam.read_alignments(spark, alignments)
-    sequences = text.read_fasta(spark, genome)
+    sequences = fasta.read_genome(spark, genome)
     a = annotate(reads, sequences, params)
     write_sites(a.tss, f"{out}/tss.gff3", "tss")
     write_sites(a.tes, f"{out}/tes.gff3", "tes")
     write_introns(a.introns, f"{out}/introns.gff3")
     text.write_tsv(a.rejected_introns.select("contig", "left", "right", "cnt", "coverage", "ratio", "consensus", "strand", "ts_score", "is_picked"), f"{out}/introns_not_qualified", ["contig", "left", "right"])
-    lengths = sequences.select("contig", F.length("seq").alias("length"))
+    lengths = sequences.contigs
     labelled = label_tags(a.reads)
-    sam.write_sam(labelled, f"{out}/reads.sam", READ_TAGS, lengths)
-    write_transcripts(a.tagged, a.transcripts, labelled, out, READ_TAGS, lengths)
+    sam.write_alignments(labelled, f"{out}/reads", READ_TAGS, lengths, form)
+    write_transcripts(a.tagged, a.transcripts, labelled, out, READ_TAGS, lengths, form)
 
 
 def write_sites(sites: DataFrame, path: str, name: str) -> None:
@@ -262,7 +262,7 @@ def write_introns(introns: DataFrame, path: str) -> None:
     text.write_gff(rows, path)
 
 
-def write_transcripts(tagged: DataFrame, counted: DataFrame, reads: DataFrame, out: str, tags: dict | None = None, lengths: DataFrame | None = None) -> None:
+def write_transcripts(tagged: DataFrame, counted: DataFrame, reads: DataFrame, out: str, tags: dict | None = None, lengths: DataFrame | None = None, form: str = "sam") -> None:
     """Transcripts as GFF3 and as a table, and the stranded reads with their sites and transcript."""
     from isospark.operators.transcripts import gff_rows
     from isospark.plans.annotate import transcript_table
@@ -275,7 +275,7 @@ def write_transcripts(tagged: DataFrame, counted: DataFrame, reads: DataFrame, o
     known = tagged.where(~F.col("gap")).join(names, ["contig", "strand", "ts", "te", "introns"], "left").select(F.col("read").alias("qname"), "tr")
     sites = tagged.select(F.col("read").alias("qname"), *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("ts", "te")])
     whole = reads.where(F.col("flag").bitwiseAND(512) == 0).join(sites, "qname", "left").join(known, "qname", "left")
-    sam.write_sam(whole, f"{out}/transcripts.sam", (tags or {}) | {"ts:i": "ts", "te:i": "te", "tr:Z": "tr"}, lengths)
+    sam.write_alignments(whole, f"{out}/transcripts", (tags or {}) | {"ts:i": "ts", "te:i": "te", "tr:Z": "tr"}, lengths, form)
 
 
 #: Tags of labelled reads: the last base, the ends as score, place and status, introns, and introns that were rejected.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isospark.model import READ
 from isospark.operators.ends import aligned_length, parse_cigar
-from isospark.sources.bam import read_bam
+from isospark.sources.bam import read_bam, write_bam
 
 _COLUMNS = ("qname", "flag", "contig", "start", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
@@ -69,6 +69,28 @@ def write_sam(reads: DataFrame, path: str, tags: dict[str, str], contigs: DataFr
     mark.union(listed).union(lines).orderBy("part", "name", "at", "value").select("value").write.mode("overwrite").text(path)
 
 
+def write_alignments(reads: DataFrame, path: str, tags: dict[str, str], contigs: DataFrame | None = None, form: str = "sam") -> None:
+    """Reads as ``path.sam`` or as ``path.bam``, indexed parts of it."""
+    if form == "bam":
+        write_bam(reads, f"{path}.bam", tags, contigs)
+    else:
+        write_sam(reads, f"{path}.sam", tags, contigs)
+
+
+def view(spark: SparkSession, alignments: str, out: str, region: str | None = None, without_flags: int = 0, with_flags: int = 0, least_quality: int = 0, form: str = "bam") -> None:
+    """A filtered copy of alignments: by a region such as ``chr1:100-200`` (looked up in the index of a BAM file), by
+    flags that no read or every read has, and by mapping quality."""
+    reads = read_alignments(spark, alignments)
+    if region:
+        contig, _, places = region.rpartition(":") if ":" in region else (region, "", "")
+        low, _, high = places.replace(",", "").partition("-")
+        reads = reads.where((F.col("contig") == contig) & (F.col("end") >= int(low or 1)))
+        reads = reads.where(F.col("start") <= int(high)) if high else reads
+    flags = lambda n: F.col("flag").bitwiseAND(F.lit(n))
+    reads = reads.where((flags(without_flags) == 0) & (flags(with_flags) == with_flags) & (F.coalesce("mapq", F.lit(0)) >= least_quality))
+    write_alignments(reads, f"{out}/reads", {}, form=form)
+
+
 def introns_text(introns: str):
     """Introns as ``(a, b),(c, d)``; null for none."""
     t = F.array_join(F.transform(introns, lambda i: F.format_string("(%d, %d)", i["s"], i["e"])), ",")

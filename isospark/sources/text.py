@@ -144,10 +144,12 @@ def read_bed(spark: SparkSession, path, chr_mode: str = "keep") -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path) -> DataFrame:
-    """``(contig, seq)``: records between ``>``, their name up to the first blank, line breaks dropped."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.regexp_extract("value", r"^([^\n]*)", 1)
-    return records.select(F.regexp_extract(F.trim(head), r"^(\S+)", 1).alias("contig"), F.regexp_replace(F.expr("substring(value, locate('\n', concat(value, '\n')) + 1)"), r"\s+", "").alias("seq"))
+    """``(contig, seq)`` of a small genome, a row a contig; ``fasta.read_genome`` gives large ones in pieces."""
+    from isospark.sources.fasta import read_genome
+
+    genome = read_genome(spark, path)
+    whole = genome.pieces(0).groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "bases"))), lambda x: x["bases"]), "").alias("seq"))
+    return genome.contigs.select("contig").join(whole, "contig", "left").na.fill("", ["seq"])
 
 
 def read_depth(spark: SparkSession, path, contigs: DataFrame | None = None) -> DataFrame:
