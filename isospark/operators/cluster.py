@@ -111,31 +111,82 @@ def _with(df: DataFrame, name: str) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
 
-def leader_clusters(rows: DataFrame, keys: list[str], start: str, end: str, window: int, out: str = "leader") -> DataFrame:
+#: Positions of a segment of leader clustering.
+SEGMENT = 1 << 16
+_HEADS = "array<struct<s:long,e:long,to_s:long,to_e:long>>"
+
+
+def _led_from(own: list[dict], head: dict | None, window: int, at: int) -> int:
+    """The first row from ``at`` on that ``head`` does not lead; without a head that is the next one."""
+    while head is not None and at < len(own) and abs(own[at]["s"] - head["s"]) <= window and abs(own[at]["e"] - head["e"]) <= window:
+        at += 1
+    return at
+
+
+def _exits(rows: list[dict], window: int) -> list[dict]:
+    """By the leader that a segment is entered with, the one that it is left with; rows of the margin before it, and none, can be that."""
+    own = [r for r in rows if r["own"]]
+    last = [0] * len(own)
+    for i in range(len(own) - 1, -1, -1):
+        j = _led_from(own, own[i], window, i + 1)
+        last[i] = i if j == len(own) else last[j]
+    out = []
+    for head in (None, *(r for r in rows if not r["own"])):
+        j = _led_from(own, head, window, 0)
+        to = head if j == len(own) else own[last[j]]
+        out.append({"s": head and head["s"], "e": head and head["e"], "to_s": to["s"], "to_e": to["e"]})
+    return out
+
+
+def _entries(maps: list[dict], window: int, width: int) -> list[dict]:
+    """The leader that each segment is entered with, from the first segment on."""
+    out, state = [], (None, None)
+    for m in maps:
+        if state[0] is not None and state[0] < m["seg"] * width - window:
+            state = (None, None)
+        out.append({"seg": m["seg"], "s": state[0], "e": state[1]})
+        state = next((x["to_s"], x["to_e"]) for x in m["map"] if (x["s"], x["e"]) == state)
+    return out
+
+
+def _labels(rows: list[dict], head: dict | None, window: int) -> list[dict]:
+    out = []
+    for r in rows:
+        if r["own"]:
+            if head is None or _led_from([r], head, window, 0) == 0:
+                head = r
+            out.append({"s": r["s"], "e": r["e"], "leader": f"{head['s']}.{head['e']}"})
+    return out
+
+
+def leader_clusters(rows: DataFrame, keys: list[str], start: str, end: str, window: int, out: str = "leader", segment: int = SEGMENT) -> DataFrame:
     """Leader clustering along (start, end): a row joins the current cluster if both ends lie within
-    ``window`` of the cluster's first member, else it leads a new one.
+    ``window`` of the cluster's first member, else it leads a new one.  ``out`` names the leader.
 
-    Whether a row leads depends on all before it, so rows of a key are folded in order; but a row
-    whose start is more than ``window`` after its predecessor's leads in any case, and cuts the key
-    into runs that are folded apart.
+    Whether a row leads depends on all before it, but only through the leader that a segment of positions is
+    entered with, and that lies in the window before it.  Each segment gives the leader it is left with for
+    every one it may be entered with; the maps of a key's segments are followed in order, and then each
+    segment is labelled by itself.  So a run without any gap is many tasks; what meets in one is the rows
+    in the windows between a key's segments.  Rows without a start or end are left out.
     """
-    split = gap_clusters(rows, keys, start, window, "_part")
-    s_at, e_at = split.columns.index(start), split.columns.index(end)
+    import pyarrow as pa
 
-    def fold():
-        head, n = None, 0
-
-        def step(row):
-            nonlocal head, n
-            s, e = row[s_at], row[e_at]
-            if head is None or abs(s - head[0]) > window or abs(e - head[1]) > window:
-                head, n = (s, e), n + 1
-            return (n,)
-
-        return step
-
-    done = ordered_fold(split, [*keys, "_part"], [start, end], _with(split, out), fold)
-    return done.withColumn(out, F.concat_ws(".", F.col("_part").cast("string"), F.col(out).cast("string"))).drop("_part")
+    width = max(segment, 2 * window)
+    bin_of = lambda c: F.floor(c / F.lit(width))
+    marked = rows.withColumns({"_k": F.struct(*keys), "_s": F.col(start).cast("long"), "_e": F.col(end).cast("long")}).where("_s is not null and _e is not null")
+    dealt = marked.select("_k", "_s", "_e").distinct().withColumn("_seg", F.explode(F.array_distinct(F.array(bin_of(F.col("_s")), bin_of(F.col("_s") + window)))))
+    own = bin_of(F.col("_s")) == F.col("_seg")
+    segments = dealt.groupBy("_k", "_seg").agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), own.alias("own")))).alias("_rows"), F.max(own).alias("_any"))
+    segments = cut(segments.where("_any").drop("_any"))
+
+    exits = F.arrow_udf(lambda a: pa.array([_exits(r, window) for r in a.to_pylist()], pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "e", "to_s", "to_e")]))), _HEADS)
+    entries = F.arrow_udf(lambda a: pa.array([_entries(m, window, width) for m in a.to_pylist()], pa.list_(pa.struct([(c, pa.int64()) for c in ("seg", "s", "e")]))), "array<struct<seg:long,s:long,e:long>>")
+    labels = F.arrow_udf(lambda a, h: pa.array([_labels(r, None if x["s"] is None else x, window) for r, x in zip(a.to_pylist(), h.to_pylist(), strict=True)], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("leader", pa.string())]))), "array<struct<s:long,e:long,leader:string>>")
+    maps = segments.select("_k", F.struct(F.col("_seg").alias("seg"), exits("_rows").alias("map")).alias("m"))
+    states = maps.groupBy("_k").agg(F.array_sort(F.collect_list("m")).alias("m")).select("_k", F.explode(entries("m")).alias("h")).withColumn("_seg", F.col("h.seg"))
+    named = segments.join(states, ["_k", "_seg"]).select("_k", F.explode(labels("_rows", F.struct("h.s", "h.e"))).alias("x"))
+    named = named.select("_k", F.col("x.s").alias("_s"), F.col("x.e").alias("_e"), F.col("x.leader").alias(out))
+    return marked.join(named, ["_k", "_s", "_e"]).drop("_k", "_s", "_e")
 
 
 def seed_clusters(rows: DataFrame, keys: list[str], matches, order: list[str], pos: str, window: int, out: str = "seed") -> DataFrame:

@@ -45,6 +45,44 @@ def test_interval_matching_is_maximal(spark):
     assert {r.contig: (r.tp, r.fp, r.fn) for r in got} == want
 
 
+@pytest.mark.parametrize(("segment", "window"), [(40, 7), (64, 30), (1 << 16, 10), (10, 0)])
+def test_leaders_of_runs_without_gaps(spark, segment, window):
+    """Dense rows over many segments, under keys that are arrays and nulls, against the fold in order."""
+    rng = random.Random(segment)
+    rows = []
+    for k in (["a"], ["a", None], None):
+        for _ in range(700):
+            s = rng.randrange(1, 900) if k != ["a"] else rng.randrange(1, 12_000)
+            rows.append((k, len(rows), s, s + rng.choice([50, 55, 60, 61, 300])))
+    want = {}
+    for k in ("['a']", "['a', None]", "None"):
+        head = None
+        for _, i, s, e in sorted((r for r in rows if str(r[0]) == k), key=lambda r: (r[2], r[3])):
+            if head is None or abs(s - head[0]) > window or abs(e - head[1]) > window:
+                head = (s, e)
+            want[i] = f"{head[0]}.{head[1]}"
+    df = spark.createDataFrame(rows, "k array<string>, id int, a int, b int").repartition(3)
+    got = cluster.leader_clusters(df, ["k"], "a", "b", window, segment=segment)
+    assert got.columns == ["k", "id", "a", "b", "leader"]
+    assert {r.id: r.leader for r in got.collect()} == want
+    assert cluster.leader_clusters(df.limit(0), ["k"], "a", "b", window).collect() == []
+
+
+def test_points_in_intervals_of_any_length(spark):
+    rng = random.Random(4)
+    big = 400_000_000
+    points = [("c", rng.choice([rng.randrange(1, 100), rng.randrange(1, big)])) for _ in range(400)] + [("c", 50)] * 30 + [("d", 7)]
+    intervals = [("c", a, a + rng.choice([-1, 0, 3, 1000, 100_000_000])) for a in (rng.choice([rng.randrange(1, 100), rng.randrange(1, big)]) for _ in range(300))] + [("e", 1, 9), ("d", 1, 9), ("d", 8, 9), ("d", 1, 9)]
+    p = spark.createDataFrame(points, "k string, at int")
+    i = spark.createDataFrame(intervals, "k string, lo int, hi int")
+    got = rangejoin.points_in(i, p, ["k"], F.col("lo"), F.col("hi"), "at")
+    key = lambda r: (r[0], r[1], r[2], r[3])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(((k, a, b, sum(q == k and a <= x <= b for q, x in points)) for k, a, b in intervals), key=key)
+    active = rangejoin.active_intervals(i, p, ["k"], "lo", "hi", "at", 0).count()
+    assert active + rangejoin.active_intervals(i, p, ["k"], "lo", "hi", "at", 0, active=False).count() == len(intervals)
+    assert "Generate" in got._jdf.queryExecution().optimizedPlan().toString()  # two marks an interval, whatever its length
+
+
 def test_leader_and_seed_clusters(spark):
     rng = random.Random(1)
     rows = [(f"k{i % 3}", i, s, s + rng.randint(5, 40)) for i, s in enumerate(rng.randint(1, 900) for _ in range(250))]
