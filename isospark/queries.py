@@ -69,7 +69,8 @@ def query(views: str, sql: str | None = None, name: str | None = None):
         if sql:
             ctes = ", ".join(f"{v} AS ({VIEWS[v].format(**{t: t for t in TABLES}, g=", 'g'")})" for v in views.split())
             body = sql.strip()
-            ORACLES[n] = f"WITH {ctes}, {body[5:]}" if body.startswith("WITH ") else f"WITH {ctes} {body}"
+            head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.startswith(h)), None)
+            ORACLES[n] = f"{head}{ctes}, {body[len(head):]}" if head else f"WITH {ctes} {body}"
         return f
 
     return register
@@ -165,7 +166,15 @@ def ref_intervals(intervals):
     return bed_intervals(intervals.select("contig", F.col("lo").alias("start0"), F.col("hi").alias("end"), "strand"), 4, "bed0")
 
 
-@query("v_points v_intervals")
+@query("v_points v_intervals", """WITH RECURSIVE a AS (SELECT contig, strand, pos AS x, pos AS y, 1 AS p FROM v_points UNION ALL SELECT contig, strand, lo, hi, 0 FROM v_intervals),
+n AS (SELECT *, row_number() OVER (PARTITION BY contig, strand ORDER BY x, p, y) AS i FROM a),
+w AS (SELECT contig, strand, 0::BIGINT AS i, []::BIGINT[] AS ends, 0 AS tp FROM n WHERE i = 1 UNION ALL
+      SELECT contig, strand, i, CASE WHEN p = 0 THEN list_sort(list_append(ends, y)) ELSE held[2:] END, tp + CASE WHEN p = 1 AND len(held) > 0 THEN 1 ELSE 0 END
+      FROM (SELECT n.contig, n.strand, n.i, n.y, n.p, w.ends, w.tp, list_filter(w.ends, lambda e: e >= n.x) AS held FROM w JOIN n ON n.contig = w.contig AND n.strand = w.strand AND n.i = w.i + 1)),
+c AS (SELECT contig, strand, max(w.tp)::BIGINT AS tp FROM w GROUP BY 1, 2),
+d AS (SELECT contig, strand, tp, count(*) FILTER (p = 1) - tp AS fp, count(*) FILTER (p = 0) - tp AS fn FROM n JOIN c USING (contig, strand) GROUP BY contig, strand, tp)
+SELECT contig, strand, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM d""")
 def point_interval_match(points, intervals):
     m = match.interval_matches(points, intervals, ["contig", "strand"])
     return m.select("contig", "strand", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -325,17 +334,30 @@ def intron_neighbour_filter(exons):
     return neighbour_filter(i, ["contig", "strand"], "l", "r", "n", 15, 0.05)
 
 
-@query("v_exons")
+@query("v_exons", f"""WITH RECURSIVE {_TX_SQL}, n AS (SELECT contig, strand, len(exons) AS n_exons, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY contig, strand, len(exons) ORDER BY "start", "end", tid) AS i FROM t),
+l AS (SELECT contig, strand, n_exons, s, e, i, s AS hs, e AS he FROM n WHERE i = 1 UNION ALL
+      SELECT n.contig, n.strand, n.n_exons, n.s, n.e, n.i, CASE WHEN abs(n.s - hs) <= 200 AND abs(n.e - he) <= 200 THEN hs ELSE n.s END, CASE WHEN abs(n.s - hs) <= 200 AND abs(n.e - he) <= 200 THEN he ELSE n.e END
+      FROM l JOIN n ON n.contig = l.contig AND n.strand = l.strand AND n.n_exons = l.n_exons AND n.i = l.i + 1)
+SELECT contig, strand, n_exons::INTEGER AS n_exons, concat(hs, '.', he) AS leader, min(s) AS "start", max(e) AS "end", count(*) AS n FROM l GROUP BY contig, strand, n_exons, hs, he""")
 def leader_merge(exons):
     t = _tx(exons).withColumn("n_exons", F.size("exons")).select("contig", "strand", "n_exons", "tid", "start", "end")
     m = cluster.leader_clusters(t, ["contig", "strand", "n_exons"], "start", "end", 200)
     return m.groupBy("contig", "strand", "n_exons", "leader").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
 
 
-@query("v_exons")
+@query("v_exons", f"""WITH RECURSIVE {_TX_SQL}, n AS (SELECT contig, strand, len(exons) AS n_exons, tid, tss, tes, row_number() OVER (PARTITION BY contig, strand, len(exons) ORDER BY tss, tid) AS i FROM t),
+l AS (SELECT contig, strand, n_exons, i, tid, tid AS seed, [struct_pack(tid := tid, a := tss, b := tes)] AS held FROM n WHERE i = 1 UNION ALL
+      SELECT contig, strand, n_exons, i, tid, coalesce(m[1].tid, tid), CASE WHEN len(m) > 0 THEN near ELSE list_append(near, struct_pack(tid := tid, a := tss, b := tes)) END
+      FROM (SELECT n.*, list_filter(held, lambda x: n.tss - x.a <= 200) AS near, list_filter(held, lambda x: n.tss - x.a <= 200 AND abs(n.tes - x.b) <= 200) AS m
+            FROM l JOIN n ON n.contig = l.contig AND n.strand = l.strand AND n.n_exons = l.n_exons AND n.i = l.i + 1))
+SELECT tid, seed FROM l""")
 def fp_seed_clusters(exons):
+    """Every transcript with the first one of its seed cluster."""
     t = _tx(exons).withColumn("n_exons", F.size("exons")).select("contig", "strand", "n_exons", "tid", "tss", "tes")
-    return cluster.seed_clusters(t, ["contig", "strand", "n_exons"], lambda a, b: abs(a.tss - b.tss) <= 200 and abs(a.tes - b.tes) <= 200, ["tss", "tid"], "tss", 200).select("tid", "seed")
+    keys = ["contig", "strand", "n_exons"]
+    c = cluster.seed_clusters(t, keys, lambda a, b: abs(a.tss - b.tss) <= 200 and abs(a.tes - b.tes) <= 200, ["tss", "tid"], "tss", 200)
+    first = c.groupBy(*keys, "seed").agg(F.min_by("tid", F.struct("tss", "tid")).alias("first"))
+    return c.join(first, [*keys, "seed"]).select("tid", F.col("first").alias("seed"))
 
 
 def _edges(exons: DataFrame, how: str) -> DataFrame:
@@ -353,12 +375,18 @@ def window_edges(exons):
     return _edges(exons, "all").select("a", "b")
 
 
-@query("v_exons")
+@query("v_exons", f"""WITH RECURSIVE {_TX_SQL}, e AS (SELECT a.contig, a.strand, a.tid AS a, b.tid AS b, abs(a.tss - b.tss) AS d_tss, abs(a.tes - b.tes) AS d_tes FROM t a JOIN t b ON a.contig = b.contig AND a.strand = b.strand AND len(a.exons) = len(b.exons) AND abs(a.tss - b.tss) <= 400 AND abs(a.tes - b.tes) <= 400 AND a.tid <> b.tid),
+r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b) SELECT node, min(root) AS component FROM r GROUP BY node""")
 def cluster_components(exons):
     return cluster.components(_edges(exons, "all"))
 
 
-@query("v_exons")
+@query("v_exons", f"""WITH RECURSIVE {_TX_SQL}, e AS (SELECT a.contig, a.strand, a.tid AS a, b.tid AS b, abs(a.tss - b.tss) AS d_tss, abs(a.tes - b.tes) AS d_tes FROM t a JOIN t b ON a.contig = b.contig AND a.strand = b.strand AND len(a.exons) = len(b.exons) AND abs(a.tss - b.tss) <= 400 AND abs(a.tes - b.tes) <= 400 AND a.tid % 2 = 0 AND b.tid % 2 = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY contig, strand ORDER BY d_tss, d_tes, a, b) AS i FROM e),
+g AS (SELECT contig, strand, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS d_tss, NULL::BIGINT AS d_tes, false AS taken FROM n WHERE i = 1 UNION ALL
+      SELECT n.contig, n.strand, n.i, CASE WHEN list_has_any(used, [n.a, n.b]) THEN used ELSE list_concat(used, [n.a, n.b]) END, n.a, n.b, n.d_tss, n.d_tes, NOT list_has_any(used, [n.a, n.b])
+      FROM g JOIN n ON n.contig = g.contig AND n.strand = g.strand AND n.i = g.i + 1)
+SELECT a, b, d_tss, d_tes FROM g WHERE taken""")
 def greedy_pairs(exons):
     e = _edges(exons, "cross").withColumns({"d_tss": F.abs(F.col("a_tss") - F.col("b_tss")), "d_tes": F.abs(F.col("a_tes") - F.col("b_tes"))})
     return cluster.greedy_pairs(e.select("contig", "strand", "a", "b", "d_tss", "d_tes"), ["contig", "strand"], "a", "b", ["d_tss", "d_tes", "a", "b"]).select("a", "b", "d_tss", "d_tes")
