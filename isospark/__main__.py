@@ -81,6 +81,29 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument(name)
     q.add_argument("--window", type=int, default=10)
     q.add_argument("--unstranded", action="store_true")
+    a = sub.add_parser("active_references", help="per chemistry and cell line, the lines of a GTF that its classified transcripts are on")
+    for name in ("out", "manifest", "gtf"):
+        a.add_argument(name)
+    a.add_argument("--strip", action="store_true", help="names without their versions")
+    a.add_argument("--strict", action="store_true")
+    r = sub.add_parser("recovery", help="reference transcripts that classified runs find, and tests of that")
+    for name in ("out", "manifest"):
+        r.add_argument(name)
+    r.add_argument("--strip", action="store_true")
+    r.add_argument("--composition", action="store_true")
+    r.add_argument("--adjust", choices=("bh", "holm", "none"), default="bh")
+    n = sub.add_parser("novelty", help="burden and support of novel isoforms and junctions")
+    for name in ("out", "classifications", "junctions"):
+        n.add_argument(name)
+    w = sub.add_parser("weighted_stats", help="weighted shares by run and category")
+    for name in ("out", "manifest"):
+        w.add_argument(name)
+    w.add_argument("--weight", choices=("none", "iso_exp", "gene_exp"), default="none")
+    e = sub.add_parser("endpoints", help="support of both ends by run and category")
+    for name in ("out", "manifest"):
+        e.add_argument(name)
+    e.add_argument("--exact", type=int, default=5)
+    e.add_argument("--close", type=int, default=40)
     g = sub.add_parser("gtf", help="a GFF3 file as GTF, transcripts or boundaries")
     for name in ("out", "gff"):
         g.add_argument(name)
@@ -107,7 +130,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         spark = SparkSession.builder.appName("isospark").getOrCreate()
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{args['out']}/_checkpoints")
-    from isospark.plans import stages, suites
+    from isospark.plans import stages, suites, tables
 
     command, out = args["command"], args["out"]
     if command in ("annotate", "label", "stats", "sites", "transcripts"):
@@ -126,6 +149,8 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         from isospark.sources import sam
 
         sam.view(spark, **{k: v for k, v in args.items() if k != "command"})
+    elif command in ("active_references", "recovery", "novelty", "weighted_stats", "endpoints"):
+        getattr(tables, command)(spark, **{k: v for k, v in args.items() if k != "command"})
     elif command in ("merge", "sum", "features", "evaluate"):
         suites.run_files(spark, **args)
     else:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from isospark.functions import scalar as S
 
-from . import match, summaries
+from . import match, quantiles, summaries
 
 #: Columns that name an isoform across runs.
 RUN = ("annotator", "chemistry", "cell_line", "isoform")
@@ -59,7 +60,7 @@ def isoforms_over_cells(rows: DataFrame, by: list[str], cell: str, gene: str = "
 
 def box_over_cells(rows: DataFrame, by: list[str], cell: str, value: str = "length", cap: float = 60000.0) -> DataFrame:
     """Medians and largest values of cells averaged; the latter capped for display."""
-    q = rows.groupBy(*by, cell).agg(*summaries.quantiles(value, value))
+    q = quantiles.box(rows, [*by, cell], value, value)
     return q.groupBy(*by).agg(F.avg(f"{value}_median").alias("median"), F.least(F.avg(f"{value}_max"), F.lit(cap)).alias("top_capped"))
 
 
@@ -95,15 +96,17 @@ def plausibility(classified: DataFrame, by: list[str], switching: str = "rts") -
 def isoform_canonicality(novel: DataFrame, by: list[str], isoform: str = "isoform") -> DataFrame:
     """Per group: isoforms, the share whose junctions are all canonical, and the median number of junctions."""
     i = novel.groupBy(*by, isoform).agg(F.bool_and("canonical").alias("good"), F.count("*").alias("k"))
-    return i.groupBy(*by).agg(F.count("*").alias("n"), summaries.share(F.col("good")).alias("all_canonical"), F.median("k").alias("median_junctions"))
+    out = i.groupBy(*by).agg(F.count("*").alias("n"), summaries.share(F.col("good")).alias("all_canonical"))
+    return quantiles.with_median(out, i, by, "k", "median_junctions")
 
 
 def locus_consistency(classified: DataFrame, by: list[str], gene: str = "associated_gene") -> DataFrame:
     """Per group: genes with novel junctions, the median number of those, and how many have two or three."""
     g = classified.where(F.col(gene).isNotNull()).groupBy(*by, gene).agg(F.countDistinct("junction").alias("nj"))
-    return g.groupBy(*by).agg(
-        F.countDistinct(gene).alias("n_genes"), F.median("nj").alias("median_size"), F.count_if(F.col("nj") >= 2).alias("n2"), F.count_if(F.col("nj") >= 3).alias("n3"), summaries.share(F.col("nj") >= 2).alias("f2")
+    out = g.groupBy(*by).agg(
+        F.countDistinct(gene).alias("n_genes"), F.count_if(F.col("nj") >= 2).alias("n2"), F.count_if(F.col("nj") >= 3).alias("n3"), summaries.share(F.col("nj") >= 2).alias("f2")
     )
+    return quantiles.with_median(out, g, by, "nj", "median_size")
 
 
 def metric_means(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -116,3 +119,55 @@ def side_by_side(scores: DataFrame, keys: list[str], name: str, names: tuple[str
     """A score of two modes in one row; keys that lack one of them are left out."""
     a, b = (scores.where(F.col(name) == n).select(*keys, F.col(value).alias(f"{value}_{n}")) for n in names)
     return a.join(b, keys)
+
+
+def endpoint_support(rows: DataFrame, by: list[str], exact: int = 5, close: int = 40, cage: str = "within_cage", site: str = "within_polya", motif: str = "motif_found", distance: str = "polya_dist", shift: str = "diff_tss") -> DataFrame:
+    """Per group: how many ends are supported, by cap sites, poly(A) sites and motifs; a motif is close if it lies in the
+    ``close`` bases before the end, a start exact if it lies within ``exact`` of the gene's.  Flags other than true and
+    false are unknown."""
+    x = rows.select(*by, S.bool_exact(cage).alias("_cage"), S.bool_exact(site).alias("_site"), S.bool_exact(motif).alias("_motif"), F.col(distance).alias("_dist"), F.abs(shift).alias("_shift"))
+    near = F.col("_motif") & F.col("_dist").between(-close, 0)
+    out = x.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.count_if("_cage").alias("cage_true"),
+        F.count_if(~F.col("_cage")).alias("cage_false"),
+        F.count_if(F.col("_cage").isNull()).alias("cage_na"),
+        summaries.share(F.col("_cage")).alias("cage_rate"),
+        F.count_if("_site").alias("site_true"),
+        F.count_if("_motif").alias("motif_true"),
+        F.count_if(near).alias("motif_close"),
+        F.try_divide(F.count_if(near), F.count_if("_motif")).alias("close_rate"),
+        F.count_if(F.coalesce("_site", F.lit(False)) | near).alias("supported"),
+        summaries.share(F.col("_shift") <= exact).alias("exact_rate"),
+    )
+    return quantiles.with_median(out, x, by, "_shift", "tss_median")
+
+
+#: The categories that endpoint tables list beside all isoforms.
+FOUR = {"full_splice_match": "FSM", "incomplete_splice_match": "ISM", "novel_in_catalog": "NIC", "novel_not_in_catalog": "NNC"}
+
+
+def over_categories(rows: DataFrame, category: str = "structural_category", out: str = "category") -> DataFrame:
+    """Each row once for all isoforms, and once for its category if that is one of the four."""
+    four = F.create_map(*[F.lit(x) for kv in FOUR.items() for x in kv])
+    return rows.withColumn(out, F.explode(F.array_compact(F.array(F.lit("ALL"), four[S.category(category)]))))
+
+
+def novelty_burden(rows: DataFrame, by: list[str], category: str = "structural_category") -> DataFrame:
+    """Per group: novel isoforms in and not in the catalogue, their ratio (null without any of the former) and share."""
+    c = S.category(category)
+    n = rows.groupBy(*by).agg(F.count_if(c == "novel_in_catalog").alias("nic"), F.count_if(c == "novel_not_in_catalog").alias("nnc"), F.count("*").alias("n"))
+    return n.withColumns({"ratio": F.try_divide(F.col("nnc"), F.col("nic")), "novel_share": (F.col("nic") + F.col("nnc")) / F.col("n")})
+
+
+def burden_long(burden: DataFrame, by: list[str]) -> DataFrame:
+    """A burden table with a row per kind of novel isoforms, and the kind's share of them."""
+    long = burden.unpivot(by, ["nic", "nnc"], "kind", "n")
+    whole = F.sum("n").over(Window.partitionBy(*by))
+    return long.withColumn("fraction", F.try_divide(F.col("n"), whole))
+
+
+def turned_pairs(pairs: DataFrame, least: float = 0.10) -> DataFrame:
+    """Differences of ``stats.paired`` turned to (later, earlier), with the symmetric limit of their colour scale."""
+    limit = pairs.agg(F.greatest(F.lit(least), F.max(F.abs("mean_diff"))).alias("colour_limit"))
+    return pairs.withColumns({"first": F.col("b"), "second": F.col("a"), "delta": -F.col("mean_diff")}).join(F.broadcast(limit))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from isospark.operators import quantiles
+
 
 def rate(flag: Column, weight: Column | None = None) -> Column:
     """The weighted share of true flags; null without weight."""
@@ -18,12 +20,6 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("int"))
 
 
-def quantiles(x: str, name: str) -> list[Column]:
-    """Exact linear quartiles, ends, mean and count of a column."""
-    q = F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(x).alias("n"), F.min(x).alias(f"{name}_min"), *[q[i].alias(f"{name}_{n}") for i, n in enumerate(("q1", "median", "q3"))], F.max(x).alias(f"{name}_max"), F.avg(x).alias(f"{name}_mean")]
-
-
 def with_total(rows: DataFrame, groups: list[str], over: str, aggregates: list[Column], total: str = "ALL") -> DataFrame:
     """Aggregates by (groups, over), and by groups alone with ``over`` = total, in one pass of grouping sets."""
     sets = [[*groups, over], groups]
@@ -44,7 +40,8 @@ def isoforms_per_gene(rows: DataFrame, groups: list[str], gene: str, isoform: st
     n = rows.groupBy(*groups, gene).agg(F.countDistinct(isoform).alias("k"))
     bin_of = F.when(F.col("k") == 1, "1").when(F.col("k") <= 3, "2-3").when(F.col("k") <= 5, "4-5").otherwise(">=6")
     counts = complete(n.groupBy(*groups, bin_of.alias("bin")).agg(F.count("*").alias("n_genes")), groups, {"bin": ["1", "2-3", "4-5", ">=6"]}, {"n_genes": 0})
-    centre = n.groupBy(*groups).agg(F.round(F.avg("k"), 3).alias("mean_isoforms"), F.round(F.median("k"), 3).alias("median_isoforms"), F.count("*").alias("total"))
+    centre = n.groupBy(*groups).agg(F.round(F.avg("k"), 3).alias("mean_isoforms"), F.count("*").alias("total"))
+    centre = quantiles.with_median(centre, n, groups, "k", "median_isoforms").withColumn("median_isoforms", F.round("median_isoforms", 3))
     return counts.join(centre, groups).withColumn("fraction", F.col("n_genes") / F.col("total"))
 
 

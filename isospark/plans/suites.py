@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isospark.functions import scalar as S
-from isospark.operators import cluster, match, rangejoin, stats, summaries
+from isospark.operators import cluster, match, quantiles, rangejoin, stats, summaries
 from isospark.sources import text
 
 
@@ -294,7 +294,7 @@ def report(classification: DataFrame, by: list[str]) -> dict[str, DataFrame]:
     rows = summaries.require_columns(classification, ["isoform", "structural_category", "associated_gene", "length"]).withColumn("category", S.category("structural_category"))
     return {
         "categories": summaries.with_total(rows, by, "category", [F.count("*").alias("n"), F.avg("length").alias("mean_length")]),
-        "lengths": summaries.with_total(rows, by, "category", summaries.quantiles("length", "length")),
+        "lengths": quantiles.box_with_total(rows, by, "category", "length", "length"),
         "isoforms_per_gene": summaries.isoforms_per_gene(rows.where(S.valid_id("associated_gene")), by, "associated_gene", "isoform"),
         "shares": summaries.fractions(rows, by, "category", F.countDistinct("isoform")),
     }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isospark.functions import scalar as S
-from isospark.operators import cluster, coverage, match, peaks, rangejoin, reports, stats, summaries
+from isospark.operators import cluster, coverage, match, peaks, quantiles, rangejoin, reports, stats, summaries
 
 TABLES = ("lineitem", "orders", "customer", "part", "documents", "events")
 _STRAND = "CASE WHEN l_linestatus = 'F' THEN '+' ELSE '-' END"
@@ -436,7 +436,7 @@ def category_summary_all(rows):
 @query("v_class", """SELECT annotator, CASE WHEN grouping(structural_category) = 1 THEN 'ALL' ELSE structural_category END AS category, count(length) AS n, min(length) AS length_min, round(quantile_cont(length, 0.25), 4) AS length_q1,
 round(quantile_cont(length, 0.5), 4) AS length_median, round(quantile_cont(length, 0.75), 4) AS length_q3, max(length) AS length_max, round(avg(length), 4) AS length_mean FROM v_class GROUP BY GROUPING SETS ((annotator, structural_category), (annotator))""")
 def length_box_stats(rows):
-    out = summaries.with_total(rows.withColumnRenamed("structural_category", "category"), ["annotator"], "category", summaries.quantiles("length", "length"))
+    out = quantiles.box_with_total(rows.withColumnRenamed("structural_category", "category"), ["annotator"], "category", "length", "length")
     return out.withColumns({c: F.round(c, 4) for c in ("length_q1", "length_median", "length_q3", "length_mean")})
 
 
@@ -456,9 +456,6 @@ def category_fractions(rows):
     return summaries.fractions(rows, ["annotator"], "structural_category", F.countDistinct("isoform")).withColumn("fraction", F.round("fraction", 6))
 
 
-_FOUR = {"full-splice_match": "FSM", "incomplete-splice_match": "ISM", "novel_in_catalog": "NIC", "novel_not_in_catalog": "NNC"}
-
-
 @query("v_class", """WITH x AS (SELECT annotator, unnest(CASE structural_category WHEN 'full-splice_match' THEN ['ALL', 'FSM'] WHEN 'incomplete-splice_match' THEN ['ALL', 'ISM'] WHEN 'novel_in_catalog' THEN ['ALL', 'NIC'] WHEN 'novel_not_in_catalog' THEN ['ALL', 'NNC'] ELSE ['ALL'] END) AS category,
  CASE within_cage WHEN 'TRUE' THEN true WHEN 'FALSE' THEN false END AS cage, CASE within_polya WHEN 'True' THEN true END AS site, motif_found = 'True' AS motif, polya_dist, diff_tss FROM v_class)
 SELECT annotator, category, count(*) AS n, count(*) FILTER (cage) AS cage_true, count(*) FILTER (NOT cage) AS cage_false, count(*) FILTER (cage IS NULL) AS cage_na, round(avg(cage::INT), 6) AS cage_rate,
@@ -466,30 +463,12 @@ count(*) FILTER (site) AS site_true, count(*) FILTER (motif) AS motif_true, coun
 count(*) FILTER (coalesce(site, false) OR (motif AND polya_dist BETWEEN -40 AND 0)) AS supported, median(abs(diff_tss)) AS tss_median, round(avg((abs(diff_tss) <= 5)::INT), 6) AS exact_rate FROM x GROUP BY 1, 2""")
 def endpoint_support(rows):
     """Support of both ends, over all isoforms and for the four main categories."""
-    four = F.create_map(*[F.lit(x) for kv in _FOUR.items() for x in kv])
-    x = rows.select("annotator", F.explode(F.array_compact(F.array(F.lit("ALL"), four[F.col("structural_category")]))).alias("category"), S.bool_exact("within_cage").alias("cage"), S.bool_exact("within_polya").alias("site"), S.bool_exact("motif_found").alias("motif"), "polya_dist", "diff_tss")
-    close = F.col("motif") & F.col("polya_dist").between(-40, 0)
-    # The site column knows true and false; anything else is unknown.
-    return x.groupBy("annotator", "category").agg(
-        F.count("*").alias("n"),
-        F.count_if("cage").alias("cage_true"),
-        F.count_if(~F.col("cage")).alias("cage_false"),
-        F.count_if(F.col("cage").isNull()).alias("cage_na"),
-        F.round(summaries.share(F.col("cage")), 6).alias("cage_rate"),
-        F.count_if("site").alias("site_true"),
-        F.count_if("motif").alias("motif_true"),
-        F.count_if(close).alias("motif_close"),
-        F.round(F.try_divide(F.count_if(close), F.count_if("motif")), 6).alias("close_rate"),
-        F.count_if(F.coalesce("site", F.lit(False)) | close).alias("supported"),
-        F.median(F.abs("diff_tss")).alias("tss_median"),
-        F.round(summaries.share(F.abs("diff_tss") <= 5), 6).alias("exact_rate"),
-    )
+    done = reports.endpoint_support(reports.over_categories(rows), ["annotator", "category"])
+    return done.withColumns({c: F.round(c, 6) for c in ("cage_rate", "close_rate", "exact_rate")})
 
 
 def _burden(rows: DataFrame, by: list[str]) -> DataFrame:
-    c = S.category("structural_category")
-    n = rows.groupBy(*by).agg(F.count_if(c == "novel_in_catalog").alias("nic"), F.count_if(c == "novel_not_in_catalog").alias("nnc"), F.count("*").alias("n"))
-    return n.withColumns({"ratio": F.round(F.try_divide(F.col("nnc"), F.col("nic")), 6), "novel_share": F.round((F.col("nic") + F.col("nnc")) / F.col("n"), 6)})
+    return reports.novelty_burden(rows, by).withColumns({"ratio": F.round("ratio", 6), "novel_share": F.round("novel_share", 6)})
 
 
 _BURDEN = "SELECT {by}, count(*) FILTER (structural_category = 'novel_in_catalog') AS nic, count(*) FILTER (structural_category = 'novel_not_in_catalog') AS nnc, count(*) AS n, round(count(*) FILTER (structural_category = 'novel_not_in_catalog') / nullif(count(*) FILTER (structural_category = 'novel_in_catalog'), 0), 6) AS ratio, round(count(*) FILTER (structural_category LIKE 'novel%') / count(*), 6) AS novel_share FROM v_class GROUP BY {by}"
@@ -507,7 +486,8 @@ def novelty_burden_annotator(rows):
 
 @query("v_class", "WITH n AS (SELECT annotator, chemistry, count(*) FILTER (structural_category = 'novel_in_catalog') AS nic, count(*) FILTER (structural_category = 'novel_not_in_catalog') AS nnc FROM v_class GROUP BY 1, 2) SELECT annotator, chemistry, kind, n FROM n UNPIVOT (n FOR kind IN (nic, nnc))")
 def burden_long(rows):
-    return _burden(rows, ["annotator", "chemistry"]).unpivot(["annotator", "chemistry"], ["nic", "nnc"], "kind", "n")
+    by = ["annotator", "chemistry"]
+    return reports.burden_long(reports.novelty_burden(rows, by), by).select(*by, "kind", "n")
 
 
 _KEEP = "k AS (SELECT DISTINCT regexp_replace(associated_transcript, '\\.\\d+$', '') AS t, associated_gene AS g FROM v_class WHERE structural_category IN ('full-splice_match', 'incomplete-splice_match') AND annotator = 'A')"
@@ -712,8 +692,7 @@ SELECT chem, b AS first, a AS second, round(-d, 6) AS delta, round(greatest(0.10
 def pairwise_delta(f):
     """Mean differences turned to (later, earlier) and the symmetric limit of their colour scale."""
     p = stats.paired(f, ["chem"], ["mode", "cell"], "annotator", "f1")
-    limit = p.agg(F.round(F.greatest(F.lit(0.10), F.max(F.abs("mean_diff"))), 6).alias("colour_limit"))
-    return p.select("chem", F.col("b").alias("first"), F.col("a").alias("second"), F.round(-F.col("mean_diff"), 6).alias("delta")).join(F.broadcast(limit))
+    return reports.turned_pairs(p).select("chem", "first", "second", F.round("delta", 6).alias("delta"), F.round("colour_limit", 6).alias("colour_limit"))
 
 
 @query("v_f1", "SELECT annotator, count(f1) AS n, round(avg(f1), 6) AS mean, round(stddev_samp(f1), 6) AS sd FROM v_f1 GROUP BY 1")
