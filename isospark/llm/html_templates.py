@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ MAX_BROADCAST = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A slash that ends a tag, not the value of an attribute; it closes elements of drawings and formulas alone.
+_EMPTY = re.compile(r"""(?:^|[\s"']|(?:^|\s)[a-zA-Z:-]+)/$""")
 #: Numbers in class names tell pages apart, not kinds of elements.
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -71,16 +74,20 @@ _AFFIX = frozenset(
     "site page main top bottom left right post article entry global primary secondary header box bar block blocks button buttons container wrapper wrap inner outer section area list lists item items link links panel slot unit group row col form icon icons text title body content thread reader user social media email mobile desktop sticky fixed small large posts articles stories legal privacy policy bar".split()
 )
 
+#: Of those, what names lists of links; running text under such a name is text.
+_OF_LINKS = frozenset("breadcrumb breadcrumbs pager pagination recommended related share sharing skip skiplink skiplinks teaser teasers".split())
+
+#: Headings and running text, which no name deletes: theirs are anchors.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd tr figcaption summary".split())
 
 
 class Element:
-    __slots__ = ("tag", "parts", "hard", "named", "name", "inside", "hash", "key", "size", "words", "gone", "whole")
+    __slots__ = ("tag", "parts", "hard", "named", "name", "inside", "foreign", "hash", "key", "size", "words", "linked", "running", "gone", "whole")
 
-    def __init__(self, tag: str, hard: bool = False, named: bool = False, name: str = "", inside: bool = False):
-        self.tag, self.hard, self.named, self.name, self.inside = tag, hard, named, name, inside
+    def __init__(self, tag: str, hard: bool = False, named: str = "", name: str = "", inside: bool = False, foreign: bool = False):
+        self.tag, self.hard, self.named, self.name, self.inside, self.foreign = tag, hard, named, name, inside, foreign
         self.parts: list = []  # texts and elements, in order
-        self.hash = self.key = self.size = self.words = 0
+        self.hash = self.key = self.size = self.words = self.linked = self.running = 0
         self.gone = False
         self.whole = False  # it holds the article
 
@@ -89,27 +96,37 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
 
 
-def furniture_name(token: str) -> bool:
-    """Whether one class or id names furniture as a whole: ``cookie-notice`` does, ``notice-period`` does not."""
+def furniture_name(token: str) -> str:
+    """Whether one class or id names furniture as a whole (``cookie-notice`` does, ``notice-period`` does not): ``any``, ``links`` or empty."""
     parts = {x.lower() for x in _NAME.findall(token)}
-    return bool(parts & _FURNITURE) and parts <= _FURNITURE | _AFFIX
+    if not parts & _FURNITURE or not parts <= _FURNITURE | _AFFIX:
+        return ""
+    return "links" if parts & _FURNITURE <= _OF_LINKS else "any"
 
 
-def _unwanted(tag: str, a: dict[str, str], in_article: bool) -> tuple[bool, bool]:
-    """Whether an element says by tag, role or state that it is no article, and whether it does by name."""
+def _unwanted(tag: str, a: dict[str, str], in_article: bool) -> tuple[bool, str]:
+    """Whether an element says by tag, role or state that it is no article, and how it does by name."""
     hard = tag in _NO_ARTICLE or (tag == "header" and not in_article)
     if not a:
-        return hard, False
+        return hard, ""
     hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role") in _NO_ROLE
     tokens = f"{a.get('class', '')} {a.get('id', '')}".split()
-    return hard, any(furniture_name(x) or (not in_article and x.lower() in ("header", "site-header", "page-header")) for x in tokens)
+    if tag in _PROSE:
+        return hard, ""
+    named = {"any" if not in_article and x.lower() in ("header", "site-header", "page-header") else furniture_name(x) for x in tokens}
+    return hard, "any" if "any" in named else "links" if "links" in named else ""
 
 
 def parse(html: str) -> Element:
     """The element tree of a page, end tags implied where they are missing."""
     root = Element("#")
-    stack = [root]
+    stack, open_tags = [root], Counter()
     at, n = 0, len(html)
+
+    def cut(k: int) -> None:
+        open_tags.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -123,9 +140,9 @@ def parse(html: str) -> Element:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
             continue
         if tag in _CLOSES:
@@ -134,20 +151,21 @@ def parse(html: str) -> Element:
                 if stack[k].tag in bounds:
                     break
                 if stack[k].tag in closed:
-                    del stack[k:]
+                    cut(k)
                     break
         elif tag in _BLOCK:
             # A block ends an open paragraph.
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in _BLOCK:
                     break
         a = _attributes(m[3])
         up = stack[-1]
         inside = up.inside or tag in ("article", "main")
-        e = Element(tag, *_unwanted(tag, a, up.inside), a.get("class", ""), inside)
+        foreign = up.foreign or tag in ("svg", "math")
+        e = Element(tag, *_unwanted(tag, a, up.inside), a.get("class", ""), inside, foreign)
         up.parts.append(e)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(html, at)
@@ -155,8 +173,9 @@ def parse(html: str) -> Element:
                 e.parts.append(html[at : end.start()])
             close = html.find(">", end.start())
             at = n if close < 0 else close + 1
-        elif tag not in _VOID and not m[3].endswith("/"):
+        elif tag not in _VOID and not (foreign and _EMPTY.search(m[3])):
             stack.append(e)
+            open_tags[tag] += 1
     return root
 
 
@@ -170,6 +189,11 @@ def _walk(root: Element):
     return reversed(order)
 
 
+def _by_name(e: Element) -> bool:
+    """Whether an element's name deletes it: inside an article a name for links does not if most of it is running text."""
+    return e.named == "any" or (e.named == "links" and not (e.inside and 2 * e.running > e.words))
+
+
 def resolve(root: Element) -> Element:
     """Fills in hashes, text sizes, and which elements are gone; gives the page's article.
 
@@ -179,13 +203,15 @@ def resolve(root: Element) -> Element:
     """
     order = list(_walk(root))
     for e in order:
-        parts, e.size, e.words = [e.tag, _DIGITS.sub("", e.name)], 0, 0
+        parts, e.size, e.words, e.linked, e.running = [e.tag, _DIGITS.sub("", e.name)], 0, 0, 0, 0
         for p in e.parts:
             if isinstance(p, Element):
                 parts.append(f"\0{p.hash:x}")
                 if p.tag not in _UNSEEN:
                     e.size += p.size
                     e.words += p.words
+                    e.linked += p.words if p.tag == "a" else p.linked
+                    e.running += p.words - p.linked if p.tag in ("p", "blockquote", "pre") else p.running
             else:
                 words = p.split()
                 parts.append(" ".join(words))
@@ -196,7 +222,7 @@ def resolve(root: Element) -> Element:
     todo = [(root, False)]
     while todo:
         e, within = todo.pop()
-        within = within or ((e.hard or e.named) and (e.size < most or e.tag in _NEVER))
+        within = within or ((e.hard or _by_name(e)) and (e.size < most or e.tag in _NEVER))
         if e.tag in ("article", "main") and not within and (best is None or e.size > best.size):
             best = e
         for p in reversed(e.parts):
@@ -210,7 +236,7 @@ def resolve(root: Element) -> Element:
         for p in e.parts:
             if isinstance(p, Element):
                 p.key = _hash(f"{slot_of}\1{p.tag}\1{_DIGITS.sub('', p.name)}")  # the slot, until the next line
-                p.gone = p.tag in _UNSEEN or ((p.hard or p.named) and not p.whole and (p.size < most or p.tag in _NEVER))
+                p.gone = p.tag in _UNSEEN or ((p.hard or _by_name(p)) and not p.whole and (p.size < most or p.tag in _NEVER))
     return root
 
 
@@ -268,7 +294,7 @@ def _blocks(root: Element, templates, host: int = 0) -> list[str]:
     blocks, now = [], []
 
     def close():
-        text = " ".join(_html.unescape("".join(now)).split())
+        text = " ".join("".join(now).split())
         if text:
             blocks.append(text)
         now.clear()
@@ -280,7 +306,7 @@ def _blocks(root: Element, templates, host: int = 0) -> list[str]:
             if e is None:
                 close()
             elif isinstance(e, str):
-                now.append(e)
+                now.append(_html.unescape(e))  # a reference does not reach across a tag
             elif e is not top and (e.gone or (templates and _candidate(e) and template_key(e, host) in templates)):
                 close() if e.tag in _BLOCK else now.append(" " if e.tag in _SPACED else "")
             else:

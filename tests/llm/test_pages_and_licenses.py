@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -249,3 +250,24 @@ def test_adjacent_lines_and_whole_texts():
     for name, text in L.license_texts():
         found = {r[0]: r[2] for r in L.scan_text(f"Some words before. {text} And after.".encode(), index)}
         assert found[name] == 1.0, name
+
+
+def test_slashes_headings_and_references():
+    """Probes: a slash in an attribute, ids of headings, prose under the name of a list of links, references cut by tags."""
+    x = H.extract
+    assert x("<body><nav>menu</nav><article data-url=/a/b/><h1>Title</h1><p>Text</article>") == "Title\n\nText"
+    assert x("<main data-u=/x/><p>One</p></main><footer>end</footer>") == "One"
+    assert x("<article><div/><p>In a div</p></article><aside>no</aside>") == "In a div"
+    assert x('<article><p>a</p><svg><path d="m"/><use href=/a/b/></use><text>t</text></svg><p>b</p></article>') == "a\n\nb"
+    assert x('<article><h2 id="copyright">Copyright</h2><p>Law</p><h2 id="comments">Comments on style</h2><p id="footer">Feet</p></article>') == "Copyright\n\nLaw\n\nComments on style\n\nFeet"
+    assert x('<article><div class="related-items"><p>Related items of the museum collection</p></div><p>End</p></article>') == "Related items of the museum collection\n\nEnd"
+    assert x('<article><p>Text</p><div class="related-items"><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></div></article>') == "Text"
+    assert x('<article><p>Text</p><section id="comments"><h2>2 comments</h2><p>Nice</p></section><div class="ad">Buy</div></article>') == "Text"
+    assert x("<article><p>&<b>lt;</b> &lt;b&gt; &amp;amp; R&amp;D</p></article>") == "&lt; <b> &amp; R&D"
+
+
+def test_stray_end_tags_cost_nothing():
+    page = "<article>" + "<div>" * 20_000 + "text" + "</b>" * 20_000
+    began = time.process_time()
+    assert H.extract(page) == "text"
+    assert time.process_time() - began < 10
