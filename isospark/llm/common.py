@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from isospark.session import cut, scratch_path, shared_dir, written
 
-__all__ = ["connected_components", "cut", "scratch_path", "shared_dir", "text_blocks", "written"]
+__all__ = ["connected_components", "cut", "free_name", "scratch_path", "shared_dir", "written"]
 
 
-def text_blocks(table, columns: list[str]):
-    """Byte strings of the given columns of an Arrow batch (None for null)."""
-    import pyarrow as pa
-
-    return [table.column(c).cast(pa.binary()).to_pylist() for c in columns]
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

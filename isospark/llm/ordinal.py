@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, free_name
 from .decontaminate import words
 
 #: Rated rows used for fitting at most, chosen by a hash of the id.
@@ -278,5 +278,5 @@ def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str =
 def keep_good(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps; texts and ids are treated as by ``classify``."""
     model = fit(docs, ratings, grades, id_col, text_col, **options)
-    s = "_isospark_score"
+    s = free_name(docs, "score")
     return docs.withColumn(s, score(F.col(text_col), model, docs.sparkSession)).where(F.col(f"{s}.p_tail") >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_marks")
 MEASURE_TYPE = T.StructType([T.StructField(m, T.LongType(), False) for m in MEASURES])
 
@@ -177,6 +179,6 @@ def ablation(rows: DataFrame, policy: str = DEFAULT) -> DataFrame:
 
 def keep_passing(docs: DataFrame, policy: str = DEFAULT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text passes the policy."""
-    m = "_isospark_measures"
+    m = free_name(docs, "measures")
     bits = failure_bits(f"{m}.").bitwiseAND(F.lit(mask(policy)))
     return docs.withColumn(m, measure(F.col(text_col))).where(bits == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isospark.llm import decontaminate, ordinal, quality_rules
@@ -146,3 +147,15 @@ def test_awkward_rows(spark):
     assert clean.columns == docs.columns and not {9001, 9002, 9003} & {r.doc_id for r in clean.collect()}
     mixed = stages["mixing"](spark, docs, SF)
     assert mixed.count() == docs.count() and all(r.rate > 0 for r in mixed.collect())
+
+
+def test_columns_of_any_name_come_out_as_they_went_in(spark):
+    """Names that the stages use inside, as text columns, also in another case."""
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    names = ["measures", "MEASURES_", "score", "Score_", "_isospark_measures", "_isospark_score"]
+    docs = text.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    ratings = ordinal.grades_of(spark.read.parquet(f"{SF}/labels.parquet"))
+    for out in (quality_rules.keep_passing(docs), ordinal.keep_good(docs, ratings)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
