@@ -60,17 +60,17 @@ def active_references(points: DataFrame, reference: DataFrame, window: int) -> t
     return rangejoin.active_intervals(*args), rangejoin.active_intervals(*args, active=False)
 
 
-def active_gtf(gtf_lines: DataFrame, active: DataFrame, strip: bool = False) -> DataFrame:
+def active_gtf(gtf_lines: DataFrame, active: DataFrame, strip: bool = False, keep: list[str] = ()) -> DataFrame:
     """Lines of a GTF whose transcript is active, and rows without a transcript whose gene has one.
 
-    ``gtf_lines(value)``, ``active(id)``.
+    ``gtf_lines(value)`` with the columns to ``keep``, ``active(id)``.
     """
     t = S.gtf_attribute("value", "transcript_id")
     rows = gtf_lines.withColumns({"id": S.strip_version(t) if strip else t, "gene": S.gtf_attribute("value", "gene_id")})
     ids = active.select((S.strip_version("id") if strip else F.col("id")).alias("id")).distinct()
     kept = rows.where("id is not null").join(ids, "id", "left_semi")
     genes = rows.where("id is null").join(kept.select("gene").distinct(), "gene", "left_semi")
-    return kept.select("value").unionByName(genes.select("value"))
+    return kept.select(*keep, "value").unionByName(genes.select(*keep, "value"))
 
 
 def transcripts_for_matching(tx: DataFrame) -> DataFrame:
@@ -81,6 +81,7 @@ def transcripts_for_matching(tx: DataFrame) -> DataFrame:
 def evaluate_files(reference: DataFrame, predicted: DataFrame, windows: tuple[int, int, int] = (10, 10, 10)) -> dict[str, DataFrame]:
     """All files' predictions (``file, pid, ...``) against one reference (``rid, ...``): matches, counts per file,
     seed-clustered false positives, references no file found."""
+    predicted = predicted if "reads" in predicted.columns else predicted.withColumn("reads", F.lit(0.0))
     ref, pred = transcripts_for_matching(reference), transcripts_for_matching(predicted).withColumn("key", F.concat_ws("\t", "file", "pid"))
     pairs = match.transcript_pairs(ref, pred, "rid", "key", *windows).select("rid", "key")
     found = pairs.join(pred.select("key", "file", "pid"), "key")
@@ -92,10 +93,22 @@ def evaluate_files(reference: DataFrame, predicted: DataFrame, windows: tuple[in
     counts = files.join(tp, "file", "left").join(fp, "file", "left").na.fill(0).join(F.broadcast(n_ref)).withColumn("fn", F.col("n_ref") - F.col("tp"))
     w1, w2, w3 = windows
     near = lambda a, b: abs(a.tss - b.tss) <= w1 and abs(a.tes - b.tes) <= w2 and all(abs(x["s"] - y["s"]) <= w3 and abs(x["e"] - y["e"]) <= w3 for x, y in zip(a.introns, b.introns))
-    seeds = cluster.seed_clusters(wrong.withColumn("n_introns", F.size("introns")).select("contig", "strand", "n_introns", "key", "file", "pid", "tss", "tes", "introns"), ["contig", "strand", "n_introns"], near, ["tss", "key"], "tss", w1)
+    seeds = cluster.seed_clusters(wrong.withColumn("n_introns", F.size("introns")).select("contig", "strand", "n_introns", "key", "file", "pid", "tss", "tes", "introns", "reads"), ["contig", "strand", "n_introns"], near, ["tss", "key"], "tss", w1)
     return {"matches": found, "stats": match.with_rates(counts), "false_positives": seeds, "not_found": ref.join(pairs.select("rid").distinct(), "rid", "left_anti")}
 
 
+def false_positive_clusters(wrong: DataFrame, files: list[str]) -> DataFrame:
+    """A row per seed cluster of false positives (``evaluate_files``): its seed's place, and per file how many
+    predictions it has, their reads and their names."""
+    keys = ["contig", "strand", "n_introns", "seed"]
+    place = F.min_by(F.struct("tss", "tes", "introns"), F.struct("tss", "key")).alias("at")
+    total = wrong.groupBy(*keys).agg(place, F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+    names = F.array_join(F.array_sort(F.collect_list("pid")), ",")
+    wide = wrong.groupBy(*keys).pivot("file", files).agg(F.count(F.lit(1)).alias("count"), F.sum("reads").alias("reads"), names.alias("ids"))
+    out = total.join(wide, keys).select("contig", "strand", "at.tss", "at.tes", "at.introns", "n", "n_files", *[F.coalesce(F.col(f"`{f}_{c}`"), F.lit("" if c == "ids" else 0)).alias(f"{f}_{c}") for f in files for c in ("count", "reads", "ids")])
+    return cluster.numbered(out, "FP_", ["contig", "strand", "tss", "tes", F.col("introns").cast("string")])
+
+
 def merge_samples(tx: DataFrame, samples: list[str], window: int = 0) -> DataFrame:
     """Transcripts of samples (``sample, contig, strand, start, end, exons, reads``) merged where their inner
     structure agrees and both ends lie within ``window`` of the group's first; one count column per sample."""
@@ -320,10 +333,7 @@ def run_files(spark: SparkSession, command: str, out: str, files: list[str], win
         rows = gff.select("contig", "strand", "start", F.coalesce("score", F.lit(1.0)).alias("score"), F.col("sample").alias("method"))
         text.write_tsv(sum_sites(rows, kind, names, wobble, None if missing == "na" else 0.0), out, ["contig", "strand", "start"])
         return
-    tx = None
-    for f in files:
-        one = text.transcripts_of_gff(text.read_gff(spark, f)).withColumn("sample", F.lit(stem_of(f)))
-        tx = one if tx is None else tx.unionByName(one)
+    tx = text.transcripts_of_gff(gff.drop("sample")).withColumn("sample", S.file_stem("path")).drop("path")
     tx = tx.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long"), "exons": F.col("exons").cast("array<struct<s:long,e:long>>")})
     if command == "merge":
         write_merged(merge_samples(tx, names, window), names, out, sample_attributes, collapse)
@@ -333,6 +343,8 @@ def run_files(spark: SparkSession, command: str, out: str, files: list[str], win
     text.write_tsv(done["stats"], f"{out}/stats", ["file"])
     text.write_tsv(done["matches"].select("file", "rid", "pid"), f"{out}/matches", ["file", "rid", "pid"])
     text.write_tsv(done["false_positives"].select("seed", "file", "pid", "contig", "strand", "tss", "tes"), f"{out}/false_positives", ["contig", "strand", "tss"])
+    clusters = false_positive_clusters(done["false_positives"], names)
+    text.write_tsv(clusters.withColumn("introns", S.exons_text("introns")), f"{out}/false_positive_clusters", ["id"])
     text.write_tsv(done["not_found"].select("rid", "contig", "strand", "start", "end", S.exons_text("exons").alias("exons")), f"{out}/reference_not_found", ["contig", "start"])
 
 
@@ -347,18 +359,24 @@ def stem_of(path: str) -> str:
 def run_boundary(spark: SparkSession, out: str, manifest: str, mode: str = "TSS", window: int = 0, coords: str = "bed0", point_mode: str = "as_is", chr_mode: str = "keep", adjust: str = "bh") -> None:
     """Scores of the runs of a manifest (chemistry, cell line, GTF, reference), their means and tests, as tables.
 
-    A GTF's folder or name tells its annotator.  All runs are matched in one job.
+    A GTF's folder or name tells its annotator.  All files of a kind are one scan, and all runs are matched in one job.
     """
     from isospark.session import cut
 
-    runs = text.read_manifest(spark, manifest, dialect="reference").collect()  # a line a run
-    pred = ref = None
-    for r in runs:
-        tags = [F.lit(mode).alias("mode"), F.lit(r.chemistry).alias("chem"), F.lit(r["cell-line"]).alias("cell"), S.annotator_of(F.lit(r.gtf)).alias("annotator")]
-        points = text.point_gtf(text.read_gff(spark, r.gtf), mode, dedup=False).select(*tags, S.contig_name("contig", chr_mode).alias("contig"), "strand", "pos")
-        bed = text.read_bed(spark, r.reference, chr_mode)
-        spans = (text.bed_intervals(bed, window, coords) if mode == "TSS" else text.bed_points(bed, window, point_mode)).select(*tags, "contig", "strand", "lo", "hi")
-        pred, ref = (points, spans) if pred is None else (pred.union(points), ref.union(spans))
+    from isospark.plans.tables import path_key
+
+    runs = text.read_manifest(spark, manifest, dialect="reference")
+    tags = ["mode", "chem", "cell", "annotator"]
+    tagged = cut(runs.select(F.lit(mode).alias("mode"), F.col("chemistry").alias("chem"), F.col("`cell-line`").alias("cell"), S.annotator_of("gtf").alias("annotator"), "gtf", "reference"))
+    listed = tagged.select("gtf", "reference").collect()  # a line a run
+
+    def of_runs(rows: DataFrame, file: str) -> DataFrame:
+        return rows.withColumn("_path", path_key(F.col("path"))).join(F.broadcast(tagged.select(*tags, path_key(F.col(file)).alias("_path"))), "_path")
+
+    gff = text.read_gff(spark, sorted({r.gtf for r in listed}))
+    pred = of_runs(text.point_gtf(gff, mode, dedup=False), "gtf").select(*tags, S.contig_name("contig", chr_mode).alias("contig"), "strand", "pos")
+    bed = of_runs(text.read_bed(spark, sorted({r.reference for r in listed}), chr_mode), "reference")
+    ref = text.bed_intervals(bed, window, coords, tags) if mode == "TSS" else text.bed_points(bed, window, point_mode, tags)
     scores = cut(boundary_benchmark(pred, ref, ["mode", "chem", "cell", "annotator"]))
     text.write_tsv(scores, f"{out}/scores", ["mode", "chem", "cell", "annotator"])
     done = boundary_statistics(scores, adjust)

@@ -28,15 +28,24 @@ def read_gff(spark: SparkSession, path, exact: bool = False, **options) -> DataF
 
 
 def transcripts_of_gff(gff: DataFrame, tx_features=("mRNA", "transcript")) -> DataFrame:
-    """``(id, contig, strand, start, end, exons, reads)``: exons by their ``Parent`` ids; a transcript
-    without exons is one exon; reads are the score or the first numeric count attribute, else 0."""
+    """``(id, contig, strand, start, end, exons, reads)``, and ``path`` where ``gff`` has it.
+
+    Exons go by their ``Parent`` ids, within a file and contig.  A transcript without exons is one exon, one
+    that only exons name spans them; reads are the score or the first numeric count attribute, else 0.
+    """
     rows = gff.withColumn("a", S.gff3_attributes("info"))
+    keys = [*(["path"] if "path" in gff.columns else []), "contig", "id"]
     tx = rows.where(F.col("feature").isin(*tx_features)).withColumn("id", F.coalesce(F.col("a")["ID"], F.col("a")["transcript_id"], F.col("a")["Name"])).where("id is not null")
     reads = F.coalesce("score", *[F.col("a")[k].try_cast("double") for k in ("read_count", "reads", "count", "support", "coverage")], F.lit(0.0))
-    exons = rows.where("feature = 'exon'").select(F.explode(F.split(F.coalesce(F.col("a")["Parent"], F.col("a")["transcript_id"]), ",")).alias("id"), F.struct(F.col("start").alias("s"), F.col("end").alias("e")).alias("x"))
-    per = exons.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("exons"))
+    tx = tx.select(*keys, S.clean_strand("strand").alias("strand"), "start", "end", reads.alias("reads"))
+    parents = F.explode(F.split(F.coalesce(F.col("a")["Parent"], F.col("a")["transcript_id"]), ",")).alias("id")
+    exons = rows.where("feature = 'exon'").select(*keys[:-1], parents, F.struct(F.col("start").alias("s"), F.col("end").alias("e")).alias("x"), S.clean_strand("strand").alias("_strand"))
+    per = exons.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("exons"), F.min("_strand").alias("_strand"))
     whole = F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
-    return tx.withColumn("reads", reads).join(per, "id", "left").select("id", "contig", S.clean_strand("strand").alias("strand"), "start", "end", F.coalesce("exons", whole).alias("exons"), "reads")
+    low, high = F.array_min(F.transform("exons", lambda x: x["s"])), F.array_max(F.transform("exons", lambda x: x["e"]))
+    out = tx.join(per, keys, "full")
+    columns = ["id", "contig", F.coalesce("strand", "_strand").alias("strand"), F.coalesce("start", low).alias("start"), F.coalesce("end", high).alias("end"), F.coalesce("exons", whole).alias("exons"), F.coalesce("reads", F.lit(0.0)).alias("reads")]
+    return out.select(*columns, *keys[:-2])
 
 
 def write_tsv(df: DataFrame, path: str, order: list | None = None, header: bool = True) -> None:
@@ -84,15 +93,16 @@ def boundary_gtf(gff: DataFrame) -> DataFrame:
 
 
 def write_active_gtf(spark: SparkSession, gtf, active: DataFrame, path: str, strip: bool = False) -> None:
-    """The lines of a GTF that belong to active transcripts, in their order, header lines first."""
+    """The lines of a GTF that belong to active transcripts, in the order of the file, header lines first."""
     from isospark.plans.suites import active_gtf
 
-    lines = spark.read.text(gtf).select(F.regexp_replace("value", "\r$", "").alias("value"))
-    c = F.split("value", "\t")
-    body = active_gtf(lines.where(~F.col("value").startswith("#")), active, strip)
-    rows = lines.where(F.col("value").startswith("#")).select(F.lit(0).alias("k"), F.lit("").alias("contig"), F.lit(0).cast("long").alias("at"), "value")
-    rows = rows.union(body.select(F.lit(1), F.get(c, F.lit(0)), F.get(c, F.lit(3)).try_cast("long"), "value"))
-    rows.orderBy("k", "contig", "at", "value").select("value").write.mode("overwrite").text(path)
+    lines = spark.read.text(gtf).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"))
+    lines = lines.withColumn("line", F.monotonically_increasing_id())
+    head = F.col("value").startswith("#")
+    order = ["path", "part", "line"]
+    body = active_gtf(lines.where(~head), active, strip, order)
+    rows = lines.where(head).select(F.lit(0).alias("k"), *order, "value").unionByName(body.select(F.lit(1).alias("k"), *order, "value"))
+    rows.orderBy("k", *order).select("value").write.mode("overwrite").text(path)
 
 
 def gff3_to_gtf(gff: DataFrame, tag: str | None = None) -> DataFrame:
@@ -124,22 +134,22 @@ def point_gtf(gtf: DataFrame, kind: str = "TSS", dedup: bool = True) -> DataFram
     return first_of(p, ["contig", "strand", "pos"], ["path", "info"]) if dedup else p
 
 
-def bed_intervals(bed: DataFrame, window: int, coords: str = "bed0") -> DataFrame:
+def bed_intervals(bed: DataFrame, window: int, coords: str = "bed0", keep: tuple = ()) -> DataFrame:
     """One-based inclusive intervals of BED rows, widened; 'bed0' counts starts from 0, 'bed1' from 1."""
     lo = F.greatest(F.col("start0") + (1 if coords == "bed0" else 0) - window, F.lit(1))
-    return bed.select("contig", "strand", lo.alias("lo"), (F.col("end") + window).alias("hi")).where("hi >= lo").distinct()
+    return bed.select(*keep, "contig", "strand", lo.alias("lo"), (F.col("end") + window).alias("hi")).where("hi >= lo").distinct()
 
 
-def bed_points(bed: DataFrame, window: int, coords: str = "as_is") -> DataFrame:
+def bed_points(bed: DataFrame, window: int, coords: str = "as_is", keep: tuple = ()) -> DataFrame:
     """Points of BED rows as intervals of ``window`` on either side."""
     p = F.col("start0") + (1 if coords == "bed0_to_1based" else 0)
-    return bed.select("contig", "strand", F.greatest(p - window, F.lit(1)).alias("lo"), (p + window).alias("hi")).where("hi >= lo").distinct()
+    return bed.select(*keep, "contig", "strand", F.greatest(p - window, F.lit(1)).alias("lo"), (p + window).alias("hi")).where("hi >= lo").distinct()
 
 
 def read_bed(spark: SparkSession, path, chr_mode: str = "keep") -> DataFrame:
     c = F.split(F.trim("value"), r"\s+")
     rows = read_lines(spark, path).withColumn("c", c).where(F.size("c") >= 6)
-    rows = rows.select(S.contig_name(F.get("c", F.lit(0)), chr_mode).alias("contig"), F.get("c", F.lit(1)).try_cast("int").alias("start0"), F.get("c", F.lit(2)).try_cast("int").alias("end"), F.get("c", F.lit(3)).alias("name"), F.get("c", F.lit(4)).alias("score"), F.get("c", F.lit(5)).alias("strand"))
+    rows = rows.select(S.contig_name(F.get("c", F.lit(0)), chr_mode).alias("contig"), F.get("c", F.lit(1)).try_cast("int").alias("start0"), F.get("c", F.lit(2)).try_cast("int").alias("end"), F.get("c", F.lit(3)).alias("name"), F.get("c", F.lit(4)).alias("score"), F.get("c", F.lit(5)).alias("strand"), "path")
     return rows.where("start0 is not null and end is not null and strand in ('+', '-')")
 
 
@@ -194,7 +204,13 @@ def find_tables(spark: SparkSession, path: str, required: list[str], pattern: st
     """Files under a folder, not empty, whose first line holds all required column names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).where("length > 0").select("path")
     names = [r.path for r in files.collect()]  # a listing of files, not their rows
-    return sorted(p for p in names if set(required) <= {c.strip() for c in (spark.read.text(p).first() or [""])[0].replace(",", "\t").lstrip("﻿").split("\t")})
+    if not names:
+        return []
+    lines = spark.read.text(names).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"), "value")
+    first = lines.groupBy("path").agg(F.min_by("value", F.struct("part", "line")).alias("value"))
+    columns = F.transform(F.split(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), ",", "\t"), "\t"), lambda c: F.trim(c))
+    wanted = F.array(*[F.lit(c) for c in required]).cast("array<string>")
+    return sorted(r.path for r in first.where(F.size(F.array_except(wanted, columns)) == 0).select("path").collect())
 
 
 def read_transcript_table(spark: SparkSession, path, source: str, with_id: bool = False) -> DataFrame:

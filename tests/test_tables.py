@@ -151,3 +151,41 @@ def test_quantiles_are_exact(spark):
     assert total["wide", "ALL"] == total["wide", "c"] == statistics.median(x for k, x in rows if k == "wide")
     plan = quantiles.box(df, ["k"], "x", "x")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan
+
+
+TWO = """chr1\ts\tmRNA\t10\t90\t5\t+\t.\tID=t1
+chr1\ts\texon\t60\t90\t.\t+\t.\tParent=t1
+chr1\ts\texon\t10\t30\t.\t+\t.\tParent=t1
+chr2\ts\texon\t500\t600\t.\t-\t.\tParent=t1
+chr2\ts\texon\t700\t800\t.\t-\t.\tParent=t1
+"""
+
+
+def test_equal_ids_in_several_files_and_contigs(spark, tmp_path):
+    """Exons meet the transcript of their file and contig, and make one where there is none."""
+    (tmp_path / "a.gff3").write_text(TWO)
+    (tmp_path / "b.gff3").write_text(TWO.replace("10\t30", "10\t20").replace("\t5\t", "\t7\t"))
+    t = text.transcripts_of_gff(text.read_gff(spark, [f"{tmp_path}/a.gff3", f"{tmp_path}/b.gff3"]))
+    got = {(r.path[-6], r.contig, r.strand, r.start, r.end, r.reads, tuple(map(tuple, r.exons))) for r in t.collect()}
+    exons = ((500, 600), (700, 800))
+    assert got == {("a", "chr1", "+", 10, 90, 5.0, ((10, 30), (60, 90))), ("b", "chr1", "+", 10, 90, 7.0, ((10, 20), (60, 90))), ("a", "chr2", "-", 500, 800, 0.0, exons), ("b", "chr2", "-", 500, 800, 0.0, exons)}
+
+
+def test_false_positive_clusters(spark, tmp_path):
+    (tmp_path / "ref.tsv").write_text("transcript_id\tseqnames\tstrand\tstart\tend\texon_composition\nr\tchr9\t+\t1\t50\t1-50\n")
+    (tmp_path / "a.gff3").write_text(TWO)
+    (tmp_path / "b.gff3").write_text(TWO.replace("\t10\t90\t5", "\t12\t90\t7").replace("10\t30", "12\t33").replace("ID=t1", "ID=t2").replace("Parent=t1", "Parent=t2"))
+    main(["evaluate", f"{tmp_path}/out", f"{tmp_path}/ref.tsv", f"{tmp_path}/a.gff3", f"{tmp_path}/b.gff3"], spark)
+    got = {r["contig"]: r for r in rows_of(tmp_path / "out" / "false_positive_clusters")}
+    assert {c: got["chr1"][c] for c in ("tss", "tes", "n", "n_files", "a_count", "a_reads", "a_ids", "b_count", "b_reads", "b_ids")} == {"tss": "10", "tes": "90", "n": "2", "n_files": "2", "a_count": "1", "a_reads": "5.0", "a_ids": "t1", "b_count": "1", "b_reads": "7.0", "b_ids": "t2"}
+    assert got["chr2"]["n"] == "2" and len(got) == 2
+
+
+def test_order_of_an_active_gtf_and_found_tables(spark, tmp_path):
+    (tmp_path / "ref.gtf").write_text("\n".join(GTF) + "\n")
+    text.write_active_gtf(spark, f"{tmp_path}/ref.gtf", spark.createDataFrame([("T1.2",), ("T2.1",)], "id string"), f"{tmp_path}/out")
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).splitlines()
+    assert lines == GTF[:6]
+    for k, head in enumerate(["a\tb\tc", "b,c,a", "a\tb", ""]):
+        (tmp_path / f"t{k}.txt").write_text(head + "\n1\t2\t3\n" if head else "")
+    assert [p[-6:] for p in text.find_tables(spark, str(tmp_path), ["a", "c"])] == ["t0.txt", "t1.txt"]
