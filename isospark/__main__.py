@@ -104,6 +104,20 @@ def parser() -> argparse.ArgumentParser:
         e.add_argument(name)
     e.add_argument("--exact", type=int, default=5)
     e.add_argument("--close", type=int, default=40)
+    for name, what in (("compare_isoforms", "values of one isoform table summed onto another, within windows"), ("compare_categories", "names and categories of one isoform table put onto another, within windows")):
+        c = sub.add_parser(name, help=what)
+        for f in ("out", "base", "query"):
+            c.add_argument(f)
+        c.add_argument("--windows", type=int, nargs=3, default=(10, 10, 5), metavar=("START", "END", "INTRONS"))
+    x = sub.add_parser("sum_prefixes", help="features of the runs of a list of path prefixes, summed by method")
+    for name in ("out", "prefixes"):
+        x.add_argument(name)
+    x.add_argument("--kind", choices=("TSS", "TES", "intron"), default="TSS")
+    x.add_argument("--tes_input", choices=("auto", "not_ts", "tes", "ts"), default="auto")
+    x.add_argument("--wobble", type=int, default=10)
+    x.add_argument("--intron_agg", choices=("sum", "max", "first"), default="sum")
+    x.add_argument("--missing", choices=("0", "na"), default="0")
+    x.add_argument("--show_methods", action="store_true")
     g = sub.add_parser("gtf", help="a GFF3 file as GTF, transcripts or boundaries")
     for name in ("out", "gff"):
         g.add_argument(name)
@@ -130,7 +144,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         spark = SparkSession.builder.appName("isospark").getOrCreate()
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{args['out']}/_checkpoints")
-    from isospark.plans import stages, suites, tables
+    from isospark.plans import compare, stages, suites, tables
 
     command, out = args["command"], args["out"]
     if command in ("annotate", "label", "stats", "sites", "transcripts"):
@@ -145,6 +159,8 @@ def main(argv: list[str] | None = None, spark=None) -> None:
             stages.features(spark, args["stats"], out, params)
         else:
             stages.assemble(spark, args["labels"], args["features"], out, params, args["form"])
+    elif command in ("compare_isoforms", "compare_categories", "sum_prefixes"):
+        getattr(compare, command)(spark, **{k: v for k, v in args.items() if k != "command"})
     elif command == "view":
         from isospark.sources import sam
 
