@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("files", nargs="+")
     m.add_argument("--window", type=int, default=0)
     m.add_argument("--sample_attributes", action="store_true")
+    m.add_argument("--exon_score_mode", choices=("max", "mean", "sum", "first"), default="max", help="support of a transcript without a score")
     m.add_argument("--collapse", action="store_true", help="equal sites and introns once, scores summed")
     f = sub.add_parser("features", help="features of several GFF files at those of a reference")
     for name in ("out", "reference"):
@@ -66,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--point_mode", choices=("as_is", "bed0_to_1based"), default="as_is")
     b.add_argument("--chr_mode", choices=("keep", "add", "strip"), default="keep")
     b.add_argument("--adjust", choices=("bh", "holm", "none"), default="bh")
+    b.add_argument("--annotators", nargs="+", default=[], help="names to look for in paths, in this order")
     r = sub.add_parser("report", help="summaries of a classification table")
     for name in ("out", "classification"):
         r.add_argument(name)
@@ -92,9 +94,11 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--strip", action="store_true")
     r.add_argument("--composition", action="store_true")
     r.add_argument("--adjust", choices=("bh", "holm", "none"), default="bh")
+    r.add_argument("--annotators", nargs="+", default=[], help="names to look for in paths, in this order")
     n = sub.add_parser("novelty", help="burden and support of novel isoforms and junctions")
     for name in ("out", "classifications", "junctions"):
         n.add_argument(name)
+    n.add_argument("--annotators", nargs="+", default=[], help="names to look for in paths, in this order")
     w = sub.add_parser("weighted_stats", help="weighted shares by run and category")
     for name in ("out", "manifest"):
         w.add_argument(name)

@@ -44,22 +44,27 @@ def contig_name(contig, mode: str = "keep") -> Column:
 # attributes
 
 
+def _last_of_each(pairs: Column) -> Column:
+    """A map of (k, v) entries; of repeated keys the last stays."""
+    keys = F.transform(pairs, lambda p: p["k"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(pairs)), p["k"]) == 0))
+
+
 def gff3_attributes(info) -> Column:
     """``k=v;k=v`` as a map; pieces without ``=`` are dropped, of repeated keys the last stays."""
     pairs = F.filter(F.transform(F.split(_c(info), ";"), lambda p: F.trim(p)), lambda p: p.contains("="))
-    keys = F.transform(pairs, lambda p: F.trim(F.substring_index(p, "=", 1)))
-    return F.map_from_entries(
-        F.filter(
-            F.transform(
-                pairs,
-                lambda p, i: F.struct(
-                    F.when(F.array_position(F.slice(keys, i + 2, F.size(pairs)), F.trim(F.substring_index(p, "=", 1))) == 0, F.trim(F.substring_index(p, "=", 1))).alias("k"),
-                    F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("v"),
-                ),
-            ),
-            lambda e: e["k"].isNotNull(),
-        )
-    )
+    return _last_of_each(F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("v"))))
+
+
+def gtf_attributes(info) -> Column:
+    """``k "v"; k "v";`` and ``k v;`` as a map; of repeated keys the last stays."""
+    pieces = F.regexp_extract_all(_c(info), F.lit(r'([^\s;"]+\s+(?:"[^"]*"|[^\s;"]+))'), F.lit(1))
+    return _last_of_each(F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, r"^(\S+)", 1).alias("k"), F.regexp_replace(F.regexp_extract(p, r"^\S+\s+(.*)$", 1), '"', "").alias("v"))))
+
+
+def attributes(info) -> Column:
+    """Attributes of either kind: GTF where the text begins with a key and a blank, else GFF3."""
+    return F.when(_c(info).rlike(r'^\s*[^\s;="]+\s+[^\s=]'), gtf_attributes(info)).otherwise(gff3_attributes(info))
 
 
 def gtf_attribute(info, key: str) -> Column:
@@ -200,6 +205,30 @@ def annotator_of(path, default: str = "unknown") -> Column:
     return out.otherwise(F.lit(default))
 
 
+def annotator_in(path, names, dialect: str = "name") -> Column:
+    """The first of ``names`` that a path tells, in any case; null if none does.
+
+    ``name``: a whole part of the file's name between ``-``, ``_`` and ``.``, else a folder; ``folder``: what a
+    part of the path is or begins with, before ``-`` or ``_``; ``token``: a whole part between ``/``, ``-`` and ``_``,
+    else anywhere in the file's name.
+    """
+    whole, file = _c(path), F.substring_index(_c(path), "/", -1)
+    first = lambda test: F.coalesce(*[F.when(test(n), F.lit(n)) for n in names])
+    has = lambda c, before, n, after: c.rlike(f"(?i)(^|{before}){re.escape(n)}($|{after})")
+    if dialect == "name":
+        return F.coalesce(first(lambda n: has(file, "[-_.]", n, "[-_.]")), first(lambda n: has(whole, "/", n, "/")))
+    if dialect == "folder":
+        return first(lambda n: has(whole, "/", n, "[/_-]"))
+    return F.coalesce(first(lambda n: has(whole, "[/_-]", n, "[/_-]")), first(lambda n: F.lower(file).contains(n.lower())))
+
+
+def clean_annotator(name) -> Column:
+    """An annotator's name in a table of matches, without its endings and variants."""
+    # Names as tables of matches spell them.
+    n = F.regexp_replace(F.regexp_replace(_c(name), r"\.gff3_match$", ""), "_match$", "")
+    return F.when(n.startswith("FLAIR_"), "FLAIR").when(n.isin("bambu", "Bambu"), "BAMBU").otherwise(n)
+
+
 def file_stem(path) -> Column:
     """The file's name without directories and suffixes, other characters than word ones as ``_``."""
     name = F.regexp_replace(F.substring_index(_c(path), "/", -1), r"(?i)\.(gz)$", "")
@@ -209,8 +238,18 @@ def file_stem(path) -> Column:
 # exons and introns
 
 
-def exons_from_text(text, sort: bool = True, swap: bool = True) -> Column:
-    """``s-e;s-e`` as an array of (s, e); pieces that are no pair of numbers are dropped."""
+def exons_from_text(text, sort: bool = True, swap: bool = True, tolerant: bool = False) -> Column:
+    """``s-e;s-e`` as an array of (s, e), sorted and each turned if asked; pieces that are no pair of numbers are dropped.
+
+    ``tolerant`` reads numbers as ``tolerant_int`` does, so a comma is part of one and does not end a piece.
+    """
+    if tolerant:
+        split = F.filter(F.split(F.coalesce(_c(text), F.lit("")), ";"), lambda p: p.contains("-"))
+        pair = F.transform(split, lambda p: F.struct(tolerant_int(F.substring_index(p, "-", 1)).cast("long").alias("s"), tolerant_int(F.regexp_replace(p, "^[^-]*-", "")).cast("long").alias("e")))
+        pair = F.filter(pair, lambda x: x["s"].isNotNull() & x["e"].isNotNull())
+        if swap:
+            pair = F.transform(pair, lambda x: F.struct(F.least(x["s"], x["e"]).alias("s"), F.greatest(x["s"], x["e"]).alias("e")))
+        return F.array_sort(pair) if sort else pair
     parts = F.filter(F.split(F.coalesce(_c(text), F.lit("")), r"[;,]"), lambda p: p.rlike(r"^\s*\d+\s*-\s*\d+\s*$"))
     pair = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "-", 1)).cast("long").alias("s"), F.trim(F.substring_index(p, "-", -1)).cast("long").alias("e")))
     if swap:

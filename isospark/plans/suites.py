@@ -112,9 +112,9 @@ def false_positive_clusters(wrong: DataFrame, files: list[str]) -> DataFrame:
 def merge_samples(tx: DataFrame, samples: list[str], window: int = 0) -> DataFrame:
     """Transcripts of samples (``sample, contig, strand, start, end, exons, reads``) merged where their inner
     structure agrees and both ends lie within ``window`` of the group's first; one count column per sample."""
-    inner = S.exons_text(S.normal_exons("exons"))
-    shape = F.when(F.size("exons") > 1, F.regexp_replace(F.regexp_replace(inner, r"^\d+", ""), r"\d+$", "")).otherwise(F.lit(""))
-    rows = tx.withColumns({"shape": shape, "n_exons": F.size("exons")})
+    inner = F.transform(S.inner_signature("exons"), lambda x, i: F.concat(x.cast("string"), F.when(i % 2 == 0, ";").otherwise("-")))
+    shape = F.when(F.size("exons") > 1, F.concat(F.lit("-"), F.array_join(inner, ""))).otherwise(F.lit(""))
+    rows = tx.withColumn("exons", S.normal_exons("exons")).withColumns({"shape": shape, "n_exons": F.size("exons")})
     led = cluster.leader_clusters(rows.select("sample", "contig", "strand", "start", "end", "shape", "n_exons", "reads"), ["contig", "strand", "shape", "n_exons"], "start", "end", window)
     keys = ["contig", "strand", "shape", "n_exons", "leader"]
     bounds = led.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -313,14 +313,14 @@ def report(classification: DataFrame, by: list[str]) -> dict[str, DataFrame]:
     }
 
 
-def run_files(spark: SparkSession, command: str, out: str, files: list[str], window: int = 0, kind: str = "TSS", wobble: int = 10, reference: str = "", windows=(10, 10, 10), sample_attributes: bool = False, collapse: bool = False, missing: str = "0", intron_agg: str = "sum", show_methods: bool = False) -> None:
+def run_files(spark: SparkSession, command: str, out: str, files: list[str], window: int = 0, kind: str = "TSS", wobble: int = 10, reference: str = "", windows=(10, 10, 10), sample_attributes: bool = False, collapse: bool = False, missing: str = "0", intron_agg: str = "sum", show_methods: bool = False, exon_score_mode: str = "max") -> None:
     """The file commands: merge, sum, features and evaluate.  A file's name stands for its sample; a folder for the GFF files in it."""
     files = [f for given in files for f in text.find_files(spark, given)]
     if show_methods:
         for f in files:
             print(stem_of(f), f, sep="\t")
         return
-    gff = text.read_gff(spark, files).withColumn("sample", S.file_stem("path"))
+    gff = text.read_gff(spark, files, exact=command == "evaluate").withColumn("sample", S.file_stem("path"))
     names = sorted({stem_of(f) for f in files})
     if command == "features":
         write_features(compare_features(text.read_gff(spark, reference), gff, names, window), names, out, sample_attributes)
@@ -333,7 +333,7 @@ def run_files(spark: SparkSession, command: str, out: str, files: list[str], win
         rows = gff.select("contig", "strand", "start", F.coalesce("score", F.lit(1.0)).alias("score"), F.col("sample").alias("method"))
         text.write_tsv(sum_sites(rows, kind, names, wobble, None if missing == "na" else 0.0), out, ["contig", "strand", "start"])
         return
-    tx = text.transcripts_of_gff(gff.drop("sample")).withColumn("sample", S.file_stem("path")).drop("path")
+    tx = text.transcripts_of_gff(gff.drop("sample"), support=exon_score_mode if command == "merge" else None).withColumn("sample", S.file_stem("path")).drop("path")
     tx = tx.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long"), "exons": F.col("exons").cast("array<struct<s:long,e:long>>")})
     if command == "merge":
         write_merged(merge_samples(tx, names, window), names, out, sample_attributes, collapse)
@@ -356,7 +356,7 @@ def stem_of(path: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", re.sub(r"\.[^.]+$", "", name))
 
 
-def run_boundary(spark: SparkSession, out: str, manifest: str, mode: str = "TSS", window: int = 0, coords: str = "bed0", point_mode: str = "as_is", chr_mode: str = "keep", adjust: str = "bh") -> None:
+def run_boundary(spark: SparkSession, out: str, manifest: str, mode: str = "TSS", window: int = 0, coords: str = "bed0", point_mode: str = "as_is", chr_mode: str = "keep", adjust: str = "bh", annotators: list[str] = ()) -> None:
     """Scores of the runs of a manifest (chemistry, cell line, GTF, reference), their means and tests, as tables.
 
     A GTF's folder or name tells its annotator.  All files of a kind are one scan, and all runs are matched in one job.
@@ -367,7 +367,7 @@ def run_boundary(spark: SparkSession, out: str, manifest: str, mode: str = "TSS"
 
     runs = text.read_manifest(spark, manifest, dialect="reference")
     tags = ["mode", "chem", "cell", "annotator"]
-    tagged = cut(runs.select(F.lit(mode).alias("mode"), F.col("chemistry").alias("chem"), F.col("`cell-line`").alias("cell"), S.annotator_of("gtf").alias("annotator"), "gtf", "reference"))
+    tagged = cut(runs.select(F.lit(mode).alias("mode"), F.col("chemistry").alias("chem"), F.col("`cell-line`").alias("cell"), (F.coalesce(S.annotator_in("gtf", annotators), F.lit(".")) if annotators else S.annotator_of("gtf")).alias("annotator"), "gtf", "reference"))
     listed = tagged.select("gtf", "reference").collect()  # a line a run
 
     def of_runs(rows: DataFrame, file: str) -> DataFrame:

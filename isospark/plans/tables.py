@@ -95,13 +95,14 @@ def active_references(spark: SparkSession, out: str, manifest: str, gtf: str, st
     whole.orderBy(*order).select("chemistry", "cell_line", "value").write.mode("overwrite").partitionBy(*groups).text(out)
 
 
-def recovery(spark: SparkSession, out: str, manifest: str, strip: bool = False, adjust: str = "bh", composition: bool = False) -> None:
+def recovery(spark: SparkSession, out: str, manifest: str, strip: bool = False, adjust: str = "bh", composition: bool = False, annotators: list[str] = ()) -> None:
     """How many transcripts of its reference each run finds, fully, in part and at all, with means and tests by chemistry.
 
     The manifest has chemistry, cell line, classification and reference; an annotator is told by the
     classification's path.  A run whose reference is empty has no recall.
     """
-    runs = text.read_manifest(spark, manifest, dialect="reference").withColumnRenamed("cell-line", "cell_line").withColumn("annotator", S.annotator_of("gtf"))
+    tool = F.coalesce(S.annotator_in("gtf", annotators, "token"), F.lit(".")) if annotators else S.annotator_of("gtf")
+    runs = text.read_manifest(spark, manifest, dialect="reference").withColumnRenamed("cell-line", "cell_line").withColumn("annotator", tool)
     by = ["chemistry", "cell_line", "annotator"]
     rows = cut(scan_tables(spark, runs.drop("reference"), "gtf", CLASSIFICATION))
     references = [r[0] for r in runs.select("reference").distinct().collect()]
@@ -122,10 +123,13 @@ def recovery(spark: SparkSession, out: str, manifest: str, strip: bool = False,
         text.write_tsv(rows.groupBy(*by, "structural_category").agg(F.count("*").alias("n")), f"{out}/composition", [*by, "structural_category"])
 
 
-def novelty(spark: SparkSession, out: str, classifications: str, junctions: str) -> None:
+def novelty(spark: SparkSession, out: str, classifications: str, junctions: str, annotators: list[str] = ()) -> None:
     """Novel isoforms and junctions of the runs of two manifests: burden, support by other tools and chemistries,
     plausibility, and how consistent isoforms and genes are."""
-    runs = text.read_manifest(spark, classifications, ["chemistry", "cell-line", "gtf"]).withColumnRenamed("cell-line", "cell_line").withColumn("annotator", S.annotator_of("gtf"))
+    tool = S.annotator_in("gtf", annotators, "folder") if annotators else S.annotator_of("gtf")
+    runs = text.read_manifest(spark, classifications, ["chemistry", "cell-line", "gtf"]).withColumnRenamed("cell-line", "cell_line").withColumn("annotator", tool)
+    if unknown := runs.where("annotator is null").select("gtf").limit(5).collect():
+        raise ValueError(f"paths that tell no annotator: {', '.join(r[0] for r in unknown)}")
     c = cut(scan_tables(spark, runs, "gtf", CLASSIFICATION))
     j = scan_tables(spark, _runs(spark, junctions, "junctions"), "junctions", JUNCTION, MAY_JUNCTION)
     by = ["annotator", "chemistry", "cell_line"]

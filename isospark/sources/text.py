@@ -27,24 +27,27 @@ def read_gff(spark: SparkSession, path, exact: bool = False, **options) -> DataF
     return g.select("contig", "source", "feature", F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), "score", "strand", "frame", "info", "path")
 
 
-def transcripts_of_gff(gff: DataFrame, tx_features=("mRNA", "transcript")) -> DataFrame:
+def transcripts_of_gff(gff: DataFrame, tx_features=("mRNA", "transcript"), support: str | None = None) -> DataFrame:
     """``(id, contig, strand, start, end, exons, reads)``, and ``path`` where ``gff`` has it.
 
     Exons go by their ``Parent`` ids, within a file and contig.  A transcript without exons is one exon, one
-    that only exons name spans them; reads are the score or the first numeric count attribute, else 0.
+    that only exons name spans them; reads are the score or the first numeric count attribute, else 0.  With
+    ``support`` (max, mean, sum, first) they are the score, else that of the exons' scores in the order of their
+    starts, else 1.  Attributes are GFF3's or GTF's.
     """
-    rows = gff.withColumn("a", S.gff3_attributes("info"))
+    rows = gff.withColumn("a", S.attributes("info"))
     keys = [*(["path"] if "path" in gff.columns else []), "contig", "id"]
     tx = rows.where(F.col("feature").isin(*tx_features)).withColumn("id", F.coalesce(F.col("a")["ID"], F.col("a")["transcript_id"], F.col("a")["Name"])).where("id is not null")
     reads = F.coalesce("score", *[F.col("a")[k].try_cast("double") for k in ("read_count", "reads", "count", "support", "coverage")], F.lit(0.0))
-    tx = tx.select(*keys, S.clean_strand("strand").alias("strand"), "start", "end", reads.alias("reads"))
+    tx = tx.select(*keys, S.clean_strand("strand").alias("strand"), "start", "end", (F.col("score") if support else reads).alias("reads"))
     parents = F.explode(F.split(F.coalesce(F.col("a")["Parent"], F.col("a")["transcript_id"]), ",")).alias("id")
-    exons = rows.where("feature = 'exon'").select(*keys[:-1], parents, F.struct(F.col("start").alias("s"), F.col("end").alias("e")).alias("x"), S.clean_strand("strand").alias("_strand"))
-    per = exons.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("exons"), F.min("_strand").alias("_strand"))
+    exons = rows.where("feature = 'exon'").select(*keys[:-1], parents, F.struct(F.col("start").alias("s"), F.col("end").alias("e")).alias("x"), S.clean_strand("strand").alias("_strand"), "score")
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("x", "score"))), lambda y: y["score"])
+    per = exons.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("exons"), F.min("_strand").alias("_strand"), *([scores.alias("_scores")] if support else []))
     whole = F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
     low, high = F.array_min(F.transform("exons", lambda x: x["s"])), F.array_max(F.transform("exons", lambda x: x["e"]))
     out = tx.join(per, keys, "full")
-    columns = ["id", "contig", F.coalesce("strand", "_strand").alias("strand"), F.coalesce("start", low).alias("start"), F.coalesce("end", high).alias("end"), F.coalesce("exons", whole).alias("exons"), F.coalesce("reads", F.lit(0.0)).alias("reads")]
+    columns = ["id", "contig", F.coalesce("strand", "_strand").alias("strand"), F.coalesce("start", low).alias("start"), F.coalesce("end", high).alias("end"), F.coalesce("exons", whole).alias("exons"), (S.support_count("reads", F.coalesce("_scores", F.array().cast("array<double>")), support) if support else F.coalesce("reads", F.lit(0.0))).alias("reads")]
     return out.select(*columns, *keys[:-2])
 
 

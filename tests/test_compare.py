@@ -72,3 +72,28 @@ def test_view_and_bam_output(spark, tmp_path):
     main(["view", copy, f"{tmp_path}/part", "--region", "c:1,001-1,100", "--form", "sam"], spark)
     got = {r.qname: r.tags for r in sam.read_sam(spark, f"{tmp_path}/part/reads.sam").collect()}
     assert set(got) == {f"r{i}" for i in range(200) if f"r{i}" in want and 1 + 10 * i <= 1100 and 10 + 10 * i >= 1001} and all(t == {"NM": q[1:]} for q, t in got.items())
+
+
+def test_attribute_annotator_and_exon_dialects(spark):
+    from isospark.functions import scalar as S
+
+    infos = ["ID=a;Name= b ;junk;ID=c", 'gene_id "g 1"; transcript_id "t;1"; tag "x"; tag "y"; exon_number 3;', "", None, "note=key value"]
+    got = [r.a for r in spark.createDataFrame([(i,) for i in infos], "info string").coalesce(1).select(S.attributes("info").alias("a")).collect()]
+    assert got == [{"ID": "c", "Name": "b"}, {"gene_id": "g 1", "transcript_id": "t;1", "tag": "y", "exon_number": "3"}, {}, None, {"note": "key value"}]
+    names = ["FLAIR", "IsoQuant", "bambu"]
+    paths = ["/d/x_flair.gtf", "/d/BAMBU/x.gtf", "/d/isoquant-run/x.gtf", "/d/myflairrun.gtf", "/d/z.gtf"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").coalesce(1).select(*[S.annotator_in("p", names, d).alias(d) for d in ("name", "folder", "token")]).collect()
+    assert [tuple(r) for r in rows] == [("FLAIR", None, "FLAIR"), ("bambu", "bambu", "bambu"), (None, "IsoQuant", "IsoQuant"), (None, None, "FLAIR"), (None, None, None)]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in ("FLAIR_x.gff3_match", "bambu_match", "Bambu", "IsoQuant.gff3_match")], "x string").coalesce(1).select(S.clean_annotator("x")).collect()] == ["FLAIR", "BAMBU", "BAMBU", "IsoQuant"]
+    texts = spark.createDataFrame([("30-20;5-9;x;7",), ("1,000-2,500;10.0-3",), (None,)], "t string").coalesce(1)
+    pairs = lambda **k: [[tuple(x) for x in r.e] for r in texts.select(S.exons_from_text("t", **k).alias("e")).collect()]
+    assert pairs()[0] == [(5, 9), (20, 30)] and pairs(sort=False)[0] == [(20, 30), (5, 9)] and pairs(sort=False, swap=False)[0] == [(30, 20), (5, 9)]
+    assert pairs(tolerant=True)[1:] == [[(3, 10), (1000, 2500)], []] and pairs()[2] == []
+
+
+def test_merge_takes_exon_scores_and_gtf(spark, tmp_path):
+    (tmp_path / "a.gtf").write_text("".join(f'c\ts\t{f}\t{a}\t{b}\t{n}\t+\t.\tgene_id "g"; transcript_id "t";\n' for f, a, b, n in (("transcript", 10, 90, "."), ("exon", 10, 30, 2), ("exon", 60, 90, 6))) + 'c\ts\texon\t500\t600\t.\t-\t.\ttranscript_id "u";\n')
+    for mode, want in (("max", "6"), ("mean", "4"), ("sum", "8"), ("first", "2")):
+        main(["merge", f"{tmp_path}/{mode}", f"{tmp_path}/a.gtf", "--exon_score_mode", mode], spark)
+        got = {(r["start"], r["end"], r["exon_composition"]): r["a"] for r in rows_of(tmp_path / mode / "transcripts")}
+        assert got == {("10", "90", "10-30;60-90"): want, ("500", "600", "500-600"): "1"}

@@ -304,7 +304,7 @@ def test_merge_outputs_and_features(spark, tmp_path):
     introns = text.read_gff(spark, f"{out}/intron.gff3").collect()
     assert [(r.start, r.end, r.score, r.info) for r in introns] == [(31, 59, 7.5, "ID=INTRON_000001;Name=INTRON_000001")]
     sites = {(r.start, r.strand): r.score for r in text.read_gff(spark, f"{out}/tss.gff3").collect()}
-    assert sites[10, "+"] == 7.5 and sites[90, "-"] == 14.0
+    assert sites[10, "+"] == 7.5 and sites[90, "-"] == 2.0  # a transcript without any score counts as one
     (tmp_path / "ref.gff3").write_text("c\tx\tTSS\t10\t10\t.\t+\t.\t.\nc\tx\tintron\t20\t40\t.\t+\t.\t.\nc\tx\tintron\t20\t60\t.\t+\t.\t.\nc\tx\tgene\t1\t9\t.\t+\t.\t.\n")
     (tmp_path / "q1.gff3").write_text("c\tx\tTSS\t12\t12\t3\t+\t.\t.\nc\tx\tTSS\t8\t8\t.\t+\t.\t.\nc\tx\tintron\t21\t41\t5\t+\t.\t.\nc\tx\tTSS\t10\t10\t9\t-\t.\t.\n")
     main(["features", str(tmp_path / "cmp"), str(tmp_path / "ref.gff3"), str(tmp_path / "q1.gff3"), "--window", "2"], spark)
