@@ -636,10 +636,16 @@ def paired_t(f):
     return p.select("mode", "a", "b", "n", *[F.round(c, 6).alias(c) for c in ("mean_diff", "sd_diff", "t", "dz")])
 
 
-@query("v_f1")
+@query("v_f1", """WITH d AS (SELECT a.mode, a.annotator AS a, b.annotator AS b, a.f1 - b.f1 AS d FROM v_f1 a JOIN v_f1 b USING (mode, chem, cell) WHERE a.annotator < b.annotator),
+s AS (SELECT mode, a, b, count(*) AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d GROUP BY 1, 2, 3),
+g AS (SELECT mode, a, b, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(atan(abs(t) / sqrt(n - 1)) * i / 2000), n - 2)) * atan(abs(t) / sqrt(n - 1)) / 6000 AS area FROM s, range(2001) AS r(i) GROUP BY mode, a, b, n, t),
+p AS (SELECT mode, a, b, n, t, 1 - 2 * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt(pi()) * area AS p FROM s JOIN g USING (mode, a, b)),
+k AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY p) AS k, count(*) OVER (PARTITION BY mode) AS m FROM p)
+SELECT mode, a, b, n, round(t, 6) AS t, round(p, 9) AS p_raw, round(least(1, min(p * m / k) OVER (PARTITION BY mode ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS p_adj FROM k""")
 def paired_tests(f):
     """Paired tests with p-values, adjusted by Benjamini and Hochberg."""
-    return stats.paired_tests(f, ["mode"], ["chem", "cell"], "annotator", "f1").select("mode", "a", "b", "n", "t", "p_raw", "p_adj")
+    p = stats.paired_tests(f, ["mode"], ["chem", "cell"], "annotator", "f1")
+    return p.select("mode", "a", "b", "n", F.round("t", 6).alias("t"), F.round("p_raw", 9).alias("p_raw"), F.round("p_adj", 9).alias("p_adj"))
 
 
 _P = "(tp % 997) / 20000.0"
