@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isospark.functions import scalar as S
+from isospark.session import cut
 
 from . import match, quantiles, summaries
 
@@ -95,14 +96,14 @@ def plausibility(classified: DataFrame, by: list[str], switching: str = "rts") -
 
 def isoform_canonicality(novel: DataFrame, by: list[str], isoform: str = "isoform") -> DataFrame:
     """Per group: isoforms, the share whose junctions are all canonical, and the median number of junctions."""
-    i = novel.groupBy(*by, isoform).agg(F.bool_and("canonical").alias("good"), F.count("*").alias("k"))
+    i = cut(novel.groupBy(*by, isoform).agg(F.bool_and("canonical").alias("good"), F.count("*").alias("k")))
     out = i.groupBy(*by).agg(F.count("*").alias("n"), summaries.share(F.col("good")).alias("all_canonical"))
     return quantiles.with_median(out, i, by, "k", "median_junctions")
 
 
 def locus_consistency(classified: DataFrame, by: list[str], gene: str = "associated_gene") -> DataFrame:
     """Per group: genes with novel junctions, the median number of those, and how many have two or three."""
-    g = classified.where(F.col(gene).isNotNull()).groupBy(*by, gene).agg(F.countDistinct("junction").alias("nj"))
+    g = cut(classified.where(F.col(gene).isNotNull()).groupBy(*by, gene).agg(F.countDistinct("junction").alias("nj")))
     out = g.groupBy(*by).agg(
         F.countDistinct(gene).alias("n_genes"), F.count_if(F.col("nj") >= 2).alias("n2"), F.count_if(F.col("nj") >= 3).alias("n3"), summaries.share(F.col("nj") >= 2).alias("f2")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isospark.operators import quantiles
+from isospark.session import cut
 
 
 def rate(flag: Column, weight: Column | None = None) -> Column:
@@ -37,7 +38,7 @@ def complete(rows: DataFrame, groups: list[str], values: dict[str, list], fill:
 
 def isoforms_per_gene(rows: DataFrame, groups: list[str], gene: str, isoform: str) -> DataFrame:
     """Genes by number of isoforms (1, 2-3, 4-5, >=6) with zeros, and mean and median of that number."""
-    n = rows.groupBy(*groups, gene).agg(F.countDistinct(isoform).alias("k"))
+    n = cut(rows.groupBy(*groups, gene).agg(F.countDistinct(isoform).alias("k")))
     bin_of = F.when(F.col("k") == 1, "1").when(F.col("k") <= 3, "2-3").when(F.col("k") <= 5, "4-5").otherwise(">=6")
     counts = complete(n.groupBy(*groups, bin_of.alias("bin")).agg(F.count("*").alias("n_genes")), groups, {"bin": ["1", "2-3", "4-5", ">=6"]}, {"n_genes": 0})
     centre = n.groupBy(*groups).agg(F.round(F.avg("k"), 3).alias("mean_isoforms"), F.count("*").alias("total"))
