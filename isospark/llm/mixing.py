@@ -16,19 +16,24 @@ from __future__ import annotations
 import json
 import math
 import warnings
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 BUCKETS = 4096
 #: Labelled rows used for fitting at most, chosen by a hash of the id.
 FIT_ROWS = 4000
 #: Words whose evidence a posterior weighs at most.
 EVIDENCE = 4
-STEPS = 30
+STEPS = 200
 TOLERANCE = 1e-6
+#: Lengths of plain steps that are tried, in units of the one that always gains.
+LENGTHS = (1, 4, 16, 64)
+#: The rates rest when the best of the tries takes less than this share off the squared gap.
+RESTING = 1e-4
 
 
 def words(text: Column) -> Column:
@@ -79,12 +84,14 @@ def scores_of(buckets: Column, n_words: Column, logs: list[list[float]], priors:
     return F.array(*[F.lit(prior) + temper * total(_constant(values)) for values, prior in zip(logs, priors)])
 
 
-def membership(docs: DataFrame, logs: list[list[float]], priors: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_tokens, posterior)``, one row per row of ``docs``."""
-    w = docs.select(F.col(id_col), F.transform(words(F.col(text_col)), bucket).alias("b"))
-    s = w.select(id_col, F.size("b").cast("long").alias("n_tokens"), scores_of(F.col("b"), F.size("b"), logs, priors).alias("s"))
-    e = s.select(id_col, "n_tokens", F.expr("transform(s, x -> exp(x - array_max(s)))").alias("e"))
-    return e.select(id_col, "n_tokens", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("posterior"))
+def membership(docs: DataFrame, logs: list[list[float]], priors: list[float], id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``(id_col, n_tokens, posterior)``, one row per row of ``docs``; with ``whole`` its columns as the struct ``row`` in place of the id."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col(id_col)
+    w = docs.select(row, F.transform(words(F.col(text_col)), bucket).alias("b"))
+    first = w.columns[0]
+    s = w.select(first, F.size("b").cast("long").alias("n_tokens"), scores_of(F.col("b"), F.size("b"), logs, priors).alias("s"))
+    e = s.select(first, "n_tokens", F.expr("transform(s, x -> exp(x - array_max(s)))").alias("e"))
+    return e.select(first, "n_tokens", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("posterior"))
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -104,77 +111,104 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][k] / m[i][i] if m[i][i] else 0.0 for i in range(k)]
 
 
+class Fit(NamedTuple):
+    """Steps from a rate of 1, the gap that they leave as a share of the target tokens, and whether they came to rest.
+
+    At rest with a gap, no nonnegative rates reach the targets; not at rest, ``steps`` were too few.
+    """
+
+    steps: list[list[float]]
+    gap: float
+    converged: bool
+
+
+def _moved(base: Column, posterior: str, g) -> Column:
+    """A rate after one step along the posteriors, cut at 0."""
+    return F.greatest(F.lit(0.0), base - g(F.col(posterior)))
+
+
 def rate(posterior: str, steps: list[list[float]]) -> Column:
     """The rate after the given steps: from 1, each step moves along the posteriors and is cut at 0."""
-    r = F.lit(1.0)
-    for g in steps:
-        move = sum((F.col(posterior)[k] * F.lit(x) for k, x in enumerate(g)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+    if not steps:
+        return F.lit(1.0)
+    table = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+    along = lambda g: lambda p: sum((p[k] * F.get(g, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0))
+    return F.aggregate(table, F.lit(1.0), lambda r, g: _moved(r, posterior, along(g)))
 
 
-def fit_steps(members: DataFrame, targets: list[float], posterior: str = "posterior", tokens: str = "n_tokens", steps: int = STEPS) -> list[list[float]]:
+def fit_steps(members: DataFrame, targets: list[float], posterior: str = "posterior", tokens: str = "n_tokens", steps: int = STEPS) -> Fit:
     """Projected gradient steps that bring the expected totals to ``targets`` (in tokens).
 
     In rates, the gradient of the squared gap is ``t_i p_i . gap``; in the metric of the tokens it
     is ``p_i . gap``, and the matrix ``sum t_i p_ik p_il`` over the rates that can move scales it.
-    Where such a step gains little, a plain one follows that is short enough to gain always.  Targets
-    that no nonnegative rates reach are approached in the least-squares sense.  Steps that still gain
-    when ``steps`` are done end with a warning.
+    That step and plain ones of several lengths, the shortest of which gains always, are tried in one
+    pass, and the best is taken.  Targets that no nonnegative rates reach are approached in the
+    least-squares sense, until no step gains; ``steps`` that end before that end with a warning.
     """
     k = len(targets)
     done: list[list[float]] = []
     scale = max(sum(targets), 1.0)
-
-    def totals(taken: list[list[float]]):
-        with_rate = members.select(tokens, posterior, rate(posterior, taken).alias("_r"))
-        t = F.col(tokens).cast("double")
-        sums = [F.sum(t * F.col("_r") * F.col(posterior)[i]).alias(f"s{i}") for i in range(k)]
-        gram = [F.sum(F.when(F.col("_r") > 0, t * F.col(posterior)[i] * F.col(posterior)[j])).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-        row = with_rate.agg(*sums, *gram).first()
-        s = [row[f"s{i}"] or 0.0 for i in range(k)]
-        a = [[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
-        return s, a, sum((x - y) ** 2 for x, y in zip(s, targets))
-
-    s, a, gap = totals(done)
+    t = F.col(tokens).cast("double")
+
+    def summed(tries: list[list[float]]) -> list[tuple[float, list[float]]]:
+        """Squared gap and totals after each of the tries, by one pass."""
+        base = members.select(tokens, posterior, rate(posterior, done).alias("_r"))
+        after = [_moved(F.col("_r"), posterior, lambda p, g=g: sum((p[i] * F.lit(x) for i, x in enumerate(g)), F.lit(0.0))) for g in tries]
+        rated = base.select(tokens, posterior, *[r.alias(f"_r{j}") for j, r in enumerate(after)])
+        row = rated.agg(*[F.sum(t * F.col(f"_r{j}") * F.col(posterior)[i]).alias(f"s{j}_{i}") for j in range(len(tries)) for i in range(k)]).first()
+        totals = [[row[f"s{j}_{i}"] or 0.0 for i in range(k)] for j in range(len(tries))]
+        return [(sum((x - y) ** 2 for x, y in zip(s, targets)), s) for s in totals]
+
+    def gram() -> list[list[float]]:
+        rated = members.select(tokens, posterior, rate(posterior, done).alias("_r"))
+        sums = [F.sum(F.when(F.col("_r") > 0, t * F.col(posterior)[i] * F.col(posterior)[j])).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
+        row = rated.agg(*sums).first()
+        return [[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+
+    gap, s = summed([[0.0] * k])[0]
+    a = gram()
     # No rate is 0 yet, so this bounds the curvature for all later steps.
     bound = max(sum(abs(x) for x in row) for row in a) or 1.0
-    for _ in range(steps):
-        if gap <= (TOLERANCE * scale) ** 2:
-            break
+    rested = gap <= (TOLERANCE * scale) ** 2
+    while not rested and len(done) < steps:
         left = [x - y for x, y in zip(s, targets)]
-        for g in (_solve(a, left), [x / bound for x in left]):
-            new = totals([*done, g])
-            if new[2] < gap * 0.9:
-                break
-        if new[2] >= gap * (1 - 1e-6):
+        tries = [_solve(a, left), *[[f * x / bound for x in left] for f in LENGTHS]]
+        (new, totals), g = min(zip(summed(tries), tries), key=lambda x: x[0][0])
+        if new >= gap * (1 - RESTING):
+            rested = True
             break
         done.append(g)
-        s, a, gap = new
-    else:
-        if gap > (TOLERANCE * scale) ** 2:
-            warnings.warn(f"the rates have not come to rest in {steps} steps: a gap of {math.sqrt(gap) / scale:.2g} of all tokens is left", stacklevel=2)
-    return done
+        gap, s, a = new, totals, gram()
+        rested = gap <= (TOLERANCE * scale) ** 2
+    if not rested:
+        warnings.warn(f"the rates have not come to rest in {steps} steps: a gap of {math.sqrt(gap) / scale:.2g} of all tokens is left", stacklevel=2)
+    return Fit(done, math.sqrt(gap) / scale, rested)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total: float | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``(id_col, n_tokens, domain, posterior, rate, copies)``, one row per row of ``docs``.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total: float | None = None, fit_rows: int = FIT_ROWS, whole: bool = False) -> DataFrame:
+    """``(id_col, n_tokens, domain, posterior, rate, copies, gap, converged)``, one row per row of ``docs``.
 
     ``labelled(id_col, domain_col)`` gives the domains of some rows, ``targets`` the weights of the domains; expected totals are to match them times ``total``
     tokens (all tokens of ``docs`` if not given).  ``posterior`` follows the order of ``targets``,
     ``domain`` is the likeliest one, ``copies`` rounds the rate up or down by a hash of the id, so
-    that its expectation is the rate.  Texts without words have no tokens, the priors as
+    that its expectation is the rate; ``gap`` and ``converged`` are those of the fit, the same in all rows.  Texts without words have no tokens, the priors as
     posteriors, and a rate that counts for nothing; very long texts are read whole.  Of equally likely
     domains ``domain`` is the first.  Null and repeated ids keep a row each, repeated ones the same
     rounding; further columns are not read; an empty table gives none.
+
+    With ``whole`` all columns of ``docs`` come first, texts included, and those above after them, with
+    a ``_`` more where ``docs`` has their name.
     """
     names = list(targets)
     logs, priors = fit_domains(docs, labelled, names, id_col, text_col, domain_col, fit_rows)
-    members = cut(membership(docs, logs, priors, id_col, text_col))
+    members = cut(membership(docs, logs, priors, id_col, text_col, whole))
     tokens = total if total is not None else float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     weight = sum(targets.values())
-    steps = fit_steps(members, [tokens * targets[d] / weight for d in names])
+    fit = fit_steps(members, [tokens * targets[d] / weight for d in names])
     domain = F.get(F.lit(names), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
-    out = members.select(id_col, "n_tokens", domain.alias("domain"), "posterior", rate("posterior", steps).alias("rate"))
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return out.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    first = members.columns[0]
+    out = members.select(first, "n_tokens", domain.alias("domain"), "posterior", rate("posterior", fit.steps).alias("rate"))
+    chance = F.pmod(F.xxhash64(F.col("row")[id_col] if whole else F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+    out = out.withColumns({"copies": copies, "gap": F.lit(fit.gap), "converged": F.lit(fit.converged)})
+    return out.select("row.*", *[F.col(c).alias(free_name(docs, c)) for c in out.columns[1:]]) if whole else out

@@ -80,11 +80,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored rule ledger of all documents under two policies, and the rule that alone rejects a document."""
+    """The stored rule ledger of all documents under two policies, the rule that alone rejects a document, and the ablation of that rule."""
     ledger = written(quality_rules.ledger(_table(spark, sf_dir, "documents")), "ledger")
-    rows = quality_rules.apply_policy(ledger)
     base = F.col("failed_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits", quality_rules.only_rule().alias("only_rule"))
+    rows = quality_rules.apply_policy(ledger).withColumns({"base_failed": base, "only_rule": quality_rules.only_rule()})
+    # Broadcast: a row for each rule of the policy.
+    ablated = F.broadcast(quality_rules.ablation(ledger).withColumnRenamed("rule", "only_rule"))
+    return rows.join(ablated, "only_rule", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits", "only_rule", "n_rejected", "n_only_this", "n_kept_without"
+    )
 
 
 #: Shares of the languages that the mixture is to have.
@@ -162,13 +166,18 @@ def measured_sql(docs: str, name: str) -> str:
     return MEASURED.replace("{bits}", bits).replace("{docs}", docs).replace("{name}", name)
 
 
+_RULE_BITS = ", ".join(f"('{r}', {quality_rules.BIT[r]})" for r in quality_rules.POLICIES[quality_rules.DEFAULT])
 _OP9 = f"""
-WITH {measured_sql('documents', 'q')}
+WITH {measured_sql('documents', 'q')},
+v AS (SELECT * FROM (VALUES {_RULE_BITS}) AS t(only_rule, b)),
+p AS (SELECT *, failed_bits & {quality_rules.mask(quality_rules.DEFAULT)} AS left_bits FROM qf),
+a AS (SELECT only_rule, count(*) FILTER (left_bits & b <> 0) AS n_rejected, count(*) FILTER (left_bits = b) AS n_only_this,
+       count(*) FILTER (left_bits = left_bits & b) AS n_kept_without FROM p, v GROUP BY only_rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed_bits & {quality_rules.mask(quality_rules.BASE)} <> 0 AS base_failed,
        failed_bits & {quality_rules.mask(quality_rules.DEFAULT)} = 0 AS kept, failed_bits,
-       CASE failed_bits & {quality_rules.mask(quality_rules.DEFAULT)} {" ".join(f"WHEN {quality_rules.BIT[r]} THEN '{r}'" for r in quality_rules.POLICIES[quality_rules.DEFAULT])} END AS only_rule
-FROM qf
+       v.only_rule, n_rejected, n_only_this, n_kept_without
+FROM p LEFT JOIN v ON left_bits = b LEFT JOIN a ON v.only_rule = a.only_rule
 """
 
 

@@ -171,17 +171,39 @@ def test_mixing(spark, targets):
     truth = out.merge(docs.select("doc_id", "lang").toPandas())
     assert (truth[truth.n_tokens > 30].domain == truth[truth.n_tokens > 30].lang).mean() > 0.95
     assert (abs(out.copies - out.rate) <= 1).all()
+    assert out.converged.all() and (out.gap - math.sqrt((got**2).sum())).abs().max() < 1e-6
 
 
 def test_mixing_awkward(spark):
     docs = docs_of(spark, [None, "", "a a b", "c c d", "c c d"], [None, 1, 2, 3, 3])
     labelled = spark.createDataFrame([(2, "x"), (3, "y"), (4, "x"), (1, None), (None, "x")], "doc_id long, domain string")
     out = mixing.mix(docs, labelled, {"x": 1.0, "y": 1.0})
+    mine = docs.withColumn("Rate", mixing.F.lit("mine"))
+    whole = mixing.mix(mine, labelled, {"x": 1.0, "y": 1.0}, whole=True)
+    named = [c + "_" * (c in docs.columns or c == "rate") for c in out.columns[1:]]
+    assert whole.columns == [*mine.columns, *named]
+    key = lambda r: (str(r[0]), r[named[0]], r[named[4]])
+    assert sorted(map(key, whole.select("doc_id", *named).collect())) == sorted((str(r.doc_id), r.n_tokens, r.copies) for r in out.collect())
+    assert {r.Rate for r in whole.collect()} == {"mine"}
     assert out.count() == 5 and out.agg({"n_tokens": "sum"}).first()[0] == 9
     assert mixing.mix(docs.limit(0), labelled, {"x": 1.0, "y": 1.0}).count() == 0
     assert mixing.mix(docs, labelled.limit(0), {"x": 1.0, "y": 1.0}).count() == 5
 
 
+def test_fit_tells_rest_from_too_few_steps(spark):
+    """Targets that no rates reach end at rest with a gap; one step is not rest."""
+    rows = spark.createDataFrame([(10, [0.9, 0.1]), (30, [0.7, 0.3]), (5, [0.8, 0.2])], "n_tokens long, posterior array<double>")
+    p, t = np.array([[0.9, 0.1], [0.7, 0.3], [0.8, 0.2]]), np.array([10.0, 30.0, 5.0])
+    want = np.array([4.5, 40.5])
+    fit = mixing.fit_steps(rows, list(want))
+    best = (plain_rates(t, p, want) * t) @ p - want
+    assert fit.converged and fit.gap == pytest.approx(np.sqrt((best**2).sum()) / 45, rel=0.01) and fit.gap > 0.1
+    with pytest.warns(UserWarning, match="come to rest"):
+        assert not mixing.fit_steps(rows, list(want), steps=1).converged
+    reached = mixing.fit_steps(rows, [32.0, 13.0])
+    assert reached.converged and reached.gap <= mixing.TOLERANCE
+
+
 def test_mixing_native(spark):
     plan = queries.op10_mixing(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

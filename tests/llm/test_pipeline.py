@@ -110,7 +110,8 @@ def test_decontamination(spark, steps):
 
 def test_mixing(steps):
     before, after = rows_of(steps[4]), rows_of(steps[5])
-    assert set(after) <= set(before) and all(r.rate > 0 for r in after.values())
+    assert set(after) <= set(before) and all(r.rate > 0 and r.converged for r in after.values())
+    assert all(r.text == before[i].text and r.source == before[i].source for i, r in after.items())
     t = np.array([r.rate * r.n_tokens for r in after.values()])
     totals = t @ np.array([r.posterior for r in after.values()])
     n = sum(len((r.text or "").split()) for r in before.values())
