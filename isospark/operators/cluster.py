@@ -222,45 +222,51 @@ def seed_clusters(rows: DataFrame, keys: list[str], matches, order: list[str], p
     return done.withColumn(out, F.concat_ws(".", F.col("_part").cast("string"), F.col(out).cast("string"))).drop("_part")
 
 
-#: Rounds in which greedy pairs are taken everywhere at once, before what is left is folded in order.
-PAIR_ROUNDS = 8
+#: Rounds in which greedy pairs are taken everywhere at once, before chains of candidates are followed.
+PAIR_ROUNDS = 3
 
 
 def greedy_pairs(candidates: DataFrame, keys: list[str], a: str, b: str, order: list[str], rounds: int = PAIR_ROUNDS) -> DataFrame:
-    """Exclusive pairs: candidates in order, taken if neither side is used yet.
+    """Exclusive pairs: candidates in order, taken if neither side is used yet; of ties any one goes first.
 
-    A candidate that comes first for both of its sides is taken, and all others of those sides go;
-    each such round is a pair of windows, so no group is gathered.  What is left after ``rounds``
-    are chains of ever worse candidates, which are folded in order, each connected part by itself.
+    A candidate that comes first for both of its sides is taken, and all others of those sides go.
+    From the round ``rounds`` on chains are followed too: a candidate with one better one alone is
+    taken if that is not, so the whole of a chain is known in rounds by the logarithm of its length.
+    All are grouped minima and joins, so no side and no connected part is gathered.
     """
-    left = cut(candidates)
-    rank = F.struct(*order)
-    taken = left.limit(0)
-    for _ in range(rounds):
-        best = left.withColumns({"_a": F.min(rank).over(Window.partitionBy(*keys, a)), "_b": F.min(rank).over(Window.partitionBy(*keys, b))})
-        now = cut(best.where((F.col("_a") == rank) & (F.col("_b") == rank)).drop("_a", "_b"))
-        if now.isEmpty():
-            return taken
-        taken = taken.unionByName(now)
-        left = cut(left.join(now.select(*keys, a), [*keys, a], "left_anti").join(now.select(*keys, b), [*keys, b], "left_anti"))
-    side = lambda name, c: F.concat_ws("|", F.lit(name), *[F.col(k).cast("string") for k in keys], F.col(c).cast("string"))
-    rows = left.withColumns({"_u": side("a", a), "_v": side("b", b)})
-    rows = rows.join(components(rows, "_u", "_v").select(F.col("node").alias("_u"), F.col("component").alias("_part")), "_u")
-    u_at, v_at = rows.columns.index("_u"), rows.columns.index("_v")
-
-    def fold():
-        used = set()
-
-        def step(row):
-            if row[u_at] in used or row[v_at] in used:
-                return (0,)
-            used.update((row[u_at], row[v_at]))
-            return (1,)
-
-        return step
-
-    folded = ordered_fold(rows, ["_part"], order, _with(rows, "_taken"), fold)
-    return taken.unionByName(folded.where("_taken = 1").select(*candidates.columns))
+    side = lambda c: F.struct(*[F.col(k) for k in keys], F.col(c))
+    numbered_rows = candidates.withColumns({"_u": side(a), "_v": side(b), "_n": F.monotonically_increasing_id()})
+    left = cut(numbered_rows.withColumn("_r", F.struct(*order, "_n")))
+    columns, taken = left.columns, left.limit(0)
+    while not left.isEmpty():
+        best = left.join(left.groupBy("_u").agg(F.min("_r").alias("_ru")), "_u").join(left.groupBy("_v").agg(F.min("_r").alias("_rv")), "_v")
+        now = cut((best.where("_r = _ru and _r = _rv") if rounds > 0 else _along_chains(cut(best))).select(columns))
+        taken, rounds = taken.unionByName(now), rounds - 1
+        left = cut(left.join(now.select("_u"), "_u", "left_anti").join(now.select("_v"), "_v", "left_anti"))
+    return taken.select(candidates.columns)
+
+
+def _along_chains(best: DataFrame) -> DataFrame:
+    """Rows taken for certain: those without a better one, and of those with just one those at even places after such a row.
+
+    ``best`` has the best rank of either side of a row, ``_ru`` and ``_rv``.  Pointers to the better row
+    are doubled until they reach a row that is known, or one with several better rows.
+    """
+    second_u = best.where("_r > _ru").groupBy("_u").agg(F.min("_r").alias("_su"))
+    second_v = best.where("_r > _rv").groupBy("_v").agg(F.min("_r").alias("_sv"))
+    ranked = best.join(second_u, "_u", "left").join(second_v, "_v", "left")
+    better = F.expr("case when _r = _ru and _r = _sv then _rv._n when _r = _su and _r = _rv then _ru._n end")
+    links = ranked.select("_n", better.alias("_p"), F.expr("case when _r = _ru and _r = _rv then 1 end").alias("_val"), F.lit(1).alias("_odd"))
+    links = cut(links.where("_p is not null or _val is not null"))
+    while True:
+        seen = links.select(F.col("_n").alias("_p"), F.col("_p").alias("_pp"), F.col("_val").alias("_pval"), F.col("_odd").alias("_podd"))
+        known = F.coalesce("_val", F.expr("_pval ^ _odd"))
+        steps = links.join(seen, "_p", "left").withColumn("_moved", F.col("_val").isNull() & (F.col("_pval").isNotNull() | F.col("_pp").isNotNull()))
+        steps = steps.select("_n", F.when(known.isNull(), F.coalesce("_pp", "_p")).alias("_p"), known.alias("_val"), F.expr("case when _pp is null then _odd else _odd ^ _podd end").alias("_odd"), "_moved")
+        new = cut(steps)
+        links = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            return best.join(links.where("_val = 1").select("_n"), "_n", "left_semi")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -6,13 +6,11 @@ import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from isospark.functions.scalar import chains_within, end_site, inner_boundaries, positions_within, start_site
 from isospark.session import cut
 
-from .cluster import STRETCH, ordered_fold, running_count
 from .rangejoin import range_join
 
 
@@ -93,41 +91,74 @@ def all_introns_accepted(reads: DataFrame, introns: DataFrame, read: str = "tid"
     return seen.groupBy(read).agg(F.bool_and(F.col("s").isNull() | F.col("_a").isNotNull() | F.col("_b").isNotNull()).alias("accepted"))
 
 
+#: Positions of a key that one sweep covers.
+STRETCH = 1 << 16
+
+_OPEN = "array<struct<hi:long,n:long>>"
+_SWEPT = f"struct<hits:long,open:{_OPEN}>"
+
+
+def _sweep(rows: list[dict], entering: list[dict], end: int) -> dict:
+    """Points of one stretch matched, each to the open interval that ends first, and what is still open at ``end``.
+
+    ``rows`` are intervals and points with their numbers, in order, an interval before a point of its start.
+    """
+    held = {x["hi"]: x["n"] for x in entering}
+    heap, hits = sorted(held), 0
+    for r in rows:
+        lo, hi, n = r["lo"], r["hi"], r["n"]
+        if not r["point"]:
+            if hi not in held:
+                heapq.heappush(heap, hi)
+            held[hi] = held.get(hi, 0) + n
+            continue
+        while heap and heap[0] < lo:
+            del held[heapq.heappop(heap)]
+        while n and heap:
+            taken = min(n, held[heap[0]])
+            hits, n, held[heap[0]] = hits + taken, n - taken, held[heap[0]] - taken
+            if not held[heap[0]]:
+                del held[heapq.heappop(heap)]
+    return {"hits": hits, "open": [{"hi": hi, "n": held[hi]} for hi in sorted(held) if hi >= end]}
+
+
 def interval_matches(points: DataFrame, intervals: DataFrame, keys: list[str], at: str = "pos", lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Per key: the size of a largest one-to-one matching of points to intervals that hold them.
 
-    A sweep over the points gives each the open interval that ends first.  Runs that no interval
-    bridges are swept apart, as streams that hold the open intervals alone.
+    A sweep over the points gives each the open interval that ends first.  Stretches are swept side by
+    side, first as if nothing came open into them; one that what its predecessor leaves open reaches
+    otherwise is swept again, until all begin as the one before ends.  So a run without a gap is many
+    tasks; a task holds the different places of one stretch and the ends that are open.  Rounds follow
+    the stretches that a change is felt in, which intervals longer than a stretch prolong.  Rows without
+    a position match nothing, but count.
     """
-    a = points.select(*keys, F.col(at).cast("long").alias("_lo"), F.col(at).cast("long").alias("_hi"), F.lit(1).alias("_point"))
-    b = intervals.select(*keys, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi"), F.lit(0).alias("_point"))
-    # The furthest end so far, by stretches: each begins with that of all before it.
-    both = a.union(b).withColumn("_b", F.floor(F.col("_lo") / F.lit(STRETCH)))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = both.groupBy(*keys, "_b").agg(F.max("_hi").alias("_m")).select(*keys, "_b", F.max("_m").over(before).alias("_far"))
-    w = Window.partitionBy(*keys, "_b").orderBy("_lo", "_point").rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("_here", F.max("_hi").over(w)).join(ahead, [*keys, "_b"]).withColumn("_far", F.greatest("_here", "_far"))
-    new = seen.withColumn("_new", F.when(F.col("_far").isNull() | (F.col("_lo") > F.col("_far")), 1).otherwise(0)).drop("_here", "_far", "_b")
-    parts = running_count(new, keys, "_lo", "_new", "_part").drop("_new")
-    x_at, y_at, p_at = (parts.columns.index(c) for c in ("_lo", "_hi", "_point"))
-
-    def fold():
-        open_ends: list = []
-
-        def step(row):
-            x = row[x_at]
-            if not row[p_at]:
-                heapq.heappush(open_ends, row[y_at])
-                return (0,)
-            while open_ends and open_ends[0] < x:
-                heapq.heappop(open_ends)
-            if open_ends:
-                heapq.heappop(open_ends)
-                return (1,)
-            return (0,)
-
-        return step
-
-    swept = ordered_fold(parts, [*keys, "_part"], ["_lo", "_point"], T.StructType([*parts.schema.fields, T.StructField("_hit", T.LongType())]), fold)
-    per = swept.groupBy(*keys).agg(F.sum("_hit").alias("tp"), F.sum("_point").alias("_points"), F.count("*").alias("_all"))
+    import pyarrow as pa
+
+    width = STRETCH
+    key = F.struct(*[F.col(k) for k in keys]).alias("_k")
+    a = points.select(key, F.col(at).cast("long").alias("lo"), F.col(at).cast("long").alias("hi"), F.lit(1).alias("point"))
+    b = intervals.select(key, F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"), F.lit(0).alias("point"))
+    counted = cut(a.union(b).groupBy("_k", "lo", "hi", "point").agg(F.count("*").alias("n")))
+    placed = counted.where("lo is not null and hi is not null").withColumn("_seg", F.floor(F.col("lo") / F.lit(width)))
+    following = placed.select("_k", "_seg").distinct().withColumn("_next", F.lead("_seg").over(Window.partitionBy("_k").orderBy("_seg")))
+    rows = placed.groupBy("_k", "_seg").agg(F.array_sort(F.collect_list(F.struct("lo", "point", "hi", "n"))).alias("_rows"))
+    stretches = cut(rows.join(following, ["_k", "_seg"]))
+
+    left_open = pa.list_(pa.struct([("hi", pa.int64()), ("n", pa.int64())]))
+    kind = pa.struct([("hits", pa.int64()), ("open", left_open)])
+    run = F.arrow_udf(lambda r, e, end: pa.array([_sweep(*x) for x in zip(r.to_pylist(), e.to_pylist(), end.to_pylist(), strict=True)], kind), _SWEPT)
+    swept = lambda df: df.select("_k", "_seg", "_next", "_enter", run("_rows", "_enter", (F.col("_seg") + 1) * width).alias("_x")).select("_k", "_seg", "_next", "_enter", "_x.*")
+    nothing = F.array().cast(_OPEN)
+    now = cut(swept(stretches.withColumn("_enter", nothing)))
+    while True:
+        come = now.where("_next is not null").select("_k", F.col("_next").alias("_seg"), F.col("open").alias("_come"))
+        both = cut(now.join(come, ["_k", "_seg"], "left").withColumn("_come", F.coalesce("_come", nothing)))
+        other = both.where(F.col("_come") != F.col("_enter"))
+        if other.isEmpty():
+            break
+        again = stretches.join(other.select("_k", "_seg", F.col("_come").alias("_enter")), ["_k", "_seg"])
+        now = cut(both.where(F.col("_come") == F.col("_enter")).drop("_come").unionByName(swept(again)))
+    hits = now.groupBy("_k").agg(F.sum("hits").alias("tp"))
+    totals = counted.groupBy("_k").agg(F.sum(F.col("n") * F.col("point")).alias("_points"), F.sum("n").alias("_all"))
+    per = totals.join(hits, "_k", "left").select("_k.*", F.coalesce("tp", F.lit(0)).alias("tp"), "_points", "_all")
     return with_rates(per.select(*keys, "tp", (F.col("_points") - F.col("tp")).alias("fp"), (F.col("_all") - F.col("_points") - F.col("tp")).alias("fn")))

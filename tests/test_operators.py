@@ -45,6 +45,27 @@ def test_interval_matching_is_maximal(spark):
     assert {r.contig: (r.tp, r.fp, r.fn) for r in got} == want
 
 
+@pytest.mark.parametrize("stretch", [40, 100, 1 << 16])
+def test_interval_matches_of_a_run_without_gaps(spark, monkeypatch, stretch):
+    """Dense intervals over many stretches, some longer than a stretch, against the sweep in order."""
+    monkeypatch.setattr(match, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    points = [("c", rng.randrange(0, 1000)) for _ in range(500)] + [(None, 5), ("c", None), ("p", 3)]
+    intervals = [("c", s, s + rng.choice([0, 3, 30, 30, 250])) for s in (rng.randrange(0, 1000) for _ in range(450))] + [(None, 1, 9), (None, 1, 9), ("i", 1, 2)]
+    want = {"p": (0, 1, 0), "i": (0, 0, 1)}
+    for k in ("c", None):
+        left, n = sorted((e, s) for c, s, e in intervals if c == k), 0
+        ps = sorted(p for c, p in points if c == k and p is not None)
+        for p in ps:
+            hit = next((x for x in left if x[1] <= p <= x[0]), None)
+            if hit:
+                left.remove(hit)
+                n += 1
+        want[k] = (n, len(ps) + (k == "c") - n, len(left))
+    got = match.interval_matches(spark.createDataFrame(points, "contig string, pos long"), spark.createDataFrame(intervals, "contig string, lo long, hi long"), ["contig"]).collect()
+    assert {r.contig: (r.tp, r.fp, r.fn) for r in got} == want
+
+
 @pytest.mark.parametrize(("segment", "window"), [(40, 7), (64, 30), (1 << 16, 10), (10, 0)])
 def test_leaders_of_runs_without_gaps(spark, segment, window):
     """Dense rows over many segments, under keys that are arrays and nulls, against the fold in order."""
@@ -130,6 +151,22 @@ def test_greedy_pairs_and_components(spark):
     # A chain of ever worse candidates: every second one is taken.
     chain = spark.createDataFrame([("k", i // 2 + i % 2, 1000 + i // 2, i) for i in range(60)], "k string, a long, b long, d int")
     assert sorted(r.d for r in cluster.greedy_pairs(chain, ["k"], "a", "b", ["d"], 3).collect()) == list(range(0, 60, 2))
+    # A long one is known in a few rounds, as is one that begins in the middle, or meets another one.
+    n = 100_000
+    long = spark.range(n).selectExpr("'k' as k", "id div 2 + id % 2 as a", "id div 2 as b", "id as d")
+    taken = cluster.greedy_pairs(long, ["k"], "a", "b", ["d"])
+    assert taken.agg({"d": "count"}).first()[0] == n // 2 and taken.where("d % 2 <> 0").isEmpty()
+    valley = [("k", i // 2 + i % 2, i // 2, abs(i - 41) * 2 + (i > 41)) for i in range(120)] + [(None, 1, 1, 0), (None, 1, 2, 1), (None, 2, 2, 2)]
+    hill = [("h", i // 2 + i % 2, i // 2, 100 - abs(i - 61) * 2 + (i > 61)) for i in range(101)]
+    for rows in (valley + hill, [("k", *e, rng.randint(0, 9)) for e in sorted({(i + rng.randint(0, 3), i + rng.randint(0, 3)) for i in range(200)})]):
+        used, want = set(), set()
+        for k, a, b, d in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+            if not {(k, "a", a), (k, "b", b)} & used:
+                want.add((k, a, b))
+                used |= {(k, "a", a), (k, "b", b)}
+        for rounds in (0, 2):
+            pairs = cluster.greedy_pairs(spark.createDataFrame(rows, "k string, a long, b long, d int"), ["k"], "a", "b", ["d", "a", "b"], rounds)
+            assert {(r.k, r.a, r.b) for r in pairs.collect()} == want and pairs.columns == ["k", "a", "b", "d"]
     comp = {r.node: r.component for r in cluster.components(df).collect()}
     assert set(comp) == {x for e in edges for x in e} and all(comp[a] == comp[b] <= a for a, b in edges)
     assert cluster.greedy_pairs(df.limit(0), ["k"], "a", "b", ["d"]).count() == 0
