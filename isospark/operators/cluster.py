@@ -90,9 +90,11 @@ def method_matrix(rows: DataFrame, keys: list[str], methods: list[str], method:
     return wide if missing is None else wide.na.fill(missing, methods)
 
 
-def numbered(rows: DataFrame, prefix: str, order: list, digits: int = 6, out: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, prefix: str, order: list, digits: int = 6, out: str = "id", fixed: bool = False) -> DataFrame:
     """Ids such as TR_000001 in the given order; longer numbers have as many digits as they need.
 
+    ``fixed`` cuts longer numbers to their first ``digits``, as SQL's ``lpad`` does, so ids repeat there.
+
     Rows are counted per range partition and offset, so no single task orders them all.  The ranges
     are cut once, so that rows and offsets see the same ones.
     """
@@ -102,7 +104,8 @@ def numbered(rows: DataFrame, prefix: str, order: list, digits: int = 6, out: st
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     number = (F.col("_k") + F.col("_b")).cast("string")
-    text = F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))
+    padded = F.lpad(number, digits, "0")
+    text = padded if fixed else F.when(F.length(number) >= digits, number).otherwise(padded)
     return local.join(F.broadcast(before), "_p").withColumn(out, F.concat(F.lit(prefix), text)).drop("_p", "_k", "_b")
 
 
