@@ -29,6 +29,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a part of a shuffle that a task sorts or hashes.
+PART_ROWS = 1 << 18
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Parts of a shuffle of ``rows`` rows: the session's number, or more where a part would have over ``PART_ROWS``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into the parts that ``rows`` rows need; as it is where the session's own number will do.
+
+    Joins and groups by these keys, or by more than these, are then made within the parts.
+    """
+    n = parts_for(df.sparkSession, rows)
+    return df.repartition(n, *keys) if n > parts_for(df.sparkSession, 0) else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that later jobs and lost executors do not recompute it."""
     shared_dir(df.sparkSession)

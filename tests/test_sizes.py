@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from isospark import queries
+from isospark import queries, session
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +24,21 @@ def test_numbers_beyond_their_digits(spark):
     want = queries.ORACLES["numbered_features"].replace(", 7, '0')", ", 3, '0')")
     assert want != queries.ORACLES["numbered_features"]
     assert sorted(tuple(r) for r in got.select("id", "contig", "strand", "tid", "s", "e").collect()) == _sql(want)
+
+
+@pytest.mark.parametrize("view", ["v_exons", "v_class", "v_junc"])
+def test_parts_do_not_grow_with_the_table(spark, monkeypatch, view):
+    """Rows of an order are dealt to as many parts as the table needs, not to a fixed number."""
+    monkeypatch.setattr(session, "PART_ROWS", 200)
+    rows = queries._view(spark, SF, view)
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in sizes) <= 2 * 200
+
+
+@pytest.mark.parametrize("name", ["same_name_suppression", "collapse_introns", "cluster_presence"])
+def test_small_parts_change_nothing(spark, monkeypatch, name):
+    monkeypatch.setattr(session, "PART_ROWS", 200)
+    df = queries.QUERIES[name](spark, SF)
+    cols = ", ".join(f'"{c}"' for c in df.columns)
+    assert sorted(tuple(r) for r in df.collect()) == _sql(f"SELECT {cols} FROM ({queries.ORACLES[name]})")
