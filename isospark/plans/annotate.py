@@ -62,8 +62,10 @@ def qualified_introns(n: DataFrame, depth_of: DataFrame, p: Params) -> DataFrame
     """Introns with coverage and ``is_qualified``: no far more frequent neighbour, counted often enough, and a
     large enough share of the mean depth on both sides (on the left as on right ends, see ``coverage_mode``).
 
-    ``n`` are the counts of ``ends.intron_counts``.
+    ``n`` are the counts of ``ends.intron_counts``.  Both tables are read several times, so they are
+    computed once here.
     """
+    n, depth_of = cut(n), cut(depth_of)
     near = introns.neighbour_filter(n, ["contig"], "left", "right", "cnt", p.intron_wobble, p.rare_intron).select("contig", "left", "right").withColumn("is_picked", F.lit(True))
     rows = n.join(near, ["contig", "left", "right"], "left").withColumns({"is_picked": F.coalesce("is_picked", F.lit(False)), "track": F.lit("all")})
     sides = dict(distance=p.distance, sample=p.cov_sample, mode=p.coverage_mode, keys=("contig", "track"))

@@ -42,3 +42,10 @@ def test_small_parts_change_nothing(spark, monkeypatch, name):
     df = queries.QUERIES[name](spark, SF)
     cols = ", ".join(f'"{c}"' for c in df.columns)
     assert sorted(tuple(r) for r in df.collect()) == _sql(f"SELECT {cols} FROM ({queries.ORACLES[name]})")
+
+
+def test_introns_are_counted_once(spark):
+    """The fold over the reads' alignments is not in the plan that neighbours and both sides' depths are joined by."""
+    df = queries.QUERIES["intron_calls"](spark, SF)
+    assert "lineitem" not in "".join(df.inputFiles())
+    assert df.count() > 0
