@@ -66,8 +66,8 @@ def _node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 7)
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """``(id_col, node, n, bands)``, one row per row of ``docs``: equal sets have one ``node``, ``n`` is their size."""
+def shingle_table(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, **more: Column) -> DataFrame:
+    """``(id_col, node, n, bands)`` and columns ``more``, one row per row of ``docs``: equal sets have one ``node``, ``n`` is their size."""
 
     def run(texts: pa.Array) -> pa.Array:
         node, n, bands = [], [], []
@@ -79,7 +79,8 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, shingle: int = SH
         return pa.StructArray.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "n", "bands"])
 
     kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return written(docs.select(F.col(id_col), F.arrow_udf(run, kind)(F.col(text_col)).alias("s")).select(id_col, "s.*"), "shingles")
+    rows = docs.select(F.col(id_col), F.arrow_udf(run, kind)(F.col(text_col)).alias("s"), *[c.alias(n) for n, c in more.items()])
+    return written(rows.select(id_col, "s.*", *more), "shingles")
 
 
 def candidate_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

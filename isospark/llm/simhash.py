@@ -20,7 +20,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.arrow_udf(run, kind)(F.col(text_col)).alias("f")).select(id_col, "f.*")
 
 
+def _fingerprint(text_col: str, shingle: int = 3) -> Column:
+    """The fingerprint of ``fingerprints`` as a column."""
+    run = F.arrow_udf(lambda texts: pa.array(np.array([simhash(x, shingle) for x in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)), T.LongType())
+    return run(F.col(text_col))
+
+
 # the walk
 
 
@@ -288,27 +294,46 @@ def _component_ids(fps: DataFrame, id_col: str, node: str, links: DataFrame) ->
 SIMILAR_BITS = round(64 * float(np.arccos(2 * 0.8 / 1.8)) / np.pi)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = near_copies.SHINGLE) -> DataFrame:
+def _fingerprint_links(table: DataFrame, max_bits: int) -> DataFrame:
+    """Links ``(a, b)`` of the nodes of ``table(node, fp)`` whose fingerprints differ in at most ``max_bits`` bits.
+
+    A fingerprint stands in the trie by the least of its nodes, to which its other nodes are linked.
+    """
+    both = cut(table.select("node", "fp").distinct())
+    least = both.groupBy("fp").agg(F.min("node").alias("least"))
+    same = both.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return trie_links(least.select(F.col("least").alias("node"), "fp"), max_bits).where("a <> b").union(same)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = near_copies.SHINGLE, max_bits: int | None = None) -> DataFrame:
     """``(id_col, component_id)`` of documents similar by word shingles, for dropping near copies.
 
+    With ``max_bits`` documents link as well as in ``near_duplicates``, by the trie over their fingerprints.
+
     A pair links if the exact Jaccard similarity of its sets of ``shingle``-word shingles is 0.8 or
     more; candidates are found by ``near_copies``, as a trie over 64 bits with a budget for that
     similarity does not prune.  Texts and ids are treated as by ``near_duplicates``.
     """
-    table = near_copies.shingle_table(docs, id_col, text_col, shingle)
+    more = {} if max_bits is None else {"fp": _fingerprint(text_col)}
+    table = near_copies.shingle_table(docs, id_col, text_col, shingle, **more)
     fps = table.select(id_col, "node")
     links = near_copies.similar_links(docs, table, id_col, text_col, shingle)
+    if max_bits is not None:
+        links = links.select("a", "b").union(_fingerprint_links(table, max_bits))
     return fps.join(_component_ids(fps, id_col, "node", links), "node").select(id_col, "component_id")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group of near copies: those with its smallest id.
 
+    Groups are those of the links of ``near_duplicates``, fingerprints that differ in at most ``max_bits`` bits by
+    the trie, and of the pairs that ``similar_groups`` finds besides.
+
     ``docs`` is read three times, so it should be a table and not a long computation.
 
     Rows with a null id cannot be told apart and all stay; of repeated rows with one id, one stays.
     """
-    groups = cut(similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options))
+    groups = cut(similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, max_bits=max_bits, **options))
     dropped = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if groups.groupBy(id_col).count().where("count > 1").isEmpty():

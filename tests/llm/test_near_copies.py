@@ -103,3 +103,13 @@ def test_recall_by_kind_of_edit(spark):
     for kind in (1, 2, 3):
         pairs = [i for i in range(0, len(texts), 4) if jaccard(texts[i], texts[i + kind]) >= 0.8]
         assert len(pairs) > 50 and sum(group[i] == group[i + kind] for i in pairs) >= 0.999 * len(pairs)
+
+
+def test_one_of_what_the_trie_links_is_kept(spark):
+    """Texts whose fingerprints link go together in the pipeline's stage, though their sets are not similar by 0.8."""
+    body = " ".join(f"w{i % 7}" for i in range(3000))  # few different shingles, repeated: they alone decide the fingerprint
+    a, b = body, body + " " + " ".join(f"z{i}" for i in range(40))
+    assert (simhash.simhash(a.encode()) ^ simhash.simhash(b.encode())).bit_count() <= 2 and jaccard(a, b) < 0.8
+    docs = spark.createDataFrame([(1, a), (2, b), (3, " ".join(f"q{i}" for i in range(200)))], "doc_id long, text string")
+    assert len(dict(simhash.similar_groups(docs).collect()).keys() & {1, 2, 3}) == 3 and dict(simhash.similar_groups(docs).collect())[2] == 2
+    assert sorted(r.doc_id for r in simhash.keep_one_each(docs).collect()) == [1, 3]
