@@ -38,13 +38,34 @@ def parts_for(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
 
 
+#: Shuffled bytes up to which a session of ``roomy`` puts small parts together again.
+PART_BYTES = 8 << 20
+
+
+def roomy(spark: SparkSession, rows: int) -> SparkSession:
+    """A session whose shuffles have as many parts as ``rows`` rows need: ``spark`` itself where its own number will do.
+
+    Else it is a new one with the settings of ``spark``, which stay as they are there.
+    """
+    n = parts_for(spark, rows)
+    if n == parts_for(spark, 0):
+        return spark
+    new = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if new.conf.isModifiable(k):
+            new.conf.set(k, v)
+    new.conf.set("spark.sql.shuffle.partitions", n)
+    new.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PART_BYTES)
+    return new
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` into the parts that ``rows`` rows need; as it is where the session's own number will do.
+    """``df`` dealt by ``keys`` into the parts that ``rows`` rows need; as it is where they need fewer than the session's number.
 
     Joins and groups by these keys, or by more than these, are then made within the parts.
     """
     n = parts_for(df.sparkSession, rows)
-    return df.repartition(n, *keys) if n > parts_for(df.sparkSession, 0) else df
+    return df.repartition(n, *keys) if rows > (n - 1) * PART_ROWS else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -49,3 +49,21 @@ def test_introns_are_counted_once(spark):
     df = queries.QUERIES["intron_calls"](spark, SF)
     assert "lineitem" not in "".join(df.inputFiles())
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["dedupe_first", "intron_method_matrix_first", "intron_method_matrix_sum", "intron_neighbour_filter", "leader_merge", "site_calls", "collapse_tes", "collapse_tss", "fp_seed_clusters", "point_gtf", "attr_parse"])
+def test_shuffles_after_the_views_have_parts_enough(spark, monkeypatch, name):
+    """Every shuffle has as many parts as the rows of the largest table need; the caller's session stays as it is."""
+    monkeypatch.setattr(session, "PART_ROWS", 200)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    df = queries.QUERIES[name](spark, SF)
+    assert int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) == -(-rows // 200)
+    assert df.sparkSession.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
+    cols = ", ".join(f'"{c}"' for c in df.columns)
+    assert sorted(tuple(r) for r in df.collect()) == _sql(f"SELECT {cols} FROM ({queries.ORACLES[name]})")
+
+
+def test_small_tables_keep_the_session(spark):
+    assert session.roomy(spark, session.PART_ROWS) is spark
