@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Positions of a contig that one window partition covers.
-STRETCH = 1 << 20
+STRETCH = 1 << 16
 
 
 def segments(blocks: DataFrame, keys: list[str], start: str = "bstart", end: str = "bend") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from isospark.functions.scalar import poisson_tail
 
 #: Positions of a contig that one window partition covers.
-STRETCH = 1 << 20
+STRETCH = 1 << 16
 
 
 def call_peaks(counts: DataFrame, keys: list[str], pos: str = "pos", count: str = "cnt", window: int = 50, wobble: int = 10, descending: bool | Column = False) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from isospark import queries, session
+from isospark.operators import coverage, peaks
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,11 @@ def test_shuffles_after_the_views_have_parts_enough(spark, monkeypatch, name):
 
 def test_small_tables_keep_the_session(spark):
     assert session.roomy(spark, session.PART_ROWS) is spark
+
+
+def test_dense_positions_are_many_windows(spark):
+    """A contig with a row at every position is many window partitions, for peaks and for depth."""
+    rows = spark.range(1 << 18).select(F.col("id").alias("pos"))
+    sizes = [r["count"] for r in peaks.stretches(rows, "pos", 50).groupBy("_stretch").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= (1 << 16) + 2 * 50
+    assert coverage.STRETCH <= 1 << 16
