@@ -162,6 +162,14 @@ def _labels(rows: list[dict], head: dict | None, window: int) -> list[dict]:
     return out
 
 
+def _each(f, to, *columns):
+    """``f`` of the values of each row as an array of type ``to``; one row at a time is held as Python objects, never a batch."""
+    import pyarrow as pa
+
+    done = [pa.array([f(*[x.as_py() for x in row])], to) for row in zip(*columns, strict=True)]
+    return pa.concat_arrays(done) if done else pa.array([], to)
+
+
 def leader_clusters(rows: DataFrame, keys: list[str], start: str, end: str, window: int, out: str = "leader", segment: int = SEGMENT) -> DataFrame:
     """Leader clustering along (start, end): a row joins the current cluster if both ends lie within
     ``window`` of the cluster's first member, else it leads a new one.  ``out`` names the leader.
@@ -182,9 +190,11 @@ def leader_clusters(rows: DataFrame, keys: list[str], start: str, end: str, wind
     segments = dealt.groupBy("_k", "_seg").agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), own.alias("own")))).alias("_rows"), F.max(own).alias("_any"))
     segments = cut(segments.where("_any").drop("_any"))
 
-    exits = F.arrow_udf(lambda a: pa.array([_exits(r, window) for r in a.to_pylist()], pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "e", "to_s", "to_e")]))), _HEADS)
-    entries = F.arrow_udf(lambda a: pa.array([_entries(m, window, width) for m in a.to_pylist()], pa.list_(pa.struct([(c, pa.int64()) for c in ("seg", "s", "e")]))), "array<struct<seg:long,s:long,e:long>>")
-    labels = F.arrow_udf(lambda a, h: pa.array([_labels(r, None if x["s"] is None else x, window) for r, x in zip(a.to_pylist(), h.to_pylist(), strict=True)], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("leader", pa.string())]))), "array<struct<s:long,e:long,leader:string>>")
+    longs = lambda *names: pa.struct([(c, pa.int64()) for c in names])
+    exits = F.arrow_udf(lambda a: _each(lambda r: _exits(r, window), pa.list_(longs("s", "e", "to_s", "to_e")), a), _HEADS)
+    entries = F.arrow_udf(lambda a: _each(lambda m: _entries(m, window, width), pa.list_(longs("seg", "s", "e")), a), "array<struct<seg:long,s:long,e:long>>")
+    led = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("leader", pa.string())]))
+    labels = F.arrow_udf(lambda a, h: _each(lambda r, x: _labels(r, None if x["s"] is None else x, window), led, a, h), "array<struct<s:long,e:long,leader:string>>")
     maps = segments.select("_k", F.struct(F.col("_seg").alias("seg"), exits("_rows").alias("map")).alias("m"))
     states = maps.groupBy("_k").agg(F.array_sort(F.collect_list("m")).alias("m")).select("_k", F.explode(entries("m")).alias("h")).withColumn("_seg", F.col("h.seg"))
     named = segments.join(states, ["_k", "_seg"]).select("_k", F.explode(labels("_rows", F.struct("h.s", "h.e"))).alias("x"))

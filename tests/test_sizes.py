@@ -1,10 +1,13 @@
 """What shows on larger tables alone, on small ones with small limits."""
 
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 import pytest
 
 from isospark import queries, session
-from isospark.operators import coverage, peaks
+from isospark.operators import cluster, coverage, peaks
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +73,25 @@ def test_small_tables_keep_the_session(spark):
     assert session.roomy(spark, session.PART_ROWS) is spark
 
 
+def test_segments_are_python_objects_one_at_a_time():
+    """A batch of leader clustering is not held as Python objects at once."""
+    batch = pa.array([[{"s": 1000 * i + k, "e": 1000 * i + k + 900, "own": True} for k in range(100)] for i in range(300)])
+    to = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("to_s", pa.int64()), ("to_e", pa.int64())]))
+
+    def peak(f):
+        tracemalloc.start()
+        out = f()
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, out
+
+    whole, want = peak(lambda: [cluster._exits(r, 200) for r in batch.to_pylist()])
+    each, got = peak(lambda: cluster._each(lambda r: cluster._exits(r, 200), to, batch))
+    assert got.to_pylist() == want
+    assert each < whole / 20
+    assert cluster._each(len, to, batch[:0]).to_pylist() == []
+
+
 def test_dense_positions_are_many_windows(spark):
     """A contig with a row at every position is many window partitions, for peaks and for depth."""
     rows = spark.range(1 << 18).select(F.col("id").alias("pos"))
