@@ -44,10 +44,15 @@ def contig_name(contig, mode: str = "keep") -> Column:
 # attributes
 
 
+def _given(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once; functions of array elements would compute it again for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _last_of_each(pairs: Column) -> Column:
     """A map of (k, v) entries; of repeated keys the last stays."""
-    keys = F.transform(pairs, lambda p: p["k"])
-    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(pairs)), p["k"]) == 0))
+    last = lambda ps, keys: F.filter(ps, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(ps)), p["k"]) == 0)
+    return _given(pairs, lambda ps: _given(F.transform(ps, lambda p: p["k"]), lambda keys: F.map_from_entries(last(ps, keys))))
 
 
 def gff3_attributes(info) -> Column:

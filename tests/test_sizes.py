@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from isospark import queries, session
+from isospark.functions import scalar as S
 from isospark.operators import cluster, coverage, peaks
 from pyspark.sql import functions as F
 
@@ -98,3 +99,11 @@ def test_dense_positions_are_many_windows(spark):
     sizes = [r["count"] for r in peaks.stretches(rows, "pos", 50).groupBy("_stretch").count().collect()]
     assert len(sizes) >= 4 and max(sizes) <= (1 << 16) + 2 * 50
     assert coverage.STRETCH <= 1 << 16
+
+
+def test_attributes_are_split_once(spark):
+    """The text is split once a row, not again for each of its pieces; of repeated keys the last stays."""
+    plan = str(S.gff3_attributes("info"))
+    assert plan.count("split(") == 1
+    rows = spark.createDataFrame([("a=1; b = 2;a=3;x",), ("",), (None,), ("k=v=w;k=",)], "info string")
+    assert [r[0] for r in rows.select(S.gff3_attributes("info")).collect()] == [{"b": "2", "a": "3"}, {}, None, {"k": ""}]
