@@ -237,7 +237,8 @@ def clean_annotator(name) -> Column:
 def file_stem(path) -> Column:
     """The file's name without directories and suffixes, other characters than word ones as ``_``."""
     name = F.regexp_replace(F.substring_index(_c(path), "/", -1), r"(?i)\.(gz)$", "")
-    return F.regexp_replace(F.regexp_replace(name, r"\.[^.]+$", ""), r"[^A-Za-z0-9_.-]+", "_")
+    # ``\w`` is A-Z, a-z, 0-9 and _ here, and much quicker than these as ranges.
+    return F.regexp_replace(F.regexp_replace(name, r"\.[^.]+$", ""), r"[^\w.-]+", "_")
 
 
 # exons and introns

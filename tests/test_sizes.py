@@ -107,3 +107,10 @@ def test_attributes_are_split_once(spark):
     assert plan.count("split(") == 1
     rows = spark.createDataFrame([("a=1; b = 2;a=3;x",), ("",), (None,), ("k=v=w;k=",)], "info string")
     assert [r[0] for r in rows.select(S.gff3_attributes("info")).collect()] == [{"b": "2", "a": "3"}, {}, None, {"k": ""}]
+
+
+def test_stems_take_no_ranges(spark):
+    """The class of a stem's characters has no ranges, which took most of the time of ``attr_parse``; what it keeps is ASCII."""
+    assert "A-Z" not in str(S.file_stem("path"))
+    rows = spark.createDataFrame([("/a/b \u00e9\u0661 c-d.e_1.gff3.GZ",), ("x.",), ("[^&]\\w.-_.txt",)], "path string")
+    assert [r[0] for r in rows.select(S.file_stem("path")).collect()] == ["b_c-d.e_1", "x.", "_w.-_"]
