@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isospark.session import lean
+
 from . import decontaminate, divergence, exact_dedup, html_templates, license_scan, mixing, ordinal, quality_rules, simhash, spelling, token_counts, url_filter, warc
 from .common import scratch_path, written
 
@@ -108,7 +110,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its neighbours' number, its form and its root."""
-    return spelling.variants(_table(spark, sf_dir, "documents"))
+    return spelling.variants(_table(lean(spark), sf_dir, "documents"))
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ BITS_PER_WORD, BITS_SET, BLOCK = 16, 6, 512
 MAX_BITS = 1 << 29
 #: Words that a task counts before it passes the counts on, and edits that are probed at once.
 HELD, AT_ONCE = 200_000, 1 << 20
+#: Letters from which on a word is long, and letters of long words that a task counts before it passes the counts on.
+LONG, HELD_LETTERS = 64, 1 << 23
 #: Bytes of a text that are taken apart at once.
 PIECE = 1 << 20
 
@@ -75,11 +78,12 @@ def thinned(run: bytes, prefix: int | None) -> bytes:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
+    letters = 0
 
     def out():
-        words = [w.decode("latin-1") for w in total]
-        for i in range(0, len(words), 1 << 14):
-            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + (1 << 14)], pa.string()), pa.array([*total.values()][i : i + (1 << 14)], pa.int64())], names=["word", "n"])
+        items = iter(total.items())
+        while part := list(islice(items, 1 << 14)):
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
         total.clear()
 
     for batch in batches:
@@ -89,8 +93,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for run, n in letter_runs(text.as_py() or "").items():
                 if len(run) >= MIN_LENGTH and len(word := thinned(run, prefix)) >= MIN_LENGTH:
                     total[word] += n
-            if len(total) >= HELD:
+                    if len(word) >= LONG:
+                        letters += len(word)
+            if len(total) >= HELD or letters >= HELD_LETTERS:
                 yield from out()
+                letters = 0
     yield from out()
 
 

@@ -42,6 +42,14 @@ def parts_for(spark: SparkSession, rows: int) -> int:
 PART_BYTES = 8 << 20
 
 
+def _like(spark: SparkSession) -> SparkSession:
+    new = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if new.conf.isModifiable(k):
+            new.conf.set(k, v)
+    return new
+
+
 def roomy(spark: SparkSession, rows: int) -> SparkSession:
     """A session whose shuffles have as many parts as ``rows`` rows need: ``spark`` itself where its own number will do.
 
@@ -50,15 +58,27 @@ def roomy(spark: SparkSession, rows: int) -> SparkSession:
     n = parts_for(spark, rows)
     if n == parts_for(spark, 0):
         return spark
-    new = spark.newSession()
-    for k, v in spark.conf.getAll.items():
-        if new.conf.isModifiable(k):
-            new.conf.set(k, v)
+    new = _like(spark)
     new.conf.set("spark.sql.shuffle.partitions", n)
     new.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PART_BYTES)
     return new
 
 
+#: Bytes of a batch of rows that goes to Python, and rows that are read from Parquet at once, in a session of ``lean``.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """A session for tables of long texts: batches to Python are bounded in bytes, those read from Parquet are of few rows.
+
+    It is a new one with the settings of ``spark``, which stay as they are there.
+    """
+    new = _like(spark)
+    new.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    new.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)
+    return new
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` into the parts that ``rows`` rows need; as it is where they need fewer than the session's number.
 

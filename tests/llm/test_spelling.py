@@ -2,12 +2,15 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from isospark.llm import spelling
+from isospark import session
+from isospark.llm import queries, spelling
 
 COLUMNS = "doc_id long, text string, word string, n long, edit string"
 
@@ -105,5 +108,41 @@ def test_filter_lets_little_through(spark):
     assert edits < 0.01 * len(vocab) * 9 * 77
 
 
+def test_batches_of_long_texts_are_bounded(spark, monkeypatch, tmp_path):
+    """The query's batches to Python have a bounded number of bytes, however long the texts; the caller's session stays as it is."""
+    before = spark.conf.getAll
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', repeat('letters ', 1000), id % 7, 'lettres letter') AS text")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    variants = spelling.variants
+    monkeypatch.setattr(spelling, "variants", lambda docs: seen.append(docs) or variants(docs))
+    out = got(queries.op11_spelling_variants(spark, str(tmp_path)))
+    assert out == plain([(r["doc_id"], r["text"]) for r in rows.collect()])
+
+    def sizes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    sizes = seen[0].select("doc_id", "text").mapInArrow(sizes_of, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in sizes) == 3000
+    assert max(r["bytes"] for r in sizes) < 1.1 * session.BATCH_BYTES + 10_000
+    assert seen[0].sparkSession.conf.get("spark.sql.session.timeZone") == "UTC" and spark.conf.getAll == before
+
+
+def test_long_words_are_passed_on():
+    """Long words held for their counts are bounded in letters, not only in number."""
+    word = lambda i: "x" * 3000 + "".join("abcdefghij"[int(c)] for c in f"{i:06}")
+    texts = (" ".join(word(20 * k + i) for i in range(20)) for k in range(800))
+    batches = (pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([t])], names=["i", "t"]) for t in texts)
+    ends: Counter = Counter()
+    tracemalloc.start()
+    for b in spelling._counted(batches):
+        ends.update({w.as_py()[-6:]: n.as_py() for w, n in zip(b.column(0), b.column(1), strict=True)})
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ends) == 16_000 and set(ends.values()) == {1}
+    assert top < 4 * spelling.HELD_LETTERS
+
+
 def test_empty(spark):
     assert spelling.variants(frame(spark, [])).collect() == []
